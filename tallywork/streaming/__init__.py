@@ -1,0 +1 @@
+"""Every job in this package is a batch job over whole tables; there is no streaming operator to offer."""
