@@ -74,8 +74,8 @@ def label_year(value) -> Column:
     text = as_col(value)
     four = F.regexp_extract_all(text, F.lit(r"(?<!\d)(20\d{2})(?!\d)"), 1)
     two = F.regexp_extract_all(text, F.lit(r"/(\d{2})(?!\d)"), 1)
-    return F.when(F.size(four) > 0, F.element_at(four, -1).cast("int")).when(
-        (F.size(two) > 0) & F.upper(text).contains("FYE"), F.element_at(two, -1).cast("int") + 2000
+    return F.when(F.size(four) > 0, F.try_element_at(four, F.lit(-1)).cast("int")).when(
+        (F.size(two) > 0) & F.upper(text).contains("FYE"), F.try_element_at(two, F.lit(-1)).cast("int") + 2000
     )
 
 

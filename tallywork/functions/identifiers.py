@@ -104,7 +104,7 @@ def reference_from_text(value, is_po: bool) -> Column:
     has_space = raw.rlike(r"(?U)\s")
     found = (
         F.when(~has_space & looks_right(single), single)
-        .when(has_space & (F.size(tokens) == 1), F.element_at(tokens, 1))
+        .when(has_space & (F.size(tokens) == 1), F.try_element_at(tokens, F.lit(1)))
         .otherwise(F.lit(""))
     )
     how = (
