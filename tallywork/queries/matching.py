@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching as m
+from ..functions import identifiers as ids
+from ..operators import evidence as ev, matching as m, words
 from ..operators.working import working_frame
 from ..runtime import cut
 from . import query
@@ -52,3 +53,148 @@ def tiered(t):
         frames.append(pairs.withColumn("method", F.lit(method)))
         _, open_rows = m.consume(open_rows, m.as_bridge(pairs.filter("link <> 'CONFLICT'"), method), f"t{number}")
     return m.union_all(frames).select("a_id", "b_id", "method", "link")
+
+
+_SQL_SETS = f"""{SQL_BOTH},
+sets AS MATERIALIZED (SELECT side, array_to_string(words,' ') AS set_key, any_value(words) AS words, count(*) AS n,
+  sum(cents) AS total FROM both_sides WHERE cents IS NOT NULL AND len(words) > 0 GROUP BY 1, 2)"""
+
+
+@query(
+    "word_containment_pairs",
+    f"""WITH {_SQL_SETS}, toks AS (SELECT side, set_key, unnest(words) AS w FROM sets),
+    cand AS (SELECT DISTINCT a.set_key AS a_set, b.set_key AS b_set FROM toks a JOIN toks b
+      ON a.w = b.w AND a.side = 'A' AND b.side = 'B')
+    SELECT a_set, b_set FROM (SELECT c.*, x.words AS aw, y.words AS bw,
+      len(list_intersect(x.words, y.words)) AS shared FROM cand c
+      JOIN sets x ON x.side = 'A' AND x.set_key = a_set JOIN sets y ON y.side = 'B' AND y.set_key = b_set)
+    WHERE shared = least(len(aw), len(bw)) AND (shared > 1 OR length(list_intersect(aw, bw)[1]) >= 6)""",
+)
+def containment_pairs(t):
+    """Set pairs of the word-containment rule over all rows of both ledgers."""
+    return words.set_pairs(words.word_sets(words.worded(both_sides(t))))
+
+
+@query("word_containment_groups")
+def containment_groups(t):
+    """Groups the containment rule would hold for review, over all rows of both ledgers."""
+    return words.match_contained(cut(both_sides(t), "both"))
+
+
+@query(
+    "controlled_typo_pairs",
+    f"""WITH {SQL_BOTH},
+    s AS (SELECT side, row_id, cents, words FROM both_sides WHERE cents IS NOT NULL AND len(words) > 0),
+    p AS (SELECT a.row_id AS a_id, b.row_id AS b_id, a.words AS aw, b.words AS bw FROM s a JOIN s b
+      ON a.cents = b.cents AND a.side = 'A' AND b.side = 'B'),
+    q AS (SELECT *, CASE WHEN len(aw) <= len(bw) THEN aw ELSE bw END AS sw, CASE WHEN len(aw) <= len(bw) THEN bw ELSE aw END AS lw FROM p),
+    r AS (SELECT *, list_filter(sw, lambda x: NOT list_contains(lw, x)) AS un, list_filter(lw, lambda x: NOT list_contains(sw, x)) AS ln,
+      len(list_intersect(sw, lw)) AS exact FROM q),
+    u AS (SELECT *, un[1] AS shw, list_filter(ln, lambda x: length(x) >= 5 AND length(un[1]) >= 5 AND x[1] = un[1][1]
+      AND levenshtein(x, un[1]) = 1) AS rd FROM r WHERE len(un) = 1),
+    v AS (SELECT *, rd[1] AS low FROM u WHERE len(rd) = 1),
+    e AS (SELECT a_id, b_id, CASE WHEN len(aw) <= len(bw) THEN shw ELSE low END AS a_word,
+      CASE WHEN len(aw) <= len(bw) THEN low ELSE shw END AS b_word FROM v
+      WHERE NOT (exact = 0 AND (length(shw) = length(low) OR greatest(length(shw), length(low)) < 6)))
+    SELECT a_id, b_id, a_word, b_word FROM e
+    WHERE (SELECT count(*) FROM e x WHERE x.a_id = e.a_id) = 1 AND (SELECT count(*) FROM e x WHERE x.b_id = e.b_id) = 1""",
+)
+def typo_pairs(t):
+    """One-letter-typo pairs with a single candidate on each side, over all rows of both ledgers."""
+    return words.match_typos(cut(both_sides(t), "both"))[0]
+
+
+@query("grouped_sum_matches")
+def grouped_sums(t):
+    """Exact 1:n and n:1 groups over all rows of both ledgers, PO and invoice first (tested against brute force)."""
+    flagged = cut(m.with_link_flags(both_sides(t)), "flagged")
+    return m.match_grouped_tiers(flagged)[0]
+
+
+def _aliases(t):
+    """Confirmed aliases: each market segment with a customer is known under a dock name."""
+    return t.customer.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("k")).select(
+        F.format_string("ALIAS-%04d", F.col("k").cast("int")).alias("alias_id"),
+        F.array(F.upper("c_mktsegment"), F.concat(F.lit("DOCK"), F.upper("c_mktsegment"))).alias("terms"),
+        F.lit(True).alias("active"),
+    )
+
+
+_ALIAS_ROWS = """SELECT 'A' AS side, o_orderkey AS row_id, upper(c_mktsegment) || ' ' || CAST(o_orderkey AS STRING) AS ref,
+    CAST(ROUND(o_totalprice * 100) AS BIGINT) AS cents, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE o_orderpriority = '1-URGENT'
+  UNION ALL
+  SELECT 'B', o_orderkey, 'DOCK' || upper(c_mktsegment), CAST(ROUND(o_totalprice * 100) AS BIGINT), o_custkey
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <> '1-URGENT'"""
+
+
+@query(
+    "alias_group_sizes",
+    f"""WITH r AS ({_ALIAS_ROWS}), al AS (SELECT DISTINCT upper(c_mktsegment) AS seg FROM customer)
+    SELECT seg, CAST(count(*) FILTER (WHERE side = 'A') AS BIGINT) AS a_rows, CAST(count(*) FILTER (WHERE side = 'B') AS BIGINT) AS b_rows
+    FROM r JOIN al ON regexp_extract(ref, '[A-Z]+') IN (seg, 'DOCK' || seg) GROUP BY seg""",
+)
+def alias_sizes(t):
+    """Rows per side that touch each confirmed alias (the degrees the alias join is settled from)."""
+    t.orders.createOrReplaceTempView("orders")
+    t.customer.createOrReplaceTempView("customer")
+    rows = t.spark.sql(_ALIAS_ROWS).withColumn("words", ids.reference_words("ref"))
+    terms = words.alias_terms(_aliases(t)).join(
+        _aliases(t).select("alias_id", F.col("terms")[0].alias("seg")), "alias_id"
+    )
+    named = words.worded(rows).select("side", "row_id", F.explode("words").alias("word")).join(terms, "word")
+    return named.groupBy("seg").agg(m.counted("A").alias("a_rows"), m.counted("B").alias("b_rows"))
+
+
+@query("alias_matches")
+def alias_matches(t):
+    """Groups joined by a confirmed alias and equal cents."""
+    t.orders.createOrReplaceTempView("orders")
+    t.customer.createOrReplaceTempView("customer")
+    rows = t.spark.sql(_ALIAS_ROWS).withColumn("words", ids.reference_words("ref"))
+    return words.match_aliases(rows, _aliases(t))
+
+
+@query(
+    "link_flags",
+    f"WITH {SQL_FLAGS} SELECT side, row_id, po_shared, inv_shared FROM flagged",
+)
+def link_flags(t):
+    return m.with_link_flags(both_sides(t)).select("side", "row_id", "po_shared", "inv_shared")
+
+
+@query(
+    "punctuation_discrepancies",
+    f"""WITH {SQL_FLAGS}, {sql_tiers()}
+    SELECT a_id AS match_key, 'po' AS kind, a.exact_po AS a_value, b.exact_po AS b_value FROM t_pairs
+      JOIN flagged a ON a.side = 'A' AND a.row_id = a_id JOIN flagged b ON b.side = 'B' AND b.row_id = b_id
+      WHERE a.key_po <> '' AND a.key_po = b.key_po AND a.exact_po <> b.exact_po
+    UNION ALL
+    SELECT a_id, 'inv', a.exact_inv, b.exact_inv FROM t_pairs
+      JOIN flagged a ON a.side = 'A' AND a.row_id = a_id JOIN flagged b ON b.side = 'B' AND b.row_id = b_id
+      WHERE a.key_inv <> '' AND a.key_inv = b.key_inv AND a.exact_inv <> b.exact_inv""",
+)
+def punctuation(t):
+    both = cut(m.with_link_flags(both_sides(t)), "flagged")
+    bridge, _, _ = m.match_one_to_one(both)
+    notes = ev.punctuation_notes(bridge, both)
+    return notes.select(
+        "match_key", "kind", F.col("a_values")[0].alias("a_value"), F.col("b_values")[0].alias("b_value")
+    )
+
+
+@query(
+    "corroboration_notes",
+    f"""WITH {SQL_FLAGS}, {sql_tiers()}
+    SELECT a_id AS match_key,
+      CASE WHEN len(list_intersect(regexp_extract_all(a.customer, '[A-Z]{{3,}}'), regexp_extract_all(b.customer, '[A-Z]{{3,}}'))) > 0
+        OR a.customer = b.customer THEN 'customer: agrees' ELSE 'customer: not comparable (different naming between systems)' END AS customer_note,
+      CASE WHEN abs(date_diff('day', CAST(a.txn_date AS DATE), CAST(b.txn_date AS DATE))) <= 31
+        THEN 'date: within 31 days (' || abs(date_diff('day', CAST(a.txn_date AS DATE), CAST(b.txn_date AS DATE))) || 'd)'
+        ELSE 'date: ' || abs(date_diff('day', CAST(a.txn_date AS DATE), CAST(b.txn_date AS DATE))) || ' days apart (accounting-period difference, not identity evidence)' END AS date_note
+    FROM t_pairs JOIN flagged a ON a.side = 'A' AND a.row_id = a_id JOIN flagged b ON b.side = 'B' AND b.row_id = b_id""",
+)
+def corroboration(t):
+    both = cut(m.with_link_flags(both_sides(t)), "flagged")
+    bridge, _, _ = m.match_one_to_one(both)
+    return ev.corroboration(bridge, both)
