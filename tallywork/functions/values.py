@@ -33,14 +33,13 @@ def aligned(value, mode: str) -> Column:
 def fingerprint_value(value) -> Column:
     """A tagged form that ignores formatting: `1` = `1.0`, `1/5/2026` = `2026-01-05`, case and spacing."""
     text = squeeze(as_col(value).cast("string"))
-    day = typed_date(text)
     number = F.regexp_replace(text, ",", "").try_cast("decimal(38,10)")
     plain = F.regexp_replace(F.regexp_replace(number.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return (
-        F.when(text.isNull() | (text == ""), F.lit("<NULL>"))
-        .when(day.isNotNull(), F.concat(F.lit("date:"), day.cast("string")))
-        .when(number.isNotNull(), F.concat(F.lit("num:"), plain))
-        .otherwise(F.concat(F.lit("text:"), F.upper(text)))
+    return F.coalesce(
+        F.concat(F.lit("date:"), typed_date(text).cast("string")),
+        F.concat(F.lit("num:"), plain),
+        F.concat(F.lit("text:"), F.upper(F.nullif(text, F.lit("")))),
+        F.lit("<NULL>"),
     )
 
 

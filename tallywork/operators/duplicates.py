@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import joined_ids
 from ..functions.values import fingerprint_value
-from ..runtime import first_per_group
+from ..runtime import cut, first_per_group
 
 # Field roles, bases, dispositions.
 FINGERPRINT_FIELDS = ("customer", "txn_date", "product", "quantity", "rate")
@@ -47,8 +47,8 @@ def input_violations(frame: DataFrame) -> DataFrame:
     return counts.crossJoin(repeats)
 
 
-def with_duplicate_key(frame: DataFrame, fields: tuple[str, ...] = FINGERPRINT_FIELDS) -> DataFrame:
-    """Adds the duplicate key (`basis` is null when the row has none) and one fingerprint column per field."""
+def with_basis(frame: DataFrame) -> DataFrame:
+    """Adds the duplicate key; `basis` is null when the row has none."""
     has_po, has_inv = F.col("norm_po") != "", F.col("norm_inv") != ""
     basis = F.when(
         F.col("cents").isNotNull(),
@@ -59,11 +59,19 @@ def with_duplicate_key(frame: DataFrame, fields: tuple[str, ...] = FINGERPRINT_F
             "basis": basis,
             "dup_po": F.when(has_po, F.col("norm_po")).otherwise(""),
             "dup_inv": F.when(has_inv, F.col("norm_inv")).otherwise(""),
-            **{f"fp_{name}": fingerprint_value(name) for name in fields},
         }
     )
 
 
+def with_prints(frame: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    return frame.withColumns({f"fp_{name}": fingerprint_value(name) for name in fields})
+
+
+def with_duplicate_key(frame: DataFrame, fields: tuple[str, ...] = FINGERPRINT_FIELDS) -> DataFrame:
+    """Adds the duplicate key and one fingerprint column per field."""
+    return with_prints(with_basis(frame), fields)
+
+
 def group_id() -> Column:
     text = F.concat_ws(UNIT, *[F.col(k).cast("string") for k in KEY])
     return F.concat(F.lit("DUP-"), F.upper(F.substring(F.sha2(text, 256), 1, 12)))
@@ -77,13 +85,14 @@ def copy_set_id(signature: str) -> Column:
 def line_id_trust(keyed: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """One row: may the line id alone confirm a copy? Only if every shared id has one key and one fingerprint."""
     prints = F.concat_ws(UNIT, *[F.col(k).cast("string") for k in KEY], *[F.col(f"fp_{f}") for f in fields])
+    shared = keyed.filter("line_id <> ''").groupBy("line_id").count().filter("count > 1").select("line_id")
     broken = (
-        keyed.filter("line_id <> ''").groupBy("line_id")
+        with_prints(keyed.join(shared, "line_id", "left_semi"), fields).groupBy("line_id")
         .agg(
-            F.count("*").alias("n"), F.min(prints).alias("low"), F.max(prints).alias("high"),
+            F.min(prints).alias("low"), F.max(prints).alias("high"),
             F.count_if(F.col("basis").isNull()).alias("keyless"),
         )
-        .filter("n > 1 AND (low <> high OR keyless > 0)")
+        .filter("low <> high OR keyless > 0")
     )
     return broken.agg((F.count("*") == 0).alias("trusted"))
 
@@ -93,16 +102,16 @@ def same_file_decisions(
     min_identity: int = MIN_IDENTITY_FIELDS,
 ) -> DataFrame:
     """One decision per row whose duplicate key repeats inside the file."""
-    keyed = with_duplicate_key(frame, fields)
-    groups = (
-        keyed.filter("basis IS NOT NULL").groupBy(*KEY)
-        .agg(
-            F.count("*").alias("group_size"),
-            F.count_if(F.col("line_id") != "").alias("line_ids"),
-            F.count_if(F.col("transaction_id") != "").alias("txn_ids"),
-            *[F.count_if(F.col(f"fp_{f}") != "<NULL>").alias(f"have_{f}") for f in identity],
-        )
-        .filter("group_size > 1")
+    keyed = with_basis(frame)
+    sizes = (
+        keyed.filter("basis IS NOT NULL").groupBy(*KEY).agg(F.count("*").alias("group_size")).filter("group_size > 1")
+    )
+    # Only rows of repeated keys go further; fingerprints are computed for them alone.
+    candidates = cut(with_prints(keyed.join(sizes, KEY), fields), "repeated-keys")
+    groups = candidates.groupBy(*KEY).agg(
+        F.count_if(F.col("line_id") != "").alias("line_ids"),
+        F.count_if(F.col("transaction_id") != "").alias("txn_ids"),
+        *[F.count_if(F.col(f"fp_{f}") != "<NULL>").alias(f"have_{f}") for f in identity],
     )
     present = sum((F.col(f"have_{f}") == F.col("group_size")).cast("int") for f in identity)
     all_lines, all_txns = F.col("line_ids") == F.col("group_size"), F.col("txn_ids") == F.col("group_size")
@@ -114,7 +123,7 @@ def same_file_decisions(
         )
     )
     rows = (
-        keyed.join(groups, KEY).crossJoin(F.broadcast(line_id_trust(keyed, fields)))
+        candidates.join(groups, KEY).crossJoin(F.broadcast(line_id_trust(keyed, fields)))
         .withColumns(
             {
                 "sufficient": by_line | (present >= min_identity),

@@ -272,8 +272,17 @@ def match_grouped(open_rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     carry = [name for kind in other for name in (f"key_{kind}", f"{kind}_shared")]
     usable = open_rows.filter(filled([*keys, "cents"])).select(*keys, "side", "row_id", "cents", *carry)
     sizes = (
-        usable.groupBy(*keys).agg(counted("A").alias("n_a"), counted("B").alias("n_b"))
+        usable.groupBy(*keys).agg(
+            counted("A").alias("n_a"), counted("B").alias("n_b"),
+            *[fn(on_side(side, F.col("cents"))).alias(f"{name}_{side.lower()}")
+              for side in "AB" for name, fn in (("total", F.sum), ("low", F.min), ("high", F.max))],
+        )
         .filter(f"n_a > 0 AND n_b > 0 AND n_a + n_b > 2 AND (n_a BETWEEN 2 AND {MAX_POOL} OR n_b BETWEEN 2 AND {MAX_POOL})")
+        # The only group of a two-row pool is the pair itself, so most keys are settled here.
+        .filter(
+            "n_a > 2 OR n_b > 2 OR (n_a = 2 AND total_a IN (low_b, high_b)) OR (n_b = 2 AND total_b IN (low_a, high_a))"
+        )
+        .select(*keys, "n_a", "n_b")
     )
     rows = usable.join(sizes, keys)
     # At most half of a full pool can be consumed as single rows, so a side above this bound never comes back under it.
