@@ -40,28 +40,42 @@ def flexible_date(value) -> Column:
     ).otherwise(typed_date(text))
 
 
-def fiscal_period(value, default_year: int) -> Column:
-    """(period 1-13, year) from `P03-2026`, `PD 3`, `3/26`; both null when unreadable."""
-    text = F.upper(strip(as_col(value).cast("string")))
-    period = _part(text, FISCAL_PERIOD, 1).try_cast("int")
-    tail = _part(text, FISCAL_PERIOD, 2)
+def period_parts(value) -> Column:
+    """`period<US>year` of a readable period text: one regular expression, to be kept as a column and read twice."""
+    return F.regexp_replace(F.upper(strip(as_col(value).cast("string"))), FISCAL_PERIOD, "$1\x1f$2")
+
+
+def read_period(parts, default_year: int) -> Column:
+    """(period 1-13, year) from `period_parts`; both null when unreadable."""
+    parts = as_col(parts)
+    period = F.substring_index(parts, "\x1f", 1).try_cast("int")
+    tail = F.substring_index(parts, "\x1f", -1)
     year = (
         F.when(tail == "", F.lit(default_year))
         .when(F.length(tail) == 2, tail.try_cast("int") + 2000)
         .otherwise(tail.try_cast("int"))
     )
-    good = text.rlike(FISCAL_PERIOD) & period.between(1, 13) & year.between(1900, 2199)
+    good = parts.contains("\x1f") & period.between(1, 13) & year.between(1900, 2199)
     return F.struct(F.when(good, period).alias("period"), F.when(good, year).alias("year"))
 
 
-def fiscal_label(value, default_year: int) -> Column:
-    parsed = fiscal_period(value, default_year)
+def fiscal_period(value, default_year: int) -> Column:
+    """(period 1-13, year) from `P03-2026`, `PD 3`, `3/26`; both null when unreadable."""
+    return read_period(period_parts(value), default_year)
+
+
+def period_label(parsed) -> Column:
+    parsed = as_col(parsed)
     return F.when(
         parsed.getField("period").isNotNull(),
         F.format_string("P%02d-%d", parsed.getField("period"), parsed.getField("year")),
     ).otherwise("Unspecified")
 
 
+def fiscal_label(value, default_year: int) -> Column:
+    return period_label(fiscal_period(value, default_year))
+
+
 def period_number(value) -> Column:
     """The first period number named in a text, or null."""
     text = F.upper(strip(as_col(value).cast("string")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import as_col, strip
+from .text import SPACE, as_col, strip
 
 # Words people type where a reference belongs. Sharing one proves nothing.
 PLACEHOLDER_WORDS = (
@@ -31,7 +31,7 @@ def identifier_text(value) -> Column:
     Leading zeros and punctuation stay. The input must be text; numeric columns go through `number_identifier`.
     """
     text = strip(F.regexp_replace(F.coalesce(as_col(value).cast("string"), F.lit("")), INVISIBLE, ""))
-    unwrapped = F.regexp_replace(text, r'(?U)^="\s*(.*?)\s*"$', "$1")
+    unwrapped = F.regexp_replace(text, r'^="\s*(.*?)\s*"$', "$1")
     return F.regexp_replace(unwrapped, r"^'(?=\S)", "")
 
 
@@ -55,7 +55,7 @@ def identifier_flags(value) -> Column:
 
 def fold(value) -> Column:
     """Case and white space folded, punctuation kept."""
-    return F.regexp_replace(F.upper(identifier_text(value)), r"(?U)\s+", "")
+    return F.regexp_replace(F.upper(identifier_text(value)), SPACE + "+", "")
 
 
 def alnum_key(value) -> Column:
@@ -75,7 +75,7 @@ def folded_source(value, is_po: bool) -> Column:
     text = F.regexp_replace(F.upper(strip(value)), TRAILING_ZEROS, "$1")
     if is_po:
         text = F.regexp_replace(text, PO_PREFIX, "")
-    return F.regexp_replace(text, r"(?U)\s+", "")
+    return F.regexp_replace(text, SPACE + "+", "")
 
 
 def reference_strength(key) -> Column:
@@ -99,9 +99,9 @@ def reference_from_text(value, is_po: bool) -> Column:
         return (F.length(token) >= 4) & token.rlike("[0-9]")
 
     tokens = F.array_distinct(
-        F.filter(F.transform(F.split(raw, r"(?U)\s+"), alnum_key), looks_right)
+        F.filter(F.transform(F.split(raw, SPACE + "+"), alnum_key), looks_right)
     )
-    has_space = raw.rlike(r"(?U)\s")
+    has_space = raw.rlike(SPACE)
     found = (
         F.when(~has_space & looks_right(single), single)
         .when(has_space & (F.size(tokens) == 1), F.try_element_at(tokens, F.lit(1)))
@@ -137,7 +137,7 @@ def vendor_key(value) -> Column:
 def name_key(value) -> Column:
     """A vendor name: ends trimmed, inner white space collapsed (never removed), upper case."""
     text = strip(F.coalesce(as_col(value).cast("string"), F.lit("")))
-    return F.upper(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.upper(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def padded_segment(value, width: int, side: str = "right") -> Column:

@@ -9,14 +9,20 @@ def as_col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+# Every character Unicode counts as white space, for trimming and as a regex class.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a" \
+    "\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def strip(value) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(as_col(value), r"(?U)^\s+|\s+$", "")
+    return F.btrim(as_col(value), F.lit(WHITE))
 
 
 def squeeze(value) -> Column:
     """Trim and turn each run of white space into one blank."""
-    return F.regexp_replace(strip(value), r"(?U)\s+", " ")
+    return F.regexp_replace(strip(value), SPACE + "+", " ")
 
 
 def is_blank(value) -> Column:

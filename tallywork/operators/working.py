@@ -66,13 +66,16 @@ def working_frame(raw: DataFrame, roles: Roles, side: str, fiscal_year: int) ->
         strip(F.regexp_replace(F.upper(F.coalesce(optional(roles.customer), F.lit(""))), "[^A-Z0-9 ]", " "))
         .alias("customer"),
         (dates.flexible_date(roles.date) if roles.date else F.lit(None).cast("date")).alias("txn_date"),
-        (dates.fiscal_label(roles.period, fiscal_year) if roles.period else F.lit("Unspecified")).alias("fiscal_label"),
+        (dates.period_parts(roles.period) if roles.period else F.lit("")).alias("_period"),
         optional(roles.product).alias("product"),
         optional(roles.quantity).alias("quantity"),
         optional(roles.rate).alias("rate"),
         strip(F.coalesce(optional(roles.line_id), F.lit(""))).alias("line_id"),
         strip(F.coalesce(optional(roles.transaction_id), F.lit(""))).alias("transaction_id"),
     )
+    base = base.withColumn("_period", dates.read_period("_period", fiscal_year)).withColumn(
+        "fiscal_label", dates.period_label("_period")
+    ).drop("_period")
     keyed = base.withColumns({"key_po": ids.specific_key("norm_po"), "key_inv": ids.specific_key("norm_inv")})
     return keyed.withColumns(
         {

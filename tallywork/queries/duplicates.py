@@ -27,9 +27,9 @@ decisions AS MATERIALIZED (SELECT *, CASE WHEN confirmed AND row_id = first_row
 
 
 def _decisions(t):
-    return d.same_file_decisions(cut(both_sides(t), "both").filter("side = 'A'")).unionByName(
-        d.same_file_decisions(both_sides(t).filter("side = 'B'"))
-    )
+    both = cut(both_sides(t), "both")
+    a, b = (d.same_file_decisions(both.filter(F.col("side") == side)) for side in "AB")
+    return a.unionByName(b)
 
 
 @query(

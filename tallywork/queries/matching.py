@@ -46,7 +46,7 @@ def unique_join(t):
     f"WITH {SQL_FLAGS}, {sql_tiers()} SELECT a_id, b_id, method, link FROM t_proposals",
 )
 def tiered(t):
-    both = cut(m.with_link_flags(both_sides(t)), "flagged")
+    both = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
     open_rows, frames = both, []
     for number, (method, form, kinds) in enumerate(m.ONE_TO_ONE_TIERS, 1):
         pairs = cut(m.tier_pairs(open_rows, form, kinds), f"pairs{number}")
@@ -107,7 +107,7 @@ def typo_pairs(t):
 @query("grouped_sum_matches")
 def grouped_sums(t):
     """Exact 1:n and n:1 groups over all rows of both ledgers, PO and invoice first (tested against brute force)."""
-    flagged = cut(m.with_link_flags(both_sides(t)), "flagged")
+    flagged = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
     return m.match_grouped_tiers(flagged)[0]
 
 
@@ -160,7 +160,7 @@ def alias_matches(t):
     f"WITH {SQL_FLAGS} SELECT side, row_id, po_shared, inv_shared FROM flagged",
 )
 def link_flags(t):
-    return m.with_link_flags(both_sides(t)).select("side", "row_id", "po_shared", "inv_shared")
+    return m.with_link_flags(cut(both_sides(t), "both")).select("side", "row_id", "po_shared", "inv_shared")
 
 
 @query(
@@ -175,7 +175,7 @@ def link_flags(t):
       WHERE a.key_inv <> '' AND a.key_inv = b.key_inv AND a.exact_inv <> b.exact_inv""",
 )
 def punctuation(t):
-    both = cut(m.with_link_flags(both_sides(t)), "flagged")
+    both = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
     bridge, _, _ = m.match_one_to_one(both)
     notes = ev.punctuation_notes(bridge, both)
     return notes.select(
@@ -195,6 +195,6 @@ def punctuation(t):
     FROM t_pairs JOIN flagged a ON a.side = 'A' AND a.row_id = a_id JOIN flagged b ON b.side = 'B' AND b.row_id = b_id""",
 )
 def corroboration(t):
-    both = cut(m.with_link_flags(both_sides(t)), "flagged")
+    both = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
     bridge, _, _ = m.match_one_to_one(both)
     return ev.corroboration(bridge, both)
