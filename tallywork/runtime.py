@@ -87,41 +87,69 @@ def numbered(df: DataFrame, order_by: list[str], name: str, start: int = 1) -> D
     )
 
 
+def with_block(df: DataFrame, position: str) -> DataFrame:
+    """Adds `_block`, a stretch of at most BLOCK_ROWS positions, unless the frame has it already."""
+    if "_block" in df.columns:
+        return df
+    return df.withColumn("_block", F.floor(F.col(position) / F.lit(BLOCK_ROWS)).cast("bigint"))
+
+
+def _before(keys: list[str], by: str):
+    return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def running_before(
     df: DataFrame, group: list[str], order: str, position: str, values: dict[str, Column]
 ) -> DataFrame:
     """Sum of each value over the earlier rows of the group, ordered by (`order`, `position`).
 
-    `position` must be a whole number unique inside the group. Three levels keep every window small even when one
-    group holds a large part of the table: totals per `order` value, totals per block of positions inside one `order`
-    value, and rows inside one block (at most BLOCK_ROWS). The first two are aggregated before they are shuffled.
+    `position` must be a whole number unique inside one `order` value. Three levels keep every window small even when
+    one group holds a large part of the table: totals per `order` value, totals per block of positions inside one
+    `order` value, and rows inside one block (at most BLOCK_ROWS). The first two are aggregated before they are
+    shuffled, and the rows are shuffled once. The result keeps `_block`.
     """
-    names = list(values)
-    rows = df.withColumn("_block", F.floor(F.col(position) / F.lit(BLOCK_ROWS)))
-    for name in names:
-        rows = rows.withColumn(f"_v_{name}", values[name])
-    zero = F.lit(0)
-
-    def before(keys: list[str], by: str):
-        return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-
+    names, zero = list(values), F.lit(0)
+    rows = with_block(df, position).withColumns({f"_v_{n}": values[n] for n in names})
     by_block = rows.groupBy(*group, order, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
     by_order = by_block.groupBy(*group, order).agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in names])
     order_before = by_order.select(
-        *group, order,
-        *[F.coalesce(F.sum(f"_t_{n}").over(before(group, order)), zero).alias(f"_o_{n}") for n in names],
+        *group, order, *[F.coalesce(F.sum(f"_t_{n}").over(_before(group, order)), zero).alias(f"_o_{n}") for n in names]
     )
+    inside_order = [*group, order]
     block_before = by_block.select(
-        *group, order, "_block",
-        *[F.coalesce(F.sum(f"_s_{n}").over(before([*group, order], "_block")), zero).alias(f"_b_{n}") for n in names],
-    ).join(order_before, [*group, order])
-    inside = before([*group, order, "_block"], position)
-    out = rows.join(block_before, [*group, order, "_block"])
-    for name in names:
-        out = out.withColumn(
-            name, F.col(f"_o_{name}") + F.col(f"_b_{name}") + F.coalesce(F.sum(f"_v_{name}").over(inside), zero)
-        )
-    return out.drop("_block", *[f"_{k}_{n}" for n in names for k in "vob"])
+        *inside_order, "_block",
+        *[F.coalesce(F.sum(f"_s_{n}").over(_before(inside_order, "_block")), zero).alias(f"_b_{n}") for n in names],
+    ).join(order_before, inside_order)
+    inside = _before([*inside_order, "_block"], position)
+    out = rows.join(block_before, [*inside_order, "_block"]).withColumns(
+        {
+            n: F.col(f"_o_{n}") + F.col(f"_b_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), zero)
+            for n in names
+        }
+    )
+    return out.drop(*[f"_{k}_{n}" for n in names for k in "vob"])
+
+
+def previous_values(df: DataFrame, group: list[str], order: str, position: str, columns: list[str]) -> DataFrame:
+    """Adds `previous`, a struct of the columns on the row just before in (`order`, `position`) order; null on the first.
+
+    Same three levels as `running_before`, so a hot group is never one window partition.
+    """
+    rows = with_block(df, position).withColumn("_now", F.struct(*columns))
+    inside_order = [*group, order]
+    by_block = rows.groupBy(*inside_order, "_block").agg(F.max_by("_now", position).alias("_last"))
+    by_order = by_block.groupBy(*inside_order).agg(F.max_by("_last", "_block").alias("_end"))
+    order_before = by_order.select(
+        *inside_order, F.lag("_end").over(Window.partitionBy(*group).orderBy(order)).alias("_order_prev")
+    )
+    block_prev = F.lag("_last").over(Window.partitionBy(*inside_order).orderBy("_block"))
+    block_before = by_block.withColumn("_block_prev", block_prev).drop("_last").join(order_before, inside_order)
+    inside = Window.partitionBy(*inside_order, "_block").orderBy(position)
+    return (
+        rows.join(block_before, [*inside_order, "_block"])
+        .withColumn("previous", F.coalesce(F.lag("_now").over(inside), "_block_prev", "_order_prev"))
+        .drop("_now", "_block_prev", "_order_prev")
+    )
 
 
 def first_per_group(df: DataFrame, group: list[str], order_by: list[Column], limit: int = 1) -> DataFrame:
