@@ -89,14 +89,14 @@ def lineage(t):
 
 @query(
     "fifo_consumption",
-    f"""WITH {SQL_BATCH} SELECT product, kind, seq, qty, consumed, remaining, round(consumed_value, 4) AS consumed_value,
-    round(total_value - consumed_value, 4) AS remaining_value FROM consumed""",
+    f"""WITH {SQL_BATCH} SELECT product, kind, seq, qty, consumed, remaining, round(consumed_value, 8) AS consumed_value,
+    round(total_value - consumed_value, 8) AS remaining_value FROM consumed""",
 )
 def consumption(t):
     _, used = _batch(t)
     return used.select(
-        "product", "kind", "seq", "qty", "consumed", "remaining", F.round("consumed_value", 4).alias("consumed_value"),
-        F.round("remaining_value", 4).alias("remaining_value"),
+        "product", "kind", "seq", "qty", "consumed", "remaining", F.round("consumed_value", 8).alias("consumed_value"),
+        F.round("remaining_value", 8).alias("remaining_value"),
     )
 
 
@@ -207,14 +207,14 @@ def allocation(t):
     "inventory_aging",
     f"""WITH {SQL_BATCH}, oh AS (SELECT product, total_value - consumed_value AS v, date_diff('day', start_day, DATE '1999-12-31') AS age FROM consumed WHERE remaining > 0.0001),
     b AS (SELECT product, CASE WHEN age <= 30 THEN 'a' WHEN age <= 60 THEN 'b' WHEN age <= 90 THEN 'c' ELSE 'd' END AS bk, v FROM oh)
-    SELECT product, round(coalesce(sum(v) FILTER (WHERE bk = 'a'), 0), 2) AS d0_30, round(coalesce(sum(v) FILTER (WHERE bk = 'b'), 0), 2) AS d31_60,
-    round(coalesce(sum(v) FILTER (WHERE bk = 'c'), 0), 2) AS d61_90, round(coalesce(sum(v) FILTER (WHERE bk = 'd'), 0), 2) AS d90_up,
-    CAST(0 AS DOUBLE) AS unknown, round(sum(v), 2) AS total FROM b GROUP BY product""",
+    SELECT product, round(coalesce(sum(v) FILTER (WHERE bk = 'a'), 0) + 0.000001, 2) AS d0_30, round(coalesce(sum(v) FILTER (WHERE bk = 'b'), 0) + 0.000001, 2) AS d31_60,
+    round(coalesce(sum(v) FILTER (WHERE bk = 'c'), 0) + 0.000001, 2) AS d61_90, round(coalesce(sum(v) FILTER (WHERE bk = 'd'), 0) + 0.000001, 2) AS d90_up,
+    round(0.000001, 2) AS unknown, round(sum(v) + 0.000001, 2) AS total FROM b GROUP BY product""",
 )
 def aging(t):
     _, used = _batch(t)
     table = insights.aging_pivot(fifo.on_hand(used), "1999-12-31").filter("product IS NOT NULL")
-    return table.select("product", *[F.round(c, 2).alias(c) for c in table.columns if c != "product"])
+    return table.select("product", *[F.round(F.col(c) + 0.000001, 2).alias(c) for c in table.columns if c != "product"])
 
 
 @query(
