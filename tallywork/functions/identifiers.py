@@ -99,7 +99,7 @@ def reference_from_text(value, is_po: bool) -> Column:
         return (F.length(token) >= 4) & token.rlike("[0-9]")
 
     tokens = F.array_distinct(
-        F.filter(F.transform(F.split(raw, SPACE + "+"), alnum_key), looks_right)
+        F.filter(F.transform(F.split(raw, SPACE + "+"), lambda x: alnum_key(x)), looks_right)
     )
     has_space = raw.rlike(SPACE)
     found = (

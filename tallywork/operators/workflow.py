@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import previous_values
+
 # Alert thresholds, page size and the junk folders "any folder" passes over.
 HELD_DAYS, AGED_DAYS, PAGE = 5, 30, 10
 SKIPPED_FOLDERS = r"(?i)^(junk|junk email|spam|deleted|deleted items|trash)$"
@@ -25,52 +27,73 @@ def current_state(events: DataFrame) -> DataFrame:
     )
 
 
+def _placed(events: DataFrame) -> DataFrame:
+    """Day, place inside the day and minute block of each event; ties in time fall back to the event number."""
+    moment = (F.unix_micros(F.col("at").cast("timestamp")) % F.lit(86_400_000_000)).cast("bigint")
+    return events.withColumns(
+        {
+            "_day": F.to_date("at"), "_block": F.floor(moment / F.lit(60_000_000)).cast("bigint"),
+            "_place": moment * F.lit(1 << 25) + F.col("event_no") % F.lit(1 << 25),
+        }
+    )
+
+
 def history(events: DataFrame) -> DataFrame:
     """Every event with the stage it came from, in time order inside its document (one row per event)."""
-    from ..runtime import previous_values
-
-    day = events.withColumn("_day", F.to_date("at"))
-    moment = (F.unix_micros("at") % F.lit(86_400_000_000)).cast("bigint")
-    placed = day.withColumn("_moment", moment)
-    linked = previous_values(placed, ["document"], "_day", "_moment", ["stage"])
-    return linked.withColumn("from_stage", F.col("previous.stage")).drop("_day", "_moment", "_block", "previous")
+    linked = previous_values(_placed(events), ["document"], "_day", "_place", ["stage"])
+    return linked.withColumn("from_stage", F.col("previous.stage")).drop("_day", "_place", "_block", "previous")
 
 
 def replay(actions: DataFrame, rules: dict[str, tuple[str, str]], start: str) -> DataFrame:
     """Fold actions over time, refusing those whose expected stage is not the current one.
 
-    A refused action does not move the stage, so this is a true fold: one `aggregate` over a document's actions in time
-    order. Only actions some rule knows can move a stage, so the others are dropped and counted beforehand, and runs of
-    equal actions are collapsed to their first (the repeat is always refused), which keeps the array short.
+    A refused action does not move the stage, so this is a true fold. It is still computed in parallel: the actions of
+    one minute become a table "from each stage, where do you end and how many were applied"; such tables compose, so
+    minutes fold into days and days into documents, and no array is longer than a minute's, a day's or a document's.
     """
-    from ..runtime import previous_values
+    stages = sorted({start, *(s for pair in rules.values() for s in pair)})
+    place = {s: n for n, s in enumerate(stages)}
+    needs = F.create_map(*[F.lit(x) for k, (a, _) in rules.items() for x in (k, place[a])])
+    leads = F.create_map(*[F.lit(x) for k, (_, b) in rules.items() for x in (k, place[b])])
+    stay = F.array(*[F.struct(F.lit(n).alias("stage"), F.lit(0).cast("bigint").alias("applied")) for n in range(len(stages))])
+
+    def act(table: Column, e: Column) -> Column:
+        def one(x: Column) -> Column:
+            legal = e["needs"] == x["stage"]
+            return F.struct(
+                F.when(legal, e["leads"]).otherwise(x["stage"]).alias("stage"),
+                (x["applied"] + legal.cast("bigint")).alias("applied"),
+            )
+
+        return F.transform(table, one)
+
+    def compose(table: Column, later: Column) -> Column:
+        return F.transform(
+            table,
+            lambda x: F.struct(
+                F.get(later["table"], x["stage"])["stage"].alias("stage"),
+                (x["applied"] + F.get(later["table"], x["stage"])["applied"]).alias("applied"),
+            ),
+        )
 
-    known = actions.filter(F.col("action").isin(*rules)).withColumns(
-        {"_day": F.to_date("at"), "_moment": (F.unix_micros("at") % F.lit(86_400_000_000)).cast("bigint")}
+    known = _placed(actions.filter(F.col("action").isin(*rules))).withColumns(
+        {"needs": needs[F.col("action")], "leads": leads[F.col("action")]}
     )
-    loops = any(a == b for a, b in rules.values())
-    linked = previous_values(known, ["document"], "_day", "_moment", ["action"])
-    repeat = F.lit(False) if loops else F.coalesce(F.col("previous.action") == F.col("action"), F.lit(False))
-    steps = linked.filter(~repeat).groupBy("document").agg(
-        F.array_sort(F.collect_list(F.struct("at", "action"))).alias("steps")
+    minutes = known.groupBy("document", "_day", "_block").agg(
+        F.aggregate(F.array_sort(F.collect_list(F.struct("_place", "needs", "leads"))), stay, act).alias("table")
     )
-    needs = F.create_map(*[F.lit(x) for k, (a, _) in rules.items() for x in (k, a)])
-    leads = F.create_map(*[F.lit(x) for k, (_, b) in rules.items() for x in (k, b)])
-    state = F.struct(F.lit(start).alias("stage"), F.lit(0).alias("applied"))
-
-    def step(acc: Column, e: Column) -> Column:
-        legal = F.element_at(needs, e["action"]) == acc["stage"]
-        return F.struct(
-            F.when(legal, F.element_at(leads, e["action"])).otherwise(acc["stage"]).alias("stage"),
-            (acc["applied"] + legal.cast("int")).alias("applied"),
-        )
-
-    folded = steps.withColumn("end", F.aggregate("steps", state, step))
+    days = minutes.groupBy("document", "_day").agg(
+        F.aggregate(F.array_sort(F.collect_list(F.struct("_block", "table"))), stay, compose).alias("table")
+    )
+    folded = days.groupBy("document").agg(
+        F.get(F.aggregate(F.array_sort(F.collect_list(F.struct("_day", "table"))), stay, compose), F.lit(place[start])).alias("end")
+    )
+    names = F.array(*[F.lit(s) for s in stages])
     totals = actions.groupBy("document").agg(F.count("*").alias("n_actions"))
-    out = totals.join(folded.select("document", "end"), "document", "left")
+    out = totals.join(folded, "document", "left")
     applied = F.coalesce("end.applied", F.lit(0))
     return out.select(
-        "document", F.coalesce("end.stage", F.lit(start)).alias("stage"), applied.alias("applied"),
+        "document", F.coalesce(F.get(names, F.col("end.stage")), F.lit(start)).alias("stage"), applied.alias("applied"),
         (F.col("n_actions") - applied).alias("refused"),
     )
 
@@ -127,7 +150,7 @@ def role_measures(queue: DataFrame, approval_stage: str) -> DataFrame:
 def expand_rules(settings: DataFrame) -> DataFrame:
     """One rule per combination of sender, recipient and subject options (comma lists); blank stages are off."""
     def options(name: str) -> Column:
-        items = F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), ","), F.trim), lambda x: x != "")
+        items = F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
         return F.when(F.size(items) > 0, items).otherwise(F.array(F.lit("")))
 
     live = settings.filter("coalesce(sender,'') <> '' OR coalesce(recipient,'') <> '' OR coalesce(subject,'') <> '' OR coalesce(folder,'') <> ''")
