@@ -43,9 +43,9 @@ def formula_safe(value) -> Column:
 
 
 def csv_safe(value) -> Column:
-    """Like `formula_safe`, for a CSV log: leading white space does not hide the formula sign."""
-    value = as_col(value)
-    return F.when(value.rlike(r"^\s*[=+\-@]|^[\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)
+    """Like `formula_safe`, for a CSV log: leading white space does not hide the formula sign; null is empty text."""
+    value = F.coalesce(as_col(value), F.lit(""))
+    return F.when(value.rlike(r"^\s*[=+\-@]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
 def joined_ids(ids, total, limit: int) -> Column:
@@ -55,18 +55,3 @@ def joined_ids(ids, total, limit: int) -> Column:
     return F.when(
         total > limit, F.concat(shown, F.lit("; ... ("), (total - F.lit(limit)).cast("string"), F.lit(" more)"))
     ).otherwise(shown)
-
-
-def template_pattern(template: str) -> tuple[str, list[str]]:
-    """A file-name template such as `{vendor} {invoice} - BOL {bol}` as one anchored regex and its field names."""
-    import re
-
-    fields: list[str] = []
-    out = []
-    for piece in re.split(r"(\{\w+\})", re.sub(r"\s+", " ", template.strip())):
-        if re.fullmatch(r"\{\w+\}", piece):
-            fields.append(piece[1:-1])
-            out.append("(.+?)")
-        else:
-            out.append(re.sub(r"(\\ | )+", r"\\s+", re.escape(piece)))
-    return "(?i)^" + "".join(out) + "$", fields
