@@ -13,7 +13,7 @@ _SOURCE = """SELECT ' Supplier#' || CAST(l_suppkey AS STRING) || ' ' AS vendor,
   l_returnflag AS description, CAST(l_partkey % 400 AS STRING) AS account, CASE WHEN l_partkey % 50 = 0 THEN 'bad' ELSE CAST(l_suppkey % 90 + 10 AS STRING) END AS cost_center,
   CAST(l_extendedprice AS STRING) AS amount, '' AS tax_code, '' AS reference,
   CASE WHEN l_partkey % 17 = 0 THEN 'x' ELSE '' END || CAST(l_partkey % 100 AS STRING) AS code, CAST(month(l_shipdate) AS INT) AS period,
-  (l_orderkey * 8 + l_linenumber) * 4194304 + l_partkey * 8 % 4194304 + l_suppkey % 8 AS source_pos FROM lineitem"""
+  (((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey % 32768) * 4096 + (year(l_shipdate) * 366 + dayofyear(l_shipdate)) % 4096) AS source_pos FROM lineitem"""
 _MAPPING = """SELECT 'Supplier#' || CAST(s_suppkey AS STRING) AS vendor_name, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'T' || CAST(s_nationkey % 3 AS STRING) END AS taxability,
   CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'G' || CAST(s_nationkey % 5 AS STRING) END AS grouping, s_suppkey * 2 AS source_pos FROM supplier WHERE s_suppkey % 7 <> 0
   UNION ALL SELECT 'SUPPLIER#' || CAST(s_suppkey AS STRING), 'T9', 'G9', s_suppkey * 2 + 1 FROM supplier WHERE s_suppkey % 5 = 0"""

@@ -10,14 +10,14 @@ from ..operators import materials as m, receipts as r
 from ..runtime import cut
 from . import query
 
-_LOG = """SELECT l_orderkey * 8 + l_linenumber + CAST(l_partkey AS BIGINT) * 16777216 AS source_row, CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE l_partkey END AS alias,
+_LOG = """SELECT (((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey % 32768) * 4096 + (year(l_shipdate) * 366 + dayofyear(l_shipdate)) % 4096) AS source_row, CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE l_partkey END AS alias,
   CASE WHEN l_suppkey % 43 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS delivered, CASE WHEN l_orderkey % 47 = 0 THEN 0.0 ELSE l_quantity END AS qty, l_extendedprice AS total,
   'PO ' || CAST(l_suppkey AS STRING) AS po, 'inv-' || CAST(l_orderkey % 500 AS STRING) AS invoice,
-  CASE WHEN l_linenumber = 1 THEN 'P' || CAST(month(l_shipdate) AS STRING) || ' FYE 1998' WHEN l_linenumber = 2 THEN 'P' || CAST(month(l_shipdate) % 12 + 1 AS STRING) || ' FYE 1998' ELSE '' END AS label,
+  CASE WHEN l_linenumber = 1 THEN 'P' || CAST(month(l_shipdate) AS STRING) || ' FYE 2026' WHEN l_linenumber = 2 THEN 'P' || CAST(month(l_shipdate) % 12 + 1 AS STRING) || ' FYE 2026' ELSE '' END AS label,
   '' AS section_label FROM lineitem"""
 _REG = """SELECT l_partkey AS alias, CAST(l_shipdate AS DATE) AS delivered, l_quantity AS qty, l_extendedprice AS total, 'po' || CAST(l_suppkey AS STRING) AS po, 'INV' || CAST(l_orderkey % 500 AS STRING) AS invoice
   FROM lineitem WHERE l_orderkey % 3 = 0"""
-_W = r.Window(1998, 6, date(1998, 6, 1), date(1998, 6, 30), date(1998, 1, 1), date(1998, 12, 31), date(1998, 3, 31), 3)
+_W = r.Window(2026, 6, date(1998, 6, 1), date(1998, 6, 30), date(1998, 1, 1), date(1998, 12, 31), date(1998, 3, 31), 3)
 _PLACED = f"""lg AS (SELECT * FROM ({_LOG})), rg AS (SELECT alias, delivered, qty, total, upper(po) AS po, upper(invoice) AS invoice, count(*) AS n FROM ({_REG}) GROUP BY ALL),
 k AS (SELECT lg.*, row_number() OVER (PARTITION BY lg.alias, lg.delivered, lg.qty, lg.total, lg.po, lg.invoice ORDER BY source_row) AS rn, coalesce(rg.n, 0) AS n,
   TRY_CAST(regexp_extract(label, '^P(\\d+) ', 1) AS INT) AS lp FROM lg LEFT JOIN rg ON lg.alias = rg.alias AND lg.delivered = rg.delivered AND lg.qty = rg.qty AND lg.total = rg.total
@@ -85,7 +85,7 @@ def repeated(t):
 @query(
     "receipt_look_alikes",
     """WITH g AS (SELECT DISTINCT l_partkey AS p, l_quantity AS q, l_suppkey AS s FROM lineitem WHERE l_orderkey % 3 = 0), gd AS (SELECT DISTINCT l_partkey AS p, l_quantity AS q, l_suppkey AS s, l_shipdate AS d FROM lineitem WHERE l_orderkey % 3 = 0)
-    SELECT l_orderkey * 8 + l_linenumber + CAST(l_partkey AS BIGINT) * 16777216 AS source_row FROM lineitem l WHERE EXISTS (SELECT 1 FROM g WHERE p = l_partkey AND q = l_quantity AND s = l_suppkey)
+    SELECT (((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey % 32768) * 4096 + (year(l_shipdate) * 366 + dayofyear(l_shipdate)) % 4096) AS source_row FROM lineitem l WHERE EXISTS (SELECT 1 FROM g WHERE p = l_partkey AND q = l_quantity AND s = l_suppkey)
       AND NOT EXISTS (SELECT 1 FROM gd WHERE p = l_partkey AND q = l_quantity AND s = l_suppkey AND d = l_shipdate)""",
 )
 def alikes(t):

@@ -9,9 +9,9 @@ from . import query
 
 _SPEC = s.Spec("lines", s.Pair("amount", "amount", "number"), (s.Pair("sup", "sup", "digits"), s.Pair("day", "day", "date")), max_a_per_b=3, max_b_per_a=2)
 _LINES_A = """SELECT 'S-' || CAST(l_suppkey AS STRING) AS sup, CAST(CAST(l_shipdate AS DATE) AS STRING) AS day, CAST(CAST(l_quantity AS INT) AS STRING) AS amount,
-  (l_orderkey * 8 + l_linenumber) * 32768 + l_partkey AS source_pos FROM lineitem WHERE l_returnflag <> 'N'"""
+  (((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey % 32768) * 4096 + (year(l_shipdate) * 366 + dayofyear(l_shipdate)) % 4096) AS source_pos FROM lineitem WHERE l_returnflag <> 'N'"""
 _LINES_B = """SELECT CAST(l_suppkey AS STRING) || '/' AS sup, CAST(CAST(l_shipdate AS DATE) AS STRING) AS day, CASE WHEN l_partkey % 90 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS amount,
-  (l_orderkey * 8 + l_linenumber) * 32768 + l_partkey AS source_pos FROM lineitem WHERE l_returnflag = 'N'"""
+  (((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey % 32768) * 4096 + (year(l_shipdate) * 366 + dayofyear(l_shipdate)) % 4096) AS source_pos FROM lineitem WHERE l_returnflag = 'N'"""
 _ROWS = f"""rows AS MATERIALIZED (SELECT 'A' AS side, source_pos AS row_id, regexp_replace(sup, '[^0-9]', '', 'g') || '|' || day AS k, TRY_CAST(amount AS BIGINT) * 100 AS cents FROM ({_LINES_A})
   UNION ALL SELECT 'B', source_pos, regexp_replace(sup, '[^0-9]', '', 'g') || '|' || day, TRY_CAST(amount AS BIGINT) * 100 FROM ({_LINES_B})),
 eq AS (SELECT k, cents, count(*) FILTER (WHERE side = 'A') AS na, count(*) FILTER (WHERE side = 'B') AS nb FROM rows WHERE cents IS NOT NULL GROUP BY 1, 2),
