@@ -237,7 +237,6 @@ def finalize(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
     patched = F.when((F.col("disposition") == REVIEW) & F.col("outcome").isNotNull(), F.col("outcome")).otherwise(
         F.col("disposition")
     )
-    held = patched.isin(EXCESS, OVERLAP, HOLD, HISTORICAL_HOLD)
     labels = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
     return joined.withColumns(
         {

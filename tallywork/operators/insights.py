@@ -71,3 +71,35 @@ def portfolio_turnover(closed: DataFrame) -> DataFrame:
     sums = closed.groupBy("fiscal_year", "period").agg(*[F.sum(c).alias(c) for c in ("usage_val", "beg_val", "end_val")])
     average = (F.col("beg_val") + F.col("end_val")) / 2
     return sums.withColumn("turnover", F.when(average > 0, F.col("usage_val") / average))
+
+
+def check_rows(statuses: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Portfolio checks of a costing run as (check, amount, status); `outcomes` are the recognized receipt log rows."""
+    c, s = F.col, F.col("overall_status")
+    run = statuses.agg(
+        F.count("*").alias("n"), F.count_if(s == "FAIL").alias("fail"), F.count_if(s == "REVIEW").alias("review"),
+        F.count_if("carried_forward").alias("carried"), F.round(F.sum(c("beg_val") + c("purch_val") - c("usage_val") - c("end_val")), 2).alias("gap"),
+        F.sum("purch_val").alias("purchases"),
+    )
+    took = c("outcome").isin("in period", "late")
+    log = outcomes.agg(
+        F.count_if(took).alias("recognized"), F.count_if(c("outcome") == "late").alias("late"), F.count_if(c("outcome") == "rejected").alias("rejected"),
+        F.count_if(c("outcome") == "presumed in opening").alias("presumed"), F.count_if(took & (F.abs("total") < 0.005) & (c("qty") > 0)).alias("zero"),
+        F.coalesce(F.sum(F.when(took, c("total"))), F.lit(0.0)).alias("receipt_cost"),
+    )
+    one = run.crossJoin(log)
+    receipt_gap = F.round(c("receipt_cost") - c("purchases"), 2)
+
+    def if_any(column: str, word: str) -> Column:
+        return F.when(c(column) > 0, word).otherwise("PASS")
+
+    lines = (
+        ("Materials calculated", c("n"), F.when(c("n") > 0, "PASS").otherwise("FAIL")), ("Materials failing controls", c("fail"), if_any("fail", "FAIL")),
+        ("Materials to review", c("review"), if_any("review", "REVIEW")), ("Materials carried forward (no count)", c("carried"), F.lit("INFO")),
+        ("Receipt rows rejected", c("rejected"), if_any("rejected", "FAIL")), ("Receipts recognized this period", c("recognized"), F.lit("INFO")),
+        ("Late receipts picked up", c("late"), F.lit("INFO")), ("Receipts presumed in the opening layers", c("presumed"), F.lit("INFO")),
+        ("Receipts recorded at $0.00", c("zero"), if_any("zero", "REVIEW")),
+        ("Roll-forward ties", c("gap"), F.when(F.abs("gap") <= 0.01, "PASS").otherwise("FAIL")),
+        ("Receipts tie to purchases", receipt_gap, F.when(F.abs(receipt_gap) <= 0.01, "PASS").otherwise("FAIL")),
+    )
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), v.cast("double").alias("amount"), k.alias("status")) for n, v, k in lines])))

@@ -339,3 +339,50 @@ def canonical(t):
         (F.col("l_quantity") - 25).alias("qty"), F.col("l_extendedprice").alias("total_value"), F.lit(0.0).alias("unit_cost"),
     )
     return fifo.canonical_layers(rows).select("product", "seq", "qty", F.round("unit_cost", 6).alias("unit_cost"), "layer_error")
+
+
+@query(
+    "portfolio_turnover",
+    f"""WITH c AS ({_CLOSED}) SELECT fiscal_year, period, round(sum(usage_val) / ((sum(beg_val) + sum(end_val)) / 2), 6) AS turnover FROM c GROUP BY 1, 2""",
+)
+def portfolio(t):
+    t.lineitem.createOrReplaceTempView("lineitem")
+    return insights.portfolio_turnover(t.spark.sql(_CLOSED)).select("fiscal_year", "period", F.round("turnover", 6).alias("turnover"))
+
+
+@query(
+    "unit_cost_pivot",
+    "SELECT category, product, "
+    + ", ".join(f"round(sum(value) FILTER (WHERE period = {p}) / nullif(sum(qty) FILTER (WHERE period = {p}), 0), 6) AS p{p:02d}" for p in range(1, 14))
+    + f" FROM ({_PERIODIC}) GROUP BY 1, 2",
+)
+def unit_costs(t):
+    t.lineitem.createOrReplaceTempView("lineitem")
+    figures = t.spark.sql(_PERIODIC).select("category", "product", "period", F.col("value").alias("end_val"), F.col("qty").alias("end_qty"))
+    table = insights.unit_cost_pivot(figures)
+    return table.select("category", "product", *[F.round(c, 6).alias(c) for c in table.columns if c not in ("category", "product")])
+
+
+@query("fifo_check_rows")
+def check_rows(t):
+    """Portfolio checks; the receipt log is the later half of the lines, all of it in the period."""
+    results, _ = _batch(t)
+    log = _receipts(t).filter("delivered >= DATE '1997-01-01'").withColumn("outcome", F.lit("in period"))
+    return insights.check_rows(fifo.summary_status(results), log)
+
+
+@query("fifo_product_exceptions")
+def exceptions(t):
+    from ..operators.receipts import product_exceptions
+
+    return product_exceptions(fifo.summary_status(_batch(t)[0]))
+
+
+@query(
+    "sequence_ids",
+    "SELECT o_orderkey, 'VAR-' || lpad(CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 6, '0') AS variance_id FROM orders",
+)
+def sequence_ids(t):
+    from ..operators.ledger import sequence_ids as number
+
+    return number(t.orders.select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], "VAR", "variance_id").select("o_orderkey", "variance_id")

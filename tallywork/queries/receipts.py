@@ -76,10 +76,8 @@ def recognition(t):
     UNION ALL SELECT 'all fields equal', 'x', count(*) FROM lineitem GROUP BY l_partkey, l_shipdate, l_quantity, l_extendedprice, l_suppkey, l_orderkey % 500 HAVING count(*) > 1""",
 )
 def repeated(t):
-    log = _inputs(t)[1].withColumn("po", F.col("po"))
-    every = t.spark.sql(_REG.replace("WHERE l_orderkey % 3 = 0", ""))
-    assert log is not None
-    return r.repeated_receipts(every)
+    t.lineitem.createOrReplaceTempView("lineitem")
+    return r.repeated_receipts(t.spark.sql(_REG.replace("WHERE l_orderkey % 3 = 0", "")))
 
 
 @query(
@@ -149,3 +147,12 @@ def classified(t):
     t.part.createOrReplaceTempView("part")
     lines = t.part.select(F.concat_ws("", F.col("p_name"), F.lit(" "), F.when(F.col("p_size") % 4 == 0, "24PK").when(F.col("p_size") % 4 == 1, "32 ct").when(F.col("p_size") % 4 == 2, "").otherwise("40 cse")).alias("d"))
     return m.classify_products(lines, "d", t.spark.sql(_LEXICON))
+
+
+@query("receipt_exceptions")
+def receipt_exceptions(t):
+    """What a person has to look at: count lines and receipt rows."""
+    rows, _, resolved = _resolved(t)
+    lines = rows.withColumns({"name": F.col("cell2"), "qty": F.when(F.col("row_no") % 6 == 0, "").otherwise(F.col("row_no").cast("string"))})
+    counted = m.ending_counts(lines, resolved, "row_no", "name", "qty")
+    return r.input_exceptions(counted, _recognized(t)[0])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -69,7 +68,7 @@ def validation_report(rows: DataFrame, roles) -> DataFrame:
     out = facts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), s.alias("status"), d.cast("bigint").alias("details")) for c, s, d in lines])))
     if roles.period:
         period = period_profile(rows, [roles.period]).select(
-            F.lit("Fiscal period values").alias("check"), F.when("strict", "PASS").otherwise("FAIL").alias("status"), F.col("valid").cast("bigint").alias("details")
+            F.lit("Fiscal period values").alias("check"), F.when(F.col("strict"), "PASS").otherwise("FAIL").alias("status"), F.col("valid").cast("bigint").alias("details")
         )
         out = out.unionByName(period)
     return out
@@ -95,7 +94,3 @@ def version_log(log: DataFrame, keep: int = 3) -> DataFrame:
     live = log.filter("kind = 'save'").join(last_clear, "scope", "left").filter("cleared IS NULL OR version > cleared").drop("cleared")
     ranked = first_per_group(live, ["scope"], [F.col("version").desc()], keep)
     return ranked.withColumn("standing", F.when(F.col("_rank") == 1, "current").otherwise(F.concat(F.lit("backup "), (F.col("_rank") - 1).cast("string")))).drop("_rank")
-
-
-def stacked(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
