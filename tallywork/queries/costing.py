@@ -353,14 +353,14 @@ def portfolio(t):
 @query(
     "unit_cost_pivot",
     "SELECT category, product, "
-    + ", ".join(f"round(sum(value) FILTER (WHERE period = {p}) / nullif(sum(qty) FILTER (WHERE period = {p}), 0), 6) AS p{p:02d}" for p in range(1, 14))
+    + ", ".join(f"round(sum(value) FILTER (WHERE period = {p}) / nullif(sum(qty) FILTER (WHERE period = {p}), 0), 8) AS p{p:02d}" for p in range(1, 14))
     + f" FROM ({_PERIODIC}) GROUP BY 1, 2",
 )
 def unit_costs(t):
     t.lineitem.createOrReplaceTempView("lineitem")
     figures = t.spark.sql(_PERIODIC).select("category", "product", "period", F.col("value").alias("end_val"), F.col("qty").alias("end_qty"))
     table = insights.unit_cost_pivot(figures)
-    return table.select("category", "product", *[F.round(c, 6).alias(c) for c in table.columns if c not in ("category", "product")])
+    return table.select("category", "product", *[F.round(c, 8).alias(c) for c in table.columns if c not in ("category", "product")])
 
 
 @query("fifo_check_rows")
