@@ -127,6 +127,21 @@ def consume(open_rows: DataFrame, bridge: DataFrame, name: str) -> tuple[DataFra
     )
 
 
+def consume_pairs(open_rows: DataFrame, pairs: DataFrame, method: str, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Like `consume` for one tier of proposals, which also yields the refused ones: (taken, refused, still open)."""
+    sides = F.array(
+        F.struct(F.lit("A").alias("side"), F.col("a_id").alias("row_id"), F.col("b_id").alias("_other")),
+        F.struct(F.lit("B").alias("side"), F.col("b_id").alias("row_id"), F.col("a_id").alias("_other")),
+    )
+    proposed = pairs.select(F.col("a_id").alias("_key"), F.col("link").alias("_link"), F.inline(sides))
+    labelled = cut(open_rows.join(proposed, ["side", "row_id"], "left"), name)
+    taken = labelled.filter("_link <> 'CONFLICT'").select(F.col("_key").alias("match_key"), F.lit(method).alias("method"), "side", "row_id")
+    refused = labelled.filter("_link = 'CONFLICT' AND side = 'A'").select(
+        F.col("row_id").alias("a_id"), F.col("_other").alias("b_id"), F.lit(method).alias("method")
+    )
+    return taken, refused, labelled.filter("_link IS NULL OR _link = 'CONFLICT'").drop("_key", "_link", "_other")
+
+
 def match_one_to_one(both: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The six one-to-one tiers. Returns (bridge, refused proposals, rows still open).
 
@@ -135,12 +150,10 @@ def match_one_to_one(both: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     open_rows, bridges, refused = both, [], []
     for number, (method, form, kinds) in enumerate(ONE_TO_ONE_TIERS, 1):
-        pairs = tier_pairs(open_rows, form, kinds)
+        taken, against, open_rows = consume_pairs(open_rows, tier_pairs(open_rows, form, kinds), method, f"tier{number}")
+        bridges.append(taken)
         if len(kinds) == 1:
-            pairs = cut(pairs, f"proposals{number}")
-            refused.append(pairs.filter("link = 'CONFLICT'").select("a_id", "b_id", F.lit(method).alias("method")))
-        bridge, open_rows = consume(open_rows, as_bridge(pairs.filter("link <> 'CONFLICT'"), method), f"tier{number}")
-        bridges.append(bridge)
+            refused.append(against)
     return union_all(bridges), union_all(refused).distinct(), open_rows
 
 

@@ -46,12 +46,12 @@ def unique_join(t):
     f"WITH {SQL_FLAGS}, {sql_tiers()} SELECT a_id, b_id, method, link FROM t_proposals",
 )
 def tiered(t):
-    both = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
-    open_rows, frames = both, []
+    flagged = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
+    open_rows, frames = flagged, []
     for number, (method, form, kinds) in enumerate(m.ONE_TO_ONE_TIERS, 1):
-        pairs = cut(m.tier_pairs(open_rows, form, kinds), f"pairs{number}")
+        pairs = m.tier_pairs(open_rows, form, kinds)
         frames.append(pairs.withColumn("method", F.lit(method)))
-        _, open_rows = m.consume(open_rows, m.as_bridge(pairs.filter("link <> 'CONFLICT'"), method), f"t{number}")
+        _, _, open_rows = m.consume_pairs(open_rows, pairs, method, f"t{number}")
     return m.union_all(frames).select("a_id", "b_id", "method", "link")
 
 

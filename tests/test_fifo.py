@@ -2,7 +2,6 @@ import random
 from datetime import date, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallywork import runtime
 from tallywork.operators import fifo, insights, periods
@@ -127,4 +126,3 @@ def test_canonical_layers_name_what_they_refuse(spark):
     rows = [(1, 1, "x", None, -1.0, 1.0, 0.0), (2, 1, "x", None, 0.00005, 1.0, 0.0), (3, 1, "x", None, 2.0, None, 3.0)]
     got = {r["product"]: r for r in fifo.canonical_layers(spark.createDataFrame(rows, OPEN)).collect()}
     assert got[1]["layer_error"] and got[2]["qty"] == 0 and got[3]["total_value"] == 6.0
-    assert F is not None
