@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import label_year, period_number
 from ..functions.text import is_blank
-from ..runtime import BLOCK_ROWS, running_before
+from ..runtime import BLOCK_ROWS, cut, running_before
 from .fifo import QTY_TOLERANCE, VALUE_TOLERANCE
 from .materials import name_key
 
@@ -126,7 +126,8 @@ def recognize(log: DataFrame, register: DataFrame, w: Window, layers: DataFrame,
 
     `decisions`: receipt_key, decision ('include' or 'opening'), each taken once by a person.
     """
-    placed = classify(log, register, w).withColumn("reason", rejection_reason())
+    # Read twice below, and its conditions are long: written once, so that no filter carries them along.
+    placed = cut(classify(log, register, w).withColumn("reason", rejection_reason()), "placed")
     asked = placed.filter("reason = '' AND (placement = 'crossing' OR (placement = 'late' AND conflict))")
     evidence = opening_evidence(asked, layers, lineage)
     out = placed.join(evidence, "source_row", "left")
