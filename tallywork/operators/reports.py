@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import numbered
 from .matching import on_side
 from .materials import REVIEW_LABELS, pack_size
 
@@ -214,8 +215,12 @@ def outcome_sections(book: DataFrame) -> DataFrame:
     return book.groupBy("section").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("cents"), F.lit(0)).alias("cents")).orderBy("section")
 
 
-def ranked_within(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+def ranked_within(rows: DataFrame, group: list[str], order: list) -> DataFrame:
+    """Rank inside each group; `order` must end in a unique column. Rows are range-partitioned by group and order, so
+    one large group is spread over many tasks."""
+    placed = numbered(rows, [*group, *order], "place")
+    firsts = placed.groupBy(*group).agg(F.min("place").alias("first_place"))
+    return placed.join(firsts, group).withColumn("rank", (F.col("place") - F.col("first_place") + 1).cast("bigint")).drop("place", "first_place")
 
 
 # --- reviewer layer ---------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 STATE_RATE, LOCAL_CAP, SAAS_SHARE = "6.25", "2.00", "0.80"
 LOCAL_LINES = ("combined_rate", "city_rate", "county_rate", "district_rate")
 _MONEY = "decimal(18,2)"
+MAX_LOCATIONS = 2_000
 
 
 def price_cents(value) -> Column:
@@ -47,10 +48,16 @@ def sales_tax(sales: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def compare_locations(prices: DataFrame, locations: DataFrame) -> DataFrame:
-    """Every price at every location, as an ordinary sale and as a subscription. The rate table is a small dimension."""
-    kinds = F.explode(F.array(F.lit(False), F.lit(True))).alias("saas")
-    grid = locations.select("location").select("location", kinds)
-    return sales_tax(prices.crossJoin(F.broadcast(grid)), locations)
+    """Every price at every location, as an ordinary sale and as a subscription.
+
+    The locations are a rate table people maintain (its size is checked), so each price row is unfolded in place.
+    """
+    names = [row["location"] for row in locations.select("location").limit(MAX_LOCATIONS + 1).collect()]
+    if len(names) > MAX_LOCATIONS:
+        raise ValueError(f"More than {MAX_LOCATIONS} locations cannot be compared side by side.")
+    places = F.explode(F.array(*[F.lit(n) for n in names]))
+    grid = prices.withColumn("location", places).withColumn("saas", F.explode(F.array(F.lit(False), F.lit(True))))
+    return sales_tax(grid, locations)
 
 
 def provision_labels(text) -> Column:

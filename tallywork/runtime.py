@@ -66,8 +66,8 @@ def release_scratch(spark: SparkSession) -> int:
     return dropped
 
 
-def numbered(df: DataFrame, order_by: list[str], name: str, start: int = 1) -> DataFrame:
-    """A gap-free global number in the given order, without a one-partition window.
+def numbered(df: DataFrame, order_by: list, name: str, start: int = 1) -> DataFrame:
+    """A gap-free global number in the given order (names or columns), without a one-partition window.
 
     `order_by` must end in a unique column. Rows are range-partitioned and sorted; each keeps its place inside its
     partition, and the partition offsets (one row per partition) are broadcast.
@@ -152,6 +152,25 @@ def previous_values(df: DataFrame, group: list[str], order: str, position: str,
     )
 
 
+def last_known(df: DataFrame, group: list[str], position: str, value: Column, name: str) -> DataFrame:
+    """The last non-null `value` at or before each row of the group, in `position` order.
+
+    Blocks of positions pass on what they end with, so no window holds more than a block of rows or the blocks of one
+    group.
+    """
+    rows = with_block(df, position).withColumn("_value", value)
+    ends = rows.groupBy(*group, "_block").agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(position))).alias("_end")
+    )
+    carried = ends.select(*group, "_block", F.last("_end", ignorenulls=True).over(_before(group, "_block")).alias("_carried"))
+    inside = Window.partitionBy(*group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.join(carried, [*group, "_block"])
+        .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), "_carried"))
+        .drop("_block", "_value", "_carried")
+    )
+
+
 def first_per_group(df: DataFrame, group: list[str], order_by: list[Column], limit: int = 1) -> DataFrame:
     """The first `limit` rows of each group; Spark keeps only that many per task before it shuffles."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order_by))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import is_blank, strip
+from ..runtime import last_known
 
 # Fixed value: a report's own time stamp, alone in a row.
 REPORT_STAMP = (
@@ -70,22 +71,9 @@ def mark_subtotals(rows: DataFrame, first: str, amount_columns: list[str], other
 
 
 def fill_headings(rows: DataFrame, heading: Column, scope: list[str], position: str) -> DataFrame:
-    """Label each row with the last heading row above it inside one file or section.
-
-    Headings are few, so they are joined as intervals of positions; rows are never gathered per file.
-    """
-    marked = rows.withColumn("_heading", heading)
-    window = Window.partitionBy(*scope).orderBy(position)
-    spans = marked.filter("_heading IS NOT NULL").select(*scope, position, "_heading").withColumns(
-        {"_from": F.col(position), "_to": F.lead(position).over(window)}
-    ).select(*scope, F.col("_heading").alias("section"), "_from", "_to")
-    plain = marked.filter("_heading IS NULL").drop("_heading").alias("r")
-    s = F.broadcast(spans.alias("s"))
-    inside = (F.col(f"r.{position}") > F.col("s._from")) & (F.col("s._to").isNull() | (F.col(f"r.{position}") < F.col("s._to")))
-    same = inside
-    for name in scope:
-        same = same & (F.col(f"r.{name}") == F.col(f"s.{name}"))
-    return plain.join(s, same, "left").select("r.*", "s.section")
+    """Label each row with the last heading row above it inside one file or section; heading rows are left out."""
+    marked = last_known(rows.withColumn("_heading", heading), scope, position, F.col("_heading"), "section")
+    return marked.filter("_heading IS NULL").drop("_heading")
 
 
 def first_table(rows: DataFrame, cells: list[str], scope: list[str], position: str) -> DataFrame:
@@ -98,5 +86,5 @@ def first_table(rows: DataFrame, cells: list[str], scope: list[str], position: s
     stop = (
         marked.filter("_blank").join(start, scope).filter(F.col(position) > F.col("_start")).groupBy(*scope).agg(F.min(position).alias("_stop"))
     )
-    kept = marked.join(F.broadcast(start), scope).join(F.broadcast(stop), scope, "left")
+    kept = marked.join(start, scope).join(stop, scope, "left")
     return kept.filter((F.col(position) >= F.col("_start")) & (F.col("_stop").isNull() | (F.col(position) < F.col("_stop")))).drop("_blank", "_start", "_stop")
