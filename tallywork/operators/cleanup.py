@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import beside
 from ..functions.identifiers import gl_account, name_key, vendor_key
 from ..functions.text import is_blank, nonblank, strip
 
@@ -113,7 +114,7 @@ def cleanup_statistics(marked: DataFrame, enriched: DataFrame) -> DataFrame:
         F.coalesce(F.sum(amount), zero).alias("retained_total"), F.count_if("vendor_matched").alias("matched_vendor_rows"),
         F.count_if("new_vendor").alias("new_vendor_rows"), F.count_if("gl_matched").alias("matched_gl_rows"),
     )
-    out = left.crossJoin(right)
+    out = left.transform(beside, right)
     return out.withColumn(
         "control_difference", F.col("original_total") - F.col("retained_total") - F.col("removed_total")
     )
@@ -202,3 +203,10 @@ def appended_mapping(mapping: DataFrame, classified: DataFrame) -> DataFrame:
     """The mapping with newly classified vendors added in its own layout; other columns stay blank."""
     added = classified.select(F.col("vendor").alias("vendor_name"), "taxability", "grouping", F.lit("Active").alias("status"))
     return mapping.unionByName(added, allowMissingColumns=True)
+
+
+def mapping_gaps(mapping: DataFrame) -> DataFrame:
+    """Active vendors without taxability or grouping; such a mapping cannot classify transactions."""
+    active = mapping.filter(F.coalesce("status", F.lit("Active")) != "Inactive")
+    gaps = [active.filter(is_blank(c)).select("vendor_name", F.lit(f"Missing {c}").alias("problem")) for c in ("taxability", "grouping")]
+    return gaps[0].unionByName(gaps[1])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import beside
 from .matching import MAX_GROUP, counted, on_side
 from .reports import stack
 
@@ -20,7 +21,7 @@ def tie(check: str, expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Compare two one-value frames."""
     left = expected.toDF("expected").select(F.coalesce("expected", F.lit(0)).cast("bigint").alias("expected"))
     right = actual.toDF("actual").select(F.coalesce("actual", F.lit(0)).cast("bigint").alias("actual"))
-    return left.crossJoin(right).select(
+    return left.transform(beside, right).select(
         F.lit(check).alias("check"), "expected", "actual", (F.col("expected") - F.col("actual")).alias("difference"),
         F.when(F.col("expected") == F.col("actual"), "PASS").otherwise("FAIL").alias("status"),
     )

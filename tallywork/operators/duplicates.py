@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import joined_ids
 from ..functions.values import fingerprint_value
-from ..runtime import cut, first_per_group
+from ..runtime import beside, cut, first_per_group
 
 # Field roles, bases, dispositions.
 FINGERPRINT_FIELDS = ("customer", "txn_date", "product", "quantity", "rate")
@@ -44,7 +44,7 @@ def input_violations(frame: DataFrame) -> DataFrame:
         F.count_if(F.col("norm_inv") != F.trim("norm_inv")).alias("untrimmed_invoice"),
         F.count_if(F.col("cents").isNull()).alias("missing_amounts"),
     )
-    return counts.crossJoin(repeats)
+    return counts.transform(beside, repeats)
 
 
 def with_basis(frame: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def same_file_decisions(
         )
     )
     rows = (
-        candidates.join(groups, KEY).crossJoin(F.broadcast(line_id_trust(keyed, fields)))
+        candidates.join(groups, KEY).transform(beside, line_id_trust(keyed, fields))
         .withColumns(
             {
                 "sufficient": by_line | (present >= min_identity),

@@ -334,3 +334,51 @@ def heavy_reuse(rows: DataFrame) -> DataFrame:
         counts = counts.filter(F.col("rows") >= HEAVY_REUSE).withColumn("kind", F.lit(label))
         out = counts if out is None else out.unionByName(counts)
     return out
+
+
+def evidence_sentences(bridge: DataFrame, rows: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """Per match: which fields carried it and where each came from, with any harmless discrepancy."""
+    joined = bridge.join(rows.select("side", "row_id", "po_field", "inv_field"), ["side", "row_id"])
+
+    def fields(side: str, column: str) -> Column:
+        return F.concat_ws(", ", F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col(column)))))
+
+    per = joined.groupBy("match_key", "method").agg(
+        fields("A", "po_field").alias("a_po"), fields("B", "po_field").alias("b_po"),
+        fields("A", "inv_field").alias("a_inv"), fields("B", "inv_field").alias("b_inv"),
+    )
+
+    def part(word: str, label: str, a: str, b: str) -> Column:
+        return F.when(F.col("method").contains(word), F.concat(F.lit(f"{label} (A "), F.col(a), F.lit("; B "), F.col(b), F.lit(")")))
+
+    text = F.concat(
+        F.lit("Matched on "), F.concat_ws(" + ", part("PO", "PO", "a_po", "b_po"), part("Invoice", "Invoice", "a_inv", "b_inv")),
+        F.lit(" and exact signed amount"),
+    )
+    if notes is not None:
+        said = notes.groupBy("match_key").agg(F.concat_ws("; ", F.array_sort(F.collect_set(F.concat(F.lit("punctuation differs in "), "kind")))).alias("said"))
+        per = per.join(said, "match_key", "left")
+        text = F.concat(text, F.coalesce(F.concat(F.lit(". Non-competing discrepancy: "), F.col("said")), F.lit("")))
+    return per.select("match_key", text.alias("evidence"))
+
+
+def already_matched(candidates: DataFrame, b_rows: DataFrame, bridge: DataFrame, register: DataFrame, named: int = 3) -> DataFrame:
+    """For rows whose every candidate is taken: which matches took them, by PO, else by invoice, as one sentence."""
+    refs = bridge.filter("side = 'B'").join(register.select("match_key", "match_ref"), "match_key").select("row_id", "match_ref")
+    taken = b_rows.join(refs, "row_id").select("key_po", "key_inv", "match_ref")
+    rows = candidates.filter(F.col("finding") == CONSUMED).select("row_id", "key_po", "key_inv")
+
+    def per(key: str) -> DataFrame:
+        distinct = taken.filter(F.col(key) != "").select(key, "match_ref").distinct()
+        total = distinct.groupBy(key).agg(F.count("*").alias("n"))
+        first = first_per_group(distinct, [key], [F.col("match_ref")], named).groupBy(key).agg(F.array_sort(F.collect_list("match_ref")).alias("refs"))
+        return total.join(first, key)
+
+    po = per("key_po").select("key_po", F.col("n").alias("po_n"), F.col("refs").alias("po_refs"))
+    inv = per("key_inv").select("key_inv", F.col("n").alias("inv_n"), F.col("refs").alias("inv_refs"))
+    out = rows.join(po, "key_po", "left").join(inv, "key_inv", "left")
+    by_po = F.col("po_n").isNotNull()
+    refs_, n = F.when(by_po, F.col("po_refs")).otherwise(F.col("inv_refs")), F.when(by_po, F.col("po_n")).otherwise(F.col("inv_n"))
+    more = F.when(n > named, F.concat(F.lit(" and "), (n - named).cast("string"), F.lit(" more"))).otherwise("")
+    basis = F.when(by_po, "PO").otherwise("Invoice")
+    return out.select("row_id", basis.alias("basis"), F.concat(basis, F.lit(" already represented by "), F.concat_ws(", ", refs_), more).alias("wording"))

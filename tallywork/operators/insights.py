@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..runtime import beside
+
 # Age buckets by days, and the period length used before a first close is known.
 BUCKETS = (("d0_30", "0-30 days", 30), ("d31_60", "31-60 days", 60), ("d61_90", "61-90 days", 90))
 OVER, UNKNOWN = ("d90_up", "90+ days"), ("unknown", "Unknown / unparsed date")
@@ -34,7 +36,7 @@ def aging_shares(on_hand: DataFrame, as_of: str) -> DataFrame:
     """Value per bucket and its share of all value on hand."""
     by_bucket = _aged(on_hand, as_of).groupBy(_bucket(F.col("age"), 1).alias("bucket")).agg(F.sum("total_value").alias("value"))
     total = by_bucket.agg(F.sum("value").alias("all_value"))
-    return by_bucket.crossJoin(F.broadcast(total)).select("bucket", "value", (F.col("value") / F.col("all_value") * 100).alias("share"))
+    return by_bucket.transform(beside, total).select("bucket", "value", (F.col("value") / F.col("all_value") * 100).alias("share"))
 
 
 def period_pivot(figures: DataFrame, measure: str) -> DataFrame:
@@ -87,7 +89,7 @@ def check_rows(statuses: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.count_if(c("outcome") == "presumed in opening").alias("presumed"), F.count_if(took & (F.abs("total") < 0.005) & (c("qty") > 0)).alias("zero"),
         F.coalesce(F.sum(F.when(took, c("total"))), F.lit(0.0)).alias("receipt_cost"),
     )
-    one = run.crossJoin(log)
+    one = run.transform(beside, log)
     receipt_gap = F.round(c("receipt_cost") - c("purchases"), 2)
 
     def if_any(column: str, word: str) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+import re
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..runtime import BLOCK_ROWS, running_before
+from ..runtime import BLOCK_ROWS, beside, running_before
 
 PERIOD_COUNT, PERIOD_DAYS = 13, 28
 
@@ -48,7 +49,7 @@ def late_entries(rows: DataFrame, periods: DataFrame, close_days: int = 0, selec
     the last period has no period and is not checked. `rows` need txn_date and created.
     """
     first = periods.agg(F.min("start").alias("first_day"))
-    located = with_period(rows, periods, "txn_date").crossJoin(F.broadcast(first))
+    located = with_period(rows, periods, "txn_date").transform(beside, first)
     prior = F.col("txn_date") < F.col("first_day")
     located = located.withColumns(
         {
@@ -72,7 +73,7 @@ def late_summary(rows: DataFrame, late: DataFrame) -> DataFrame:
         F.count_if(F.col("txn_date").isNull()).alias("unreadable_dates"),
         F.count_if(F.col("created").isNull()).alias("unreadable_created"),
     )
-    return left.crossJoin(late.agg(F.count("*").alias("late_rows"), F.coalesce(F.sum("cents"), F.lit(0)).alias("late_cents")))
+    return left.transform(beside, late.agg(F.count("*").alias("late_rows"), F.coalesce(F.sum("cents"), F.lit(0)).alias("late_cents")))
 
 
 def compare_pulls(earlier: DataFrame, current: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def pull_drift(earlier: DataFrame, current: DataFrame) -> DataFrame:
     def total(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.coalesce(F.sum("cents"), F.lit(0)).alias(name))
 
-    return total(earlier, "earlier_cents").crossJoin(total(current, "current_cents")).withColumn(
+    return total(earlier, "earlier_cents").transform(beside, total(current, "current_cents")).withColumn(
         "drift_cents", F.col("current_cents") - F.col("earlier_cents")
     )
 
@@ -138,3 +139,20 @@ def calendar_findings(listed: DataFrame, periods: DataFrame) -> DataFrame:
     return joined.withColumn("gap_days", gap).filter("gap_days <> 0").withColumn(
         "finding", F.when(F.abs("gap_days").isin(365, 366), "year looks mistyped").otherwise("differs from the calendar")
     )
+
+
+def pasted_ends(text: str) -> list[date]:
+    """The thirteen period ends of pasted text: `2025-10-25`, `10/25/2025` or `10/25/25`, in any common separation."""
+    found = []
+    for place, piece in enumerate([p.strip() for p in re.split(r"[\n\r\t,;]+", text or "") if p.strip()], 1):
+        for pattern in ("%Y-%m-%d", "%m/%d/%Y", "%m/%d/%y"):
+            try:
+                found.append(datetime.strptime(piece, pattern).date())
+                break
+            except ValueError:
+                continue
+        else:
+            raise ValueError(f"Entry {place} ('{piece}') is not a date. Use 2025-10-25 or 10/25/2025.")
+    if len(found) != PERIOD_COUNT:
+        raise ValueError(f"Found {len(found)} dates; paste exactly {PERIOD_COUNT}, one per period.")
+    return found

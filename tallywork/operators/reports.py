@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import numbered
+from ..runtime import beside, numbered
 from .matching import on_side
 from .materials import REVIEW_LABELS, pack_size
 
@@ -38,7 +38,7 @@ def method_summary(bridge: DataFrame, rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum(on_side("B", F.col("cents"))), zero).alias("b_cents"),
     )
     every = rows.filter("side = 'A'").agg(F.sum("cents").alias("all_cents"))
-    return per.crossJoin(F.broadcast(every)).select(
+    return per.transform(beside, every).select(
         "method", "a_rows", "b_rows", "a_cents", "b_cents", (F.col("a_cents") - F.col("b_cents")).alias("difference"),
         (F.col("a_cents") / F.nullif("all_cents", F.lit(0))).alias("share"),
     )
@@ -115,7 +115,7 @@ def _measures() -> list[Column]:
 
 def _with_share(per: DataFrame) -> DataFrame:
     every = per.agg(F.sum("gross").alias("_all"))
-    return per.crossJoin(F.broadcast(every)).withColumn("share", F.col("gross") / F.nullif("_all", F.lit(0))).drop("_all", "gross")
+    return per.transform(beside, every).withColumn("share", F.col("gross") / F.nullif("_all", F.lit(0))).drop("_all", "gross")
 
 
 def same_amount(open_a: DataFrame, open_b: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def run_metrics(book: DataFrame, rows: DataFrame, bridge: DataFrame, holds: Data
     right = rows.filter("side = 'B'").agg(F.count("*").alias("b_rows"), F.coalesce(F.sum("cents"), F.lit(0)).alias("b_cents"))
     matched_b = bridge.filter("side = 'B'").agg(F.count("*").alias("matched_b_rows"))
     conflicts = holds.agg(F.count_if(F.col("code") == "REVIEW_HOLD_CONFLICTING_LINKS").alias("conflict_holds"))
-    out = left.crossJoin(right).crossJoin(matched_b).crossJoin(conflicts)
+    out = left.transform(beside, right).transform(beside, matched_b).transform(beside, conflicts)
     blockers = F.array_compact(F.array(
         F.when(F.col("hold_rows") > 0, "review holds are open"), F.when(F.col("invalid_amounts") > 0, "amounts are unreadable"),
         F.when(F.col("conflict_holds") > 0, "identifier links conflict"),
@@ -279,7 +279,7 @@ def adjustment_bridge(decisions: DataFrame, book: DataFrame, b_rows: DataFrame)
     )
     undecided = book.filter("disposition = 'REVIEW_HOLD'").join(decisions.select("row_id").distinct(), "row_id", "left_anti").agg(F.count("*").alias("und_n"), F.coalesce(F.sum("cents"), zero).alias("und"))
     engine = book.filter("disposition = 'TRUE_UNMATCHED'").agg(F.count("*").alias("eng_n"), F.coalesce(F.sum("cents"), zero).alias("eng"))
-    one, none = left.crossJoin(undecided).crossJoin(engine), F.lit(None).cast("bigint")
+    one, none = left.transform(beside, undecided).transform(beside, engine), F.lit(None).cast("bigint")
     lines = (
         ("Engine proposed entry", F.col("eng_n"), F.col("eng")), ("Plus: review holds released", F.col("rel_n"), F.col("rel")),
         ("Less: excluded with documentation", F.col("exc_n"), F.col("exc")), ("Adjusted entry", none, F.col("eng") + F.col("rel") + F.col("exc")),

@@ -259,3 +259,8 @@ def attachment_lineage(messages: DataFrame) -> DataFrame:
     """(file key, message, received) once per message: which messages share a file name, oldest first by `received_on`."""
     exploded = messages.select("id", "received_on", F.explode("attachments").alias("a"))
     return exploded.select(document_key(F.col("a.name")).alias("file_key"), "id", "received_on").distinct()
+
+
+def decided_by(events: DataFrame, decisions: list[str]) -> DataFrame:
+    """Documents each person decided: (actor, decided). `events` need document, actor, action."""
+    return events.filter(F.col("action").isin(*decisions)).select("actor", "document").distinct().groupBy("actor").agg(F.count("*").alias("decided"))

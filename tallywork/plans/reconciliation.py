@@ -190,3 +190,45 @@ def reconcile(raw_a, raw_b, roles_a: Roles, roles_b: Roles, fiscal_year: int, **
     return reconcile_frames(
         working_frame(raw_a, roles_a, "A", fiscal_year), working_frame(raw_b, roles_b, "B", fiscal_year), **options
     )
+
+
+def sectioned_rows(run: Reconciliation) -> DataFrame:
+    """The paired-rows table: every row of both ledgers exactly once, side by side where a relationship lines it up.
+
+    Columns: section, cause, match_key, a_id, b_id, a_cents, b_cents.
+    """
+    none = F.lit(None).cast("bigint")
+    both = run.a.select("side", "row_id", "cents").unionByName(run.b.select("side", "row_id", "cents"))
+    t, codes = run.tables, run.ledger.select(F.col("row_id").alias("a_id"), F.col("reason_code").alias("cause"))
+
+    def lined(bridge: DataFrame, section: str) -> DataFrame:
+        return ledger.paired(bridge.select("match_key", "method", "side", "row_id"), both).select(
+            F.lit(section).alias("section"), F.col("method").alias("cause"), "match_key", "a_id", "b_id", "a_cents", "b_cents"
+        )
+
+    def alone_a(outcome: str) -> DataFrame:
+        return run.ledger.filter(F.col("outcome") == outcome).select(
+            "section", F.col("reason_code").alias("cause"), none.alias("match_key"), F.col("row_id").alias("a_id"), none.alias("b_id"),
+            F.col("cents").alias("a_cents"), none.alias("b_cents"),
+        )
+
+    def alone_b(ids: DataFrame, section: str, cause: str) -> DataFrame:
+        rows = run.b.join(ids.select("row_id"), "row_id", "left_semi")
+        return rows.select(
+            F.lit(section).alias("section"), F.lit(cause).alias("cause"), none.alias("match_key"), none.alias("a_id"),
+            F.col("row_id").alias("b_id"), none.alias("a_cents"), F.col("cents").alias("b_cents"),
+        )
+
+    varied = t["variances"].join(codes, "a_id", "left").select(
+        F.lit("08 Reference-Matched Amount Variance Review Hold").alias("section"), "cause", F.col("a_id").alias("match_key"), "a_id", "b_id", "a_cents", "b_cents"
+    )
+    parts = [
+        lined(run.matching.bridge, "01 Matched"), lined(run.matching.fuzzy, "09 Fuzzy Match Review Hold"), varied,
+        *[alone_a(x) for x in ("duplicate", "duplicate_hold", "ambiguous", "reference_hold", "unmatched", "cleared")],
+        alone_b(t["excess"].filter("side = 'B'"), "05 Duplicate Infinium", "Excluded excess copy"),
+        alone_b(t["held_b"], "07 Duplicate Review Hold Infinium", "Potential duplicate"),
+        alone_b(t["open_b"], "03 Unmatched Infinium", "No A row"),
+    ]
+    if "clearances" in t:
+        parts.append(alone_b(t["clearances"].filter("scope = 'A history' AND side = 'B'"), "01 Matched - Historical Clearance", "Prior period"))
+    return matching.union_all(parts)

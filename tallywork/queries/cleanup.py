@@ -264,3 +264,15 @@ def provisions(t):
         ).alias("txt")
     )
     return cited.select(F.explode(tax.provision_labels("txt")).alias("label")).distinct()
+
+
+@query(
+    "mapping_gaps",
+    "SELECT s_name AS vendor_name, 'Missing taxability' AS problem FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 3 <> 0 UNION ALL SELECT s_name, 'Missing grouping' FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 3 <> 0",
+)
+def gaps(t):
+    k = F.col("s_suppkey")
+    return c.mapping_gaps(t.supplier.select(
+        F.col("s_name").alias("vendor_name"), F.when(k % 4 == 0, " ").otherwise("T").alias("taxability"), F.when(k % 5 == 0, None).otherwise("G").alias("grouping"),
+        F.when(k % 3 == 0, "Inactive").otherwise("Active").alias("status"),
+    ))

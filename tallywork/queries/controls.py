@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import controls as c, reports as r
+from ..plans.reconciliation import sectioned_rows
 from . import query
 from .evidence import run
 
@@ -94,3 +95,9 @@ def tampered(t):
 def stacked(t):
     left = t.nation.select(F.lit("nation").alias("kind"), F.col("n_regionkey").alias("region"))
     return r.stack([left, t.region.select(F.lit("region").alias("kind"))]).groupBy("kind").agg(F.count("*").alias("n_rows"), F.count("region").alias("with_region"))
+
+
+@query("paired_row_sections")
+def paired_sections(t):
+    """The paired-rows table of a full reconciliation: every row of both ledgers once."""
+    return sectioned_rows(run(t))

@@ -198,3 +198,32 @@ def corroboration(t):
     both = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
     bridge, _, _ = m.match_one_to_one(both)
     return ev.corroboration(bridge, both)
+
+
+@query(
+    "evidence_sentences",
+    f"""WITH {SQL_FLAGS}, {sql_tiers()} SELECT a_id AS match_key, 'Matched on ' || CASE method WHEN 'PO + Invoice + Amount' THEN 'PO (A po_text; B po_text) + Invoice (A inv_text; B inv_text)' WHEN 'PO + Amount' THEN 'PO (A po_text; B po_text)'
+    ELSE 'Invoice (A inv_text; B inv_text)' END || ' and exact signed amount' AS evidence FROM t_pairs""",
+)
+def sentences(t):
+    both = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
+    return ev.evidence_sentences(m.match_one_to_one(both)[0], both)
+
+
+@query(
+    "already_matched_wording",
+    f"""WITH {SQL_FLAGS}, {sql_tiers()}, n AS (SELECT a_id, b_id, 'M-' || lpad(CAST(row_number() OVER (ORDER BY a_id, b_id) AS VARCHAR), CAST(greatest(3, length(CAST(count(*) OVER () AS VARCHAR))) AS INT), '0') AS ref FROM t_pairs),
+    tk AS (SELECT key_po, key_inv, ref FROM n JOIN flagged b ON b.side = 'B' AND b.row_id = n.b_id), p AS (SELECT key_po, list_sort(list(DISTINCT ref)) AS refs FROM tk WHERE key_po <> '' GROUP BY 1), i AS (SELECT key_inv, list_sort(list(DISTINCT ref)) AS refs FROM tk WHERE key_inv <> '' GROUP BY 1),
+    x AS (SELECT a.row_id, p.refs AS pr, coalesce(p.refs, i.refs) AS refs FROM flagged a LEFT JOIN p USING (key_po) LEFT JOIN i USING (key_inv) WHERE a.side = 'A')
+    SELECT row_id, CASE WHEN pr IS NOT NULL THEN 'PO' ELSE 'Invoice' END AS basis, CASE WHEN pr IS NOT NULL THEN 'PO' ELSE 'Invoice' END || ' already represented by ' || array_to_string(refs[1:3], ', ') ||
+      CASE WHEN len(refs) > 3 THEN ' and ' || (len(refs) - 3) || ' more' ELSE '' END AS wording FROM x WHERE refs IS NOT NULL""",
+)
+def wording(t):
+    """How every A row with a taken candidate would cite the match that took it."""
+    from ..operators.ledger import match_register
+
+    both = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
+    bridge = m.match_one_to_one(both)[0]
+    as_if = both.filter("side = 'A'").withColumn("finding", F.lit(ev.CONSUMED))
+    out = ev.already_matched(as_if, both.filter("side = 'B'"), bridge, match_register(bridge, both))
+    return out.filter("wording IS NOT NULL AND wording NOT LIKE '%represented by '")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..runtime import beside
 from ..functions.text import csv_safe, formula_safe
 from ..sources import delimited as d, grid as g, messages as ms, profile as p, sinks as s
 from . import query
@@ -97,7 +98,7 @@ def fingerprints(t):
     one = p.fingerprint(t.orders).select(F.col("content").alias("c1"))
     two = p.fingerprint(t.orders.orderBy(F.desc("o_totalprice"))).select(F.col("content").alias("c2"))
     three = p.fingerprint(t.orders.withColumn("o_custkey", F.when(F.col("o_orderkey") == 0, -1).otherwise(F.col("o_custkey")))).select(F.col("content").alias("c3"))
-    return one.crossJoin(two).crossJoin(three).select((F.col("c1") == F.col("c2")).alias("order_free"), (F.col("c1") != F.col("c3")).alias("content_bound"))
+    return one.transform(beside, two).transform(beside, three).select((F.col("c1") == F.col("c2")).alias("order_free"), (F.col("c1") != F.col("c3")).alias("content_bound"))
 
 
 @query(

@@ -150,3 +150,12 @@ def names(t):
         ).alias("n"),
     )
     return w.parse_file_names(files, "n", "{vendor} {invoice} - BOL {bol}").select("k", "recognized", "vendor", "invoice", "bol")
+
+
+@query(
+    "decided_by_person",
+    "SELECT user_id % 20 AS actor, count(DISTINCT user_id) AS decided FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1",
+)
+def decided(t):
+    events = t.events.select((F.col("user_id") % 20).alias("actor"), F.col("user_id").alias("document"), F.col("event_type").alias("action"))
+    return w.decided_by(events, ["purchase", "error"])

@@ -87,6 +87,12 @@ def numbered(df: DataFrame, order_by: list, name: str, start: int = 1) -> DataFr
     )
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Lay the columns of a one-row frame beside every row. `one_row` must be an aggregate without grouping keys, which
+    has exactly one row whatever the size of its input; nothing else may be passed."""
+    return df.crossJoin(F.broadcast(one_row))
+
+
 def with_block(df: DataFrame, position: str) -> DataFrame:
     """Adds `_block`, a stretch of at most BLOCK_ROWS positions, unless the frame has it already."""
     if "_block" in df.columns:

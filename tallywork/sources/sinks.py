@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import beside
 from ..functions.text import csv_safe
 from ..operators.controls import record_digest
 
@@ -27,7 +28,7 @@ def run_record(metrics: DataFrame, run_ref: str, ran_at: str, ran_by: str, year:
     if status not in ("PASS", "FAIL"):
         raise ValueError("The run has no PASS/FAIL control status, so it cannot be recorded.")
     files = inputs.agg(F.to_json(F.array_sort(F.collect_list(F.struct("role", "sha256")))).alias("inputs"))
-    row = metrics.select(F.to_json(F.struct("*")).alias("measures")).crossJoin(files).select(
+    row = metrics.select(F.to_json(F.struct("*")).alias("measures")).transform(beside, files).select(
         F.lit(run_ref).alias("run_ref"), F.lit(ran_at).alias("ran_at"), F.lit(ran_by or "Unverified").alias("ran_by"), F.lit(year).alias("fiscal_year"),
         F.lit(period).alias("fiscal_period"), F.lit(status).alias("control_status"), "measures", F.lit(mapping).alias("mapping"), "inputs",
     )

@@ -86,6 +86,14 @@ def test_damage_is_noticed(run, damage):
         controls.stop_on_failure(controls.balance_controls(broken))
 
 
+def test_paired_rows_hold_every_row_once(run):
+    from tallywork.plans.reconciliation import sectioned_rows
+
+    rows_ = sectioned_rows(run).collect()
+    assert sorted(r["a_id"] for r in rows_ if r["a_id"] is not None) == [a[0] for a in A]
+    assert sorted(r["b_id"] for r in rows_ if r["b_id"] is not None) == [b[0] for b in B]
+
+
 def test_register_numbers_matches_by_earliest_row(run):
     both = run.a.unionByName(run.b)
     got = {r["match_key"]: (r["match_ref"], r["match_type"]) for r in ledger.match_register(run.matching.bridge, both).collect()}
