@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 
 # Bounds of the grouped search.
 MAX_POOL = 20
@@ -322,7 +322,7 @@ def match_grouped(open_rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     searched = sliced.withColumn("small", F.lit(False)).select(*shape).unionByName(
         pool.withColumns({"small": F.lit(True), "copies": F.lit(1).cast("bigint")}).select(*shape)
     )
-    reached = searched.groupBy(*keys, "slice").applyInPandas(_reachable, searched.schema)
+    reached = spread(searched, [*keys, "slice"]).groupBy(*keys, "slice").applyInPandas(_reachable, searched.schema)
     columns = [*keys, "side", "row_id", "cents", *carry]
     single, closed = F.lit(1).cast("bigint").alias("copies"), F.lit(True).alias("over_pool")
     candidates = union_all([
@@ -330,7 +330,7 @@ def match_grouped(open_rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         small_side.select(*columns, single, F.lit(False).alias("over_pool")),
         reached.select(*columns, "copies", closed),
     ])
-    return candidates.groupBy(*keys).applyInPandas(_solve_key(other), _SOLVED)
+    return spread(candidates, keys).groupBy(*keys).applyInPandas(_solve_key(other), _SOLVED)
 
 
 def match_grouped_tiers(open_rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -100,7 +100,8 @@ def reconcile_frames(
     aliases: DataFrame | None = None,
 ) -> Reconciliation:
     """Reconcile two working frames, with optional historical frames of either ledger."""
-    a, b = cut(a, "ledger-a"), cut(b, "ledger-b")
+    ledgers = cut(a.unionByName(b), "ledgers")
+    a, b = _side(ledgers, "A"), _side(ledgers, "B")
     decisions_a, active_a = duplicates.screen(a)
     decisions_b, active_b = duplicates.screen(b)
     decisions_a, decisions_b = cut(decisions_a, "screen-a"), cut(decisions_b, "screen-b")

@@ -87,6 +87,13 @@ def numbered(df: DataFrame, order_by: list, name: str, start: int = 1) -> DataFr
     )
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows by key into as many partitions as the session shuffles into. Groups worked on in Python are small in
+    bytes and heavy in time, so they must not be coalesced into a few tasks by size."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Lay the columns of a one-row frame beside every row. `one_row` must be an aggregate without grouping keys, which
     has exactly one row whatever the size of its input; nothing else may be passed."""
