@@ -195,8 +195,7 @@ def stage_batch(products: DataFrame, grid: DataFrame, receipts: DataFrame, openi
         .join(receipt_errors(receipts), "product", "left")
         .fillna(0.0, ["held_qty", "held_val", "received_qty"])
     )
-    # No layers on file but a beginning quantity expected: it is carried at no cost, and the
-    # unpriced-layer checks then name it.
+    # No layers on file but a beginning quantity expected: it is carried at no cost, and the unpriced-layer checks name it.
     invented = F.col("held_qty").isNull() | ((F.col("held_qty") == 0) & (F.coalesce("expected_qty", F.lit(0.0)) > 0))
     base = base.withColumn("expected_qty", F.coalesce("expected_qty", "held_qty"))
     carry = base.filter(invented).select(
