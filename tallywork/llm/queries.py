@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import prepare_session
-from . import near_dedup, substring_dedup
+from . import decontaminate, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,13 @@ def op1_substring_dedup(table) -> DataFrame:
 def op5_minhash_near_dedup(table) -> DataFrame:
     """Near-duplicate groups of all documents at 0.75 on five-word shingles."""
     return near_dedup.near_duplicates(table("documents"))
+
+
+@query()
+def op9_benchmark_decontamination(table) -> DataFrame:
+    """Benchmark phrases in all documents."""
+    out = decontaminate.decontaminate(table("documents"), table("benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
