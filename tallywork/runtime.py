@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -23,9 +25,28 @@ BLOCK_ROWS = 1 << 20
 
 _fallback_dir: dict[str, str] = {}
 _written: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: functions run in tasks are found by module name."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tallywork-"), "tallywork.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
+    ship_package(spark)
     for name, value in SESSION_SETTINGS.items():
         spark.conf.set(name, value)
     return spark
