@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import prepare_session
-from . import decontaminate, near_dedup, substring_dedup
+from . import decontaminate, near_dedup, packing, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,19 @@ def op9_benchmark_decontamination(table) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query()
+def op4_packing(table) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table("documents"), public_tokenizers.path(packing.TOKENIZER))
+
+
+@query()
+def op7_quality_classifier(table) -> DataFrame:
+    """Quality of every document by its labelled neighbours."""
+    docs = table("documents")
+    out = quality.classify(docs, quality.train(docs, table("labels")))
+    return out.select("doc_id", (~quality.training_rows(F.col("doc_id"))).alias("held_out"), "score", "predicted")

@@ -144,11 +144,12 @@ def remove_repeats(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = chunked(docs.select("doc_id", "text", *carry), chunk_bytes)
+    columns = list(dict.fromkeys(("doc_id", "text", *carry)))
+    docs = chunked(docs.select(*columns), chunk_bytes)
     seeds = cut(docs.select("text", "_chunk").mapInArrow(_seeds(window, anchor), "seed long, _chunk int"), "seeds")
     twice = seeds.groupBy("seed").count().where("count > 1").select("seed")
     per_chunk = seeds.join(twice, "seed", "left_semi").distinct()
-    texts = docs.select("doc_id", "text", "_chunk", *carry)
+    texts = docs.select(*columns, "_chunk")
     windows = cut(
         texts.select("text", "_chunk").groupBy("_chunk").cogroup(per_chunk.groupBy("_chunk"))
         .applyInArrow(_extended(window, anchor), "window long, seed int, _chunk int, n int"), "windows",
