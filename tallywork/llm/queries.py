@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import prepare_session
-from . import decontaminate, near_dedup, packing, quality, substring_dedup
+from . import decontaminate, lm_scoring, near_dedup, packing, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,9 @@ def op7_quality_classifier(table) -> DataFrame:
     docs = table("documents")
     out = quality.classify(docs, quality.train(docs, table("labels")))
     return out.select("doc_id", (~quality.training_rows(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op10_lm_scoring(table) -> DataFrame:
+    """Log10 probability of every document under context-tree weighting, beside a word-count base."""
+    return lm_scoring.score(table("documents"))
