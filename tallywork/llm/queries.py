@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import prepare_session
-from . import decontaminate, lm_scoring, near_dedup, packing, quality, substring_dedup
+from . import decontaminate, language_id, lm_scoring, near_dedup, packing, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,12 @@ def op7_quality_classifier(table) -> DataFrame:
 def op10_lm_scoring(table) -> DataFrame:
     """Log10 probability of every document under context-tree weighting, beside a word-count base."""
     return lm_scoring.score(table("documents"))
+
+
+@query()
+def op8_language_id(table) -> DataFrame:
+    """Language of every document."""
+    docs = table("documents")
+    out = language_id.identify(docs, language_id.train(docs))
+    held = (~language_id.training_rows(F.col("doc_id"))).alias("held_out")
+    return out.select("doc_id", held, "lang_pred", "score", "bits_per_character", "rejected")
