@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import prepare_session
-from . import decontaminate, language_id, lm_scoring, near_dedup, packing, quality, substring_dedup
+from . import (
+    decontaminate, language_id, lm_scoring, near_dedup, ogg, packing, perspectives, quality, substring_dedup, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +82,21 @@ def op8_language_id(table) -> DataFrame:
     out = language_id.identify(docs, language_id.train(docs))
     held = (~language_id.training_rows(F.col("doc_id"))).alias("held_out")
     return out.select("doc_id", held, "lang_pred", "score", "bits_per_character", "rejected")
+
+
+@query()
+def op2_ogg_media(table) -> DataFrame:
+    """Every document stored as an Ogg file, read back and described."""
+    return ogg.decode(ogg.encode(table("documents")))
+
+
+@query()
+def op3_warc_derivatives(table) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.derivatives(warc.responses(table("pages")))
+
+
+@query(perspectives.SQL)
+def op6_perspective_rotation(table) -> DataFrame:
+    """Every conversation from the perspective of each of its participants."""
+    return perspectives.rotate(table("conversations"))
