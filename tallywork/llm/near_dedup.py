@@ -117,10 +117,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)` for each row of `docs(doc_id, text)`.
 
     Equal shingle sets form one class from the start, so copies never meet in a bucket. In each bucket of the banding
-    a few members, the centres, are compared with those members that are not in their component yet; then the centres
-    leave the bucket. This goes on, with more centres each round, until every bucket is of one component: whatever two
-    members of a bucket are linked, one of them was a centre that met the other, or they were connected already. A round
-    writes rows in proportion to the bucket times its centres.
+    every member is compared with one centre, the member that shares most buckets. Buckets that then still hold more
+    than one component go on to a second comparison: of their members those pairs are compared that exact bounds on
+    sizes and on shared rare shingles allow to be linked. So no link between two members of a bucket is lost, unless
+    both are in one component already, and no bucket is ever written out as pairs.
 
     Nulls: a null text is empty; an empty set links with nothing. A row without doc_id takes part like any other, can
     give no component id, and is kept when its component has no id at all. Repeated rows are copies; several rows with
@@ -134,8 +134,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     one_each = sketch.join(classes, ["hi", "lo"]).where(F.col("doc_id").eqNullSafe(F.col("rep")))
     rows = one_each.select("c", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("key")
-    buckets = cut(rows.join(shared, "key", "left_semi").distinct(), "buckets")
+    # The rows of a class that has its smallest id twice only make a bucket look larger.
+    shared = rows.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count("*").alias("n"))
+    buckets = cut(rows.join(shared.where("_low < _high").select("key", "n"), "key").distinct(), "buckets")
     wanted = cut(classes.join(buckets.select("c").distinct(), "c", "left_semi"), "wanted")
     reps = wanted.select("rep").distinct()
     bodies = docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi").mapInArrow(_full_sets, SETS)
@@ -152,40 +153,59 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return full.select(columns).union(empty.select(columns)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of those buckets that still hold more than one component."""
+    now = buckets.select("key", "c").join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l < _h")
+    return now.join(mixed.select("key"), "key", "left_semi")
+
+
+def _centres(buckets: DataFrame) -> DataFrame:
+    """Pairs of each member of a bucket with the member that shares most buckets with others."""
+    popular = buckets.groupBy("c").agg(F.sum("n").alias("_popular"))
+    centre = buckets.join(popular, "c").groupBy("key").agg(F.max_by("c", "_popular").alias("b"))
+    return buckets.join(centre, "key").where("c <> b").select(
+        F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")
+    ).distinct()
+
+
+def _by_prefix(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components of `rest(c, component)` that can be linked, by exact bounds.
+
+    Shingles are put in one order, rare ones first. Two sets at 0.75 or more share a shingle among the first quarter of
+    the longer and the first seventh of the shorter one, and behind the first such shingle both are long enough.
+    """
+    own = sets.join(rest, "c")
+    rows = own.select("c", "component", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    # A shingle of one set alone can't be shared; its place in the order still counts.
+    ranked = rows.join(often, "s", "left").groupBy("c", "component").agg(
+        F.count("*").cast("int").alias("size"), F.sum(F.when(F.col("n").isNull(), 1).otherwise(0)).cast("int").alias("alone"),
+        F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "s")))).alias("shared"),
+    )
+    placed = ranked.select("c", "component", "size", "alone", F.posexplode("shared").alias("k", "_s")).select(
+        "c", "component", "size", F.col("_s.s").alias("s"), (F.col("alone") + F.col("k")).alias("place"),
+    ).where(F.col("place") * 4 <= F.col("size"))
+    placed = cut(placed, "prefixes")
+    long = placed.select("s", F.col("c").alias("a"), F.col("size").alias("_la"), F.col("place").alias("_pa"), F.col("component").alias("_ca"))
+    short = placed.where(F.col("place") * 7 <= F.col("size")).select(
+        "s", F.col("c").alias("b"), F.col("size").alias("_lb"), F.col("place").alias("_pb"), F.col("component").alias("_cb")
+    )
+    behind = F.least(F.col("_la") - F.col("_pa"), F.col("_lb") - F.col("_pb"))
+    fits = (
+        (long["s"] == short["s"]) & (F.col("_ca") != F.col("_cb")) & (F.col("_lb") * 4 >= F.col("_la") * 3)
+        & ((F.col("_la") > F.col("_lb")) | ((F.col("_la") == F.col("_lb")) & (F.col("a") > F.col("b"))))
+        & (behind * 7 >= (F.col("_la") + F.col("_lb")) * 3)
+    )
+    return long.join(short, fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _linked(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """`(c, component)` of classes that share a bucket."""
-    spark, centres, round_no = buckets.sparkSession, 1, 0
-    found, links = None, None
-    open_rows = buckets.withColumn("component", F.col("c"))
-    while True:
-        if centres == 1:  # one centre: an aggregate, which a hot bucket does not slow down
-            middle = open_rows.groupBy("key").agg(F.min("c").alias("b"))
-            middle = middle.join(open_rows.select(F.col("c").alias("b"), F.col("component").alias("_other")).distinct(), "b")
-        else:
-            order = F.row_number().over(_by_key())
-            middle = open_rows.withColumn("_n", order).where(F.col("_n") <= centres).select(
-                "key", F.col("c").alias("b"), F.col("component").alias("_other")
-            )
-        middle = cut(middle, "centres") if centres > 1 else middle
-        pairs = open_rows.join(middle, "key").where("component <> _other").select(
-            F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")
-        ).distinct()
-        fresh = cut(_confirmed(pairs, sets), "links")
-        links = fresh if links is None else links.union(fresh)
-        found = cut(components(links).select(F.col("v").alias("c"), "component"), "found")
-        open_rows = open_rows.join(middle.select("key", F.col("b").alias("c")), ["key", "c"], "left_anti")
-        open_rows = open_rows.select("key", "c").join(found, "c", "left").select(
-            "key", "c", F.coalesce("component", "c").alias("component")
-        )
-        mixed = open_rows.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l < _h")
-        open_rows = cut(open_rows.join(mixed.select("key"), "key", "left_semi"), "open")
-        if open_rows.isEmpty():
-            return found
-        round_no += 1
-        centres = 4 ** (round_no + 1)
-
-
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("c")
+    links = cut(_confirmed(_centres(buckets), sets), "links")
+    found = cut(components(links).select(F.col("v").alias("c"), "component"), "found")
+    rest = cut(_open(buckets, found).select("c", "component").distinct(), "rest")
+    if rest.isEmpty():
+        return found
+    more = cut(_confirmed(_by_prefix(rest, sets), sets), "links")
+    return components(links.union(more)).select(F.col("v").alias("c"), "component") if not more.isEmpty() else found
