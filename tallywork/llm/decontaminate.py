@@ -144,12 +144,13 @@ def _pass(go: Phrases, schema: pa.Schema, carry: list[str], final: bool):
             for (new_spans, new_items), (old_spans, old_items) in zip(found, earlier):
                 spans.append(_merged(new_spans + [(s["start"], s["stop"]) for s in old_spans or ()]))
                 items.append(sorted({*new_items, *(old_items or ())}))
-            clean = [None if raw is None else without(text, s).decode() for raw, text, s in zip(batch.column("text"), texts, spans)] if final else None
+            there = batch.column("text").is_valid().to_pylist()
+            clean = [without(text, s).decode() if ok and final else None for ok, text, s in zip(there, texts, spans)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text"), *(batch.column(c) for c in carry),
                 pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], schema.field("spans").type),
                 pa.array(items, pa.list_(pa.string())), pa.array([len(x) for x in split], pa.int64()),
-                pa.array(clean if final else [None] * len(split), pa.string()),
+                pa.array(clean, pa.string()),
             ], schema=schema)
 
     return run
