@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import prepare_session
 from . import (
-    decontaminate, language_id, lm_scoring, near_dedup, ogg, packing, perspectives, quality, substring_dedup, warc,
+    decontaminate, language_id, lm_scoring, near_dedup, ogg, packing, perspectives, quality, sql, substring_dedup,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(twin: str | None = None):
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             prepare_session(spark)
@@ -23,27 +24,27 @@ def query(sql: str | None = None):
 
         run.__doc__ = fn.__doc__
         QUERIES[fn.__name__] = run
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
+        if twin is not None:
+            ORACLES[fn.__name__] = twin
         return fn
 
     return register
 
 
-@query()
+@query(sql.REPEATS)
 def op1_substring_dedup(table) -> DataFrame:
     """Words of each document that stay once every repeated passage of 35 words or more is removed."""
     out = substring_dedup.remove_repeats(table("documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query()
+@query(sql.NEAR)
 def op5_minhash_near_dedup(table) -> DataFrame:
     """Near-duplicate groups of all documents at 0.75 on five-word shingles."""
     return near_dedup.near_duplicates(table("documents"))
 
 
-@query()
+@query(sql.LEAKS)
 def op9_benchmark_decontamination(table) -> DataFrame:
     """Benchmark phrases in all documents."""
     out = decontaminate.decontaminate(table("documents"), table("benchmark"))
