@@ -175,16 +175,16 @@ def diff_vendors(old: DataFrame, new: DataFrame) -> DataFrame:
         rank = F.struct(filled.alias("f"), F.col("source_pos"))
         rows = df.select(key.alias("key"), *columns, rank.alias("rank")).filter("key <> ''")
         best = rows.groupBy("key").agg(F.max_by(F.struct(*columns), "rank").alias("v"))
-        return best.select("key", *[F.col(f"v.{c}").alias(f"{prefix}{c}") for c in columns])
+        return best.select("key", *[F.col(f"v.{c}").alias(f"{prefix}{c}") for c in columns], F.lit(True).alias(f"_{prefix}there"))
 
     left = last(old, ~blank, "old_", ["vendor_name", *classes])
     right = last(new, F.lit(True), "new_", ["vendor_id", "vendor_name"])
     joined = left.join(right, "key", "full_outer")
     change = (
-        F.when(F.col("old_vendor_name").isNull(), "added").when(F.col("new_vendor_name").isNull(), "removed")
-        .when(name_key("old_vendor_name") != name_key("new_vendor_name"), "renamed").otherwise("unchanged")
+        F.when(F.col("_old_there").isNull(), "added").when(F.col("_new_there").isNull(), "removed")
+        .when(~F.coalesce(name_key("old_vendor_name"), F.lit("")).eqNullSafe(F.coalesce(name_key("new_vendor_name"), F.lit(""))), "renamed").otherwise("unchanged")
     )
-    return joined.withColumn("change", change)
+    return joined.withColumn("change", change).drop("_old_there", "_new_there")
 
 
 def rebuilt_mapping(diff: DataFrame, include_inactive: bool = False) -> DataFrame:

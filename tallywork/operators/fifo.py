@@ -235,9 +235,16 @@ def stage_batch(products: DataFrame, grid: DataFrame, receipts: DataFrame, openi
     )
     used = cut(consume(stocked, usage), "consumed")
     figures = roll_forward(used, base.select("product", "ending_qty"))
+    # What the controls compare with: sums taken from the receipts and from the layers on hand themselves.
+    raw = sound_receipts.groupBy("product").agg(F.sum("qty").alias("raw_qty"), F.sum("total").alias("raw_val"))
+    raw = raw.join(base.filter(failed).select("product"), "product", "left_anti")
+    open_layers = on_hand(used).groupBy("product").agg(F.sum("total_value").alias("layer_val"))
     results = base.select(
-        "product", "name", "processing_error", "carried_forward", "beg_variance_qty", F.col("grid_rows")
-    ).join(figures, "product").withColumns(
+        "product", "name", "processing_error", "carried_forward", "beg_variance_qty", F.col("grid_rows"),
+        F.coalesce("unordered", F.lit(False)).alias("unordered"),
+    ).join(figures, "product").join(raw, "product", "left").join(open_layers, "product", "left").fillna(
+        0.0, ["raw_qty", "raw_val", "layer_val"]
+    ).withColumns(
         {
             "usage_qty": F.when(failed, F.lit(0.0)).otherwise(F.col("usage_qty")),
             "variance_qty": F.when(failed, F.col("beg_qty") - F.col("ending_qty")).otherwise(F.col("variance_qty")),
@@ -250,22 +257,28 @@ def stage_batch(products: DataFrame, grid: DataFrame, receipts: DataFrame, openi
 
 # --- controls ---------------------------------------------------------------------------------------------------
 
-def qty_material(value) -> Column:
-    return F.abs(F.coalesce(value, F.lit(0.0))) > QTY_TOLERANCE
+def _qty_material(value, tolerance: float = QTY_TOLERANCE) -> Column:
+    return F.abs(F.coalesce(value, F.lit(0.0))) > tolerance
 
 
-def value_material(value) -> Column:
-    """Beyond a cent at report precision."""
-    return F.abs(F.round(F.coalesce(value, F.lit(0.0)).cast("decimal(30,8)"), 2)) > F.lit("0.01").cast("decimal(4,2)")
+def _value_material(value, tolerance: str | float = "0.01") -> Column:
+    """Beyond the tolerance (a cent unless told otherwise) at report precision."""
+    return F.abs(F.round(F.coalesce(value, F.lit(0.0)).cast("decimal(30,8)"), 2)) > F.lit(str(tolerance)).cast("decimal(30,8)")
 
 
-def product_checks(results: DataFrame, unordered: DataFrame | None = None) -> DataFrame:
-    """Eleven control checks per product as rows (product, check, status)."""
+def product_checks(results: DataFrame, qty_tolerance: float = QTY_TOLERANCE, value_tolerance: str | float = "0.01") -> DataFrame:
+    """Eleven control checks per product as rows (product, check, status).
+
+    `results` as made by `stage_batch`: figures of the roll-forward beside what the receipts (`raw_qty`, `raw_val`), the
+    layers on hand (`layer_val`) and their order (`unordered`) say on their own.
+    """
     rows = results
-    if unordered is None:
-        rows = rows.withColumn("unordered", F.lit(False))
-    else:
-        rows = rows.join(unordered.select("product", F.lit(True).alias("unordered")), "product", "left")
+
+    def qty_material(value: Column) -> Column:
+        return _qty_material(value, qty_tolerance)
+
+    def value_material(value: Column) -> Column:
+        return _value_material(value, value_tolerance)
 
     def fail(condition: Column, bad: str = "FAIL") -> Column:
         return F.when(condition, bad).otherwise("PASS")
@@ -275,12 +288,12 @@ def product_checks(results: DataFrame, unordered: DataFrame | None = None) -> Da
         ("Processing Integrity", fail(c("processing_error").isNotNull())),
         ("Beginning Quantity Agreement", fail(qty_material(c("beg_variance_qty")))),
         ("Estimated Value Effect of Beginning Qty Variance", fail(value_material(c("beg_variance_val")), "REVIEW")),
-        ("Receipt Quantity Agreement", fail(qty_material(c("purch_qty") - c("purch_qty")))),
-        ("Receipt Value Agreement", fail(value_material(c("purch_val") - c("purch_val")))),
+        ("Receipt Quantity Agreement", fail(qty_material(c("raw_qty") - c("purch_qty")))),
+        ("Receipt Value Agreement", fail(value_material(c("raw_val") - c("purch_val")))),
         ("Depletion Quantity Agreement", fail(qty_material(c("depleted_qty") - c("usage_qty")))),
         ("Layer Value Conservation", fail(value_material(c("value_variance")))),
         ("Ending Quantity to Open Layers", fail(qty_material(c("open_qty") - c("ending_qty")))),
-        ("Ending Value to Open Layers", fail(value_material(c("end_val") - c("end_val")))),
+        ("Ending Value to Open Layers", fail(value_material(c("layer_val") - c("end_val")))),
         ("FIFO Chronology", fail(F.coalesce(c("unordered"), F.lit(False)))),
         ("Unpriced Layer Count", fail(c("unpriced_layers") > 0, "REVIEW")),
     )
@@ -290,10 +303,16 @@ def product_checks(results: DataFrame, unordered: DataFrame | None = None) -> Da
     )
 
 
-def summary_status(results: DataFrame) -> DataFrame:
+def summary_status(results: DataFrame, qty_tolerance: float = QTY_TOLERANCE, value_tolerance: str | float = "0.01") -> DataFrame:
     """Overall status and message per product, for the executive summary and the exceptions list."""
     c = F.col
 
+    def qty_material(value: Column) -> Column:
+        return _qty_material(value, qty_tolerance)
+
+    def value_material(value: Column) -> Column:
+        return _value_material(value, value_tolerance)
+
     def units(value: Column, text: str) -> Column:
         return F.concat(F.format_number(value, 0), F.lit(text))
 
@@ -309,6 +328,7 @@ def summary_status(results: DataFrame) -> DataFrame:
             ),
             F.when(qty_material(c("open_qty") - c("ending_qty")), "Open layers do not equal ending quantity"),
             F.when(value_material(c("value_variance")), "Layer value rollforward does not conserve"),
+            F.when(value_material(c("layer_val") - c("end_val")), "Value of the open layers differs from the ending value"),
             F.when(qty_material(c("unpriced_qty")), units(c("unpriced_qty"), " unit(s) on hand carry no recorded cost")),
             F.when(
                 qty_material(c("unpriced_usage_qty")),
@@ -324,6 +344,7 @@ def summary_status(results: DataFrame) -> DataFrame:
         c("processing_error").isNotNull() | c("grid_rows").isNull() | (c("grid_rows") > 1)
         | qty_material(c("variance_qty")) | qty_material(c("open_qty") - c("ending_qty"))
         | value_material(c("value_variance")) | qty_material(c("beg_variance_qty"))
+        | value_material(c("layer_val") - c("end_val"))
     )
     review = qty_material(c("unpriced_qty")) | qty_material(c("unpriced_usage_qty"))
     idle = ~qty_material(c("purch_qty")) & ~qty_material(c("usage_qty")) & ~qty_material(c("beg_qty") - c("ending_qty"))
@@ -372,7 +393,8 @@ def allocate_periods(layers: DataFrame, usage: DataFrame) -> DataFrame:
     stacked = running_before(layers, ["product"], "kind", "seq", {"in_lo": F.col("qty")}).drop("_block")
     stacked = stacked.withColumn("in_hi", F.col("in_lo") + F.col("qty"))
     hits = F.filter("periods", lambda p: (p["out_lo"] < F.col("in_hi")) & (F.col("in_lo") < p["out_hi"]))
-    served = stacked.join(per_product, "product").withColumn("p", F.explode(hits))
+    # A layer of no quantity serves nobody.
+    served = stacked.filter("in_hi > in_lo").join(per_product, "product").withColumn("p", F.explode(hits))
     qty = F.least("in_hi", "p.out_hi") - F.greatest("in_lo", "p.out_lo")
     return served.select(
         "product", "kind", "seq", F.col("p.period_no").alias("period_no"), qty.alias("qty"),

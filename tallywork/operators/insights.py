@@ -33,10 +33,10 @@ def aging_pivot(on_hand: DataFrame, as_of: str) -> DataFrame:
 
 
 def aging_shares(on_hand: DataFrame, as_of: str) -> DataFrame:
-    """Value per bucket and its share of all value on hand."""
+    """Value per bucket and its share of all value on hand (null if nothing on hand has a value)."""
     by_bucket = _aged(on_hand, as_of).groupBy(_bucket(F.col("age"), 1).alias("bucket")).agg(F.sum("total_value").alias("value"))
     total = by_bucket.agg(F.sum("value").alias("all_value"))
-    return by_bucket.transform(beside, total).select("bucket", "value", (F.col("value") / F.col("all_value") * 100).alias("share"))
+    return by_bucket.transform(beside, total).select("bucket", "value", (F.col("value") / F.nullif("all_value", F.lit(0.0)) * 100).alias("share"))
 
 
 def period_pivot(figures: DataFrame, measure: str) -> DataFrame:

@@ -80,11 +80,11 @@ def resolve_cells(rows: DataFrame, cells: list[str], spellings: DataFrame, row_i
     cell = rows.select(row_id, F.explode(F.array(*[F.col(c).cast("string") for c in cells])).alias("text")).filter(~is_blank("text"))
     text = strip("text")
     key = match_key("text")
-    product_id = F.regexp_extract(F.upper(text), r"^ITM-?(\d+)", 1)
+    product_id = F.regexp_extract(F.upper(text), r"^ITM[\s_-]?0*(\d+)$", 1)
     keys = F.array_compact(F.array(
         F.when(text.rlike(r"^\d{1,3}(\.0+)?$"), F.struct(F.lit(0).alias("rank"), F.concat(F.lit("alias:"), text.try_cast("double").cast("int").cast("string")).alias("key"))),
         *[F.struct(F.lit(r).alias("rank"), key.alias("key")) for r in (1, 3, 4)],
-        F.when(product_id != "", F.struct(F.lit(2).alias("rank"), F.concat(F.lit("id:ITM-"), F.lpad(product_id, 2, "0")).alias("key"))),
+        F.when(product_id != "", F.struct(F.lit(2).alias("rank"), F.concat(F.lit("id:ITM-"), F.lpad(product_id, F.greatest(F.lit(2), F.length(product_id)), F.lit("0"))).alias("key"))),
     ))
     tried = cell.select(row_id, "text", F.explode(keys).alias("k")).select(row_id, "text", "k.rank", "k.key")
     best = tried.join(spellings, ["rank", "key"], "left").groupBy(row_id, "text").agg(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import beside
+
 # Rates in percent and the taxable share of a service subscription.
 STATE_RATE, LOCAL_CAP, SAAS_SHARE = "6.25", "2.00", "0.80"
 LOCAL_LINES = ("combined_rate", "city_rate", "county_rate", "district_rate")
 _MONEY = "decimal(18,2)"
-MAX_LOCATIONS = 2_000
 
 
 def price_cents(value) -> Column:
@@ -50,13 +51,11 @@ def sales_tax(sales: DataFrame, locations: DataFrame) -> DataFrame:
 def compare_locations(prices: DataFrame, locations: DataFrame) -> DataFrame:
     """Every price at every location, as an ordinary sale and as a subscription.
 
-    The locations are a rate table people maintain (its size is checked), so each price row is unfolded in place.
+    The result is every price at every location by its meaning. The names travel as one list beside the prices, which are
+    unfolded in place; rates are joined to them.
     """
-    names = [row["location"] for row in locations.select("location").limit(MAX_LOCATIONS + 1).collect()]
-    if len(names) > MAX_LOCATIONS:
-        raise ValueError(f"More than {MAX_LOCATIONS} locations cannot be compared side by side.")
-    places = F.explode(F.array(*[F.lit(n) for n in names]))
-    grid = prices.withColumn("location", places).withColumn("saas", F.explode(F.array(F.lit(False), F.lit(True))))
+    names = locations.agg(F.collect_set("location").alias("_places"))
+    grid = beside(prices, names).withColumn("location", F.explode("_places")).drop("_places").withColumn("saas", F.explode(F.array(F.lit(False), F.lit(True))))
     return sales_tax(grid, locations)
 
 

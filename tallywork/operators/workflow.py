@@ -11,7 +11,6 @@ from ..runtime import previous_values
 # Alert thresholds, page size and the junk folders "any folder" passes over.
 HELD_DAYS, AGED_DAYS, PAGE = 5, 30, 10
 SKIPPED_FOLDERS = r"(?i)^(junk|junk email|spam|deleted|deleted items|trash)$"
-SEARCH_TERMS = 8
 SNIPPET_RADIUS = 60
 STAGES = ("received", "approved", "sent")
 
@@ -33,7 +32,7 @@ def _placed(events: DataFrame) -> DataFrame:
     return events.withColumns(
         {
             "_day": F.to_date("at"), "_block": F.floor(moment / F.lit(60_000_000)).cast("bigint"),
-            "_place": moment * F.lit(1 << 25) + F.col("event_no") % F.lit(1 << 25),
+            "_place": F.struct(moment.alias("moment"), F.col("event_no")),
         }
     )
 
@@ -189,13 +188,15 @@ def term_pattern(term: str) -> str:
 
 def search_text(rows: DataFrame, text: str, query: str) -> DataFrame:
     """Rows where every search word begins some word of the text, with a short excerpt at the first hit."""
-    terms = query.lower().split()[:SEARCH_TERMS]
+    terms = query.lower().split()
     hit, first = F.lit(True), []
     for term in terms:
         at = F.regexp_instr(F.col(text), F.lit(term_pattern(term)))
         hit = hit & (at > 0)
         first.append(F.when(at > 0, at))
     found = rows.filter(hit)
+    if not terms:
+        return found.withColumn("excerpt", F.lit(""))
     at = F.least(*first) if len(first) > 1 else first[0]
     start = F.greatest(F.lit(1), at - SNIPPET_RADIUS)
     stop = F.least(F.length(text) + 1, at + SNIPPET_RADIUS)

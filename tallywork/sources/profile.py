@@ -23,8 +23,9 @@ def profile(rows: DataFrame, amount: str, date: str, period: str | None = None)
 
 
 def fingerprint(rows: DataFrame, options: dict | None = None) -> DataFrame:
-    """Order-insensitive content hash plus the digest of the options: (n_rows, content, options)."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(rows.columns)])
+    """Content hash of column names and cells, in any order of rows and columns, plus the digest of the options: (n_rows, content, options)."""
+    cells = [x for c in sorted(rows.columns) for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("\x00")))]
+    h = F.xxhash64(*cells)
     text = json.dumps(options or {}, sort_keys=True)
     return rows.agg(
         F.count("*").alias("n_rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content"),
