@@ -46,8 +46,8 @@ SHORT_CODES = {
     "REVIEW_HOLD_AMBIGUOUS_CANDIDATES": "MULTIPLE_CANDIDATES",
     "REVIEW_HOLD_CANDIDATE_INVALID_AMOUNT": "INVALID_AMOUNT",
     "REVIEW_HOLD_FUZZY_MATCH": "FUZZY_CANDIDATE",
-    "EXACT_QBO_DUPLICATE_EXCESS_COPY": "DUPLICATE_EXCLUDED",
-    "TRUE_UNMATCHED_NO_INFINIUM_CANDIDATE": "NO_INFINIUM_CANDIDATE",
+    "EXACT_A_DUPLICATE_EXCESS_COPY": "DUPLICATE_EXCLUDED",
+    "TRUE_UNMATCHED_NO_B_CANDIDATE": "NO_B_CANDIDATE",
     "TRUE_UNMATCHED_PO_REUSE": "PO_REUSE_UNSUPPORTED",
 }
 HEAVY_REUSE = 6

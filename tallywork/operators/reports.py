@@ -180,7 +180,7 @@ def run_metrics(book: DataFrame, rows: DataFrame, bridge: DataFrame, holds: Data
     d = F.col("disposition")
     left = book.agg(
         F.count("*").alias("a_rows"), F.coalesce(F.sum("cents"), F.lit(0)).alias("a_cents"),
-        *[F.count_if(d == x).alias(n) for x, n in (("MATCHED", "matched_rows"), ("EXACT_QBO_DUPLICATE_EXCLUDED", "duplicate_rows"), ("REVIEW_HOLD", "hold_rows"), ("TRUE_UNMATCHED", "unmatched_rows"))],
+        *[F.count_if(d == x).alias(n) for x, n in (("MATCHED", "matched_rows"), ("EXACT_A_DUPLICATE_EXCLUDED", "duplicate_rows"), ("REVIEW_HOLD", "hold_rows"), ("TRUE_UNMATCHED", "unmatched_rows"))],
         F.coalesce(F.sum(F.when(d == "TRUE_UNMATCHED", F.col("cents"))), F.lit(0)).alias("proposed_entry_cents"),
         F.count_if(F.col("cents").isNull()).alias("invalid_amounts"),
     )

@@ -162,7 +162,7 @@ def reconcile_frames(
     reasons = evidence.lookup(ledger.MATCH_REASONS, F.col("method"), F.lit("MATCH"))
     outcomes = {
         "matched": _side(matched.bridge, "A").select("row_id", reasons.alias("code")),
-        "duplicate": _side(excess, "A").select("row_id", F.lit("EXACT_QBO_DUPLICATE_EXCESS_COPY").alias("code")),
+        "duplicate": _side(excess, "A").select("row_id", F.lit("EXACT_A_DUPLICATE_EXCESS_COPY").alias("code")),
         "duplicate_hold": held_a.select("row_id", F.lit("REVIEW_HOLD_POTENTIAL_DUPLICATE").alias("code")),
         "variance": varied_a.withColumn("code", F.lit("REVIEW_HOLD_AMOUNT_VARIANCE")),
         "fuzzy": _side(matched.fuzzy, "A").select("row_id", F.lit("REVIEW_HOLD_FUZZY_MATCH").alias("code")),
@@ -226,9 +226,9 @@ def sectioned_rows(run: Reconciliation) -> DataFrame:
     parts = [
         lined(run.matching.bridge, "01 Matched"), lined(run.matching.fuzzy, "09 Fuzzy Match Review Hold"), varied,
         *[alone_a(x) for x in ("duplicate", "duplicate_hold", "ambiguous", "reference_hold", "unmatched", "cleared")],
-        alone_b(t["excess"].filter("side = 'B'"), "05 Duplicate Infinium", "Excluded excess copy"),
-        alone_b(t["held_b"], "07 Duplicate Review Hold Infinium", "Potential duplicate"),
-        alone_b(t["open_b"], "03 Unmatched Infinium", "No A row"),
+        alone_b(t["excess"].filter("side = 'B'"), "05 Duplicate B", "Excluded excess copy"),
+        alone_b(t["held_b"], "07 Duplicate Review Hold B", "Potential duplicate"),
+        alone_b(t["open_b"], "03 Unmatched B", "No A row"),
     ]
     if "clearances" in t:
         parts.append(alone_b(t["clearances"].filter("scope = 'A history' AND side = 'B'"), "01 Matched - Historical Clearance", "Prior period"))

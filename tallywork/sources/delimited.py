@@ -22,18 +22,6 @@ def read_text_table(spark: SparkSession, path: str, columns: int) -> DataFrame:
     return spark.read.option("header", False).option("multiLine", False).schema(schema).csv(path)
 
 
-def unique_headers(names: list[str]) -> list[str]:
-    """Headers made unique: a repeated name gets ` [n]`, a blank one is named after its place."""
-    seen: dict[str, int] = {}
-    out = []
-    for place, name in enumerate(names, 1):
-        base = (name or "").strip() or f"Unnamed Column {place}"
-        key = "".join(ch for ch in base.upper() if ch.isalnum()) or base
-        seen[key] = seen.get(key, 0) + 1
-        out.append(base if seen[key] == 1 else f"{base} [{seen[key]}]")
-    return out
-
-
 def classify_rows(rows: DataFrame, headers: dict[str, str]) -> DataFrame:
     """Adds `row_class`: blank, stamp, header or data. `headers` maps the text columns to their header texts."""
     cells = F.array(*[strip(F.coalesce(c, F.lit(""))) for c in headers])

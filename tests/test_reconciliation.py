@@ -54,8 +54,8 @@ def test_every_row_has_the_expected_outcome(run):
     assert got == {
         1: ("matched", "MATCH_EXACT_PO_INVOICE_AMOUNT"), 2: ("matched", "MATCH_EXACT_PO_INVOICE_AMOUNT"),
         3: ("matched", "MATCH_AGGREGATE_PO_AMOUNT"), 4: ("variance", "REVIEW_HOLD_AMOUNT_VARIANCE"),
-        5: ("reference_hold", "REVIEW_HOLD_WEAK_REFERENCE"), 6: ("unmatched", "TRUE_UNMATCHED_NO_INFINIUM_CANDIDATE"),
-        7: ("matched", "MATCH_EXACT_PO_INVOICE_AMOUNT"), 8: ("duplicate", "EXACT_QBO_DUPLICATE_EXCESS_COPY"),
+        5: ("reference_hold", "REVIEW_HOLD_WEAK_REFERENCE"), 6: ("unmatched", "TRUE_UNMATCHED_NO_B_CANDIDATE"),
+        7: ("matched", "MATCH_EXACT_PO_INVOICE_AMOUNT"), 8: ("duplicate", "EXACT_A_DUPLICATE_EXCESS_COPY"),
         9: ("reference_hold", "REVIEW_HOLD_EXACT_CANDIDATE_NOT_UNIQUE"),
         10: ("duplicate_hold", "REVIEW_HOLD_POTENTIAL_DUPLICATE"),
         11: ("reference_hold", "REVIEW_HOLD_CONFLICTING_LINKS"), 12: ("reference_hold", "REVIEW_HOLD_INVALID_AMOUNT"),
