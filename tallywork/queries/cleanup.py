@@ -239,14 +239,16 @@ def by_location(t):
 
 @query(
     "section_search",
-    """WITH d AS (SELECT doc_id, source AS title, lang || ' ' || substr(text, 1, 0) AS summary, string_split(text, chr(10)) AS sections FROM documents),
-    f AS (SELECT *, list_filter(sections, lambda s: contains(lower(title) || ' ' || lower(s), 'the') AND contains(lower(title) || ' ' || lower(s), 'and')) AS own FROM d)
-    SELECT doc_id, CAST(len(own) AS INT) AS found, CAST(len(sections) AS INT) AS total_sections FROM f WHERE len(own) > 0""",
+    """WITH d AS (SELECT doc_id, source AS title, text AS summary, string_split(text, chr(10)) AS sections FROM documents),
+    f AS (SELECT *, list_filter(sections, lambda s: contains(lower(title) || ' ' || lower(s), 'the') AND contains(lower(title) || ' ' || lower(s), 'and')) AS own,
+      contains(lower(title || ' ' || summary), 'the') AND contains(lower(title || ' ' || summary), 'and') AS whole FROM d),
+    g AS (SELECT doc_id, CASE WHEN len(own) = 0 AND whole THEN len(sections) ELSE len(own) END AS found, len(sections) AS total_sections FROM f)
+    SELECT doc_id, CAST(found AS INT) AS found, CAST(total_sections AS INT) AS total_sections FROM g WHERE found > 0""",
 )
 def sections(t):
-    """Lines of every document as its sections; only lines with both words stay."""
+    """Lines of every document as its sections; lines with both words stay, or all of them if only the text as a whole has both."""
     docs = t.documents.select(
-        "doc_id", F.col("source").alias("title"), F.concat(F.col("lang"), F.lit(" ")).alias("summary"), F.split("text", "\n").alias("sections")
+        "doc_id", F.col("source").alias("title"), F.col("text").alias("summary"), F.split("text", "\n").alias("sections")
     )
     return tax.search_sections(docs, "the and").select("doc_id", F.size("found").alias("found"), "total_sections")
 

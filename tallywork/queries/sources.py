@@ -141,10 +141,10 @@ def versions(t):
 
 @query(
     "formula_safe_text",
-    """SELECT doc_id, k, CASE WHEN regexp_matches(x, '^[=+\\-@]') THEN '''' || x ELSE x END AS safe FROM (SELECT doc_id, 1 AS k, substr(text, 1, 20) AS x FROM documents UNION ALL SELECT doc_id, 2, '=' || lang FROM documents)""",
+    """SELECT doc_id, k, CASE WHEN regexp_matches(x, '^[=+\\-@]') THEN '''' || x ELSE x END AS safe FROM (SELECT doc_id, 1 AS k, text AS x FROM documents UNION ALL SELECT doc_id, 2, '=' || lang FROM documents)""",
 )
 def safe(t):
-    head = t.documents.select("doc_id", F.lit(1).alias("k"), F.substring("text", 1, 20).alias("x"))
+    head = t.documents.select("doc_id", F.lit(1).alias("k"), F.col("text").alias("x"))
     both = head.unionByName(t.documents.select("doc_id", F.lit(2).alias("k"), F.concat(F.lit("="), "lang").alias("x")))
     return both.select("doc_id", "k", formula_safe("x").alias("safe"))
 
@@ -175,7 +175,7 @@ def normalized(t):
     name = F.when(F.col("turn") % 3 != 0, F.col("role"))
     raw = t.conversations.select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.upper("role").alias("mailbox"), F.when(F.col("turn") % 4 == 3, "not a date").otherwise("2026-01-05 10:00:00").alias("received_on"),
-        F.lit(None).cast("string").alias("folder"), F.col("role").alias("from_addr"), F.col("role").alias("to_addr"), F.substring("text", 1, 30).alias("subject"), F.col("text").alias("preview"),
+        F.lit(None).cast("string").alias("folder"), F.col("role").alias("from_addr"), F.col("role").alias("to_addr"), F.col("text").alias("subject"), F.col("text").alias("preview"),
         F.when(F.col("turn") % 2 == 0, F.concat(F.lit("https://x.org/"), F.col("turn").cast("string"))).otherwise("http://x.org").alias("web_link"),
         F.array(F.struct(name.alias("name"), F.col("text").alias("text"))).alias("attachments"),
     )

@@ -76,7 +76,7 @@ def measures(t):
 
 
 _MSG = """SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS id, 'box' || CAST(conv_id % 3 AS STRING) || '@x.org' AS mailbox, CASE WHEN turn % 5 = 4 THEN 'Junk' ELSE 'Inbox' END AS folder,
-  role || '@y.org' AS from_addr, 'box' || CAST(conv_id % 3 AS STRING) || '@x.org' AS to_addr, substr(text, 1, 60) AS subject, conv_id * 100 + turn AS received_on, text,
+  role || '@y.org' AS from_addr, 'box' || CAST(conv_id % 3 AS STRING) || '@x.org' AS to_addr, text AS subject, conv_id * 100 + turn AS received_on, text,
   lower('File  ' || CAST(conv_id % 50 AS STRING) || '.PDF') AS file_name FROM conversations"""
 _RULE_ROWS = """SELECT 'BOX' || CAST(r_regionkey AS STRING) || '@x.org' AS mailbox, CASE WHEN r_regionkey = 1 THEN 'Inbox' ELSE '' END AS folder, CASE WHEN r_regionkey = 2 THEN 'user, assistant' ELSE '' END AS sender, '' AS recipient,
   CASE WHEN r_regionkey = 0 THEN 'the,an' ELSE 'e' END AS subject, CASE WHEN r_regionkey = 0 THEN 'received' WHEN r_regionkey = 1 THEN 'approved' ELSE 'sent' END AS rule_stage, r_regionkey AS rule_order FROM region WHERE r_regionkey < 3

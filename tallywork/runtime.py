@@ -67,12 +67,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return _fallback_dir[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared scratch folder and read it back: a short plan that survives lost executors."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared scratch folder, which `release_scratch` deletes."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written.append(path)
+    return path
+
+
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write `df` to the shared scratch folder and read it back: a short plan that survives lost executors. `options` are
+    those of the Parquet writer."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
