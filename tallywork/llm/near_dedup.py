@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count("*").alias("n"))
     buckets = cut(rows.join(shared.where("_low < _high").select("key", "n"), "key").distinct(), "buckets")
     wanted = cut(classes.join(buckets.select("c").distinct(), "c", "left_semi"), "wanted")
-    reps = wanted.select("rep").distinct()
+    reps = wanted.select("rep").distinct().hint("merge")  # grows with the corpus: the same plan at every size
     bodies = docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi").mapInArrow(_full_sets, SETS)
     sets = cut(bodies.join(wanted.select("hi", "lo", "c"), ["hi", "lo"]).select("c", "shingles"), "sets")
     found = _linked(buckets, sets)
