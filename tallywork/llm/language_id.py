@@ -34,8 +34,25 @@ def training_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def _number(order: int, gram: str) -> int:
-    return xxhash.xxh3_64_intdigest(gram, seed=order) >> 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _numbers(order: int, sums: np.ndarray) -> np.ndarray:
+    """Hash numbers of grams of `order` characters from their polynomial sums."""
+    return (w.mixed(sums + np.uint64(order)) >> np.uint64(1)).astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _sums(codes: np.ndarray) -> list[np.ndarray]:
+    """For 0 to ORDER characters the polynomial sum of the last so many at each place, the latest with the lowest power."""
+    out = [np.zeros(len(codes), np.uint64)]
+    for k in range(ORDER):
+        back = np.concatenate((np.zeros(min(k, len(codes)), np.uint64), codes[:max(len(codes) - k, 0)]))
+        out.append(out[-1] + back * np.uint64(pow(int(_STEP), k, 1 << 64)))
+    return out
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +72,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Table:
-    """Sorted gram numbers with their discounted probabilities, sorted context numbers with their back-off weights."""
+    """Of one order, a column for each language: sorted gram numbers with their discounted probabilities, sorted context
+    numbers with their back-off weights (1 for a context the language never had)."""
 
     grams: np.ndarray
     share: np.ndarray
@@ -65,61 +83,64 @@ class Table:
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
     if not len(keys):
-        return np.full(len(wanted), missing)
+        return np.full((len(wanted), values.shape[1]), missing)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
+    return np.where((keys[at] == wanted)[:, None], values[at], missing)
+
 
+def _spread(numbers: np.ndarray, language: np.ndarray, values: np.ndarray, languages: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(numbers, return_inverse=True)
+    out = np.full((len(keys), languages), missing)
+    out[at, language] = values
+    return keys, out
 
-def _table(order: int, counts: dict[str, int]) -> Table:
-    """counts: gram to its count (highest order) or to the number of characters seen before it (lower orders)."""
-    total: Counter = Counter()
-    kinds: Counter = Counter()
-    for gram, n in counts.items():
-        total[gram[:-1]] += n
-        kinds[gram[:-1]] += 1
-    rows = sorted((_number(order, g), max(n - DISCOUNT, 0.0) / total[g[:-1]]) for g, n in counts.items())
-    back = sorted((_number(order, c), DISCOUNT * kinds[c] / n) for c, n in total.items())
-    return Table(
-        np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]),
-        np.array([r[0] for r in back], np.int64), np.array([r[1] for r in back]),
-    )
+
+def _table(order: int, counts: dict[tuple[int, str], int], languages: int) -> Table:
+    """counts: (language, gram) to its count (highest order) or to the number of characters seen before it (lower)."""
+    language = np.fromiter((k for k, _ in counts), np.int64, len(counts))
+    n = np.fromiter(counts.values(), np.float64, len(counts))
+    codes = _codes("".join(gram for _, gram in counts)).reshape(-1, order)
+    sums = np.stack(_sums(codes.reshape(-1)), axis=1).reshape(len(counts), order, ORDER + 1)
+    grams = _numbers(order, sums[:, -1, order])
+    contexts = _numbers(order, sums[:, -2, order - 1]) if order > 1 else _numbers(order, np.zeros(len(counts), np.uint64))
+    pairs, at = np.unique(np.stack((language, contexts)), axis=1, return_inverse=True)
+    total, kinds = np.bincount(at, n), np.bincount(at)
+    share = _spread(grams, language, np.maximum(n - DISCOUNT, 0) / total[at], languages, 0.0)
+    rest = _spread(pairs[1], pairs[0], DISCOUNT * kinds / total, languages, 1.0)
+    return Table(*share, *rest)
 
 
 @dataclass
 class Model:
-    """One list of tables per language, order 1 first."""
+    """One table per order, order 1 first."""
 
     languages: list[str]
-    tables: list[list[Table]]
+    tables: list[Table]
     characters: int
     limit: float = math.inf  # bits a character above which a text is like none of the languages
 
-    def word_bits(self, words: list[str]) -> np.ndarray:
-        """Bits of each word and the bound after it under each language."""
-        numbers: list[list[int]] = [[] for _ in range(ORDER)]
-        contexts: list[list[int]] = [[] for _ in range(ORDER)]
-        sizes = []
-        for word in words:
-            text = _BOUND + word.lower() + _BOUND
-            sizes.append(len(text) - 1)
-            for end in range(2, len(text) + 1):
-                for size in range(1, ORDER + 1):
-                    if size > end:  # shorter than the order: the longer models pass everything on
-                        numbers[size - 1].append(-1)
-                        contexts[size - 1].append(-1)
-                    else:
-                        gram = text[end - size:end]
-                        numbers[size - 1].append(_number(size, gram))
-                        contexts[size - 1].append(_number(size, gram[:-1]))
+    def word_bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each word and the bound after it under each language, and the number of these characters.
+
+        A character's chance depends on the last ORDER characters alone, so each such run is looked up once."""
+        lowered = [word.lower() for word in words]
+        codes = _codes(_BOUND + "".join(word + _BOUND for word in lowered))
+        place = np.arange(1, len(codes))
+        bound = np.maximum.accumulate(np.where(codes[:-1] == ord(_BOUND) + 1, place - 1, 0))
+        size = np.minimum(place - bound + 1, ORDER)
+        sums = _sums(codes)
+        top = np.stack(sums)[size, place] + size.astype(np.uint64) * _STEP
+        _, first, back = np.unique(top, return_index=True, return_inverse=True)
+        at, size = place[first], size[first]
+        chance = np.full((len(at), len(self.languages)), 1.0 / (self.characters + 1))
+        for order, table in enumerate(self.tables, 1):
+            gram, context = _numbers(order, sums[order][at]), _numbers(order, sums[order - 1][at - 1])
+            longer = _look(table.grams, table.share, gram, 0.0) + _look(table.contexts, table.rest, context, 1.0) * chance
+            chance = np.where((size >= order)[:, None], longer, chance)
+        bits, sizes = -np.log2(chance), np.array([len(word) + 1 for word in lowered], np.int64)
         starts = w.bounds(sizes)[:-1]
-        grams, before = [np.array(x, np.int64) for x in numbers], [np.array(x, np.int64) for x in contexts]
-        out = np.zeros((len(words), len(self.languages)))
-        for k, tables in enumerate(self.tables):
-            chance = np.full(len(grams[0]), 1.0 / (self.characters + 1))
-            for order, table in enumerate(tables):
-                chance = _look(table.grams, table.share, grams[order], 0.0) + _look(table.contexts, table.rest, before[order], 1.0) * chance
-            out[:, k] = np.add.reduceat(-np.log2(chance), starts) if len(starts) else 0
-        return out
+        columns = [np.add.reduceat(bits[back, k], starts) if len(words) else np.zeros(0) for k in range(len(self.languages))]
+        return np.stack(columns, axis=1), sizes
 
 
 class Scorer:
@@ -140,14 +161,13 @@ class Scorer:
         if len(self.place) + len(fresh) > w.CACHE_WORDS:
             self._forget()
             fresh = sorted({x for words in split for x in words})
-        for a in range(0, len(fresh), 5_000):
-            part = fresh[a:a + 5_000]
+        for a in range(0, len(fresh), 20_000):
+            part = fresh[a:a + 20_000]
             decoded = [x.decode() for x in part]
             at = len(self.place)
             while at + len(part) > len(self.sizes):
                 self.bits, self.sizes = np.concatenate((self.bits, self.bits)), np.concatenate((self.sizes, self.sizes))
-            self.bits[at:at + len(part)] = self.model.word_bits(decoded)
-            self.sizes[at:at + len(part)] = [len(x) + 1 for x in decoded]
+            self.bits[at:at + len(part)], self.sizes[at:at + len(part)] = self.model.word_bits(decoded)
             self.place.update((x, at + k) for k, x in enumerate(part))
         ends = w.bounds([len(x) for x in split])
         at = np.fromiter((self.place[x] for words in split for x in words), np.int64, int(ends[-1]))
@@ -174,6 +194,21 @@ def _sample(rows: DataFrame, limit: int) -> DataFrame:
     return near.withColumn("_sum", F.sum(F.octet_length("text")).over(order)).where(F.col("_sum") <= share).select("doc_id", "lang", "text")
 
 
+def build(langs: list[str], grams: list[str], times: list[int]) -> Model:
+    """The model of summed gram counts."""
+    languages = sorted(set(langs))
+    number = {lang: k for k, lang in enumerate(languages)}
+    counts: list[dict[tuple[int, str], int]] = [{} for _ in range(ORDER)]
+    for lang, gram, n in zip(map(number.get, langs), grams, times):
+        # A gram that starts with the bound has nothing before it: its own count stands for what precedes it.
+        if len(gram) == ORDER or gram[0] == _BOUND and len(gram) > 1:
+            counts[len(gram) - 1][lang, gram] = n
+        if len(gram) > 1:
+            counts[len(gram) - 2][lang, gram[1:]] = counts[len(gram) - 2].get((lang, gram[1:]), 0) + 1
+    characters = sum(len(gram) == 1 for gram in set(grams))
+    return Model(languages, [_table(k, c, len(languages)) for k, c in enumerate(counts, 1)], characters)
+
+
 def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Models of the languages of `docs(doc_id, text, lang)`, from a sample of whole rows that may be learned from, at
     most `sample_bytes` of text in equal shares; an eighth of the rows is put aside for the threshold of rejection. Rows
@@ -184,22 +219,7 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
     words = words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     grams = words.mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = grams.toPandas()  # no more rows than the sample has characters times ORDER
-    by_lang: dict[str, dict[str, int]] = {}
-    for lang, gram, n in zip(found["lang"], found["gram"], found["n"]):
-        by_lang.setdefault(lang, {})[gram] = int(n)
-    languages = sorted(by_lang)
-    tables = []
-    for lang in languages:
-        counts: list[dict[str, int]] = [{} for _ in range(ORDER)]
-        for gram, n in by_lang[lang].items():
-            # A gram that starts with the bound has nothing before it: its own count stands for what precedes it.
-            if len(gram) == ORDER or gram[0] == _BOUND and len(gram) > 1:
-                counts[len(gram) - 1][gram] = n
-            if len(gram) > 1:
-                counts[len(gram) - 2][gram[1:]] = counts[len(gram) - 2].get(gram[1:], 0) + 1
-        tables.append([_table(k + 1, c) for k, c in enumerate(counts)])
-    characters = len({g for own in by_lang.values() for g in own if len(g) == 1})
-    model = Model(languages, tables, characters)
+    model = build(found["lang"].tolist(), found["gram"].tolist(), found["n"].tolist())
     model.limit = _threshold(model, rows.where(aside), sample_bytes)
     return model
 
