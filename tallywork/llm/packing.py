@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,9 @@ CAPACITY = 2048
 END_ID = 1
 GROUP_ITEMS = 4096  # remainders packed together; the last window of a group is cut, so larger groups cut less
 TOKENIZER = "word_bpe_49k.json"
+KNOWN_WORDS = 400_000  # words a Python worker remembers the ids of
+_TAIL = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)  # ASCII signs but the apostrophe
+_LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")  # one letter each, composed as they stand
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -25,47 +31,93 @@ PIECES = T.StructType([
 _ARROW = pa.schema([(f.name, pa.int64()) for f in PIECES])
 
 
+class _Places(dict):
+    """Word to its place among the words met so far; new words are noted in `fresh`."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class WordIds:
-    """Token ids of whole texts by way of the ids of their words. The vocabulary splits at white space before anything
-    else, so the ids of a text are those of its words in a row."""
+    """Token ids of whole texts by way of the ids of their words. The vocabulary lower-cases and splits at white space,
+    and between a letter or digit and the signs behind it, before anything else; so the ids of a text are those of its
+    words in a row, and those of a word are those of its core and its tail. Texts that spell a special token are split at
+    white space only. What was met before is remembered, up to KNOWN_WORDS words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same vocabulary for parts that need no other step than the bytes' spelling: many parts in one call.
+        model = json.loads(self.tokenizer.to_str())
+        spelling = [x for x in model["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel"]
+        self.plain = Tokenizer.from_str(json.dumps(model | {"normalizer": None, "pre_tokenizer": spelling[0], "added_tokens": []}))
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.places = _Places()
         self.pool = np.zeros(1 << 20, np.uint32)
-        self.used, self.starts, self.sizes = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        coded = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
-        first = len(self.known)
-        ids = [c.ids for c in coded]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.used, self.starts, self.sizes = 0, np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+
+    def _coded(self, parts: list[bytes]) -> dict[bytes, list[int]]:
+        out, letters, lowered, rest = {}, [], [], []
+        for part in parts:
+            text = part.decode()
+            if _LETTERS.fullmatch(text):
+                letters.append(part)
+                lowered.append(text.lower())
+            else:
+                rest.append((part, text))
+        if letters:
+            coded = self.plain.encode(lowered, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = coded.ids, np.cumsum(np.bincount(np.array(coded.word_ids), minlength=len(letters))).tolist()
+            out.update((part, ids[a:b]) for part, a, b in zip(letters, [0, *ends], ends))
+        coded = self.tokenizer.encode_batch_fast([text for _, text in rest], add_special_tokens=False)
+        out.update((part, c.ids) for (part, _), c in zip(rest, coded))
+        return out
+
+    def _learn(self) -> None:
+        """Ids of the words noted since the last time; parts of words that were not met before become words too."""
+        places, fresh = self.places, self.places.fresh
+        first = len(places) - len(fresh)
+        split = [m.groups() if b"<|" not in x and (m := _TAIL.fullmatch(x)) else (x,) for x in fresh]
+        wanted = {part for parts in split for part in parts}
+        unknown = [part for part in wanted if places.get(part, first) >= first]
+        ids = self._coded(unknown)
+        for part in wanted.difference(unknown):
+            at = places[part]
+            ids[part] = self.pool[self.starts[at]:self.starts[at] + self.sizes[at]].tolist()
+        found = [ids[x[0]] if len(x) == 1 else ids[x[0]] + ids[x[1]] for x in split]
+        for part in unknown:
+            if part not in places:
+                places[part]
+                found.append(ids[part])
+        places.fresh = []
+        sizes, last = np.fromiter(map(len, found), np.int32, len(found)), len(places)
         total = int(sizes.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while first + len(words) > len(self.starts):
+        while last > len(self.starts):
             self.starts, self.sizes = np.concatenate((self.starts, self.starts)), np.concatenate((self.sizes, self.sizes))
-        self.pool[self.used:self.used + total] = np.fromiter((x for own in ids for x in own), np.uint32, total)
-        self.starts[first:first + len(words)] = self.used + np.concatenate(([0], np.cumsum(sizes)[:-1])) if words else 0
-        self.sizes[first:first + len(words)] = sizes
+        self.pool[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.starts[first:last] = self.used + w.bounds(sizes)[:-1]
+        self.sizes[first:last] = sizes
         self.used += total
-        for k, word in enumerate(words, first):
-            self.known[word] = k
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [text.split() for text in texts]
-        fresh = {x for words in split for x in words if x not in self.known}
-        if len(self.known) + len(fresh) > w.CACHE_WORDS:
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        if len(self.places) > KNOWN_WORDS or self.used > 8 * KNOWN_WORDS:
             self._forget()
-            fresh = {x for words in split for x in words}
-        self._learn(sorted(fresh))
         ends = w.bounds([len(words) for words in split])
-        at = np.fromiter((self.known[x] for words in split for x in words), np.int64, int(ends[-1]))
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int32, int(ends[-1]))
+        if self.places.fresh:
+            self._learn()
         sizes = self.sizes[at]
         places = w.bounds(sizes)
         ids = self.pool[np.repeat(self.starts[at] - places[:-1], sizes) + np.arange(int(places[-1]))]
