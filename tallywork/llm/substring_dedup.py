@@ -14,7 +14,6 @@ from . import words as w
 WINDOW_WORDS = 35
 ANCHOR_WORDS = 8
 CHUNK_BYTES = 4 << 20  # text that one task holds at a time
-_known = w.WordNumbers()
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -28,11 +27,11 @@ def chunk_of(chunks: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(chunks)).cast("int")
 
 
-def _windows(documents: list[bytes], window: int, anchor: int):
+def _windows(documents: list[bytes], window: int, anchor: int, numbers: w.WordNumbers):
     """Words of each text, their bounds, and for each window that lies in one text: start, place of its anchor, and
     numbers of the anchor and the window."""
     split = [text.split() for text in documents]
-    values, ends = w.numbers(split, _known)
+    values, ends = w.numbers(split, numbers)
     keys = w.grams(values, window)
     inside = np.zeros(len(keys) + 1, np.int64)
     for a, b in zip(ends[:-1], ends[1:]):
@@ -51,9 +50,10 @@ def _both(window: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 def _seeds(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The anchors of each text: `(seed, chunk, n)`."""
+        """The anchors of each text: `(seed, chunk)`."""
+        numbers = w.WordNumbers()
         for batch in w.blocks(batches):
-            _, ends, starts, places, seeds, _ = _windows(w.texts(batch), window, anchor)
+            _, ends, starts, places, seeds, _ = _windows(w.texts(batch), window, anchor, numbers)
             if not len(starts):
                 continue
             new = np.concatenate(([True], places[1:] != places[:-1]))
@@ -69,10 +69,10 @@ def _seeds(window: int, anchor: int):
 def _extended(window: int, anchor: int):
     def run(key, texts: pa.Table, seeds: pa.Table) -> pa.Table:
         """Windows of the chunk whose anchor is repeated in the corpus: `(window, seed, chunk, n)`."""
-        known = np.sort(seeds.column("seed").to_numpy().view(np.uint64))
+        numbers, known = w.WordNumbers(), np.sort(seeds.column("seed").to_numpy().view(np.uint64))
         found: dict[str, list] = {"window": [], "seed": [], "_chunk": [], "n": []}
-        for batch in w.blocks(texts.to_batches()) if len(known) else ():
-            _, _, starts, _, own, keys = _windows(w.texts(batch), window, anchor)
+        for batch in w.blocks(texts.to_batches(), "_packed", w.BLOCK_BYTES // 2) if len(known) else ():
+            _, _, starts, _, own, keys = _windows([t or b"" for t in w.opened(batch)], window, anchor, numbers)
             hit = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
             own, keys = own[hit], keys[hit]
             _, first, n = np.unique(_both(keys, own), return_index=True, return_counts=True)
@@ -90,23 +90,14 @@ def _extended(window: int, anchor: int):
 def _kept(window: int, anchor: int, carry: list[str], schema: pa.Schema):
     def run(key, texts: pa.Table, repeated: pa.Table) -> Iterator[pa.RecordBatch]:
         """Each text without the words that a repeated window covers."""
-        known = repeated.column("window").to_numpy().view(np.uint64)
-        marks = repeated.column("seed").to_numpy().astype(np.int64)
-        order = np.argsort(known)
-        known, marks = known[order], marks[order]
-        for batch in w.blocks(texts.to_batches()):
-            split, ends, starts, _, own, keys = _windows(w.texts(batch), window, anchor)
+        numbers = w.WordNumbers()
+        known = np.sort(repeated.column("window").to_numpy().view(np.uint64))
+        for batch in w.blocks(texts.to_batches(), "_packed", w.BLOCK_BYTES // 2):
+            whole = w.opened(batch)
+            split, ends, starts, _, _, keys = _windows([t or b"" for t in whole], window, anchor, numbers)
             cover = np.zeros(int(ends[-1]) + 1, np.int32)
             if len(known) and len(starts):
-                at = np.searchsorted(known, keys)
-                hit, seed = np.zeros(len(keys), bool), (own >> np.uint64(33)).astype(np.int64)
-                while True:  # equal window numbers with other anchors stand side by side
-                    inside = at < len(known)
-                    same = inside & (known[np.minimum(at, len(known) - 1)] == keys)
-                    hit |= same & (marks[np.minimum(at, len(known) - 1)] == seed)
-                    if not (same & ~hit).any():
-                        break
-                    at = at + (same & ~hit)
+                hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
                 np.add.at(cover, starts[hit], 1)
                 np.add.at(cover, starts[hit] + window, -1)
             gone = np.cumsum(cover)[:-1] > 0
@@ -119,7 +110,8 @@ def _kept(window: int, anchor: int, carry: list[str], schema: pa.Schema):
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist() if n else []
                 spans.append([{"start": x, "stop": y} for x, y in zip(edges[::2], edges[1::2])])
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), *(batch.column(c) for c in carry), pa.array([len(x) for x in split], pa.int64()),
+                batch.column("doc_id"),
+                *(batch.column(c) if c != "text" else pa.array(whole, pa.binary()).cast(pa.string()) for c in carry), pa.array([len(x) for x in split], pa.int64()),
                 pa.array(counts, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.string()),
             ], schema=schema)
 
@@ -136,7 +128,8 @@ def remove_repeats(
     windows have the same anchor at the same place. Anchors that occur twice in the corpus are kept. Extend: the
     windows that hold a repeated anchor, from as far left to as far right of it as a window reaches, are counted over
     the corpus; overlapping repeated windows join into maximal repeats (`spans` in words). No pair of places is ever
-    written: a passage in a third of all rows adds a number to a count. Window and anchor numbers make 95 bits.
+    written: a passage in a third of all rows adds a number to a count. Windows are counted by 95 bits (of window and
+    anchor), and found again in their chunk by 64.
 
     Nulls and texts shorter than a window: nothing is removed (null: no words, empty `kept_text`). Repeated rows remove
     each other's words, also with equal or null doc_id. Columns that are not carried are not read. An empty table gives
@@ -149,13 +142,15 @@ def remove_repeats(
     seeds = cut(docs.select("text", "_chunk").mapInArrow(_seeds(window, anchor), "seed long, _chunk int"), "seeds")
     twice = seeds.groupBy("seed").count().where("count > 1").select("seed")
     per_chunk = seeds.join(twice, "seed", "left_semi").distinct()
-    texts = docs.select(*columns, "_chunk")
+    crossing = T.StructType([*(docs.schema[c] for c in columns if c != "text"), docs.schema["_chunk"], T.StructField("_packed", T.BinaryType())])
+    texts = docs.select(*columns, "_chunk").mapInArrow(w.packed, crossing)
+    bare = T.StructType([docs.schema["_chunk"], T.StructField("_packed", T.BinaryType())])
     windows = cut(
-        texts.select("text", "_chunk").groupBy("_chunk").cogroup(per_chunk.groupBy("_chunk"))
+        docs.select("text", "_chunk").mapInArrow(w.packed, bare).groupBy("_chunk").cogroup(per_chunk.groupBy("_chunk"))
         .applyInArrow(_extended(window, anchor), "window long, seed int, _chunk int, n int"), "windows",
     )
     repeated = windows.groupBy("window", "seed").agg(F.sum("n").alias("n")).where("n > 1").select("window", "seed")
-    back = windows.join(repeated, ["window", "seed"], "left_semi").select("_chunk", "window", "seed").distinct()
+    back = windows.join(repeated, ["window", "seed"], "left_semi").select("_chunk", "window")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     out = T.StructType([
         docs.schema["doc_id"], *(docs.schema[c] for c in carry), T.StructField("n_words", T.LongType()),

@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 
 BLOCK_BYTES = 4 << 20  # text per numpy block inside a task
-CACHE_WORDS = 300_000  # words remembered by a Python worker before it starts anew
+CACHE_WORDS = 200_000  # words a task remembers before it starts anew
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,6 +42,21 @@ def texts(batch: pa.RecordBatch | pa.Table, column: str = "text") -> list[bytes]
     return [b"" if text is None else text for text in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with each text compressed on its own, in a binary column `_packed`: for texts that are to be
+    shuffled, which takes the most room of all. `opened` gives the texts back."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in blocks(batches):
+        small = [None if text is None else press.compress(text) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+        rest = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(small, pa.binary())], names=[*rest, "_packed"])
+
+
+def opened(batch: pa.RecordBatch) -> list[bytes | None]:
+    press = zstandard.ZstdDecompressor()
+    return [None if data is None else press.decompress(data) for data in batch.column("_packed").to_pylist()]
+
+
 def bounds(counts: list[int]) -> np.ndarray:
     """Start of each text in the joined word array, and its end."""
     out = np.zeros(len(counts) + 1, np.int64)
