@@ -17,7 +17,6 @@ SHINGLE_WORDS = 5
 BAND_ROWS = 3
 BANDS = 24  # a pair at similarity 0.75 shares no band with probability (1 - 0.75^3)^24 = 2e-6
 SLICE = 1 << 15  # shingles per numpy step: stays in the processor's cache
-_known = w.WordNumbers()
 _SIGMA, _PI = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 SKETCH = T.StructType([
@@ -30,10 +29,10 @@ SETS = T.StructType([
 ])
 
 
-def shingle_sets(documents: list[bytes]) -> list[np.ndarray]:
+def shingle_sets(documents: list[bytes], known: w.WordNumbers) -> list[np.ndarray]:
     """The sorted distinct shingle numbers of each text."""
     split = [text.lower().split() for text in documents]
-    values, ends = w.numbers(split, _known)
+    values, ends = w.numbers(split, known)
     grams = w.grams(values, SHINGLE_WORDS)
     out = []
     for a, b in zip(ends[:-1], ends[1:]):
@@ -70,8 +69,9 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    known = w.WordNumbers()
     for batch in w.blocks(batches):
-        sets = shingle_sets(w.texts(batch))
+        sets = shingle_sets(w.texts(batch), known)
         full = [s for s in sets if len(s)]
         signs = signatures(full, BANDS * BAND_ROWS)
         keys = np.empty((len(full), BANDS), np.uint64)
@@ -93,8 +93,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    known = w.WordNumbers()
     for batch in w.blocks(batches):
-        sets = shingle_sets(w.texts(batch))
+        sets = shingle_sets(w.texts(batch), known)
         marks = [digest(s) for s in sets]
         joined = w.signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(w.bounds([len(s) for s in sets]), pa.int32()), pa.array(joined))

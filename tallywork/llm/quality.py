@@ -49,14 +49,11 @@ class WordFeatures(dict):
         return found
 
 
-_known = WordFeatures()
-
-
-def term_weights(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def term_weights(texts: list[bytes], known: WordFeatures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows `(bounds, slots, 1 + log count)` of the texts."""
     split = [text.split() for text in texts]
     ends = w.bounds([3 * len(words) for words in split])
-    slots = np.fromiter((s for words in split for x in words for s in _known[x]), np.int64, int(ends[-1]))
+    slots = np.fromiter((s for words in split for x in words for s in known[x]), np.int64, int(ends[-1]))
     owner = np.repeat(np.arange(len(texts)), np.diff(ends))
     pairs, n = np.unique(owner * FEATURES + slots, return_counts=True)
     return np.searchsorted(pairs, np.arange(len(texts) + 1) * FEATURES), pairs % FEATURES, (1 + np.log(n)).astype(np.float32)
@@ -71,8 +68,8 @@ class Voters:
     labels: np.ndarray
     prior: float
 
-    def latent(self, texts: list[bytes]) -> np.ndarray:
-        bounds, slots, weights = term_weights(texts)
+    def latent(self, texts: list[bytes], known: WordFeatures) -> np.ndarray:
+        bounds, slots, weights = term_weights(texts, known)
         out = np.zeros((len(texts), self.axes.shape[1]), np.float32)
         full = np.flatnonzero(bounds[1:] > bounds[:-1])
         for part in np.array_split(full, max(1, len(slots) // 20_000)):
@@ -81,12 +78,12 @@ class Voters:
                 out[part] = np.add.reduceat(self.axes[slots[a:b]] * weights[a:b, None], bounds[part] - a, axis=0)
         return _unit(out)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[bytes], known: WordFeatures) -> np.ndarray:
         """Share of the votes for label 1; without any similar neighbour the share of label 1 among all labels."""
         out = np.full(len(texts), self.prior)
         if not len(self.vectors):
             return out
-        latent, k = self.latent(texts), min(NEIGHBOURS, len(self.vectors))
+        latent, k = self.latent(texts, known), min(NEIGHBOURS, len(self.vectors))
         for start in range(0, len(texts), BLOCK_DOCS):
             near = latent[start:start + BLOCK_DOCS] @ self.vectors.T
             top = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k:]
@@ -117,8 +114,9 @@ def training_rows(doc_id: Column) -> Column:
 
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("feature", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32())), ("label", pa.int32())])
+    known = WordFeatures()
     for batch in w.blocks(batches):
-        bounds, slots, weights = term_weights(w.texts(batch))
+        bounds, slots, weights = term_weights(w.texts(batch), known)
         at = pa.array(bounds, pa.int32())
         yield pa.RecordBatch.from_arrays([
             pa.ListArray.from_arrays(at, pa.array(slots, pa.int32())), pa.ListArray.from_arrays(at, pa.array(weights)),
@@ -152,8 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def _scored(voters: Voters, schema: pa.Schema, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordFeatures()
         for batch in w.blocks(batches):
-            score = voters.value.score(w.texts(batch))
+            score = voters.value.score(w.texts(batch), known)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), *(batch.column(c) for c in carry), pa.array(score),
                 pa.array((score >= 0.5).astype(np.int32)),
