@@ -7,22 +7,36 @@ from dataclasses import dataclass
 import numpy as np
 
 DEPTH = 6
+HEAD = 2  # bytes of a word whose context reaches back into the word before
+BEFORE = 3  # bytes of that word it reaches
 _DIGIT = 9  # bits of one byte of context (0: none); six of them and the coded byte fit in 62 bits
-_BREAK = 0x20  # ends every word and stands before it; a word has none inside
-_HIGH = np.iinfo(np.int64).max
 
 
-def slots(words: list[bytes]) -> np.ndarray:
-    """For each byte of each word and its end, `context << 8 | byte`, in order; the context is what came before in the
-    word, back to the break before it, at most DEPTH bytes, the latest byte lowest."""
-    text = np.frombuffer(b" " + b"".join(x + b" " for x in words), np.uint8).astype(np.int64)
-    n = len(text) - 1
-    context, alive = np.zeros(n, np.int64), np.ones(n, bool)
+def heads(words: list[bytes]) -> list[bytes]:
+    """For each word what its first HEAD bytes are coded from: the last BEFORE bytes of the word before it (with the break
+    before those if it is shorter), the break, and the bytes themselves (with the break behind them)."""
+    return [(b" " + a)[-BEFORE:] + b" " + (x + b" ")[:HEAD] for a, x in zip([b"", *words[:-1]], words)]
+
+
+def slots(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """`context << 8 | byte` of each coded byte, and the keys' bounds in it. Of a head those behind its break; of a word
+    those behind its first HEAD bytes and the break that ends it. The context is what stands before in the key, for a
+    word from the break before it on, at most DEPTH bytes, the latest byte lowest."""
+    whole = [key if b" " in key else b" " + key + b" " for key in keys]
+    first = [key.index(b" ", 1) + 1 if b" " in key else HEAD + 1 for key in keys]
+    starts = np.zeros(len(keys) + 1, np.int64)
+    np.cumsum([len(x) for x in whole], out=starts[1:])
+    text = np.frombuffer(b"".join(whole), np.uint8).astype(np.int64)
+    coded = np.maximum(np.diff(starts) - np.array(first, np.int64), 0)
+    ends = np.zeros(len(keys) + 1, np.int64)
+    np.cumsum(coded, out=ends[1:])
+    place = np.repeat(starts[:-1] + np.array(first, np.int64) - ends[:-1], coded) + np.arange(int(ends[-1]))
+    start = np.repeat(starts[:-1], coded)
+    context = np.zeros(len(place), np.int64)
     for k in range(DEPTH):
-        digit = np.concatenate((np.zeros(min(k, n), np.int64), text[:max(n - k, 0)]))
-        context |= np.where(alive, digit + 1 << _DIGIT * k, 0)
-        alive &= digit != _BREAK
-    return context << 8 | text[1:]
+        at = place - 1 - k
+        context |= np.where(at >= start, text[np.maximum(at, 0)] + 1 << _DIGIT * k, 0)
+    return context << 8 | text[place], ends
 
 
 def depth_of(context: np.ndarray) -> np.ndarray:
@@ -61,7 +75,7 @@ class Level:
     one: np.ndarray | None = None  # the root's probability of a one where this is the deepest node with data
 
 
-def _summed(node: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+def summed(node: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(node, kind="stable")
     node = node[order]
     first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
@@ -96,12 +110,12 @@ def subtree(slot: np.ndarray, n: np.ndarray, top: int) -> dict[int, Level]:
         node = np.concatenate([context[here] << 8 | at for at, _ in places]) if here.any() else np.zeros(0, np.int64)
         bit = np.concatenate([b for _, b in places]) if here.any() else node
         count = np.tile(n[here], 8)
-        node, zeros, ones = _summed(node, count * (bit == 0), count * (bit == 1))
+        node, zeros, ones = summed(node, count * (bit == 0), count * (bit == 1))
         below = np.full(len(node), np.nan)
         if d < DEPTH and len(out[d + 1].node):
             deep = out[d + 1]
             up = shortened(deep.node >> 8, d) << 8 | deep.node & 255
-            up, z, o, w = _summed(up, deep.zeros, deep.ones, deep.weighted)
+            up, z, o, w = summed(up, deep.zeros, deep.ones, deep.weighted)
             node, zeros, ones = np.concatenate((node, up)), np.concatenate((zeros, z)), np.concatenate((ones, o))
             below = np.concatenate((below, w))
             order = np.argsort(node)
@@ -137,7 +151,7 @@ def top(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray
     """From the nodes of depth 1 (`below`: as in level)."""
     order = np.argsort(node)
     first = level(node[order], zeros[order], ones[order], below[order])
-    place, z, o, w = _summed(first.node & 255, first.zeros, first.ones, first.weighted)
+    place, z, o, w = summed(first.node & 255, first.zeros, first.ones, first.weighted)
     root = level(place, z, o, w)
     root_one, root_own = np.full(256, 0.5), np.zeros(256)
     root_one[place], root_own[place] = _estimate(root), root.own

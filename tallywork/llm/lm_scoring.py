@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..runtime import cut, scratch_dir
+from ..runtime import cut, scratch_path
 from . import context_tree as ct
 from . import words as w
 
-CHUNK_BYTES = 16 << 20  # text whose words are looked up together
-WORDS_A_CHUNK = 100_000
+CHUNK_BYTES = 32 << 20  # text whose words are looked up together
+WORDS_A_RUN = 100_000  # distinct words whose bytes are looked up together
 _LATEST_TWO = (1 << 18) - 1
 
 
@@ -26,21 +26,25 @@ def training_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 1, F.lit(False))
 
 
-def _dense(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder like runtime.cut, packed tighter: for texts and word lists."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _by_word(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder in buckets of `word`: later group-bys and joins on words do not shuffle it again."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(n, "word").write.bucketBy(n, "word").sortBy("word").option("compression", "zstd")
+    rows.option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
 
 
 def _chunks(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = TaskContext.get().partitionId() << 24, 0
         for batch in w.blocks(batches):
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(batch.num_rows, chunk, np.int64))], names=[*batch.schema.names, "_chunk"]
-            )
-            held += batch.column("text").nbytes
+            size = batch.column("text").nbytes
+            for small in w.packed(iter([batch])):
+                yield pa.RecordBatch.from_arrays(
+                    [*small.columns, pa.array(np.full(small.num_rows, chunk, np.int64))], names=[*small.schema.names, "_chunk"]
+                )
+            held += size
             if held >= limit:
                 chunk, held = chunk + 1, 0
 
@@ -53,37 +57,62 @@ def _tokens(text: bytes) -> list[bytes]:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens of each chunk with their counts in training rows."""
-    chunk, seen, learned = None, set(), Counter()
+    """Distinct tokens and heads of tokens of each chunk with their counts in training rows."""
+    chunk, found = None, Counter()  # count 0: met in rows that are not learned from alone
 
     def out() -> Iterator[pa.RecordBatch]:
-        words = sorted(seen)
+        words = sorted(found)
         for a in range(0, len(words), 50_000):
             part = words[a:a + 50_000]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(part), chunk, np.int64)), pa.array(part, pa.binary()).cast(pa.string()),
-                pa.array([learned.get(x, 0) for x in part], pa.int64()),
+                pa.array(np.full(len(part), chunk, np.int64)), pa.array(part, pa.binary()),
+                pa.array([found[x] for x in part], pa.int64()),
             ], names=["_chunk", "word", "n"])
 
-    for batch in w.blocks(batches):
-        for own, text, learn in zip(batch.column("_chunk").to_pylist(), w.texts(batch), batch.column("_learn").to_pylist()):
-            if own != chunk or len(seen) > 4 * w.CACHE_WORDS:
+    for batch in w.blocks(batches, "_packed", w.BLOCK_BYTES // 2):
+        texts = [text or b"" for text in w.opened(batch)]
+        for own, text, learn in zip(batch.column("_chunk").to_pylist(), texts, batch.column("_learn").to_pylist()):
+            if own != chunk or len(found) > 4 * w.CACHE_WORDS:
                 yield from out()
-                chunk, seen, learned = own, set(), Counter()
+                chunk, found = own, Counter()
             tokens = _tokens(text)
-            seen.update(tokens)
-            if learn:
-                learned.update(tokens)
+            for keys in (tokens, ct.heads(tokens)):
+                found.update(keys if learn else dict.fromkeys(set(keys).difference(found), 0))
     yield from out()
 
 
-def _positions(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Distinct slots of the words of a chunk with their counts in training."""
-    words = [x or b"" for x in table.column("word").cast(pa.binary()).to_pylist()]
-    slot = ct.slots(words)
-    n = np.repeat(table.column("c").to_numpy(), [len(x) + 1 for x in words])
-    slot, n = ct._summed(slot, n)
-    return pa.table({"slot": slot, "_words": np.full(len(slot), key[0].as_py(), np.int32), "n": n})
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words in runs of about WORDS_A_RUN, numbered over all tasks."""
+    run, held = TaskContext.get().partitionId() << 24, 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, run, np.int64))], names=[*batch.schema.names, "_run"])
+        held += batch.num_rows
+        if held >= WORDS_A_RUN:
+            run, held = run + 1, 0
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct slots of the words of each run with their counts in training."""
+    run, held = None, []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            words = [x or b"" for batch in held for x in batch.column("word").to_pylist()]
+            n = np.concatenate([batch.column("c").to_numpy(zero_copy_only=False) for batch in held])
+            slot, ends = ct.slots(words)
+            slot, n = ct.summed(slot, np.repeat(n, np.diff(ends)))
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(len(slot), run, np.int64)), pa.array(n)], names=["slot", "_run", "n"])
+
+    for batch in batches:
+        runs = batch.column("_run").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b > a:
+                if runs[a] != run:
+                    yield from out()
+                    run, held = int(runs[a]), []
+                held.append(batch.slice(a, b - a))
+    yield from out()
 
 
 def _tops(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -108,26 +137,29 @@ def _word_costs(key, words: pa.Table, costs: pa.Table) -> pa.Table:
     known = costs.column("slot").to_numpy()
     order = np.argsort(known)
     cost = costs.column("cost").to_numpy()[order]
-    own = [x or b"" for x in words.column("word").cast(pa.binary()).to_pylist()]
-    at, _ = ct.find(known[order], ct.slots(own))
-    starts = w.bounds([len(x) + 1 for x in own])[:-1]
-    total = np.add.reduceat(cost[at], starts) if len(own) else np.zeros(0)
+    own = [x or b"" for x in words.column("word").to_pylist()]
+    slot, ends = ct.slots(own)
+    at, _ = ct.find(known[order], slot)
+    total = np.concatenate(([0.0], np.cumsum(cost[at] if len(at) else slot.astype(float))))
+    total = total[ends[1:]] - total[ends[:-1]]
     return pa.table({"word": words.column("word"), "c": words.column("c"), "cost": total})
 
 
 def _scores(tokens: int, distinct: int, schema: pa.Schema):
     def run(key, docs: pa.Table, costs: pa.Table) -> pa.Table:
-        place = {x or b"": k for k, x in enumerate(costs.column("word").cast(pa.binary()).to_pylist())}
+        place = {x or b"": k for k, x in enumerate(costs.column("word").to_pylist())}
         c = costs.column("c").to_numpy()
         cost = costs.column("cost").to_numpy()
         base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
         parts = []
-        for batch in w.blocks(docs.to_batches()):
-            texts = w.texts(batch)
+        for batch in w.blocks(docs.to_batches(), "_packed", w.BLOCK_BYTES // 2):
+            texts = [text or b"" for text in w.opened(batch)]
             split = [_tokens(text) for text in texts]
             ends = w.bounds([len(x) for x in split])
             at = np.fromiter((place[x] for own in split for x in own), np.int64, int(ends[-1]))
             total = [np.add.reduceat(v[at], ends[:-1]) for v in (cost, base, (c > 0).astype(np.int64))]
+            at = np.fromiter((place[x] for own in split for x in ct.heads(own)), np.int64, int(ends[-1]))
+            total[0] = total[0] + np.add.reduceat(cost[at], ends[:-1])
             size = np.array([max(1, len(text)) for text in texts])
             parts.append(pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(ends)), pa.array(total[2]),
@@ -144,11 +176,12 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     `docs(doc_id, text)`.
 
     The model codes a text word by word: the bytes of each word and the break after it, an empty word at the end. Each
-    byte is eight binary decisions; each decision has a tree of contexts, the bytes before it in its word, and mixes the
-    Krichevsky-Trofimov estimates of all depths by their weights. Contexts that training never saw are not part of the
+    byte is eight binary decisions; each decision has a tree of contexts, the bytes before it back to the start of its
+    word, for the first bytes of a word also the last bytes of the word before; it mixes the Krichevsky-Trofimov
+    estimates of all depths by their weights. Contexts that training never saw are not part of the
     tree: the mixture ends at the longest one seen. Whole texts of all rows to learn from are counted.
 
-    Texts are split into chunks as they are read. Words are counted over all chunks, context counts are summed over all
+    Texts are split into chunks as they are read. Words are counted over all chunks, by buckets of words, context counts are summed over all
     words, trees are built for each pair of latest bytes (a bounded number of contexts, however many rows), and
     costs go back to the words, the chunks and the texts by joins: no task holds all words or all contexts.
 
@@ -159,19 +192,19 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     docs = docs.select("doc_id", "text").withColumn("held_out", ~training_rows(F.col("doc_id")))
-    placed = T.StructType([*docs.schema, T.StructField("_chunk", T.LongType())])
-    docs = _dense(docs.mapInArrow(_chunks(chunk_bytes), placed), "chunks")
-    vocabulary = _dense(
-        docs.select("text", "_chunk", (~F.col("held_out")).alias("_learn"))
-        .mapInArrow(_vocabulary, "_chunk long, word string, n long"), "vocabulary",
+    crossing = T.StructType([
+        docs.schema["doc_id"], docs.schema["held_out"], T.StructField("_packed", T.BinaryType()), T.StructField("_chunk", T.LongType()),
+    ])
+    docs = cut(docs.mapInArrow(_chunks(chunk_bytes), crossing), "chunks")
+    vocabulary = _by_word(
+        docs.select("_packed", "_chunk", (~F.col("held_out")).alias("_learn"))
+        .mapInArrow(_vocabulary, "_chunk long, word binary, n long"), "vocabulary",
     )
-    chunks = max(1, vocabulary.count() // (4 * WORDS_A_CHUNK))
-    words = _dense(
-        vocabulary.groupBy("word").agg(F.sum("n").alias("c"))
-        .withColumn("_words", F.pmod(F.xxhash64("word"), F.lit(chunks)).cast("int")), "words",
+    words = cut(
+        vocabulary.groupBy("word").agg(F.sum("n").alias("c")).mapInArrow(_placed, "word binary, c long, _run long"), "words", compression="zstd"
     )
-    counts = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    used = _dense(words.groupBy("_words").applyInArrow(_positions, "slot long, _words int, n long"), "slots")
+    counts = words.where(F.instr(F.col("word").cast("string"), " ") == 0).agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    used = cut(words.mapInArrow(_positions, "slot long, _run long, n long"), "slots", compression="zstd")
     latest = F.shiftright("slot", 8).bitwiseAND(F.lit(_LATEST_TWO)).alias("_latest")
     slots = cut(used.groupBy("slot").agg(F.sum("n").alias("n")).withColumn("_latest", latest), "model")
     tops = slots.where("n > 0").groupBy("_latest").applyInArrow(_tops, "node long, zeros double, ones double, below double")
@@ -179,10 +212,8 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     first = tops.groupBy("node").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below"))).toPandas()
     top = ct.top(*(first[x].to_numpy() for x in ("node", "zeros", "ones", "below")))
     costs = slots.groupBy("_latest").applyInArrow(_slot_costs(top), "slot long, cost double")
-    costs = used.select("slot", "_words").join(costs, "slot")
-    costs = words.groupBy("_words").cogroup(costs.groupBy("_words")).applyInArrow(
-        _word_costs, "word string, c long, cost double"
-    )
+    costs = used.select("slot", "_run").join(costs, "slot")
+    costs = words.groupBy("_run").cogroup(costs.groupBy("_run")).applyInArrow(_word_costs, "word binary, c long, cost double")
     back = vocabulary.select("_chunk", "word").join(costs, "word").groupBy("_chunk", "word").agg(
         F.max("c").alias("c"), F.max("cost").alias("cost")
     )

@@ -6,6 +6,7 @@ from math import lgamma, log
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from tallywork.llm import context_tree, language_id, lm_scoring, quality, queries
@@ -25,8 +26,8 @@ def test_votes_equal_a_plain_count(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
     voters = quality.train(docs, labels, 20)
     texts = [r.text.encode() for r in docs.orderBy("doc_id").limit(30).collect()]
-    near = voters.latent(texts).astype(float) @ voters.vectors.T.astype(float)
-    for row, score in zip(near, voters.score(texts)):
+    near = voters.latent(texts, quality.WordFeatures()).astype(float) @ voters.vectors.T.astype(float)
+    for row, score in zip(near, voters.score(texts, quality.WordFeatures())):
         top = np.argsort(-row, kind="stable")[:quality.NEIGHBOURS]
         vote = np.maximum(row[top], 0) ** quality.SHARPNESS
         assert score == pytest.approx((vote * voters.labels[top]).sum() / vote.sum(), abs=1e-3)
@@ -53,28 +54,47 @@ def test_language_held_out(spark, given):
     assert all(r.held_out != plain.learned(r.doc_id, 4, 2) and 0 <= r.score <= 1 for r in got.values())
 
 
-def test_kneser_ney_sums_to_one_over_the_known_characters(spark):
-    docs = spark.createDataFrame([(k, "abc abd acb bca cab " * 3, "x") for k in range(40)], "doc_id long, text string, lang string")
-    model = language_id.train(docs)
-    assert model.languages == ["x"]
-    letters = ["a", "b", "c", "d"]
-    start = -model.word_bits([""])[0, 0]
-    total = 2.0**start + sum(2.0 ** -(model.word_bits([x + y])[0, 0] - _after(model, x + y)) for x in letters for y in [""])
-    assert 0.9 < total <= 1.0 + 1e-9
-
-
-def _after(model, word):
-    """Bits of the bound behind a one-letter word."""
-    from tallywork.llm.language_id import ORDER, _BOUND, _look, _number
-
-    text, chance = _BOUND + word + _BOUND, 1.0 / (model.characters + 1)
-    for order, table in enumerate(model.tables[0][:min(ORDER, len(text))], 1):
-        gram = text[-order:]
-        chance = float(
-            _look(table.grams, table.share, np.array([_number(order, gram)]), 0.0)[0]
-            + _look(table.contexts, table.rest, np.array([_number(order, gram[:-1])]), 1.0)[0] * chance
-        )
-    return -math.log2(chance)
+def _plain_bits(words, characters, text):
+    """Interpolated Kneser-Ney bits of a word, by counting; `words`: word to its count."""
+    order, bound = language_id.ORDER, "\n"
+    n = collections.Counter()
+    for word, times in words.items():
+        own = bound + word + bound
+        for end in range(2, len(own) + 1):
+            for size in range(1, min(order, end) + 1):
+                n[own[end - size:end]] += times
+    levels = [{} for _ in range(order)]
+    for gram, times in n.items():
+        if len(gram) == order or gram[0] == bound and len(gram) > 1:
+            levels[len(gram) - 1][gram] = times
+        if len(gram) > 1:
+            levels[len(gram) - 2][gram[1:]] = levels[len(gram) - 2].get(gram[1:], 0) + 1
+    total = 0.0
+    own = bound + text + bound
+    for end in range(2, len(own) + 1):
+        chance = 1 / (characters + 1)
+        for size in range(1, min(order, end) + 1):
+            gram = own[end - size:end]
+            same = {g: c for g, c in levels[size - 1].items() if g[:-1] == gram[:-1]}
+            if same:
+                total_n, d = sum(same.values()), language_id.DISCOUNT
+                chance = max(same.get(gram, 0) - d, 0) / total_n + d * len(same) / total_n * chance
+        total -= math.log2(chance)
+    return total
+
+
+def test_kneser_ney_equals_a_plain_count():
+    words = {"x": {"abc": 3, "abd": 3, "été": 2, "a": 1}, "y": {"bca": 4, "cab": 1, "longerwords": 2}}
+    rows = [(lang, word, n) for lang, own in words.items() for word, n in own.items()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["lang", "word", "n"])
+    model = language_id.build(*(c.to_pylist() for c in next(language_id._grams(iter([batch]))).columns))
+    assert model.languages == ["x", "y"]
+    asked = ["abc", "", "longer", "Été", "zzz", "abcabc", "a"]
+    bits, sizes = model.word_bits(asked)
+    assert sizes.tolist() == [len(x) + 1 for x in asked]
+    characters = len(set("\n".join(w for own in words.values() for w in own)))
+    for k, lang in enumerate(model.languages):
+        assert bits[:, k].tolist() == pytest.approx([_plain_bits(words[lang], characters, x.lower()) for x in asked])
 
 
 def test_language_odd_rows(spark, odd, none):
@@ -97,15 +117,17 @@ def test_language_odd_rows(spark, odd, none):
 
 
 def _plain_tree(counts, depth):
-    """Log10 cost of a word under a context tree built node by node."""
-    def contexts(word):
+    """Log10 cost of a word behind another under a context tree built node by node; counts of (word before, word)."""
+    def contexts(pair):
+        before, word = pair
         text = b" " + word + b" "
         for at in range(1, len(text)):
-            own = []
-            while len(own) < depth and (not own or own[-1] != 32):
-                own.append(text[at - 1 - len(own)])
+            back = text[:at][::-1]
+            if at <= context_tree.HEAD:
+                back += (b" " + before)[-context_tree.BEFORE:][::-1]
+            own = tuple(back[:depth])
             for k in range(8):
-                yield tuple(own), (1 << k) | (text[at] >> 8 - k), text[at] >> 7 - k & 1
+                yield own, (1 << k) | (text[at] >> 8 - k), text[at] >> 7 - k & 1
 
     n = collections.Counter()
     below = collections.defaultdict(set)
@@ -145,14 +167,15 @@ def test_scores_equal_a_plain_context_tree(spark, folder, given):
     docs = [(d, [*t.encode().lower().split(), b""]) for d, t in given("SELECT doc_id, text FROM {documents}")]
     c = collections.Counter(x for d, own in docs if plain.learned(d, 5, 1) for x in own)
     tokens, distinct = sum(c.values()), len(c)
-    cost = _plain_tree(c, context_tree.DEPTH)
+    pairs = lambda own: list(zip([b"", *own[:-1]], own))
+    cost = _plain_tree(collections.Counter(x for d, own in docs if plain.learned(d, 5, 1) for x in pairs(own)), context_tree.DEPTH)
     for d, own in docs:
         base = sum(math.log10((c[x] + 0.5) / (tokens + 0.5 * (distinct + 1))) for x in own)
         r = got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not plain.learned(d, 5, 1), len(own), sum(c[x] > 0 for x in own), tokens)
         assert r.base_score == pytest.approx(base, rel=1e-9)
     for d, own in docs[:25]:
-        assert got[d].score == pytest.approx(sum(map(cost, own)), rel=1e-6)
+        assert got[d].score == pytest.approx(sum(map(cost, pairs(own))), rel=1e-6)
 
 
 def test_log_gamma():
