@@ -97,6 +97,9 @@ def _spread(numbers: np.ndarray, language: np.ndarray, values: np.ndarray, langu
 
 def _table(order: int, counts: dict[tuple[int, str], int], languages: int) -> Table:
     """counts: (language, gram) to its count (highest order) or to the number of characters seen before it (lower)."""
+    if not counts:
+        none = np.zeros(0, np.int64), np.zeros((0, languages))
+        return Table(*none, *none)
     language = np.fromiter((k for k, _ in counts), np.int64, len(counts))
     n = np.fromiter(counts.values(), np.float64, len(counts))
     codes = _codes("".join(gram for _, gram in counts)).reshape(-1, order)
@@ -243,7 +246,7 @@ def _identified(model, schema: pa.Schema):
         names = scorer.model.languages
         for batch in w.blocks(batches):
             texts = w.texts(batch)
-            bits = scorer(texts)
+            bits = scorer(texts) if names else np.zeros((len(texts), 0))
             letters = np.array([bool(names) and has_letter(text) for text in texts])
             if names:
                 best = bits.argmin(axis=1)
