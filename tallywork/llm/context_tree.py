@@ -7,36 +7,23 @@ from dataclasses import dataclass
 import numpy as np
 
 DEPTH = 6
-HEAD = 2  # bytes of a word whose context reaches back into the word before
-BEFORE = 3  # bytes of that word it reaches
 _DIGIT = 9  # bits of one byte of context (0: none); six of them and the coded byte fit in 62 bits
 
 
-def heads(words: list[bytes]) -> list[bytes]:
-    """For each word what its first HEAD bytes are coded from: the last BEFORE bytes of the word before it (with the break
-    before those if it is shorter), the break, and the bytes themselves (with the break behind them)."""
-    return [(b" " + a)[-BEFORE:] + b" " + (x + b" ")[:HEAD] for a, x in zip([b"", *words[:-1]], words)]
-
-
-def slots(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """`context << 8 | byte` of each coded byte, and the keys' bounds in it. Of a head those behind its break; of a word
-    those behind its first HEAD bytes and the break that ends it. The context is what stands before in the key, for a
-    word from the break before it on, at most DEPTH bytes, the latest byte lowest."""
-    whole = [key if b" " in key else b" " + key + b" " for key in keys]
-    first = [key.index(b" ", 1) + 1 if b" " in key else HEAD + 1 for key in keys]
-    starts = np.zeros(len(keys) + 1, np.int64)
+def slots(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """`context << 8 | byte` of each coded byte of texts given as words, and the texts' bounds in it. A text runs with one
+    break behind each word and one more as its end, and starts behind two breaks that are not coded, as every end is.
+    The context is what stands before, over all breaks, at most DEPTH bytes, the latest byte lowest."""
+    whole = [b"  " + b" ".join([*words, b" "] if words else [b" "]) for words in texts]
+    starts = np.zeros(len(whole) + 1, np.int64)
     np.cumsum([len(x) for x in whole], out=starts[1:])
     text = np.frombuffer(b"".join(whole), np.uint8).astype(np.int64)
-    coded = np.maximum(np.diff(starts) - np.array(first, np.int64), 0)
-    ends = np.zeros(len(keys) + 1, np.int64)
-    np.cumsum(coded, out=ends[1:])
-    place = np.repeat(starts[:-1] + np.array(first, np.int64) - ends[:-1], coded) + np.arange(int(ends[-1]))
-    start = np.repeat(starts[:-1], coded)
-    context = np.zeros(len(place), np.int64)
+    inside = np.arange(len(text)) - np.repeat(starts[:-1], np.diff(starts))
+    context = np.zeros(len(text), np.int64)
     for k in range(DEPTH):
-        at = place - 1 - k
-        context |= np.where(at >= start, text[np.maximum(at, 0)] + 1 << _DIGIT * k, 0)
-    return context << 8 | text[place], ends
+        context[k + 1:] |= np.where(inside[k + 1:] > k, text[:-k - 1] + 1 << _DIGIT * k, 0)
+    coded = inside > 1
+    return (context << 8 | text)[coded], starts - 2 * np.arange(len(starts))
 
 
 def depth_of(context: np.ndarray) -> np.ndarray:

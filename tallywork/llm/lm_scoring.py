@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -16,8 +18,7 @@ from ..runtime import cut, scratch_path
 from . import context_tree as ct
 from . import words as w
 
-CHUNK_BYTES = 32 << 20  # text whose words are looked up together
-WORDS_A_RUN = 100_000  # distinct words whose bytes are looked up together
+CHUNK_BYTES = 32 << 20  # text whose words and bytes are looked up together
 _LATEST_TWO = (1 << 18) - 1
 
 
@@ -26,15 +27,27 @@ def training_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 1, F.lit(False))
 
 
-def _by_word(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder in buckets of `word`: later group-bys and joins on words do not shuffle it again."""
+def _by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Written to the shared folder in buckets of `column`: later group-bys and joins on it do not shuffle it again."""
     spark = df.sparkSession
     n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    rows = df.repartition(n, "word").write.bucketBy(n, "word").sortBy("word").option("compression", "zstd")
+    rows = df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("compression", "zstd")
     rows.option("path", scratch_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 
+def _shut(slot: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted slots with a 64-bit value each, compressed: their steps and the values byte by byte of the numbers."""
+    columns = (np.diff(slot, prepend=0), values)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns))
+
+
+def _opened(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, 8, -1)
+    steps, values = (np.ascontiguousarray(x.T).view(t).ravel() for x, t in zip(raw, (np.int64, kind)))
+    return np.cumsum(steps), values
+
+
 def _chunks(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = TaskContext.get().partitionId() << 24, 0
@@ -57,7 +70,7 @@ def _tokens(text: bytes) -> list[bytes]:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens and heads of tokens of each chunk with their counts in training rows."""
+    """Distinct tokens of each chunk with their counts in training rows."""
     chunk, found = None, Counter()  # count 0: met in rows that are not learned from alone
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -76,80 +89,111 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from out()
                 chunk, found = own, Counter()
             tokens = _tokens(text)
-            for keys in (tokens, ct.heads(tokens)):
-                found.update(keys if learn else dict.fromkeys(set(keys).difference(found), 0))
+            found.update(tokens if learn else dict.fromkeys((x for x in tokens if x not in found), 0))
     yield from out()
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words in runs of about WORDS_A_RUN, numbered over all tasks."""
-    run, held = TaskContext.get().partitionId() << 24, 0
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, run, np.int64))], names=[*batch.schema.names, "_run"])
-        held += batch.num_rows
-        if held >= WORDS_A_RUN:
-            run, held = run + 1, 0
+def _distinct(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    slot = np.sort(slot)
+    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.zeros(0, np.int64)
+    return slot[first], np.diff(first, append=len(slot))
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct slots of the words of each run with their counts in training."""
-    run, held = None, []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if held:
-            words = [x or b"" for batch in held for x in batch.column("word").to_pylist()]
-            n = np.concatenate([batch.column("c").to_numpy(zero_copy_only=False) for batch in held])
-            slot, ends = ct.slots(words)
-            slot, n = ct.summed(slot, np.repeat(n, np.diff(ends)))
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(len(slot), run, np.int64)), pa.array(n)], names=["slot", "_run", "n"])
-
-    for batch in batches:
-        runs = batch.column("_run").to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b > a:
-                if runs[a] != run:
+def _slots(buckets: int):
+    """Distinct slots of the running texts of each chunk with their counts in training rows, shut by bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = None, [], 0  # count 0: as in _vocabulary
+
+        def merged() -> list[tuple[np.ndarray, np.ndarray]]:
+            return [ct.summed(*(np.concatenate(x) for x in zip(*held)))] if held else []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for slot, n in merged():
+                bucket = (w.mixed(slot.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket, slot, n = bucket[order], slot[order], n[order]
+                own, first = np.unique(bucket, return_index=True)
+                shut = [_shut(slot[a:b], n[a:b]) for a, b in zip(first, [*first[1:], len(slot)])]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(own), chunk, np.int64)), pa.array(own), pa.array(shut, pa.binary()),
+                ], names=["_chunk", "_bucket", "data"])
+
+        for batch in w.blocks(batches, "_packed", w.BLOCK_BYTES // 2):
+            runs = batch.column("_chunk").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if runs[a] != chunk:
                     yield from out()
-                    run, held = int(runs[a]), []
-                held.append(batch.slice(a, b - a))
-    yield from out()
+                    chunk, held, size = int(runs[a]), [], 0
+                own = batch.slice(a, b - a)
+                found, ends = ct.slots([(text or b"").lower().split() for text in w.opened(own)])
+                learn = np.repeat(own.column("_learn").to_numpy(zero_copy_only=False), np.diff(ends))
+                slot, _ = _distinct(found[~learn])
+                held += [_distinct(found[learn]), (slot, np.zeros(len(slot), np.int64))]
+                size += len(held[-1][0]) + len(held[-2][0])
+                if size > 2 * len(held[0][0]) + (4 << 20):
+                    held = merged()
+                    size = len(held[0][0])
+        yield from out()
+
+    return run
+
+
+def _model(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The slots of a bucket with their counts over all chunks."""
+    slot, n, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for data in [*table.column("data"), None]:
+        if data is not None:
+            held.append(_opened(data.as_py(), np.int64))
+        if data is None or sum(len(x) for x, _ in held) > len(slot) + (1 << 20):
+            slot, n = ct.summed(*(np.concatenate(x) for x in zip((slot, n), *held)))
+            held = []
+    return pa.table({
+        "slot": slot, "n": n, "_bucket": np.full(len(slot), key[0].as_py(), np.int64), "_latest": slot >> 8 & _LATEST_TWO,
+    })
 
 
 def _tops(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The nodes of depth 2 (or 1, where the context ends there) over one pair of latest bytes."""
+    """The nodes of depth 2 over one pair of latest bytes, which every context has."""
     slot, n = table.column("slot").to_numpy(), table.column("n").to_numpy()
-    depth = 1 if int(ct.depth_of(slot[:1] >> 8)[0]) == 1 else 2
-    lv = ct.subtree(slot, n, depth)[depth]
+    lv = ct.subtree(slot, n, 2)[2]
     up = ct.shortened(lv.node >> 8, 1) << 8 | lv.node & 255
-    below = np.full(len(up), np.nan) if depth == 1 else lv.weighted
-    return pa.table({"node": up, "zeros": lv.zeros, "ones": lv.ones, "below": below})
+    return pa.table({"node": up, "zeros": lv.zeros, "ones": lv.ones, "below": lv.weighted})
 
 
 def _slot_costs(top: ct.Top):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         slot, n = table.column("slot").to_numpy(), table.column("n").to_numpy()
-        return pa.table({"slot": slot, "cost": ct.log10_cost(slot, n, top)})
+        return pa.table({"slot": slot, "cost": ct.log10_cost(slot, n, top), "_bucket": table.column("_bucket")})
 
     return run
 
 
-def _word_costs(key, words: pa.Table, costs: pa.Table) -> pa.Table:
-    known = costs.column("slot").to_numpy()
+def _chunk_costs(key, used: pa.Table, costs: pa.Table) -> pa.Table:
+    """The slots of each chunk with their costs, of one bucket."""
+    known, cost = costs.column("slot").to_numpy(), costs.column("cost").to_numpy()
     order = np.argsort(known)
-    cost = costs.column("cost").to_numpy()[order]
-    own = [x or b"" for x in words.column("word").to_pylist()]
-    slot, ends = ct.slots(own)
-    at, _ = ct.find(known[order], slot)
-    total = np.concatenate(([0.0], np.cumsum(cost[at] if len(at) else slot.astype(float))))
-    total = total[ends[1:]] - total[ends[:-1]]
-    return pa.table({"word": words.column("word"), "c": words.column("c"), "cost": total})
+    known, cost, shut = known[order], cost[order], []
+    for data in used.column("data"):
+        slot, _ = _opened(data.as_py(), np.int64)
+        at, there = ct.find(known, slot)
+        if not there.all():
+            raise ValueError("a slot lacks its cost")
+        shut.append(_shut(slot, cost[at]))
+    return pa.table({"_chunk": used.column("_chunk"), "data": pa.array(shut, pa.binary())})
 
 
 def _scores(tokens: int, distinct: int, schema: pa.Schema):
     def run(key, docs: pa.Table, costs: pa.Table) -> pa.Table:
-        place = {x or b"": k for k, x in enumerate(costs.column("word").to_pylist())}
-        c = costs.column("c").to_numpy()
-        cost = costs.column("cost").to_numpy()
+        words = costs.filter(pc.is_null(costs.column("data")))
+        place = {x or b"": k for k, x in enumerate(words.column("word").to_pylist())}
+        c = words.column("c").to_numpy()
+        parts = [_opened(x.as_py(), np.float64) for x in costs.column("data").drop_null()]
+        slot, cost = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(slot)
+        slot, cost = slot[order], cost[order]
         base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
         parts = []
         for batch in w.blocks(docs.to_batches(), "_packed", w.BLOCK_BYTES // 2):
@@ -157,14 +201,18 @@ def _scores(tokens: int, distinct: int, schema: pa.Schema):
             split = [_tokens(text) for text in texts]
             ends = w.bounds([len(x) for x in split])
             at = np.fromiter((place[x] for own in split for x in own), np.int64, int(ends[-1]))
-            total = [np.add.reduceat(v[at], ends[:-1]) for v in (cost, base, (c > 0).astype(np.int64))]
-            at = np.fromiter((place[x] for own in split for x in ct.heads(own)), np.int64, int(ends[-1]))
-            total[0] = total[0] + np.add.reduceat(cost[at], ends[:-1])
+            total = [np.add.reduceat(v[at], ends[:-1]) for v in (base, (c > 0).astype(np.int64))]
+            own, byte_ends = ct.slots([x[:-1] for x in split])
+            own, back = np.unique(own, return_inverse=True)
+            at, there = ct.find(slot, own)
+            if not there.all():
+                raise ValueError("a slot lacks its cost")
+            score = np.add.reduceat(cost[at][back], byte_ends[:-1])
             size = np.array([max(1, len(text)) for text in texts])
             parts.append(pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(ends)), pa.array(total[2]),
-                pa.array(np.full(len(texts), tokens, np.int64)), pa.array(total[1]), pa.array(total[0]),
-                pa.array(-total[0] * math.log2(10) / size),
+                batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(ends)), pa.array(total[1]),
+                pa.array(np.full(len(texts), tokens, np.int64)), pa.array(total[0]), pa.array(score),
+                pa.array(-score * math.log2(10) / size),
             ], schema=schema))
         return pa.Table.from_batches(parts, schema=schema)
 
@@ -175,15 +223,15 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)` for each row of
     `docs(doc_id, text)`.
 
-    The model codes a text word by word: the bytes of each word and the break after it, an empty word at the end. Each
-    byte is eight binary decisions; each decision has a tree of contexts, the bytes before it back to the start of its
-    word, for the first bytes of a word also the last bytes of the word before; it mixes the Krichevsky-Trofimov
-    estimates of all depths by their weights. Contexts that training never saw are not part of the
-    tree: the mixture ends at the longest one seen. Whole texts of all rows to learn from are counted.
+    The model codes a text as one run of bytes: the words, a break behind each, and one more break as the end. Each
+    byte is eight binary decisions; each decision has a tree of contexts, the last DEPTH bytes before it, over all breaks
+    back to the start of the text; it mixes the Krichevsky-Trofimov estimates of all depths by their weights. Contexts
+    that training never saw are not part of the tree: the mixture ends at the longest one seen. Every byte of whole texts
+    of all rows to learn from is counted.
 
-    Texts are split into chunks as they are read. Words are counted over all chunks, by buckets of words, context counts are summed over all
-    words, trees are built for each pair of latest bytes (a bounded number of contexts, however many rows), and
-    costs go back to the words, the chunks and the texts by joins: no task holds all words or all contexts.
+    Texts are split into chunks as they are read. Words and pairs of context and byte are counted in each chunk and then
+    over all chunks (the pairs in buckets, compressed), trees are built for each pair of latest bytes (a bounded number of contexts, however many rows), and
+    costs go back to the chunks and the texts by joins: no task holds all words or all contexts.
 
     Nulls: a null text is empty, which is one token, the end; a row without doc_id is scored, never learned from.
     Repeated rows count each. Other columns are not read. An empty table gives an empty result; without any row to learn
@@ -196,26 +244,28 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         docs.schema["doc_id"], docs.schema["held_out"], T.StructField("_packed", T.BinaryType()), T.StructField("_chunk", T.LongType()),
     ])
     docs = cut(docs.mapInArrow(_chunks(chunk_bytes), crossing), "chunks")
-    vocabulary = _by_word(
+    vocabulary = _by(
         docs.select("_packed", "_chunk", (~F.col("held_out")).alias("_learn"))
-        .mapInArrow(_vocabulary, "_chunk long, word binary, n long"), "vocabulary",
+        .mapInArrow(_vocabulary, "_chunk long, word binary, n long"), "word", "vocabulary",
     )
-    words = cut(
-        vocabulary.groupBy("word").agg(F.sum("n").alias("c")).mapInArrow(_placed, "word binary, c long, _run long"), "words", compression="zstd"
+    words = cut(vocabulary.groupBy("word").agg(F.sum("n").alias("c")), "words", compression="zstd")
+    counts = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    used = _by(
+        docs.select("_packed", "_chunk", (~F.col("held_out")).alias("_learn"))
+        .mapInArrow(_slots(buckets), "_chunk long, _bucket long, data binary"), "_bucket", "slots",
     )
-    counts = words.where(F.instr(F.col("word").cast("string"), " ") == 0).agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    used = cut(words.mapInArrow(_positions, "slot long, _run long, n long"), "slots", compression="zstd")
-    latest = F.shiftright("slot", 8).bitwiseAND(F.lit(_LATEST_TWO)).alias("_latest")
-    slots = cut(used.groupBy("slot").agg(F.sum("n").alias("n")).withColumn("_latest", latest), "model")
+    model = used.groupBy("_bucket").applyInArrow(_model, "slot long, n long, _bucket long, _latest long")
+    slots = _by(model, "_latest", "model")
     tops = slots.where("n > 0").groupBy("_latest").applyInArrow(_tops, "node long, zeros double, ones double, below double")
     # At most 257 * 255 rows: one for each byte of context and place in a byte's tree.
     first = tops.groupBy("node").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below"))).toPandas()
     top = ct.top(*(first[x].to_numpy() for x in ("node", "zeros", "ones", "below")))
-    costs = slots.groupBy("_latest").applyInArrow(_slot_costs(top), "slot long, cost double")
-    costs = used.select("slot", "_run").join(costs, "slot")
-    costs = words.groupBy("_run").cogroup(costs.groupBy("_run")).applyInArrow(_word_costs, "word binary, c long, cost double")
-    back = vocabulary.select("_chunk", "word").join(costs, "word").groupBy("_chunk", "word").agg(
-        F.max("c").alias("c"), F.max("cost").alias("cost")
+    costs = slots.groupBy("_latest").applyInArrow(_slot_costs(top), "slot long, cost double, _bucket long")
+    known = vocabulary.select("_chunk", "word").join(words, "word").groupBy("_chunk", "word").agg(F.max("c").alias("c"))
+    coded = used.groupBy("_bucket").cogroup(costs.groupBy("_bucket")).applyInArrow(_chunk_costs, "_chunk long, data binary")
+    back = known.selectExpr("_chunk", "word", "c", "cast(null as binary) data").unionByName(
+        coded.selectExpr("_chunk", "cast(null as binary) word", "cast(null as long) c", "data")
     )
     out = T.StructType([
         docs.schema["doc_id"], docs.schema["held_out"], *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")),

@@ -193,3 +193,54 @@ def test_scores_odd_rows(spark, odd, none):
     assert lm_scoring.score(none).collect() == []
     bits = lm_scoring.score(spark.createDataFrame([(None, "ab")], "doc_id long, text string")).first()
     assert bits.train_tokens == 0 and bits.score == pytest.approx(-math.log10(2) * 8 * 4)
+
+
+def _whole_tree(texts):
+    """Log10 cost of a text under a context tree over the running bytes, built node by node; texts to learn from."""
+    def contexts(text):
+        run = b"  " + b"".join(x + b" " for x in text.lower().split()) + b" "
+        for at in range(2, len(run)):
+            own = tuple(run[max(0, at - context_tree.DEPTH):at][::-1])
+            for k in range(8):
+                yield own, (1 << k) | (run[at] >> 8 - k), run[at] >> 7 - k & 1
+
+    n, below = collections.Counter(), collections.defaultdict(set)
+    for text in texts:
+        for own, place, bit in contexts(text):
+            for d in range(len(own) + 1):
+                n[own[:d], place, bit] += 1
+                if d:
+                    below[own[:d - 1], place].add(own[:d])
+    memo = {}
+
+    def estimate(own, place):
+        a, b = n[own, place, 0], n[own, place, 1]
+        return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - log(math.pi)
+
+    def weighted(own, place):
+        if (own, place) not in memo:
+            e, deep = estimate(own, place), below.get((own, place))
+            memo[own, place] = e if not deep else np.logaddexp(e, sum(weighted(x, place) for x in deep)) - log(2)
+        return memo[own, place]
+
+    def one(own, place, d=0):
+        here, nxt = own[:d], own[:d + 1]
+        kt = (n[here, place, 1] + 0.5) / (n[here, place, 0] + n[here, place, 1] + 1)
+        if d == len(own) or not n[nxt, place, 0] + n[nxt, place, 1]:
+            return kt
+        gap = sum(weighted(x, place) for x in below[here, place]) - estimate(here, place)
+        share = 1 / (1 + math.exp(min(gap, 700)))
+        return share * kt + (1 - share) * one(own, place, d + 1)
+
+    return lambda text: sum(math.log10(p if bit else 1 - p) for own, place, bit in contexts(text) for p in [one(own, place)])
+
+
+def test_scores_equal_a_tree_over_whole_texts(spark):
+    texts = ["of the cat", "a b c of the end", "the  Dog\nof the cat a b d", "", "of a cat of the dog", "x"] * 4
+    rows = [(k, t) for k, t in enumerate(texts)]
+    cost = _whole_tree([t.encode() for k, t in rows if plain.learned(k, 5, 1)])
+    out = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_bytes=40).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.score == pytest.approx(cost(texts[r.doc_id].encode()), rel=1e-9)
+        assert r.n_tokens == len(texts[r.doc_id].split()) + 1
