@@ -18,7 +18,7 @@ from . import words as w
 ORDER = 5
 DISCOUNT = 0.75
 SAMPLE_BYTES = 4 << 20  # training text of all languages together: bounds the model that is sent to the tasks
-LANGUAGES = 256  # the most languages one model may have
+LANGUAGES = 256  # languages whose tables are kept together; more are kept in several groups
 REJECT_SHARE = 0.01  # share of the training texts that the calibrated threshold would reject
 CALIBRATION_BYTES = 1 << 20  # and their text, all languages together
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -115,10 +115,10 @@ def _table(order: int, counts: dict[tuple[int, str], int], languages: int) -> Ta
 
 @dataclass
 class Model:
-    """One table per order, order 1 first."""
+    """For each LANGUAGES languages one table per order, order 1 first."""
 
     languages: list[str]
-    tables: list[Table]
+    groups: list[list[Table]]
     characters: int
     limit: float = math.inf  # bits a character above which a text is like none of the languages
 
@@ -135,11 +135,15 @@ class Model:
         top = np.stack(sums)[size, place] + size.astype(np.uint64) * _STEP
         _, first, back = np.unique(top, return_index=True, return_inverse=True)
         at, size = place[first], size[first]
-        chance = np.full((len(at), len(self.languages)), 1.0 / (self.characters + 1))
-        for order, table in enumerate(self.tables, 1):
-            gram, context = _numbers(order, sums[order][at]), _numbers(order, sums[order - 1][at - 1])
-            longer = _look(table.grams, table.share, gram, 0.0) + _look(table.contexts, table.rest, context, 1.0) * chance
-            chance = np.where((size >= order)[:, None], longer, chance)
+        chances = [np.zeros((len(at), 0))]
+        for tables in self.groups:
+            chance = np.full((len(at), tables[0].share.shape[1]), 1.0 / (self.characters + 1))
+            for order, table in enumerate(tables, 1):
+                gram, context = _numbers(order, sums[order][at]), _numbers(order, sums[order - 1][at - 1])
+                longer = _look(table.grams, table.share, gram, 0.0) + _look(table.contexts, table.rest, context, 1.0) * chance
+                chance = np.where((size >= order)[:, None], longer, chance)
+            chances.append(chance)
+        chance = np.concatenate(chances, axis=1)
         bits, sizes = -np.log2(chance), np.array([len(word) + 1 for word in lowered], np.int64)
         starts = w.bounds(sizes)[:-1]
         columns = [np.add.reduceat(bits[back, k], starts) if len(words) else np.zeros(0) for k in range(len(self.languages))]
@@ -151,6 +155,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.fewer = -(-len(model.languages) // LANGUAGES) or 1  # groups of languages: so many times fewer words at once
         self._forget()
 
     def _forget(self) -> None:
@@ -161,11 +166,12 @@ class Scorer:
         """Length-normalised cross-entropy: bits a character, a row for each text."""
         split = [text.split() for text in texts]
         fresh = sorted({x for words in split for x in words if x not in self.place})
-        if len(self.place) + len(fresh) > w.CACHE_WORDS:
+        if len(self.place) + len(fresh) > w.CACHE_WORDS // self.fewer:
             self._forget()
             fresh = sorted({x for words in split for x in words})
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a:a + 20_000]
+        step = max(1, 20_000 // self.fewer)
+        for a in range(0, len(fresh), step):
+            part = fresh[a:a + step]
             decoded = [x.decode() for x in part]
             at = len(self.place)
             while at + len(part) > len(self.sizes):
@@ -184,17 +190,20 @@ class Scorer:
 
 
 def _sample(rows: DataFrame, limit: int) -> DataFrame:
-    """Whole rows, the lowest in a fixed mix of their ids, while their bytes fit the share of their language."""
-    n = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
-    if n > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    # The lowest mixes are found without sorting whole languages: a first cut by the share of bytes that is wanted.
-    size = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("_total"))
-    share = limit // max(1, n)
-    mix = (F.xxhash64("doc_id", F.lit(3)) / F.lit(float(1 << 64)) + 0.5)
-    near = rows.join(F.broadcast(size), "lang").withColumn("_mix", mix).where(F.col("_mix") * F.col("_total") <= 2.0 * share)
-    order = Window.partitionBy("lang").orderBy("_mix", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return near.withColumn("_sum", F.sum(F.octet_length("text")).over(order)).where(F.col("_sum") <= share).select("doc_id", "lang", "text")
+    """Whole rows, the lowest in a fixed mix of their ids, until they fill the share of their language: the last one may
+    cross it, so each language has one row at least."""
+    mix = F.xxhash64("doc_id", F.lit(3))
+    rows = rows.withColumns({"_mix": mix, "_step": F.shiftright(mix, 48), "_size": F.octet_length("text").cast("long")})
+    # Whole languages are not sorted: steps of the mix, at most 65,536 a language, tell which rows can be reached.
+    steps = rows.groupBy("lang", "_step").agg(F.sum("_size").alias("_bytes"))
+    before = Window.partitionBy("lang").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_bytes").over(before.orderBy("_step")), F.lit(0))
+    share = rows.agg((F.lit(limit) / F.greatest(F.lit(1), F.count_distinct("lang"))).alias("_share"))
+    reached = steps.withColumn("_before", earlier).crossJoin(F.broadcast(share)).where("_before < _share")
+    near = rows.join(F.broadcast(reached.select("lang", "_step", "_before", "_share")), ["lang", "_step"])
+    inside = Window.partitionBy("lang", "_step").orderBy("_mix", "doc_id", F.xxhash64("text"))
+    own = F.coalesce(F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return near.withColumn("_own", own).where("_before + _own < _share").select("doc_id", "lang", "text")
 
 
 def build(langs: list[str], grams: list[str], times: list[int]) -> Model:
@@ -209,21 +218,33 @@ def build(langs: list[str], grams: list[str], times: list[int]) -> Model:
         if len(gram) > 1:
             counts[len(gram) - 2][lang, gram[1:]] = counts[len(gram) - 2].get((lang, gram[1:]), 0) + 1
     characters = sum(len(gram) == 1 for gram in set(grams))
-    return Model(languages, [_table(k, c, len(languages)) for k, c in enumerate(counts, 1)], characters)
+    groups = []
+    for a in range(0, len(languages), LANGUAGES):
+        n = min(LANGUAGES, len(languages) - a)
+        own = [{(lang - a, gram): times for (lang, gram), times in c.items() if a <= lang < a + n} for c in counts]
+        groups.append([_table(k, c, n) for k, c in enumerate(own, 1)])
+    return Model(languages, groups, characters)
 
 
 def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Models of the languages of `docs(doc_id, text, lang)`, from a sample of whole rows that may be learned from, at
-    most `sample_bytes` of text in equal shares; an eighth of the rows is put aside for the threshold of rejection. Rows
-    without id, text or language are left out."""
+    """Models of the languages of `docs(doc_id, text, lang)`, of all that have a row with words to learn from, from a
+    sample of whole rows in equal shares of `sample_bytes`; the last row of a language may cross its share. An eighth of
+    the rows is put aside for the threshold of rejection, unless their language has no others. Rows without id, text, word
+    or language are left out."""
     rows = docs.select("doc_id", "text", "lang").where(training_rows(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     aside = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(8)) == 0  # for the threshold
-    words = _sample(rows.where(~aside), sample_bytes).select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
+    others = rows.groupBy("lang").agg(F.max(~aside).alias("_others"))
+    rows = rows.join(F.broadcast(others), "lang").withColumn("_aside", aside & F.col("_others"))
+    words = _sample(rows.where("NOT _aside"), sample_bytes).select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
     words = words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     grams = words.mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = grams.toPandas()  # no more rows than the sample has characters times ORDER
     model = build(found["lang"].tolist(), found["gram"].tolist(), found["n"].tolist())
-    model.limit = _threshold(model, rows.where(aside), sample_bytes)
+    lacking = {r.lang for r in others.select("lang").collect()}.difference(model.languages)
+    if lacking:
+        raise ValueError(f"languages without a model: {sorted(lacking)}")
+    model.limit = _threshold(model, rows.where("_aside"), sample_bytes)
     return model
 
 

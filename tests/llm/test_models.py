@@ -244,3 +244,23 @@ def test_scores_equal_a_tree_over_whole_texts(spark):
     for r in out:
         assert r.score == pytest.approx(cost(texts[r.doc_id].encode()), rel=1e-9)
         assert r.n_tokens == len(texts[r.doc_id].split()) + 1
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, "the cat and the dog ", "en") for k in range(40)] + [(100 + k, "le chat et le chien " * 60, "fr") for k in range(40)]
+    alone = next(k for k in range(1000, 2000) if plain.learned(k, 4, 2) and spark.range(1).selectExpr(f"pmod(xxhash64({k}L, 5), 8) n").first().n == 0)
+    rows.append((alone, "ein hund", "de"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, 600)
+    assert model.languages == ["de", "en", "fr"]
+    assert {r.lang_pred for r in language_id.identify(docs.where("lang = 'fr'"), model).collect()} == {"fr"}
+
+
+def test_more_languages_than_one_group(spark):
+    n = language_id.LANGUAGES + 4
+    rows = [(10 * n * k + a, f"{chr(0x4E00 + a) * 3} {chr(0x4E00 + a)}", f"l{a:04}") for a in range(n) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.languages) == len({lang for i, _, lang in rows if plain.learned(i, 4, 2)}) > language_id.LANGUAGES
+    texts = [chr(0x4E00 + int(x[1:])) for x in model.languages]
+    assert model.word_bits(texts)[0].argmin(axis=1).tolist() == list(range(len(texts)))
