@@ -141,7 +141,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = cut(classes.join(buckets.select("c").distinct(), "c", "left_semi"), "wanted")
     reps = wanted.select("rep").distinct().hint("merge")  # grows with the corpus: the same plan at every size
     bodies = docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi").mapInArrow(_full_sets, SETS)
-    sets = cut(bodies.join(wanted.select("hi", "lo", "c"), ["hi", "lo"]).select("c", "shingles"), "sets")
+    # A class whose smallest id is repeated has several equal rows here; the join has put them side by side.
+    sets = cut(bodies.join(wanted.select("hi", "lo", "c"), ["hi", "lo"]).dropDuplicates(["hi", "lo"]).select("c", "shingles"), "sets")
     found = _linked(buckets, sets)
     smallest = (
         classes.join(found, "c", "left").withColumn("component", F.coalesce("component", "c"))

@@ -146,3 +146,18 @@ def test_decontamination_odd_rows(spark, odd, none):
 
 def test_text_without_spans_keeps_everything_else():
     assert decontaminate.without("é, One-two three!".encode(), [(1, 3)]).decode() == "é,  three!"
+
+
+def test_a_repeated_row_keeps_its_links(spark, monkeypatch):
+    base, far = [f"w{k}" for k in range(60)], [f"v{k}" for k in range(60)]
+    rows = [(1, base), (1, base), (2, [*base[:-1], "other"]), (3, far), (4, [f"u{k}" for k in range(60)])]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+
+    def one_bucket(batches):
+        """All in bucket 7; row 3 is its centre, as it shares another one with row 4."""
+        for batch in near_dedup._sketches(batches):  # in the tasks, where it is not replaced
+            bands = near_dedup.pa.array([[7, 8] if i in (3, 4) else [7] for i in batch.column("doc_id").to_pylist()])
+            yield batch.set_column(batch.schema.get_field_index("bands"), "bands", bands)
+
+    monkeypatch.setattr(near_dedup, "_sketches", one_bucket)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
