@@ -8,6 +8,7 @@ import html
 import json
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -23,12 +24,16 @@ DERIVATIVES = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("warc_type", T.StringType()), T.StructField("record_id", T.StringType()),
     T.StructField("refers_to", T.StringType()), T.StructField("concurrent_to", T.StringType()),
     T.StructField("target_uri", T.StringType()), T.StructField("warc_date", T.StringType()),
-    T.StructField("source_headers", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("source_headers", T.MapType(T.StringType(), T.StringType())),  # of a repeated name the last value
+    T.StructField("source_header_list", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))),
     T.StructField("source_payload_digest", T.StringType()), T.StructField("block_digest", T.StringType()),
     T.StructField("block", T.StringType()), T.StructField("record", T.BinaryType()), T.StructField("damage", T.StringType()),
 ])
 _NAME = re.compile(rb"([^:\s]+):[ \t]*(.*?)\s*\Z")
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b[^<>]*>", re.I)
+_MARK = re.compile(r"<!--|<!?(/?)([a-z][^\s/<>]*+)[^<>]*+>", re.I)
+_IN_HEAD = frozenset(("base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title", "doctype"))
+_WHOLE = frozenset(("noframes", "noscript", "script", "style", "template", "title"))  # of those in a head, with an end of their own
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-z!?][^<>]*>", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
@@ -93,9 +98,51 @@ def parse(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return headers, block
 
 
+class _Ends:
+    """Where comments and elements of a page end."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def behind(self, kind: str, at: int) -> int | None:
+        """The place behind the first end of a comment ("") or an element from `at` on, if there is one."""
+        if kind not in self.known:
+            self.known[kind] = [m.end() for m in re.finditer(rf"</{kind}\s*>" if kind else "-->", self.page, re.I)]
+        ends = self.known[kind]
+        k = bisect_left(ends, at + 3)
+        return ends[k] if k < len(ends) else None
+
+    def of_head(self, at: int) -> int:
+        """Where a head ends that starts before `at`: behind its closing tag, or before the first text or element that
+        cannot stand in a head."""
+        while found := _MARK.search(self.page, at):
+            if self.page[at:found.start()].strip():
+                return at
+            name = (found[2] or "").lower()
+            if found[1]:
+                if name in ("head", "body", "html", "br"):
+                    return found.end() if name == "head" else found.start()
+            elif found[2] and name not in _IN_HEAD:
+                return found.start()
+            whole = not found[1] and (not found[2] or name in _WHOLE)
+            at = whole and self.behind(name, found.end()) or found.end()
+        return at
+
+
+def _seen(page: str) -> str:
+    """The page without heads, comments, scripts, styles and the like. Of one that never ends only its tag goes."""
+    ends, out, at = _Ends(page), [], 0
+    for found in _HIDDEN.finditer(page):
+        if found.start() >= at:
+            kind = (found[1] or "").lower()
+            out.append(page[at:found.start()])
+            at = ends.of_head(found.end()) if kind == "head" else ends.behind(kind, found.end()) or found.end()
+    return " ".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """What a reader sees: no scripts, styles, head or comments; a line for each block."""
-    text = _TAG.sub("", _BREAK.sub("\n", _UNSEEN.sub(" ", page)))
+    text = _TAG.sub("", _BREAK.sub("\n", _seen(page)))
     return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(text))).strip()
 
 
@@ -138,7 +185,8 @@ def derive(data: bytes) -> list[dict]:
     title = _TITLE.search(page)
     ids = {kind: record_id(kind.encode(), source.encode(), own.encode()) for kind in ("metadata", "conversion")}
     about = {
-        "source": dict(headers), "http": {"status": status.decode("utf-8", "replace"), "headers": dict(http)},
+        "source": dict(headers), "source_list": headers,
+        "http": {"status": status.decode("utf-8", "replace"), "headers": dict(http), "header_list": http},
         "payload": {"digest": own, "length": len(body)},
         "html": {
             "title": html.unescape(title[1]).strip() if title else None,
@@ -154,7 +202,8 @@ def derive(data: bytes) -> list[dict]:
         block = content.encode()
         out.append({
             "warc_type": kind, "record_id": ids[kind], "refers_to": source, "concurrent_to": ids[other], "target_uri": target,
-            "warc_date": date, "source_headers": list(dict(headers).items()), "source_payload_digest": own, "block_digest": digest(block),
+            "warc_date": date, "source_headers": list(dict(headers).items()),
+            "source_header_list": [{"name": name, "value": value} for name, value in headers], "source_payload_digest": own, "block_digest": digest(block),
             "block": content, "record": record([
                 ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", source), ("WARC-Concurrent-To", ids[other]),
                 ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", target), ("WARC-Date", date),
@@ -200,8 +249,8 @@ def responses(pages: DataFrame, date: str = CAPTURED) -> DataFrame:
 def derivatives(records: DataFrame) -> DataFrame:
     """`DERIVATIVES`: a metadata and a conversion record for each response of `records(page_id, record)`.
 
-    Both refer to the response by its id, target and date and name each other; the metadata hold all source headers, the
-    page's links and digests; the conversion holds the text. A record that is null, damaged or no response gives one row
+    Both refer to the response by its id, target and date and name each other; the metadata hold all source headers
+    (repeated names in `source_list` and `header_list`), the page's links and digests; the conversion holds the text. A record that is null, damaged or no response gives one row
     with the reason in `damage`. Repeated records give the same records again, with the same ids. Other columns are not
     read. An empty table gives an empty result.
     """

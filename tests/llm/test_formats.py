@@ -262,3 +262,26 @@ def test_pipeline_stages(spark, folder, odd, none, tmp_path):
             out = stage(spark, table, folder)
             out.collect()
             assert name == "packing" or out.columns == table.columns
+
+
+def test_unclosed_elements_keep_the_text():
+    text = warc.plain_text
+    assert text("<html><head><title>t</title><body><p>whole text</p></body></html>") == "whole text"
+    assert text("<head><meta charset=utf-8><style>p {}</style><!-- <p> --><p>a</p><head>") == "a"
+    assert text("<head><title>t</title>words<p>a") == "words\na" and text("<head><title>t</title> ") == ""
+    assert text("<HEAD><script>'<p>'</script></HEAD>a<header>b</header>") == "a\nb"
+    for tag in ("<script>", "<style>", "<noscript>", "<template>", "<!--"):
+        assert text(f"<p>a</p>{tag} b <p>c</p>") == "a\nb\nc"
+    assert text("<script>" * 50_000 + "x") == "x" and text("<head><" + "a" * 50_000) is not None
+
+
+def test_repeated_headers_are_kept(spark):
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n<p>x"
+    given = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Concurrent-To", "<urn:1>"), ("WARC-Concurrent-To", "<urn:2>")]
+    data = warc.record(given, block)
+    for r in warc.derivatives(spark.createDataFrame([(1, data)], "page_id long, record binary")).collect():
+        assert [tuple(x) for x in r.source_header_list] == [*given, ("Content-Length", str(len(block)))]
+        if r.warc_type == "metadata":
+            about = json.loads(r.block)
+            assert about["source_list"][2:4] == [["WARC-Concurrent-To", "<urn:1>"], ["WARC-Concurrent-To", "<urn:2>"]]
+            assert about["http"]["header_list"] == [["Set-Cookie", "a=1"], ["Set-Cookie", "b=2"]]
