@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import prepare_session
 from . import (
-    decontaminate, language_id, lm_scoring, near_dedup, ogg, packing, perspectives, quality, sql, substring_dedup,
-    warc,
+    alignment, decontaminate, language_id, lm_scoring, near_dedup, ogg, packing, perspectives, quality, sql, substring_dedup,
+    topk, variants, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,26 @@ def op3_warc_derivatives(table) -> DataFrame:
 def op6_perspective_rotation(table) -> DataFrame:
     """Every conversation from the perspective of each of its participants."""
     return perspectives.rotate(table("conversations"))
+
+
+@query()
+def op11_spelling_variants(table) -> DataFrame:
+    """Words of all documents with the commoner word each is a variant of."""
+    return variants.variants(table("documents"))
+
+
+@query(sql.TOP)
+def op12_exact_topk(table) -> DataFrame:
+    """The 20 closest vectors to every twentieth one."""
+    vectors = table("embeddings").selectExpr("vec_id id", "embedding vector")
+    return topk.top_k(vectors, vectors.where("id % 20 = 0"), 20, scale=64.0)
+
+
+@query()
+def op13_tokenizer_alignment(table) -> DataFrame:
+    """Tokens of two vocabularies over every document: groups, overlaps, and how usual they are."""
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in (alignment.BYTE_LEVEL, alignment.PIECES)]
+    out = alignment.align(table("documents"), *paths, digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
