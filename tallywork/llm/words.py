@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +60,27 @@ def opened(batch: pa.RecordBatch) -> list[bytes | None]:
     return [None if data is None else press.decompress(data) for data in batch.column("_packed").to_pylist()]
 
 
+def released(run):
+    """The iterator function `run`, with the memory of its task handed back to the system when it ends: Python workers go on
+    to other tasks and stages, and what each of them left would add up."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return wrapped
+
+
+def hand_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
 def bounds(counts: list[int]) -> np.ndarray:
     """Start of each text in the joined word array, and its end."""
     out = np.zeros(len(counts) + 1, np.int64)

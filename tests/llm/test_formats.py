@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -225,10 +226,60 @@ def test_packing(spark, folder, given, odd, none):
     assert packing.pack(none, PATH).collect() == []
 
 
+def test_short_sequences_are_few_at_any_split(spark):
+    """What tasks can't fill is packed together, so a table in many parts is packed like one in few."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for parts in (1, 50, 211):
+        out = packing.pack(docs.repartition(parts), PATH).collect()
+        _check_pieces(rows, out)
+        sizes = collections.Counter()
+        for p in out:
+            sizes[p.sequence_id] += p.length
+        assert sum(n < packing.CAPACITY for n in sizes.values()) <= 11 and sum(n == packing.CAPACITY for n in sizes.values()) > 400
+
+
+def test_long_texts_are_encoded_in_stretches(spark, monkeypatch):
+    text = "".join(f"Word{k} it's {'x' * (k % 9)}! é <|endoftext|>\n" for k in range(400))
+    rows = [(1, text), (2, "short"), (3, text[:3000]), (4, "y" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    run = packing._packed(PATH, 64, 5, 1)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(packing, "TaskContext", type("One", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())}))
+    whole = Tokenizer.from_file(PATH)
+    seen = collections.defaultdict(list)
+    for out in run(iter([batch])):
+        for r in out.to_pylist():
+            ids = r["_ids"]
+            seen[r["doc_id"]].append((r["start"], r["length"], zlib.crc32(ids) if ids else r["ids_crc32"], r["doc_tokens"]))
+    for doc, t in rows:
+        ids = np.array(whole.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        at = 0
+        for start, length, crc, total in sorted(seen[doc]):
+            assert (start, crc, total) == (at, zlib.crc32(ids[at:at + length].tobytes()), len(ids))
+            at += length
+        assert at == len(ids)
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    with open(PATH, encoding="utf-8") as file:
+        own = json.load(file)
+    own["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(own))
+    texts = ["Upper CASE it's", "", "a  b"]
+    coder = packing.WordIds(str(path))
+    ids, ends = coder(pa.array(texts))
+    whole = Tokenizer.from_file(str(path))
+    assert not coder.by_word and [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_word_ids_are_those_of_whole_texts():
     texts = ["", " It's 3rd-rate stuff <|endoftext|>!\n", "École éa ́x ΣΑΣ İ ﬁ 中文123 😀😀", "don't we'll  'S x's"]
     whole = Tokenizer.from_file(PATH)
-    assert [x.tolist() for x in packing.WordIds(PATH)([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, ends = packing.WordIds(PATH)(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_pipeline_stages(spark, folder, odd, none, tmp_path):
