@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the smallest id are all kept. Other columns are not read. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = cut(docs.mapInArrow(_sketches, SKETCH), "sketch")
+    sketch = cut(docs.mapInArrow(w.released(_sketches), SKETCH), "sketch")
     classes = cut(
         sketch.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
         .withColumn("c", F.monotonically_increasing_id()), "classes",
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = cut(rows.join(shared.where("_low < _high").select("key", "n"), "key").distinct(), "buckets")
     wanted = cut(classes.join(buckets.select("c").distinct(), "c", "left_semi"), "wanted")
     reps = wanted.select("rep").distinct().hint("merge")  # grows with the corpus: the same plan at every size
-    bodies = docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi").mapInArrow(_full_sets, SETS)
+    bodies = docs.join(reps, docs.doc_id.eqNullSafe(reps.rep), "left_semi").mapInArrow(w.released(_full_sets), SETS)
     # A class whose smallest id is repeated has several equal rows here; the join has put them side by side.
     sets = cut(bodies.join(wanted.select("hi", "lo", "c"), ["hi", "lo"]).dropDuplicates(["hi", "lo"]).select("c", "shingles"), "sets")
     found = _linked(buckets, sets)

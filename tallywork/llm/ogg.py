@@ -19,12 +19,13 @@ FRAME = 4096  # samples in a packet
 FRAME_STEP = 64  # the payload is a positive multiple of this
 SOUND, NOTES = 1, 2  # serial numbers of the two logical streams
 # Fixed values of the container format.
-_HEAD = struct.Struct("<4sBBqIIIB")
+_HEAD = struct.Struct("<4sBBqIIIB")  # the granule position is signed: -1 where no packet ends
 _CONTINUED, _FIRST, _LAST = 1, 2, 4
 _SEGMENTS = 255
 # Eight-bit samples in the raw audio mapping: name, version, format (unsigned 8 bit), rate, significant bits, channels,
 # most frames a packet, extra headers.
 _SOUND_HEADER = b"PCM     " + struct.pack(">HHIIBBHI", 0, 0, 1, RATE, 8, 1, FRAME, 0)
+_NOTES_HEADER, _NOTE = b"NOTES   ", struct.Struct("<QQ")  # unpadded length, samples
 _TURNED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
 
 
@@ -79,10 +80,10 @@ def stored(payload: bytes, n_bytes: int) -> bytes:
     """The payload as 8-bit samples in one logical stream, its unpadded length in a second one; pages alternate."""
     pages: list[bytes] = []
     sound, notes = Stream(SOUND, pages), Stream(NOTES, pages)
-    for stream, header in ((sound, _SOUND_HEADER), (notes, b"NOTES   ")):
+    for stream, header in ((sound, _SOUND_HEADER), (notes, _NOTES_HEADER)):
         stream.packet(header, 0)
         stream.flush()
-    notes.packet(struct.pack("<QQ", n_bytes, len(payload)), 0)
+    notes.packet(_NOTE.pack(n_bytes, len(payload)), 0)
     for start in range(0, len(payload), FRAME):
         sound.packet(payload[start:start + FRAME], min(start + FRAME, len(payload)))
         if start == 0:
@@ -155,6 +156,8 @@ def streams(media: bytes) -> dict[int, Packets]:
                 own.data.append(b"".join(parts))
                 own.granules.append(None)
                 parts.clear()
+        if (len(own.data) > first) != (p.granule >= 0):
+            raise Damaged(f"stream {p.serial} has granule position {p.granule} on page {p.number}")
         if len(own.data) > first:
             own.granules[-1] = p.granule
     for serial, own in out.items():
@@ -184,13 +187,22 @@ def features(samples: np.ndarray, spans: list[tuple[float, float]], n_pages: int
 def read(media: bytes) -> tuple[bytes, int, str]:
     """Payload, unpadded length and features of stored media."""
     found = streams(media)
-    if set(found) != {SOUND, NOTES} or found[SOUND].data[0] != _SOUND_HEADER:
-        raise Damaged("not a stored payload")
-    payload = b"".join(found[SOUND].data[1:])
-    n_bytes, size = struct.unpack("<QQ", found[NOTES].data[1])
-    spans = times(found[SOUND])
-    if size != len(payload) or round(spans[-1][1] * RATE) != size or spans[0][0]:
-        raise Damaged("times do not match the samples")
+    if set(found) != {SOUND, NOTES}:
+        raise Damaged("not the streams of a stored payload")
+    sound, notes = found[SOUND], found[NOTES]
+    if len(sound.data) < 2 or sound.data[0] != _SOUND_HEADER or not all(sound.data[1:]):
+        raise Damaged("no samples behind a header of samples")
+    if len(notes.data) != 2 or notes.data[0] != _NOTES_HEADER or len(notes.data[1]) != _NOTE.size:
+        raise Damaged("no note behind a header of notes")
+    payload = b"".join(sound.data[1:])
+    n_bytes, size = _NOTE.unpack(notes.data[1])
+    if size != len(payload) or n_bytes > size or size % FRAME_STEP:
+        raise Damaged(f"a note of {n_bytes} bytes in {size} samples over {len(payload)} samples")
+    ends = np.cumsum([0, *map(len, sound.data[1:])]).tolist()
+    for own, at in ((sound, ends), (notes, [0, 0])):
+        if any(granule not in (None, end) for granule, end in zip(own.granules, at)):
+            raise Damaged("granule positions do not match the packets of their pages")
+    spans = times(sound)
     return payload, n_bytes, features(np.frombuffer(payload, np.uint8), spans, sum(x.n_pages for x in found.values()))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -59,6 +60,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores; threads of a task only take memory
         self.tokenizer = Tokenizer.from_file(path)
         model = json.loads(self.tokenizer.to_str())
         special = [x["content"] for x in model["added_tokens"]]

@@ -23,7 +23,7 @@ _SHAPE = re.compile(r"[^\W\d_]+|\d+|\s+")
 
 _COUNTS = T.StructType([
     T.StructField("feature", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType())),
-    T.StructField("label", T.IntegerType()),
+    T.StructField("label", T.IntegerType()), T.StructField("doc_id", T.LongType()),
 ])
 
 
@@ -109,25 +109,27 @@ def _latent_axes(rows: np.ndarray, dimensions: int) -> np.ndarray:
 
 
 def training_rows(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
+    """Rows to learn from; a row without id is none."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("feature", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32())), ("label", pa.int32())])
+    schema = pa.schema([("feature", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32())), ("label", pa.int32()), ("doc_id", pa.int64())])
     known = WordFeatures()
     for batch in w.blocks(batches):
         bounds, slots, weights = term_weights(w.texts(batch), known)
         at = pa.array(bounds, pa.int32())
         yield pa.RecordBatch.from_arrays([
             pa.ListArray.from_arrays(at, pa.array(slots, pa.int32())), pa.ListArray.from_arrays(at, pa.array(weights)),
-            batch.column("label").cast(pa.int32()),
+            batch.column("label").cast(pa.int32()), batch.column("doc_id").cast(pa.int64()),
         ], schema=schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Voters:
     """Voters from at most `sample_rows` rows of each label of `labels(doc_id, quality)`, the lowest in a fixed mix of
     the ids, among those whose id may be learned from. Rows without id, text or label are left out; an id that has both
-    labels counts once under each."""
+    labels counts once under each, with its smallest text if the id is repeated, so there are never more voters than the
+    sample has rows. Voters are in the order of their ids."""
     own = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     own = own.where(training_rows(F.col("doc_id"))).distinct()
     n = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -135,8 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     mix = F.xxhash64("doc_id")
     chosen = [own.where(F.col("label") == k).orderBy(mix, "doc_id").limit(sample_rows) for k in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # two times `sample_rows` rows of two numbers
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(sample, "doc_id").select("text", "label")
-    found = rows.mapInArrow(_weights, _COUNTS).toPandas()
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(sample, "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = rows.mapInArrow(_weights, _COUNTS).toPandas().sort_values(["doc_id", "label"])
     if not len(found):
         return Voters(np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
     dense = np.zeros((len(found), FEATURES), np.float32)
@@ -158,7 +161,7 @@ def _scored(voters: Voters, schema: pa.Schema, carry: list[str]):
                 pa.array((score >= 0.5).astype(np.int32)),
             ], schema=schema)
 
-    return run
+    return w.released(run)
 
 
 def classify(docs: DataFrame, voters: Voters, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -166,7 +169,8 @@ def classify(docs: DataFrame, voters: Voters, carry: tuple[str, ...] = ()) -> Da
     all labelled vectors, block by block, in the task that reads the row.
 
     The model is broadcast; its size is fixed by SAMPLE_ROWS, FEATURES and DIMENSIONS (about 2 MB). Nulls: a null text is
-    empty; a text without words has the share of label 1 among all labels as its score. Repeated rows are scored each
+    empty; a text without words has the share of label 1 among all labels as its score. Of neighbours that tie for the
+    last vote, numpy's partition of the voters in their fixed order picks the same ones for equal texts. Repeated rows are scored each
     for itself. Columns that are not carried are not read. An empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -63,7 +63,7 @@ def _seeds(window: int, anchor: int):
                 [pa.array(w.signed(seeds[new])), pa.array(chunks.astype(np.int32))], names=["seed", "_chunk"]
             )
 
-    return run
+    return w.released(run)
 
 
 def _extended(window: int, anchor: int):
@@ -80,6 +80,7 @@ def _extended(window: int, anchor: int):
             found["seed"].append((own[first] >> np.uint64(33)).astype(np.int32))
             found["n"].append(n.astype(np.int32))
         size = sum(map(len, found["n"]))
+        w.trim()
         found["_chunk"] = [np.full(size, key[0].as_py(), np.int32)]
         kinds = {"window": np.int64, "seed": np.int32, "_chunk": np.int32, "n": np.int32}
         return pa.table({k: np.concatenate([np.zeros(0, kinds[k]), *v]) for k, v in found.items()})
@@ -163,6 +164,8 @@ def remove_repeats(
 
 def _table_of(blocks):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(blocks(key, left, right)))
+        out = pa.Table.from_batches(list(blocks(key, left, right)))
+        w.trim()
+        return out
 
     return run

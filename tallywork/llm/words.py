@@ -74,11 +74,16 @@ def released(run):
 
 def hand_back() -> None:
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Freed memory goes back to the system."""
     pa.default_memory_pool().release_unused()
     if sys.platform.startswith("linux"):
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim is not None:
-            trim(0)
+        own = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if own is not None:
+            own(0)
 
 
 def bounds(counts: list[int]) -> np.ndarray:

@@ -33,6 +33,17 @@ def test_votes_equal_a_plain_count(spark, folder):
         assert score == pytest.approx((vote * voters.labels[top]).sum() / vote.sum(), abs=1e-3)
 
 
+def test_repeated_ids_add_no_voters(spark):
+    rows = [(k, f"good text number {k}" if k % 2 else f"bad word {k}") for k in range(60)]
+    one = next(k for k, _ in rows if plain.learned(k, 3, 1))
+    docs = spark.createDataFrame(rows + [(one, rows[one][1])] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows] + [(one, one % 2)] * 300, "doc_id long, quality int")
+    for most in (5, 1000):
+        voters = quality.train(docs, labels, most)
+        learned = [k for k, _ in rows if plain.learned(k, 3, 1)]
+        assert len(voters.vectors) == sum(min(most, sum(k % 2 == label for k in learned)) for label in (0, 1))
+
+
 def test_quality_odd_rows(spark, odd, none, folder):
     rows, docs, clash = odd
     voters = quality.train(*(spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels")))
@@ -116,66 +127,34 @@ def test_language_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.train(none)).collect()} == {"und"}
 
 
-def _plain_tree(counts, depth):
-    """Log10 cost of a word behind another under a context tree built node by node; counts of (word before, word)."""
-    def contexts(pair):
-        before, word = pair
-        text = b" " + word + b" "
-        for at in range(1, len(text)):
-            back = text[:at][::-1]
-            if at <= context_tree.HEAD:
-                back += (b" " + before)[-context_tree.BEFORE:][::-1]
-            own = tuple(back[:depth])
-            for k in range(8):
-                yield own, (1 << k) | (text[at] >> 8 - k), text[at] >> 7 - k & 1
-
-    n = collections.Counter()
-    below = collections.defaultdict(set)
-    for word, c in counts.items():
-        for own, place, bit in contexts(word) if c else ():
-            for d in range(len(own) + 1):
-                n[own[:d], place, bit] += c
-                if d:
-                    below[own[:d - 1], place].add(own[:d])
-    memo = {}
-
-    def estimate(own, place):
-        a, b = n[own, place, 0], n[own, place, 1]
-        return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - log(math.pi)
-
-    def weighted(own, place):
-        if (own, place) not in memo:
-            e, deep = estimate(own, place), below.get((own, place))
-            memo[own, place] = e if not deep else np.logaddexp(e, sum(weighted(x, place) for x in deep)) - log(2)
-        return memo[own, place]
-
-    def one(own, place, d=0):
-        here = own[:d]
-        kt = (n[here, place, 1] + 0.5) / (n[here, place, 0] + n[here, place, 1] + 1)
-        nxt = own[:d + 1]
-        if d == len(own) or not n[nxt, place, 0] + n[nxt, place, 1]:
-            return kt
-        gap = sum(weighted(x, place) for x in below[here, place]) - estimate(here, place)
-        share = 1 / (1 + math.exp(min(gap, 700)))
-        return share * kt + (1 - share) * one(own, place, d + 1)
-
-    return lambda word: sum(math.log10(p if bit else 1 - p) for own, place, bit in contexts(word) for p in [one(own, place)])
-
-
-def test_scores_equal_a_plain_context_tree(spark, folder, given):
+def test_scores_of_given_documents(spark, folder, given):
+    """Counts and base of the whole table; the scores of some of its documents against a tree over whole texts."""
     got = {r.doc_id: r for r in queries.QUERIES["op10_lm_scoring"](spark, folder).collect()}
-    docs = [(d, [*t.encode().lower().split(), b""]) for d, t in given("SELECT doc_id, text FROM {documents}")]
+    given_texts = given("SELECT doc_id, text FROM {documents}")
+    docs = [(d, [*t.encode().lower().split(), b""]) for d, t in given_texts]
     c = collections.Counter(x for d, own in docs if plain.learned(d, 5, 1) for x in own)
     tokens, distinct = sum(c.values()), len(c)
-    pairs = lambda own: list(zip([b"", *own[:-1]], own))
-    cost = _plain_tree(collections.Counter(x for d, own in docs if plain.learned(d, 5, 1) for x in pairs(own)), context_tree.DEPTH)
+    assert len(got) == len(docs)
     for d, own in docs:
         base = sum(math.log10((c[x] + 0.5) / (tokens + 0.5 * (distinct + 1))) for x in own)
         r = got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not plain.learned(d, 5, 1), len(own), sum(c[x] > 0 for x in own), tokens)
         assert r.base_score == pytest.approx(base, rel=1e-9)
-    for d, own in docs[:25]:
-        assert got[d].score == pytest.approx(sum(map(cost, pairs(own))), rel=1e-6)
+    some = sorted(given_texts, key=lambda x: len(x[1]))[::5][:20]
+    cost = _whole_tree([t.encode() for d, t in some if plain.learned(d, 5, 1)])
+    out = lm_scoring.score(spark.createDataFrame(some, "doc_id long, text string").repartition(3), chunk_bytes=3_000).collect()
+    texts = dict(some)
+    assert len(out) == len(some) and any(r.held_out for r in out)
+    for r in out:
+        assert r.score == pytest.approx(cost(texts[r.doc_id].encode()), rel=1e-9)
+
+
+def test_scratch_tables_leave_the_catalog(spark):
+    from tallywork.runtime import release_scratch
+
+    lm_scoring.score(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
+    release_scratch(spark)
+    assert [t.name for t in spark.catalog.listTables() if not t.isTemporary] == []
 
 
 def test_log_gamma():
