@@ -25,6 +25,7 @@ BLOCK_ROWS = 1 << 20
 
 _fallback_dir: dict[str, str] = {}
 _written: list[str] = []
+_tables: list[str] = []
 _shipped: set[str] = set()
 
 
@@ -74,6 +75,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new name for a scratch table of the session's catalog, which `release_scratch` drops."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    _tables.append(table)
+    return table
+
+
 def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` to the shared scratch folder and read it back: a short plan that survives lost executors. `options` are
     those of the Parquet writer."""
@@ -84,10 +92,12 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def release_scratch(spark: SparkSession) -> int:
-    """Delete the tables `cut` wrote in this process. Call it once every result has been written out."""
+    """Delete the tables `cut` wrote in this process, and those of `scratch_table` from the catalog. Call it once every result has been written out."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         dropped += bool(path.getFileSystem(conf).delete(path, True))
