@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .words import mixed
+
 DEPTH = 6
 _DIGIT = 9  # bits of one byte of context (0: none); six of them and the coded byte fit in 62 bits
 
@@ -119,6 +121,39 @@ def find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == key
 
 
+class Places:
+    """Places of keys in a column of distinct ones, in any order: a hash table of half-empty 32-bit cells, next cell on a clash."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.cells = keys, np.full(1 << (2 * len(keys)).bit_length(), -1, np.int32)
+        todo, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(todo):
+            free = self.cells[at] < 0
+            self.cells[at[free]] = todo[free]
+            left = self.cells[at] != todo
+            todo, at = todo[left], self._next(at[left])
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys.view(np.uint64)) & np.uint64(len(self.cells) - 1)).astype(np.int32)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return at + 1 & len(self.cells) - 1
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for a key that is not there."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys):
+            return out
+        todo, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(todo):
+            found = self.cells[at]
+            hit = (found >= 0) & (self.keys[found] == keys[todo])
+            out[todo[hit]] = found[hit]
+            on = (found >= 0) & ~hit
+            todo, at = todo[on], self._next(at[on])
+        return out
+
+
 def _estimate(lv: Level) -> np.ndarray:
     return (lv.ones + 0.5) / (lv.zeros + lv.ones + 1.0)
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +12,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..runtime import cut, scratch_path
+from ..runtime import cut, scratch_path, scratch_table
 from . import context_tree as ct
 from . import words as w
 
 CHUNK_BYTES = 32 << 20  # text whose words and bytes are looked up together
+COST_STEPS = 1 << 32  # costs travel in whole steps of this part of one
+BATCH_BYTES = 1 << 19  # compressed texts that are scored in one go
+BATCHES = 8  # of these, whose words are looked up in one go
 _LATEST_TWO = (1 << 18) - 1
 
 
@@ -30,7 +31,7 @@ def training_rows(doc_id: Column) -> Column:
 def _by(df: DataFrame, column: str, name: str) -> DataFrame:
     """Written to the shared folder in buckets of `column`: later group-bys and joins on it do not shuffle it again."""
     spark = df.sparkSession
-    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_table(spark, name)
     rows = df.repartition(n, column).write.bucketBy(n, column).sortBy(column).option("compression", "zstd")
     rows.option("path", scratch_path(spark, name)).saveAsTable(table)
     return spark.table(table)
@@ -61,35 +62,57 @@ def _chunks(limit: int):
             if held >= limit:
                 chunk, held = chunk + 1, 0
 
-    return run
+    return w.released(run)
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    """The words, then the end, which is the empty word."""
-    return [*text.lower().split(), b""]
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts in a row, and the bounds of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    there = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty one
+    return words.filter(pa.array(there)), np.concatenate(([0], np.cumsum(there)))[w.bounds(pc.list_value_length(lists).to_numpy())]
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens of each chunk with their counts in training rows."""
-    chunk, found = None, Counter()  # count 0: met in rows that are not learned from alone
+    """Distinct tokens of each chunk with their counts in training rows; the end of a text is the empty word."""
+    chunk, held, size = None, [], 0  # count 0: met in rows that are not learned from alone
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     def out() -> Iterator[pa.RecordBatch]:
-        words = sorted(found)
-        for a in range(0, len(words), 50_000):
-            part = words[a:a + 50_000]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(part), chunk, np.int64)), pa.array(part, pa.binary()),
-                pa.array([found[x] for x in part], pa.int64()),
-            ], names=["_chunk", "word", "n"])
+        if held:
+            found = merged()
+            found = found.append_column("_chunk", pa.array(np.full(found.num_rows, chunk, np.int64)))
+            found = found.set_column(0, "word", found.column("word").cast(pa.binary()))
+            yield from found.select(["_chunk", "word", "n"]).to_batches(50_000)
 
     for batch in w.blocks(batches, "_packed", w.BLOCK_BYTES // 2):
-        texts = [text or b"" for text in w.opened(batch)]
-        for own, text, learn in zip(batch.column("_chunk").to_pylist(), texts, batch.column("_learn").to_pylist()):
-            if own != chunk or len(found) > 4 * w.CACHE_WORDS:
+        runs = batch.column("_chunk").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a == b:
+                continue
+            if runs[a] != chunk:
                 yield from out()
-                chunk, found = own, Counter()
-            tokens = _tokens(text)
-            found.update(tokens if learn else dict.fromkeys((x for x in tokens if x not in found), 0))
+                chunk, held, size = int(runs[a]), [], 0
+            own = batch.slice(a, b - a)
+            texts = [text or b"" for text in w.opened(own)]
+            learn = own.column("_learn").to_numpy(zero_copy_only=False)
+            words, ends = _words(pa.array(texts, pa.binary()).cast(pa.string()))
+            for learned in (True, False):
+                mask = learn == learned
+                if mask.any():
+                    found = words.filter(pa.array(np.repeat(mask, np.diff(ends)))).value_counts()
+                    count = found.field("counts").to_numpy() if learned else np.zeros(len(found), np.int64)
+                    held.append(pa.table({
+                        "word": pa.concat_arrays([found.field("values"), pa.array([""])]),
+                        "n": np.append(count, int(mask.sum()) if learned else 0),
+                    }))
+                    size += held[-1].num_rows
+            if size > 2 * held[0].num_rows + 4 * w.CACHE_WORDS:
+                held = [merged()]
+                size = held[0].num_rows
     yield from out()
 
 
@@ -99,6 +122,11 @@ def _distinct(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slot[first], np.diff(first, append=len(slot))
 
 
+def _bucket(slot: np.ndarray, buckets: int) -> np.ndarray:
+    """By context, so that the slots of a context lie side by side, which keeps their steps small."""
+    return (w.mixed((slot >> 8).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _slots(buckets: int):
     """Distinct slots of the running texts of each chunk with their counts in training rows, shut by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +137,7 @@ def _slots(buckets: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             for slot, n in merged():
-                bucket = (w.mixed(slot.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                bucket = _bucket(slot, buckets)
                 order = np.argsort(bucket, kind="stable")
                 bucket, slot, n = bucket[order], slot[order], n[order]
                 own, first = np.unique(bucket, return_index=True)
@@ -118,7 +146,7 @@ def _slots(buckets: int):
                     pa.array(np.full(len(own), chunk, np.int64)), pa.array(own), pa.array(shut, pa.binary()),
                 ], names=["_chunk", "_bucket", "data"])
 
-        for batch in w.blocks(batches, "_packed", w.BLOCK_BYTES // 2):
+        for batch in w.blocks(batches, "_packed", w.BLOCK_BYTES // 4):
             runs = batch.column("_chunk").to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
             for a, b in zip(edges[:-1], edges[1:]):
@@ -133,12 +161,12 @@ def _slots(buckets: int):
                 slot, _ = _distinct(found[~learn])
                 held += [_distinct(found[learn]), (slot, np.zeros(len(slot), np.int64))]
                 size += len(held[-1][0]) + len(held[-2][0])
-                if size > 2 * len(held[0][0]) + (4 << 20):
+                if size > 2 * len(held[0][0]) + (2 << 20):
                     held = merged()
                     size = len(held[0][0])
         yield from out()
 
-    return run
+    return w.released(run)
 
 
 def _model(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -150,6 +178,7 @@ def _model(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if data is None or sum(len(x) for x, _ in held) > len(slot) + (1 << 20):
             slot, n = ct.summed(*(np.concatenate(x) for x in zip((slot, n), *held)))
             held = []
+    w.trim()
     return pa.table({
         "slot": slot, "n": n, "_bucket": np.full(len(slot), key[0].as_py(), np.int64), "_latest": slot >> 8 & _LATEST_TWO,
     })
@@ -181,39 +210,59 @@ def _chunk_costs(key, used: pa.Table, costs: pa.Table) -> pa.Table:
         at, there = ct.find(known, slot)
         if not there.all():
             raise ValueError("a slot lacks its cost")
-        shut.append(_shut(slot, cost[at]))
+        shut.append(_shut(slot, np.rint(cost[at] * COST_STEPS).astype(np.int64)))
+    w.trim()
     return pa.table({"_chunk": used.column("_chunk"), "data": pa.array(shut, pa.binary())})
 
 
 def _scores(tokens: int, distinct: int, schema: pa.Schema):
     def run(key, docs: pa.Table, costs: pa.Table) -> pa.Table:
         words = costs.filter(pc.is_null(costs.column("data")))
-        place = {x or b"": k for k, x in enumerate(words.column("word").to_pylist())}
-        c = words.column("c").to_numpy()
-        parts = [_opened(x.as_py(), np.float64) for x in costs.column("data").drop_null()]
-        slot, cost = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(slot)
-        slot, cost = slot[order], cost[order]
+        known = words.column("word").cast(pa.string()).combine_chunks()
+        c, end = words.column("c").to_numpy(), pc.index_in(pa.scalar(""), value_set=known).as_py()
+        parts = [_opened(x.as_py(), np.int64) for x in costs.column("data").drop_null()]
+        place = ct.Places(np.concatenate([slot for slot, _ in parts]))
+        cost = np.concatenate([cost for _, cost in parts])
+        del parts
         base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
-        parts = []
-        for batch in w.blocks(docs.to_batches(), "_packed", w.BLOCK_BYTES // 2):
-            texts = [text or b"" for text in w.opened(batch)]
-            split = [_tokens(text) for text in texts]
-            ends = w.bounds([len(x) for x in split])
-            at = np.fromiter((place[x] for own in split for x in own), np.int64, int(ends[-1]))
+        parts, ahead = [], []
+
+        def scored(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Words are looked up for several batches in one call, which hashes the vocabulary."""
+            blocks = [[text or b"" for text in w.opened(batch)] for batch in batches]
+            split = [_words(pa.array(texts, pa.binary()).cast(pa.string())) for texts in blocks]
+            found = pc.index_in(pa.chunked_array([own for own, _ in split]), value_set=known).to_numpy()
+            bounds, after = [ends for _, ends in split], 0
+            del split
+            for batch, texts, ends in zip(batches, blocks, bounds):
+                yield of_batch(batch, texts, found[after:after + ends[-1]], ends)
+                after += ends[-1]
+
+        def of_batch(batch: pa.RecordBatch, texts: list[bytes], at: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            # Every text has one more token, its end, behind its words.
+            at = np.insert(at, ends[1:], end)
+            ends = ends + np.arange(len(ends))
             total = [np.add.reduceat(v[at], ends[:-1]) for v in (base, (c > 0).astype(np.int64))]
-            own, byte_ends = ct.slots([x[:-1] for x in split])
-            own, back = np.unique(own, return_inverse=True)
-            at, there = ct.find(slot, own)
-            if not there.all():
+            own, byte_ends = ct.slots([text.lower().split() for text in texts])
+            at = place(own)
+            if (at < 0).any():
                 raise ValueError("a slot lacks its cost")
-            score = np.add.reduceat(cost[at][back], byte_ends[:-1])
+            score = np.add.reduceat(cost[at], byte_ends[:-1]) / COST_STEPS
             size = np.array([max(1, len(text)) for text in texts])
-            parts.append(pa.RecordBatch.from_arrays([
+            return pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(ends)), pa.array(total[1]),
                 pa.array(np.full(len(texts), tokens, np.int64)), pa.array(total[0]), pa.array(score),
                 pa.array(-score * math.log2(10) / size),
-            ], schema=schema))
+            ], schema=schema)
+
+        for batch in w.blocks(docs.to_batches(), "_packed", BATCH_BYTES):
+            ahead.append(batch)
+            if len(ahead) == BATCHES:
+                parts += scored(ahead)
+                ahead = []
+        if ahead:
+            parts += scored(ahead)
+        w.trim()
         return pa.Table.from_batches(parts, schema=schema)
 
     return run
@@ -246,7 +295,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     docs = cut(docs.mapInArrow(_chunks(chunk_bytes), crossing), "chunks")
     vocabulary = _by(
         docs.select("_packed", "_chunk", (~F.col("held_out")).alias("_learn"))
-        .mapInArrow(_vocabulary, "_chunk long, word binary, n long"), "word", "vocabulary",
+        .mapInArrow(w.released(_vocabulary), "_chunk long, word binary, n long"), "word", "vocabulary",
     )
     words = cut(vocabulary.groupBy("word").agg(F.sum("n").alias("c")), "words", compression="zstd")
     counts = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()

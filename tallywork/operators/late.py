@@ -37,9 +37,12 @@ def calendar_problems(periods: DataFrame) -> DataFrame:
 
 
 def with_period(rows: DataFrame, periods: DataFrame, day: str) -> DataFrame:
-    """Adds period, period_end: a range join against the thirteen-row calendar."""
-    dims = F.broadcast(periods.select("fiscal_year", "period", F.col("start").alias("_start"), F.col("end").alias("period_end")))
-    return rows.join(dims, F.col(day).between(F.col("_start"), F.col("period_end")), "left").drop("_start")
+    """Adds fiscal_year, period, period_end: every day of the calendar is a row, and rows look up their day, so any number
+    of years is one equality join. A period whose end lies before its start has no day."""
+    days = periods.filter(F.col("start") <= F.col("end")).select(
+        "fiscal_year", "period", F.col("end").alias("period_end"), F.explode(F.sequence("start", "end")).alias("_day")
+    )
+    return rows.join(days, F.col(day) == F.col("_day"), "left").drop("_day")
 
 
 def late_entries(rows: DataFrame, periods: DataFrame, close_days: int = 0, selected_period: int | None = None) -> DataFrame:
@@ -133,8 +136,10 @@ def pull_drift(earlier: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def calendar_findings(listed: DataFrame, periods: DataFrame) -> DataFrame:
-    """Period dates written in a workbook against the calendar; a gap of one year is named a typing error."""
-    joined = listed.join(F.broadcast(periods.select("period", "start", "end")), "period")
+    """Period dates written in a workbook against the calendar; a gap of one year is named a typing error. Where both name
+    the fiscal year, periods meet by year and number, otherwise by number alone."""
+    keys = [k for k in ("fiscal_year", "period") if k in listed.columns]
+    joined = listed.join(periods.select(*keys, "start", "end"), keys)
     gap = F.datediff(F.col("listed_end"), F.col("end"))
     return joined.withColumn("gap_days", gap).filter("gap_days <> 0").withColumn(
         "finding", F.when(F.abs("gap_days").isin(365, 366), "year looks mistyped").otherwise("differs from the calendar")

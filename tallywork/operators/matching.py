@@ -180,13 +180,13 @@ def subset_sums(cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, sizes
 
 
-def two_solutions(cents: np.ndarray, targets: np.ndarray) -> dict[int, list[int]]:
+def two_solutions(cents: np.ndarray, targets: np.ndarray, pool: int = MAX_POOL) -> dict[int, list[int]]:
     """Up to two subsets of 2 to MAX_GROUP rows per target amount, as bit masks.
 
     Smaller subsets come first; among equal sizes, the one that finishes earliest in source order, which is the
     numeric order of the masks. Two are enough to tell a unique solution from an ambiguous one.
     """
-    if not 2 <= len(cents) <= MAX_POOL or not len(targets):
+    if not 2 <= len(cents) <= pool or not len(targets):
         return {}
     sums, sizes = subset_sums(cents)
     usable = (sizes >= 2) & (sizes <= MAX_GROUP) & np.isin(sums, targets)
@@ -212,7 +212,7 @@ def _vet(rows: list, kinds: list[str]) -> str:
     return status
 
 
-def _solve_key(other_kinds: list[str]):
+def _solve_key(other_kinds: list[str], pool: int):
     """A function that settles one key: propose, keep proposals no other proposal touches, repeat until none is left."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -225,11 +225,11 @@ def _solve_key(other_kinds: list[str]):
             pools = {s: [r for r in open_rows.values() if r["side"] == s] for s in "AB"}
             proposals: set[tuple] = set()
             for many, one in (("A", "B"), ("B", "A")):
-                if len(pools[many]) > MAX_POOL or any(r["over_pool"] for r in pools[many]):
+                if len(pools[many]) > pool or any(r["over_pool"] for r in pools[many]):
                     continue
                 found = two_solutions(
                     np.array([r["cents"] for r in pools[many]], dtype=np.int64),
-                    np.unique(np.array([r["cents"] for r in pools[one]], dtype=np.int64)),
+                    np.unique(np.array([r["cents"] for r in pools[one]], dtype=np.int64)), pool,
                 )
                 for single in pools[one]:
                     for mask in found.get(single["cents"], []):
@@ -273,10 +273,10 @@ def _reachable(pdf: pd.DataFrame) -> pd.DataFrame:
     return rest[hits]
 
 
-def match_grouped(open_rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+def match_grouped(open_rows: DataFrame, kinds: tuple[str, ...], pool_rows: int = MAX_POOL) -> DataFrame:
     """Exact 1:n and n:1 groups inside one key. CONFLICT groups take nothing.
 
-    Only keys whose pool is within MAX_POOL on a side can hold a group, so other keys never leave their task. Where one
+    Only keys whose pool is within `pool_rows` on a side can hold a group, by the rule (`unsearched_rows` names the others), so other keys never leave their task. Where one
     side is within the bound and the other is large, the large side is first cut down, slice by slice, to the distinct
     amounts the small pool can reach: at most one row per subset, whatever the size of the key.
     """
@@ -290,7 +290,7 @@ def match_grouped(open_rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
             *[fn(on_side(side, F.col("cents"))).alias(f"{name}_{side.lower()}")
               for side in "AB" for name, fn in (("total", F.sum), ("low", F.min), ("high", F.max))],
         )
-        .filter(f"n_a > 0 AND n_b > 0 AND n_a + n_b > 2 AND (n_a BETWEEN 2 AND {MAX_POOL} OR n_b BETWEEN 2 AND {MAX_POOL})")
+        .filter(f"n_a > 0 AND n_b > 0 AND n_a + n_b > 2 AND (n_a BETWEEN 2 AND {pool_rows} OR n_b BETWEEN 2 AND {pool_rows})")
         # The only group of a two-row pool is the pair itself, so most keys are settled here.
         .filter(
             "n_a > 2 OR n_b > 2 OR (n_a = 2 AND total_a IN (low_b, high_b)) OR (n_b = 2 AND total_b IN (low_a, high_a))"
@@ -299,7 +299,7 @@ def match_grouped(open_rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
     rows = usable.join(sizes, keys)
     # At most half of a full pool can be consumed as single rows, so a side above this bound never comes back under it.
-    bound = MAX_POOL + MAX_POOL // 2
+    bound = pool_rows + pool_rows // 2
     large = F.when(F.col("n_a") > bound, "A").when(F.col("n_b") > bound, "B")
     rows = cut(rows.withColumn("large", large), "pools-" + "-".join(kinds))
     plain = rows.filter("large IS NULL")
@@ -330,7 +330,36 @@ def match_grouped(open_rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         small_side.select(*columns, single, F.lit(False).alias("over_pool")),
         reached.select(*columns, "copies", closed),
     ])
-    return spread(candidates, keys).groupBy(*keys).applyInPandas(_solve_key(other), _SOLVED)
+    return spread(candidates, keys).groupBy(*keys).applyInPandas(_solve_key(other, pool_rows), _SOLVED)
+
+
+OVER_POOL = "POOL_OVER_BOUND: the key has more open rows on this side than a search for their sums takes."
+
+
+def unsearched_rows(open_rows: DataFrame, pool_rows: int = MAX_POOL) -> DataFrame:
+    """(method, side, row_id, pool, reason): rows whose sums no tier looks for, because their key holds more than `pool_rows` of
+    them on their side while the other side has rows too. One row for each tier that leaves a row out."""
+    out = []
+    for method, kinds in GROUPED_TIERS:
+        keys = [f"key_{kind}" for kind in kinds]
+        usable = open_rows.filter(filled([*keys, "cents"])).select(*keys, "side", "row_id")
+        sizes = usable.groupBy(*keys).agg(counted("A").alias("n_a"), counted("B").alias("n_b"))
+        sizes = sizes.filter(f"n_a > 0 AND n_b > 0 AND greatest(n_a, n_b) > {pool_rows}")
+        mine = F.when(F.col("side") == "A", F.col("n_a")).otherwise(F.col("n_b"))
+        out.append(usable.join(sizes, keys).withColumn("pool", mine).filter(F.col("pool") > pool_rows).select(
+            F.lit(method).alias("method"), "side", "row_id", "pool", F.lit(OVER_POOL).alias("reason")))
+    return union_all(out)
+
+
+def search_control(open_rows: DataFrame, pool_rows: int = MAX_POOL) -> DataFrame:
+    """(check, status, n): one line a tier and side, REVIEW where rows were left out of the search for sums."""
+    names = open_rows.sparkSession.createDataFrame([(m, s) for m, _ in GROUPED_TIERS for s in "AB"], "method string, side string")
+    left = unsearched_rows(open_rows, pool_rows).groupBy("method", "side").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return names.join(left, ["method", "side"], "left").select(
+        F.concat(F.lit("Sums of "), "side", F.lit(" rows searched: "), "method").alias("check"),
+        F.when(n == 0, "PASS").otherwise("REVIEW").alias("status"), n.alias("n"),
+    )
 
 
 def match_grouped_tiers(open_rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

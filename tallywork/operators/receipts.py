@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import label_year, period_number
 from ..functions.text import is_blank
-from ..runtime import BLOCK_ROWS, cut, running_before
+from ..runtime import BLOCK_ROWS, cut, inside_spans, running_before
 from .fifo import QTY_TOLERANCE, VALUE_TOLERANCE
 from .materials import name_key
 
@@ -102,7 +102,7 @@ def opening_evidence(crossing: DataFrame, layers: DataFrame, lineage: DataFrame)
     """(source_row, evidence): included on proof, unclear when a layer could hold the receipt, else not_included.
 
     `lineage`: alias, delivered, qty, po, invoice of receipts recorded in the opening layers. `layers`: alias,
-    start_day, end_day. Layers count by their distinct spans, receipts by their distinct days.
+    start_day, end_day. Spans of a material are swept day by day, so neither side is paired with the other.
     """
     rows = crossing.withColumns({"ref_po": F.coalesce(name_key("po"), F.lit("")), "ref_inv": F.coalesce(name_key("invoice"), F.lit(""))})
     proof = None
@@ -110,10 +110,9 @@ def opening_evidence(crossing: DataFrame, layers: DataFrame, lineage: DataFrame)
         known = lineage.select("alias", "delivered", F.col("qty").alias("l_qty"), F.coalesce(name_key(source), F.lit("")).alias(ref)).filter(F.col(ref) != "")
         hit = rows.join(known, ["alias", "delivered", ref]).filter(F.abs(F.col("l_qty") - F.col("qty")) <= 0.5).select("source_row")
         proof = hit if proof is None else proof.unionByName(hit)
-    spans = layers.select("alias", "start_day", F.coalesce("end_day", "start_day").alias("end_day")).distinct()
+    spans = layers.select("alias", "start_day", F.coalesce("end_day", "start_day").alias("end_day"))
     undated = spans.filter("start_day IS NULL").select("alias", F.lit(True).alias("undated")).distinct()
-    days = rows.select("alias", "delivered").distinct()
-    covered = days.join(spans, "alias").filter("start_day <= delivered AND delivered <= end_day").select("alias", "delivered", F.lit(True).alias("covered")).distinct()
+    covered = inside_spans(rows, spans, ["alias"], "delivered", "start_day", "end_day", "covered")
     out = (
         rows.join(proof.distinct().withColumn("proven", F.lit(True)), "source_row", "left").join(undated, "alias", "left")
         .join(covered, ["alias", "delivered"], "left")

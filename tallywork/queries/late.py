@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import late as l
 from . import query
@@ -104,12 +105,21 @@ def problems(t):
     return l.calendar_problems(t.spark.sql(_YEARS).withColumnRenamed("finish", "end")).select("fiscal_year", "period")
 
 
+_LISTED = """SELECT CAST(year(o_orderdate) AS INT) AS fiscal_year, CAST(month(o_orderdate) AS INT) AS period, count(*) AS n FROM orders GROUP BY 1, 2"""
+
+
 @query(
     "calendar_findings",
-    f"""WITH {_CAL}, w AS (SELECT CAST(month(o_orderdate) AS INT) AS period, CAST(max(o_orderdate) AS DATE) AS listed_end FROM orders WHERE year(o_orderdate) = 1999 GROUP BY 1)
-    SELECT CAST(w.period AS INT) AS period, CAST(date_diff('day', e, listed_end) AS INT) AS gap_days, CASE WHEN abs(date_diff('day', e, listed_end)) IN (365, 366) THEN 'year looks mistyped' ELSE 'differs from the calendar' END AS finding
-    FROM w JOIN cal ON cal.period = w.period WHERE listed_end <> e""",
+    f"""WITH w AS ({_LISTED}), c AS (SELECT *, CAST(make_date(fiscal_year, 1, 1) + CAST(28 * period - 1 AS INT) AS DATE) AS e FROM w),
+    g AS (SELECT fiscal_year, period, CAST(CASE WHEN period = 3 THEN 365 WHEN n % 2 = 0 THEN 0 ELSE 1 + n % 5 END AS INT) AS gap_days FROM c)
+    SELECT fiscal_year, period, gap_days, CASE WHEN gap_days IN (365, 366) THEN 'year looks mistyped' ELSE 'differs from the calendar' END AS finding FROM g WHERE gap_days <> 0""",
 )
 def findings(t):
-    listed = t.orders.filter(F.year("o_orderdate") == 1999).groupBy(F.month("o_orderdate").alias("period")).agg(F.max("o_orderdate").cast("date").alias("listed_end"))
-    return l.calendar_findings(listed, _calendar(t)).select("period", "gap_days", "finding")
+    """Period ends as written for every year of the orders, some off by days that depend on their orders, against the calendars of all years."""
+    t.orders.createOrReplaceTempView("orders")
+    off = F.when(F.col("period") == 3, 365).when(F.col("n") % 2 == 0, 0).otherwise(1 + F.col("n") % 5).cast("int")
+    listed = t.spark.sql(_LISTED).withColumn("listed_end", F.date_add(F.make_date("fiscal_year", F.lit(1), F.lit(1)), F.col("period") * 28 - 1 + off))
+    span = t.orders.agg(F.min(F.year("o_orderdate")).alias("first"), F.max(F.year("o_orderdate")).alias("last")).first()
+    years = range(span["first"], span["last"] + 1) if span["first"] is not None else [2000]
+    calendars = reduce(DataFrame.unionByName, [l.calendar(t.spark, y, date(y, 1, 1)) for y in years])
+    return l.calendar_findings(listed, calendars).select("fiscal_year", "period", "gap_days", "finding")

@@ -222,6 +222,25 @@ def last_known(df: DataFrame, group: list[str], position: str, value: Column, na
     )
 
 
+def inside_spans(points: DataFrame, spans: DataFrame, keys: list[str], day: str, start: str, end: str, name: str) -> DataFrame:
+    """The distinct `keys` and `day` of `points` that lie in a span of the same keys, with `name` = true.
+
+    A sweep: a span opens on its first day and closes the day after its last; a day is inside while more spans have opened
+    than closed. Spans and points of a key meet as sums per day, never as pairs, so a window holds no more rows than the key has
+    days. Spans without a start, or whose end lies before it, hold nothing; a null key is no key.
+    """
+    first, last = F.col(start), F.col(end)
+    real = spans.filter(first <= last)
+    opens = real.select(*keys, first.alias("_day"), F.lit(1).alias("_step"), F.lit(False).alias("_asked"))
+    closes = real.select(*keys, F.date_add(last, 1).alias("_day"), F.lit(-1).alias("_step"), F.lit(False).alias("_asked"))
+    asked = points.filter(F.col(day).isNotNull()).select(*keys, F.col(day).alias("_day"), F.lit(0).alias("_step"), F.lit(True).alias("_asked"))
+    days = opens.unionByName(closes).unionByName(asked).groupBy(*keys, "_day").agg(F.sum("_step").alias("_step"), F.max("_asked").alias("_asked"))
+    so_far = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    return days.withColumn("_open", F.sum("_step").over(so_far)).filter("_asked AND _open > 0").select(
+        *keys, F.col("_day").alias(day), F.lit(True).alias(name)
+    )
+
+
 def first_per_group(df: DataFrame, group: list[str], order_by: list[Column], limit: int = 1) -> DataFrame:
     """The first `limit` rows of each group; Spark keeps only that many per task before it shuffles."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order_by))

@@ -131,3 +131,38 @@ def test_entry_runs_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def test_days_inside_ten_thousand_spans_of_one_material(spark):
+    import random
+    from datetime import date, timedelta
+
+    from tallywork.runtime import inside_spans
+
+    luck, first = random.Random(2), date(2020, 1, 1)
+    day = lambda n: first + timedelta(days=n)
+    spans = [(1, day(luck.randrange(0, 3000)), luck.randrange(-1, 3)) for _ in range(10_000)] + [(2, day(5), 10), (2, None, 3), (None, day(1), 9)]
+    spans = [(a, s, s and s + timedelta(days=n)) for a, s, n in spans if not (a == 1 and s and (s - first).days % 7 == 0)]
+    points = [(1, day(n)) for n in range(-3, 3010)] + [(2, day(n)) for n in range(0, 20)] + [(3, day(1)), (1, None)]
+    got = inside_spans(
+        spark.createDataFrame(points * 2, "alias int, delivered date"), spark.createDataFrame(spans, "alias int, start_day date, end_day date"),
+        ["alias"], "delivered", "start_day", "end_day", "covered",
+    ).collect()
+    held = {(a, s + timedelta(days=k)) for a, s, e in spans if s for k in range((e - s).days + 1)}
+    assert len(got) == len({(r.alias, r.delivered) for r in got}) and {(r.alias, r.delivered) for r in got} == held & set(points)
+
+
+def test_days_of_many_years_look_up_their_period(spark):
+    from datetime import date, timedelta
+    from functools import reduce
+
+    from tallywork.operators import late
+
+    years = range(1960, 2020)
+    calendars = reduce(lambda x, y: x.unionByName(y), [late.calendar(spark, y, date(y, 1, 1)) for y in years])
+    broken = spark.createDataFrame([(2050, 1, date(2050, 2, 1), date(2050, 1, 1)), (2051, 1, date(2051, 1, 1), None)], calendars.schema)
+    days = [(k, date(1959, 12, 30) + timedelta(days=17 * k)) for k in range(1400)] + [(-1, None), (-2, date(2050, 1, 15)), (-3, date(2051, 1, 1))]
+    got = {r.k: (r.fiscal_year, r.period) for r in late.with_period(spark.createDataFrame(days, "k int, day date"), calendars.unionByName(broken), "day").collect()}
+    for k, d in days:
+        place = (d - date(d.year, 1, 1)).days // 28 if d else None
+        assert got[k] == ((d.year, place + 1) if d and d.year in years and place < 13 else (None, None))

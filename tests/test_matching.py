@@ -233,3 +233,28 @@ def test_numbering_is_global_and_gap_free(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 7)
     rows = numbered(df, ["v", "id"], "place").orderBy("v", "id").collect()
     assert [r["place"] for r in rows] == list(range(1, 1001))
+
+
+def test_rows_beyond_the_pool_bound_are_named(spark):
+    rows = [row("A", k, "P1", "", 100 + k) for k in range(25)] + [row("B", 1, "P1", "", 201), row("B", 2, "P2", "I1", 5), row("A", 90, "P2", "I1", 6)]
+    flagged = m.with_link_flags(frame(spark, rows))
+    got = {(r.method, r.side, r.row_id, r.pool) for r in m.unsearched_rows(flagged).collect()}
+    assert got == {("PO + Aggregate Amount (Grouped)", "A", k, 25) for k in range(25)}
+    control = {(r.check, r.status, r.n) for r in m.search_control(flagged).collect()}
+    assert ("Sums of A rows searched: PO + Aggregate Amount (Grouped)", "REVIEW", 25) in control and sum(s == "REVIEW" for _, s, _ in control) == 1
+    assert m.unsearched_rows(flagged, 25).collect() == []
+
+
+def test_a_word_in_a_third_of_all_rows_is_one_degree(spark):
+    """One A row names a word that 3,000 B sets hold: nothing but its degree is kept, and small stars beside it are settled."""
+    rows = [row("A", 1, "", "", 10, w=["COMMON"])] + [row("B", k, "", "", 10, w=["COMMON", f"X{'ABCDEFGHIJ'[k % 10]}{k}"]) for k in range(3000)]
+    rows += [row("A", 5000, "", "", 30, w=["HARBOR"]), row("B", 5001, "", "", 10, w=["HARBOR", "NORTH"]), row("B", 5002, "", "", 20, w=["HARBOR", "SOUTH"])]
+    got = {(r.side, r.row_id, r.match_key) for r in words.match_contained(frame(spark, rows)).collect()}
+    assert got == {("A", 5000, 5000), ("B", 5001, 5000), ("B", 5002, 5000)}
+
+
+def test_a_leaf_of_two_centres_spoils_the_star(spark):
+    """A set with two neighbours is no leaf, so a centre that touches it is no star even if its other leaves add up."""
+    rows = [row("A", 1, "", "", 30, w=["HARBOR"]), row("A", 2, "", "", 5, w=["NORTHERN"]), row("B", 1, "", "", 30, w=["HARBOR", "WEST"]),
+            row("B", 2, "", "", 9, w=["HARBOR", "NORTHERN"])]
+    assert words.match_contained(frame(spark, rows)).collect() == []
