@@ -14,6 +14,10 @@ PERIOD_BARE = r"\b(1[0-3]|[1-9])\b"
 LAYER_PERIOD = r"(?i)^\s*(P\.?D?\.?\s*0?\d{1,2}(?:[-.]\d{2,4})?)\s*:?"
 DATE_TOKEN = r"(\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{1,2}-\d{1,2})"
 EXCEL_DAY_ZERO = "1899-12-30"
+# Month names.
+MONTHS = (
+    "JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER",
+)
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
@@ -31,13 +35,63 @@ def typed_date(value) -> Column:
     return F.regexp_extract(text, r"^(\d{4}-\d{1,2}-\d{1,2})(?:[ T].*)?$", 1).try_cast("date")
 
 
+def _day(year: Column, month: Column, day: Column) -> Column:
+    year = F.when(F.length(year) <= 2, F.lpad(year, 2, "0").try_cast("int") + 2000).otherwise(year.try_cast("int"))
+    dash = F.lit("-")
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), dash, month.cast("string"), dash, day.cast("string")).try_cast("date")
+
+
+def date_tokens(value) -> Column:
+    """The numbers and words of a date text in capitals, without a time, a weekday or the endings of counted days; null where
+    anything but spaces and `, . / - '` stands between them. To be kept as a column and read by `read_date`."""
+    text = F.upper(strip(as_col(value).cast("string")))
+    text = F.regexp_replace(text, r"(?:T|\s+)\d{1,2}:\d{2}.*$", "")
+    text = F.regexp_replace(text, r"^(?:MON|TUE|TUES|WED|THU|THUR|THURS|FRI|SAT|SUN)(?:DAY|NESDAY|SDAY|RSDAY|URDAY)?\b[\s,.]*", "")
+    text = F.regexp_replace(text, r"(\d)(?:ST|ND|RD|TH)\b", "$1")
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    clean = text.rlike(r"^(?:[A-Z]+|\d+)(?:[\s,./'-]*(?:[A-Z]+|\d+))*[\s.,]*$")
+    return F.when(clean, F.regexp_extract_all(text, F.lit(r"([A-Z]+|\d+)"), 1))
+
+
+def read_date(tokens) -> Column:
+    """(day, other, reading) from `date_tokens`; all null when unreadable.
+
+    A month is a name, in full or cut to three letters and more. A year is the number of four digits, else the last one
+    (20nn). Of two other numbers the one above twelve is the day. Where both may be the month, `day` is the month-first
+    reading and `other` the day-first one, so that a caller can tell a reading from a guess.
+    """
+    t = as_col(tokens)
+    three = F.size(t) == 3
+    first, second, third = (F.try_element_at(t, F.lit(k)) for k in (1, 2, 3))
+    words = F.filter(t, lambda x: x.rlike("^[A-Z]"))
+    word, names = F.try_element_at(words, F.lit(1)), F.array(*map(F.lit, MONTHS))
+    # The place of the first month that starts with the word.
+    named = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda k: F.element_at(names, k).startswith(F.regexp_replace(word, "^SEPT$", "SEP")))
+    month = F.when(F.length(word) >= 3, F.try_element_at(named, F.lit(1)))
+    numbers = F.filter(t, lambda x: x.rlike("^[0-9]"))
+    one, two = F.try_element_at(numbers, F.lit(1)), F.try_element_at(numbers, F.lit(2))
+    leads = F.length(one) == 4
+    by_name = F.when(leads, _day(one, month, two)).otherwise(_day(two, month, one))
+    is_named, plain = three & (F.size(words) == 1) & (F.size(numbers) == 2), three & (F.size(words) == 0)
+    iso = _day(first, second, third)
+    short = (F.length(first) <= 2) & (F.length(second) <= 2) & F.length(third).isin(2, 4)
+    month_first, day_first = _day(third, first, second), _day(third, second, first)
+    open_order = short & month_first.isNotNull() & day_first.isNotNull() & (month_first != day_first)
+    day = F.when(is_named, by_name).when(plain & (F.length(first) == 4), iso).when(plain & short, F.coalesce(month_first, day_first))
+    reading = (
+        F.when(is_named, "month name").when(F.length(first) == 4, "year first").when(open_order, "either order")
+        .when(month_first.isNotNull(), "month first").otherwise("day first")
+    )
+    return F.struct(day.alias("day"), F.when(plain & open_order, day_first).alias("other"), F.when(day.isNotNull(), reading).alias("reading"))
+
+
 def flexible_date(value) -> Column:
-    """`typed_date`, plus spreadsheet day numbers from 20000 to 80000."""
+    """`typed_date`, spreadsheet day numbers from 20000 to 80000, and every other text that `read_date` reads."""
     text = strip(as_col(value).cast("string"))
     serial = text.try_cast("double")
     return F.when(
         serial.between(20000, 80000), F.date_add(F.lit(EXCEL_DAY_ZERO).cast("date"), F.floor(serial).cast("int"))
-    ).otherwise(typed_date(text))
+    ).otherwise(F.coalesce(typed_date(text), read_date(date_tokens(text)).getField("day")))
 
 
 def period_parts(value) -> Column:

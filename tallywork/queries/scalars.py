@@ -85,13 +85,35 @@ def labels(t):
 
 @query(
     "flexible_dates",
-    "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
+    "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 IN (3, 9) OR o_orderkey % 11 = 6 AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
 )
 def days(t):
     d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
     serial = F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")
-    x = F.when(k % 4 == 0, d.cast("string")).when(k % 4 == 1, F.date_format(d, "M/d/yyyy")).when(k % 4 == 2, serial).otherwise("13/45/2020")
-    return t.orders.select(k.alias("k"), dates.flexible_date(x).cast("string").alias("day"))
+    forms = {
+        0: d.cast("string"), 1: F.date_format(d, "M/d/yyyy"), 2: serial, 3: F.lit("13/45/2020"), 4: F.date_format(d, "MMM d, yyyy"),
+        5: F.date_format(d, "EEEE d MMMM yyyy"), 6: F.date_format(d, "dd/MM/yyyy"), 7: F.date_format(d, "yyyyMMdd"),
+        8: F.concat(F.date_format(d, "d-MMM-yyyy"), F.lit(" 08:30:00")), 9: F.lit("Jan the 5th of 2026"), 10: F.concat(F.date_format(d, "MMMM d"), F.lit("th, "), F.date_format(d, "yyyy")),
+    }
+    x = F.coalesce(*[F.when(k % 11 == n, form) for n, form in forms.items()])
+    # Day-first texts whose day may be a month as well are read month first: shown as null here, and by `date_readings` as open.
+    read = dates.flexible_date(x)
+    open_order = (k % 11 == 6) & (F.dayofmonth(d) <= 12) & (F.dayofmonth(d) != F.month(d))
+    return t.orders.select(k.alias("k"), F.when(~open_order, read).cast("string").alias("day"))
+
+
+@query(
+    "date_readings",
+    """SELECT o_orderkey AS k, strftime(CASE WHEN r = 'either order' THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE o_orderdate END, '%Y-%m-%d') AS day,
+      CASE WHEN r = 'either order' THEN strftime(o_orderdate, '%Y-%m-%d') END AS other, r AS reading
+    FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'month name' WHEN o_orderkey % 3 = 1 THEN 'year first' WHEN day(o_orderdate) = month(o_orderdate) THEN 'month first' WHEN day(o_orderdate) > 12 THEN 'day first' ELSE 'either order' END AS r FROM orders)""",
+)
+def readings(t):
+    """Every order date as a text with a month name, the year in front, or the day in front: what it reads as, and what else it could be."""
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    x = F.when(k % 3 == 0, F.date_format(d, "d MMM yyyy")).when(k % 3 == 1, F.date_format(d, "yyyy/M/d")).otherwise(F.date_format(d, "d.M.yyyy"))
+    out = t.orders.select(k.alias("k"), dates.date_tokens(x).alias("tokens")).select("k", dates.read_date("tokens").alias("r"))
+    return out.select("k", F.col("r.day").cast("string").alias("day"), F.col("r.other").cast("string").alias("other"), "r.reading")
 
 
 @query(

@@ -73,3 +73,19 @@ def test_small_text_helpers(spark):
     assert evaluate(spark, formula_safe, ["=1+1", "a=1"]) == ["'=1+1", "a=1"]
     out = spark.range(1).select(joined_ids(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(5), 2).alias("r")).first()["r"]
     assert out == "a; b; ... (3 more)"
+
+
+def test_date_texts_are_read_by_their_evidence(spark):
+    texts = {
+        "Jan 5, 2026": ("2026-01-05", None, "month name"), "5 January 2026": ("2026-01-05", None, "month name"), "05-Sept-26": ("2026-09-05", None, "month name"),
+        "Monday, March 3rd 2025": ("2025-03-03", None, "month name"), "2026 Feb 28": ("2026-02-28", None, "month name"), "Feb 30 2026": (None, None, None),
+        "25/12/2025": ("2025-12-25", None, "day first"), "12/25/25": ("2025-12-25", None, "month first"), "3/4/2025": ("2025-03-04", "2025-04-03", "either order"),
+        "7.7.2025": ("2025-07-07", None, "month first"), "2025/3/4 10:15": ("2025-03-04", None, "year first"), "20250304": ("2025-03-04", None, "year first"),
+        "Ja 5 2026": (None, None, None), "5 of May 2026": (None, None, None), "13/13/2025": (None, None, None), "": (None, None, None), None: (None, None, None),
+        "May 2026": (None, None, None), "1/2/3/4": (None, None, None), "Janus 5 2026": (None, None, None), "3 # 4 # 2025": (None, None, None),
+    }
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", dates.read_date(dates.date_tokens("x")).alias("r"), dates.flexible_date("x").alias("f"))
+    for r in rows.collect():
+        got = tuple(None if v is None else str(v) for v in (r.r.day, r.r.other, r.r.reading))
+        assert got == texts[r.x], r.x
+        assert r.f == r.r.day
