@@ -149,6 +149,16 @@ def test_scores_of_given_documents(spark, folder, given):
         assert r.score == pytest.approx(cost(texts[r.doc_id].encode()), rel=1e-9)
 
 
+def test_places_of_keys():
+    chance = np.random.default_rng(2)
+    keys = np.unique(chance.integers(-(1 << 62), 1 << 62, 5000))
+    chance.shuffle(keys)
+    for n in (0, 1, 7, len(keys)):
+        asked = np.concatenate((keys[:n], keys[n:], np.arange(50)))
+        want = np.concatenate((np.arange(n), np.full(len(asked) - n, -1)))
+        assert (context_tree.Places(keys[:n])(asked) == want).all()
+
+
 def test_scratch_tables_leave_the_catalog(spark):
     from tallywork.runtime import release_scratch
 
