@@ -102,6 +102,31 @@ def stop_on_failure(checks: DataFrame) -> None:
         raise ValueError("Controls failed: " + "; ".join(bad))
 
 
+def table_digest(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """(table_name, columns, n_rows, digest): a digest of a table's rows that does not depend on their order.
+
+    Each row is spelled as its cells in column-name order, each with its length, so no two rows are spelled alike, and hashed
+    to 128 bits; the four words of the hashes are summed. So a table of any size is one aggregate with partial sums,
+    a repeated row counts as often as it is there, and equal digests mean equal rows, but for chance. A null cell differs from
+    an empty one. No rows: sums of zero.
+    """
+    names = sorted(columns or df.columns)
+    cells = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in names]
+    hashed = df.select(F.md5(F.concat_ws("|", *cells).cast("binary")).alias("h"))
+    word = [F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    sums = [F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{k}") for k, x in enumerate(word)]
+    spelled = F.concat_ws("|", F.lit(",".join(names)), F.col("n_rows").cast("string"), *[f"s{k}" for k in range(4)])
+    return hashed.agg(F.count("*").alias("n_rows"), *sums).select(
+        F.lit(name).alias("table_name"), F.lit(",".join(names)).alias("columns"), "n_rows", F.sha2(spelled, 256).alias("digest")
+    )
+
+
+def changed_tables(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Tables of two lists of digests that differ, are gone or are new."""
+    a, b = (x.select("table_name", F.col("digest").alias(n)) for x, n in ((before, "before"), (now, "now")))
+    return a.join(b, "table_name", "full_outer").filter(~F.col("before").eqNullSafe(F.col("now")))
+
+
 def record_digest(columns: list[str]) -> Column:
     """Digest of a record's content, in column order."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..runtime import beside
+from ..operators import controls, specrecon
+from ..runtime import beside, cut, scratch_path
 from ..functions.text import csv_safe, formula_safe
 from ..sources import delimited as d, grid as g, messages as ms, profile as p, sinks as s
 from . import query
@@ -192,3 +193,73 @@ def skipped(t):
         *[F.lit("").alias(x) for x in ("folder", "from_addr", "to_addr", "subject", "preview", "web_link")], F.array(F.struct(F.col("role").alias("name"), F.col("text").alias("text"))).alias("attachments"),
     )
     return ms.normalize_messages(raw)[1].agg(F.count("*").alias("skipped"))
+
+
+def _sql_digest(name: str, table: str, columns: list[str]) -> str:
+    """The digest of a table of numbers and texts, as one row."""
+    names = sorted(columns)
+    cells = [f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in names]
+    words = [f"CAST(coalesce(sum(CAST(('0x' || substr(h, {8 * k + 1}, 8)) AS BIGINT)), 0) AS VARCHAR)" for k in range(4)]
+    parts = [f"'{','.join(names)}'", "CAST(count(*) AS VARCHAR)", *words]
+    return (
+        f"SELECT '{name}' AS table_name, '{','.join(names)}' AS columns, count(*) AS n_rows, sha256({' || chr(124) || '.join(parts)}) AS digest "
+        f"FROM (SELECT md5({' || chr(124) || '.join(cells)}) AS h FROM {table})"
+    )
+
+
+_PROVED = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "documents": ["doc_id", "lang", "source", "n_chars"],
+}
+
+
+@query("table_digests", " UNION ALL ".join(_sql_digest(k, k, v) for k, v in _PROVED.items()))
+def digests(t):
+    """What a run record proves of whole tables, whatever the order of their rows."""
+    parts = [controls.table_digest(getattr(t, name), name, columns) for name, columns in _PROVED.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_FACTS = "SELECT count(*) AS n_orders, CAST(sum(CAST(ROUND(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders"
+_RUNS = (("RUN-1", "2026-01-05T10:00:00", "", "PASS"), ("RUN-2", "2026-02-02T09:30:00", "=J", "FAIL"))
+
+
+@query(
+    "run_log",
+    f"""WITH facts AS ({_FACTS}), tables AS ({" UNION ALL ".join(_sql_digest(k, k, v) for k, v in _PROVED.items())}),
+    listed AS (SELECT table_name AS role, digest AS sha256 FROM tables), files AS ({_sql_digest("inputs", "listed", ["role", "sha256"])}),
+    runs AS (SELECT * FROM (VALUES {", ".join(str(x) for x in _RUNS)}) r(run_ref, ran_at, who, control_status)),
+    rec AS (SELECT run_ref, ran_at, CASE WHEN who = '' THEN 'Unverified' ELSE who END AS ran_by, control_status, '{{"n_orders":' || n_orders || ',"cents":' || cents || '}}' AS measures,
+      '{{"n":' || n_rows || ',"digest":"' || digest || '"}}' AS inputs FROM runs, facts, files),
+    whole AS (SELECT *, '{{"run_ref":"' || run_ref || '","ran_at":"' || ran_at || '","ran_by":"' || ran_by || '","fiscal_year":2026,"fiscal_period":1,"control_status":"' || control_status || '","measures":"' || replace(measures, '"', '\\"')
+      || '","mapping":"{{}}","inputs":"' || replace(inputs, '"', '\\"') || '"}}' AS j FROM rec)
+    SELECT run_ref, ran_at, CASE WHEN starts_with(ran_by, '=') THEN chr(39) || ran_by ELSE ran_by END AS ran_by, '2026' AS fiscal_year, '1' AS fiscal_period, control_status, measures, '{{}}' AS mapping, inputs, sha256(j) AS digest FROM whole""",
+)
+def run_log(t):
+    """Two run records over whole tables, appended one after the other, read back and made safe for a spreadsheet."""
+    t.orders.createOrReplaceTempView("orders")
+    path = scratch_path(t.spark, "run-log")
+    inputs = cut(s.proved({name: getattr(t, name).select(*columns) for name, columns in _PROVED.items()}), "inputs")
+    for ref, at, who, status in _RUNS:
+        s.append_run(s.run_record(t.spark.sql(_FACTS), ref, at, who, 2026, 1, status, "{}", inputs), path)
+    return s.log_csv(t.spark.read.parquet(path))
+
+
+@query(
+    "template_versions",
+    """WITH one AS (SELECT c_name AS template_id, c_mktsegment || ' by ' || c_nationkey AS spec, c_custkey AS k FROM customer),
+    two AS (SELECT template_id, k, CASE WHEN k % 3 = 0 THEN spec || ' again' ELSE spec END AS spec2, spec FROM one),
+    three AS (SELECT *, 1 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS v FROM two),
+    done AS (SELECT template_id, k, CASE WHEN k % 2 = 0 THEN v + CASE WHEN k % 5 = 0 OR k % 3 = 0 THEN 1 ELSE 0 END ELSE v END AS version, CASE WHEN k % 2 = 0 THEN spec2 ELSE spec END AS spec,
+      k % 5 = 0 AND k % 2 <> 0 AS archived FROM three)
+    SELECT template_id, CAST(version AS INT) AS version, spec, sha256(spec) AS digest FROM done WHERE NOT archived""",
+)
+def versions(t):
+    """Every customer's template saved, each fifth archived, each second saved again: what is current then."""
+    key = F.col("c_custkey")
+    spec = F.concat("c_mktsegment", F.lit(" by "), F.col("c_nationkey").cast("string"))
+    first = t.customer.select(F.col("c_name").alias("template_id"), spec.alias("spec"), key.alias("k"))
+    store = cut(specrecon.save_all(t.spark.createDataFrame([], specrecon.STORE), first), "store")
+    store = cut(specrecon.archive(store, first.filter("k % 5 = 0")), "store")
+    again = first.filter("k % 2 = 0").withColumn("spec", F.when(F.col("k") % 3 == 0, F.concat("spec", F.lit(" again"))).otherwise(F.col("spec")))
+    return specrecon.current(specrecon.save_all(store, again))

@@ -160,3 +160,45 @@ def test_cleanup_keeps_one_eligible_row_per_transaction(spark):
     assert stats["control_difference"] == 0 and stats["original_total"] == 67
     with pytest.raises(ValueError):
         cleanup.positional(rows)
+
+
+def test_digests_of_tables_see_every_change_and_no_order(spark):
+    from tallywork.operators.controls import changed_tables, table_digest
+
+    rows = [(1, "a", None), (2, "", "x"), (2, "", "x"), (3, "1:b|", "")]
+    schema = "k int, v string, w string"
+    make = lambda r: spark.createDataFrame(r, schema)
+    known = table_digest(make(rows), "t").first()
+    assert table_digest(make(rows[::-1]).repartition(3), "t").first() == known and known.n_rows == 4
+    assert table_digest(make(rows).select("w", "k", "v"), "t").first() == known
+    others = [rows[:3], rows + rows[:1], [(1, "a", ""), *rows[1:]], [(1, None, "a"), *rows[1:]], [*rows[:2], (2, "x", ""), rows[3]], []]
+    found = {table_digest(make(r), "t").first().digest for r in others}
+    assert len(found) == len(others) and known.digest not in found
+    assert [x.table_name for x in changed_tables(table_digest(make(rows), "t"), table_digest(make(rows[:1]), "t")).collect()] == ["t"]
+    assert changed_tables(table_digest(make(rows), "t"), table_digest(make(rows[::-1]), "t")).collect() == []
+
+
+def test_a_run_proves_its_inputs(spark, tmp_path):
+    tables = {"orders": spark.range(50), "lines": spark.range(9).selectExpr("id", "'x' v")}
+    inputs, metrics = sinks.proved(tables), spark.createDataFrame([(1,)], "n long")
+    path = str(tmp_path / "log")
+    for ref in ("R1", "R2"):
+        sinks.append_run(sinks.run_record(metrics, ref, "2026-01-01", "J", 2026, 1, "PASS", "{}", inputs), path, inputs)
+    log = spark.read.parquet(path)
+    assert log.count() == 2 and sinks.inputs_changed(log, inputs).count() == 0
+    assert sinks.inputs_changed(log, sinks.proved(tables | {"lines": spark.range(9).selectExpr("id", "'y' v")})).count() == 2
+    assert {tuple(r) for r in spark.read.parquet(f"{path}-inputs").select("run_ref", "role").collect()} == {(r, t) for r in ("R1", "R2") for t in tables}
+
+
+def test_archived_templates_are_hidden_until_saved_again(spark):
+    from tallywork.operators import specrecon as sr
+
+    specs = lambda rows: spark.createDataFrame(rows, "template_id string, spec string")
+    rows_of = lambda store: sorted((r.template_id, r.version, r.spec) for r in sr.current(store).collect())
+    store = sr.save_all(spark.createDataFrame([], sr.STORE), specs([("a", "1"), ("b", "1"), ("b", "0")]))
+    store = sr.save_all(store, specs([("a", "1"), ("b", "2")]))
+    assert rows_of(store) == [("a", 1, "1"), ("b", 2, "2")]
+    store = sr.archive(sr.archive(store, specs([("a", ""), ("zz", "")])), specs([("a", "")]))
+    assert rows_of(store) == [("b", 2, "2")] and store.filter("template_id = 'a'").count() == 2
+    store = sr.save_all(store, specs([("a", "1")]))
+    assert rows_of(store) == [("a", 3, "1"), ("b", 2, "2")]
