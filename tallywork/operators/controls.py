@@ -48,9 +48,84 @@ def illegal_matches(bridge: DataFrame, rows: DataFrame) -> DataFrame:
     return per.filter(~shape | ~F.col("a_cents").eqNullSafe(F.col("b_cents")))
 
 
+def signed_difference(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns, difference): rows that `left` holds more often (above zero) or `right` does (below). Both are counted in one
+    aggregate, the right side as minus one, so a value in a third of all rows is one partial row per task."""
+    one = left.select(*columns, F.lit(1).cast("bigint").alias("difference"))
+    other = right.select(*columns, F.lit(-1).cast("bigint").alias("difference"))
+    return one.unionByName(other).groupBy(*columns).agg(F.sum("difference").alias("difference")).filter("difference <> 0")
+
+
 def same_ids(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Ids on one side only."""
-    return left.select("row_id").exceptAll(right.select("row_id")).unionByName(right.select("row_id").exceptAll(left.select("row_id")))
+    """Ids on one side only, each as often as it is there too often."""
+    found = signed_difference(left, right, ["row_id"])
+    return found.select("row_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("difference"))).alias("_n")).drop("_n")
+
+
+def identities(run) -> tuple[DataFrame, DataFrame]:
+    """What reports say, and what the ledger or the sources say, as (check, side, row_id) each: the two must hold the same rows.
+
+    A side: each report holds the rows of its outcome; all outcomes together are the ledger A; the proposed entry is
+    what no report names. B side: every population of B rows, once each, is the ledger B. Suspects: every held copy was a suspect
+    first, and no suspect was excluded.
+    """
+    book, t = run.ledger, run.tables
+    a_rows = {
+        "Excess copies": t["excess"].filter("side = 'A'"), "Held copies": t["suspects"].filter("side = 'A' AND outcome LIKE 'Held%'"),
+        "Amount variances": t["variances"].withColumnRenamed("a_id", "row_id"), "Fuzzy holds": t["fuzzy"].filter("side = 'A'"),
+        "Ambiguous candidates": t["ambiguous"], "Reference holds": t["holds"], "Matches": run.matching.bridge.filter("side = 'A'"),
+    }
+    outcomes = {
+        "Excess copies": "duplicate", "Held copies": "duplicate_hold", "Amount variances": "variance", "Fuzzy holds": "fuzzy",
+        "Ambiguous candidates": "ambiguous", "Reference holds": "reference_hold", "Matches": "matched",
+    }
+    b_rows = [t["excess"].filter("side = 'B'"), t["held_b"], t["variances"].withColumnRenamed("b_id", "row_id"), t["fuzzy"].filter("side = 'B'"),
+              run.matching.bridge.filter("side = 'B'"), t["open_b"]]
+    if "clearances" in t:
+        a_rows["Clearances"] = t["clearances"].filter("scope = 'B history' AND side = 'A'")
+        outcomes["Clearances"] = "cleared"
+        b_rows.append(t["clearances"].filter("scope = 'A history' AND side = 'B'"))
+
+    def named(check: str, side: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(check).alias("check"), F.lit(side).alias("side"), "row_id")
+
+    said = [named(f"{name}: report and ledger", "A", rows) for name, rows in a_rows.items()]
+    known = [named(f"{name}: report and ledger", "A", book.filter(F.col("outcome") == outcomes[name])) for name in a_rows]
+    entry = book.filter("in_proposed_entry")
+    said += [named("Reports and proposed entry are ledger A", "A", rows) for rows in (*a_rows.values(), entry)]
+    known.append(named("Reports and proposed entry are ledger A", "A", run.a))
+    said += [named("B populations are ledger B", "B", rows) for rows in b_rows]
+    known.append(named("B populations are ledger B", "B", run.b))
+    # Rows held as copies that no screening suspected, or suspects that were excluded as well, have no counterpart.
+    for side in "AB":
+        suspects = t["suspects"].filter(F.col("side") == side)
+        excluded = suspects.join(t["excess"].select("side", "row_id"), ["side", "row_id"], "left_semi")
+        said.append(named(f"No suspect of {side} is excluded", side, excluded))
+        known.append(named(f"No suspect of {side} is excluded", side, suspects.limit(0)))
+    return stack(said), stack(known)
+
+
+def identity_breaks(run) -> DataFrame:
+    """(check, side, row_id, difference) of every row that breaks an identity of `identities`, all in one aggregate."""
+    return signed_difference(*identities(run), ["check", "side", "row_id"])
+
+
+def identity_controls(run) -> DataFrame:
+    """(check, n_rows, broken, status): one line an identity, with the rows the reports hold."""
+    said, known = identities(run)
+    both = said.select("check", "side", "row_id", F.lit(1).alias("d")).unionByName(known.select("check", "side", "row_id", F.lit(-1).alias("d")))
+    rows = both.groupBy("check", "side", "row_id").agg(F.sum("d").alias("d"), F.count_if(F.col("d") > 0).alias("n"))
+    lines = rows.groupBy("check").agg(F.sum("n").alias("n_rows"), F.count_if(F.col("d") != 0).alias("broken"))
+    names = [f"{x}: report and ledger" for x in (
+        "Excess copies", "Held copies", "Amount variances", "Fuzzy holds", "Ambiguous candidates", "Reference holds", "Matches"
+    )] + ["Reports and proposed entry are ledger A", "B populations are ledger B", "No suspect of A is excluded", "No suspect of B is excluded"]
+    if "clearances" in run.tables:
+        names.append("Clearances: report and ledger")
+    every = lines.sparkSession.createDataFrame([(n,) for n in names], "check string")
+    broken = F.coalesce("broken", F.lit(0))
+    return every.join(lines, "check", "left").select(
+        "check", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), broken.alias("broken"), F.when(broken == 0, "PASS").otherwise("FAIL").alias("status")
+    )
 
 
 def _sum(df: DataFrame, condition: Column | None = None) -> DataFrame:

@@ -16,6 +16,12 @@ def controls(t):
     return c.balance_controls(run(t))
 
 
+@query("report_identities")
+def identities(t):
+    """Every identity between the reports and the ledger of a full reconciliation."""
+    return c.identity_controls(run(t))
+
+
 @query("run_metrics")
 def metrics(t):
     done = run(t)

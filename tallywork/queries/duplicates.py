@@ -77,12 +77,19 @@ def suspects(t):
 
 @query(
     "duplicate_final_dispositions",
-    f"""WITH {_KEYED} SELECT side, row_id, CASE WHEN disposition LIKE 'Review%' THEN 'Resolved via match - no exclusion applied' ELSE disposition END AS disposition,
-    disposition = 'Excluded excess copy' AS automatically_excluded, CASE WHEN disposition LIKE 'Review%' THEN 'Resolved' ELSE 'High' END AS confidence FROM decisions""",
+    f"""WITH {_KEYED}, sus AS (SELECT *, norm_po || '|' || norm_inv || '|' || cents AS g, row_id % 3 = 0 AS open FROM decisions WHERE disposition LIKE 'Review%'),
+    f AS (SELECT *, min(CASE WHEN NOT open THEN row_id END) OVER w AS fm, min(CASE WHEN open THEN row_id END) OVER w AS fo FROM sus WINDOW w AS (PARTITION BY side, basis, g)),
+    o AS (SELECT side, row_id, CASE WHEN NOT open THEN 'Resolved via match - no exclusion applied' WHEN fm IS NULL AND row_id = fo THEN 'Retained canonical row'
+      ELSE 'Held for review - excluded from proposed JE pending disposition' END AS outcome FROM f),
+    x AS (SELECT side, row_id, coalesce(outcome, disposition) AS disposition FROM decisions LEFT JOIN o USING (side, row_id))
+    SELECT side, row_id, disposition, disposition = 'Excluded excess copy' OR disposition LIKE 'Held%' AS automatically_excluded,
+      CASE WHEN disposition LIKE 'Resolved%' THEN 'Resolved' WHEN disposition LIKE 'Held%' THEN '{d.CONFIDENCE[d.HOLD]}' ELSE 'High' END AS confidence FROM x""",
 )
 def final(t):
+    """Final dispositions where a third of the suspects is still open after matching, so that rows are held, too."""
     decided = cut(_decisions(t), "decisions")
-    outcomes = d.account_suspects(d.suspected(decided), decided.limit(0))
+    review = d.suspected(decided)
+    outcomes = d.account_suspects(review, review.filter("row_id % 3 = 0"))
     return d.finalize(decided, outcomes).select("side", "row_id", "disposition", "automatically_excluded", "confidence")
 
 

@@ -113,3 +113,38 @@ def test_result_does_not_depend_on_input_order(spark, run):
         assert again.ledger.select(*columns).exceptAll(run.ledger.select(*columns)).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_identities_hold_and_every_damage_breaks_one(run):
+    from dataclasses import replace
+
+    assert controls.identity_breaks(run).collect() == []
+    lines = {r["check"]: (r["n_rows"], r["status"]) for r in controls.identity_controls(run).collect()}
+    assert {s for _, s in lines.values()} == {"PASS"} and lines["Matches: report and ledger"][0] > 0 and lines["Clearances: report and ledger"][0] == 1
+
+    def broken(**changes):
+        damaged = replace(run, **{k: v for k, v in changes.items() if k == "ledger"}, tables=run.tables | {k: v for k, v in changes.items() if k in run.tables})
+        return {r["check"] for r in controls.identity_breaks(damaged).collect()}
+
+    whole = {"Reports and proposed entry are ledger A", "B populations are ledger B"}
+    for name, check in (("excess", "Excess copies"), ("ambiguous", "Ambiguous candidates"), ("holds", "Reference holds"), ("variances", "Amount variances"), ("fuzzy", "Fuzzy holds")):
+        table = run.tables[name]
+        if table.isEmpty():
+            continue
+        gone = broken(**{name: table.limit(0)})
+        assert f"{check}: report and ledger" in gone and gone & whole, name
+        twice = broken(**{name: table.unionByName(table)})
+        assert f"{check}: report and ledger" in twice, name
+    assert "B populations are ledger B" in broken(open_b=run.tables["open_b"].limit(0))
+    assert "B populations are ledger B" in broken(held_b=run.b)
+    assert "No suspect of A is excluded" in broken(excess=run.tables["excess"].unionByName(run.tables["suspects"].select("side", "row_id"), allowMissingColumns=True))
+    assert "Matches: report and ledger" in broken(ledger=run.ledger.filter("outcome <> 'matched'"))
+    moved = run.ledger.withColumn("outcome", F.when(F.col("outcome") == "unmatched", "matched").otherwise(F.col("outcome")))
+    assert "Matches: report and ledger" in broken(ledger=moved)
+
+
+def test_signed_difference_counts_repeats(spark):
+    left, right = (spark.createDataFrame([(x,) for x in xs], "row_id int") for xs in ([1, 1, 2, None, 4], [1, 2, 2, 3, None]))
+    got = {r["row_id"]: r["difference"] for r in controls.signed_difference(left, right, ["row_id"]).collect()}
+    assert got == {1: 1, 2: -1, 3: -1, 4: 1}
+    assert sorted(r["row_id"] for r in controls.same_ids(left, right).collect()) == [1, 2, 3, 4]
