@@ -175,27 +175,76 @@ def period_mismatch(rows: DataFrame, period: int) -> DataFrame:
     return found.filter("readable > 0 AND selected < 0.5 * readable")
 
 
-def run_metrics(book: DataFrame, rows: DataFrame, bridge: DataFrame, holds: DataFrame) -> DataFrame:
-    """One row of headline measures with the reasons that block posting."""
-    d = F.col("disposition")
-    left = book.agg(
-        F.count("*").alias("a_rows"), F.coalesce(F.sum("cents"), F.lit(0)).alias("a_cents"),
-        *[F.count_if(d == x).alias(n) for x, n in (("MATCHED", "matched_rows"), ("EXACT_A_DUPLICATE_EXCLUDED", "duplicate_rows"), ("REVIEW_HOLD", "hold_rows"), ("TRUE_UNMATCHED", "unmatched_rows"))],
-        F.coalesce(F.sum(F.when(d == "TRUE_UNMATCHED", F.col("cents"))), F.lit(0)).alias("proposed_entry_cents"),
-        F.count_if(F.col("cents").isNull()).alias("invalid_amounts"),
-    )
-    right = rows.filter("side = 'B'").agg(F.count("*").alias("b_rows"), F.coalesce(F.sum("cents"), F.lit(0)).alias("b_cents"))
-    matched_b = bridge.filter("side = 'B'").agg(F.count("*").alias("matched_b_rows"))
-    conflicts = holds.agg(F.count_if(F.col("code") == "REVIEW_HOLD_CONFLICTING_LINKS").alias("conflict_holds"))
-    out = left.transform(beside, right).transform(beside, matched_b).transform(beside, conflicts)
-    blockers = F.array_compact(F.array(
-        F.when(F.col("hold_rows") > 0, "review holds are open"), F.when(F.col("invalid_amounts") > 0, "amounts are unreadable"),
-        F.when(F.col("conflict_holds") > 0, "identifier links conflict"),
-    ))
-    return out.withColumns({
-        "a_match_rate": F.col("matched_rows") / F.nullif("a_rows", F.lit(0)), "b_match_rate": F.col("matched_b_rows") / F.nullif("b_rows", F.lit(0)),
-        "posting_blockers": F.concat_ws("; ", blockers),
-    })
+# Measures of a run: (name, population, side or None for both, what is summed). A fact is (population, side, n, cents).
+MEASURES = (
+    *((f"{side.lower()}_{name}", "source", side, what) for side in "AB" for name, what in (("rows", "n"), ("total", "cents"), ("gross", "gross"), ("invalid_amounts", "unreadable"))),
+    *((f"matched_{side.lower()}_{name}", ("matched", "cleared"), side, what) for side in "AB" for name, what in (("rows", "n"), ("cents", "cents"), ("gross", "gross"))),
+    *((f"matched_only_{side.lower()}_cents", "matched", side, "cents") for side in "AB"),
+    *((f"{outcome}_{side.lower()}_{name}", outcome, side, what)
+      for outcome in ("cleared", "unmatched", "duplicate", "duplicate_hold", "variance", "fuzzy") for side in "AB" for name, what in (("rows", "n"), ("cents", "cents"))),
+    *((f"{outcome}_a_{name}", outcome, "A", what) for outcome in ("ambiguous", "reference_hold") for name, what in (("rows", "n"), ("cents", "cents"))),
+    *((f"history_{side.lower()}_{name}", population, side, "n") for side in "AB" for name, population in (
+        ("rows", "history"), ("used", "history used"), ("suspects", "history suspect"), ("excluded", "history excluded"))),
+    *((f"suspect_{side.lower()}_rows", "suspect", side, "n") for side in "AB"),
+    *((f"{side.lower()}_{name}", population, side, "n") for side in "AB" for name, population in (("duplicate_groups", "duplicate group"), ("copy_sets", "copy set"))),
+    ("clearances", "clearance", None, "n"),
+    ("variance_net", "variance difference", None, "cents"), ("variance_gross", "variance difference", None, "gross"),
+    ("po_reuse_groups", "po reuse", None, "facts"), ("po_reuse_rows", "po reuse", None, "n"), ("po_reuse_net", "po reuse", None, "cents"),
+    ("fuzzy_groups", "fuzzy group", None, "n"), ("subtotal_rows_excluded", "subtotal", None, "n"), ("failed_controls", "failed control", None, "n"),
+    *((f"disposition_{d.lower()}_{name}", f"disposition {d}", "A", what)
+      for d in ("MATCHED", "EXACT_A_DUPLICATE_EXCLUDED", "REVIEW_HOLD", "TRUE_UNMATCHED") for name, what in (("rows", "n"), ("cents", "cents"))),
+)
+# What keeps a run from being posted: (measure that must be zero, the reason).
+BLOCKERS = (
+    ("duplicate_hold_a_rows", "unresolved duplicate review holds of A"), ("duplicate_hold_b_rows", "unresolved duplicate review holds of B"),
+    ("history_a_suspects", "unresolved duplicate review holds of A history"), ("history_b_suspects", "unresolved duplicate review holds of B history"),
+    ("variance_a_rows", "unresolved amount variances"), ("ambiguous_a_rows", "unresolved ambiguous candidates"), ("fuzzy_groups", "unresolved fuzzy matches"),
+    ("reference_hold_a_rows", "unresolved reference-evidence holds"), ("a_invalid_amounts", "invalid amounts of A"), ("b_invalid_amounts", "invalid amounts of B"),
+)
+EXCLUSIONS = ("duplicate_a_rows", "duplicate_b_rows", "history_a_excluded", "history_b_excluded")
+GRAIN_BLOCKER = "the grain of the sources is not documented as safe for automatic duplicate exclusion"
+
+
+def _measure(population, side: str | None, what: str) -> Column:
+    names = (population,) if isinstance(population, str) else population
+    meant = F.col("population").isin(*names)
+    if side is not None:
+        meant = meant & (F.col("side") == side)
+    if what == "facts":
+        return F.count_if(meant)
+    value = {
+        "n": F.col("n"), "cents": F.col("cents"), "gross": F.abs("cents"), "unreadable": F.when(F.col("cents").isNull(), F.col("n")),
+    }[what]
+    return F.coalesce(F.sum(F.when(meant, value)), F.lit(0)).cast("bigint")
+
+
+def run_metrics(facts: DataFrame, grain_validated: bool = False) -> DataFrame:
+    """One row: every measure of MEASURES, match rates, blockers and posting status.
+
+    `facts`: (population, side, n, cents), a row or a group of rows each. All measures are conditional sums of one aggregate over one scan,
+    with partial sums in every task; nothing is joined, and no count is distinct (groups come as facts of their own).
+    An empty run has zeros, null rates and no blockers.
+    """
+    one = facts.agg(*[_measure(population, side, what).alias(name) for name, population, side, what in MEASURES])
+    excluded = sum((F.col(x) for x in EXCLUSIONS), start=F.lit(0)) > 0
+    reasons = [F.when(F.col(measure) > 0, F.lit(reason)) for measure, reason in BLOCKERS]
+    if not grain_validated:
+        reasons.append(F.when(excluded, F.lit(GRAIN_BLOCKER)))
+    blockers = F.array_compact(F.array(*reasons))
+    open_ = F.size(blockers) > 0
+    return one.withColumns({
+        "source_difference": F.col("a_total") - F.col("b_total"),
+        "matched_difference": F.col("matched_only_a_cents") - F.col("matched_only_b_cents"),
+        "history_a_ignored": F.col("history_a_rows") - F.col("history_a_used"), "history_b_ignored": F.col("history_b_rows") - F.col("history_b_used"),
+        "proposed_entry_cents": F.col("disposition_true_unmatched_cents"),
+        "a_match_rate": F.col("matched_a_rows") / F.nullif("a_rows", F.lit(0)),
+        "a_match_rate_by_gross": F.col("matched_a_gross") / F.nullif("a_gross", F.lit(0)),
+        "b_match_rate": F.col("matched_b_rows") / F.nullif("b_rows", F.lit(0)),
+        "posting_blockers": F.when(open_, F.concat_ws("; ", blockers)).otherwise("None"),
+        "posting_status": F.when(open_, "REVIEW REQUIRED").otherwise("READY TO POST"),
+        "posting_authorization": F.when(open_, "DO NOT POST").otherwise("AUTHORIZED BY AUTOMATED CONTROLS"),
+        "control_status": F.when(F.col("failed_controls") == 0, "PASS").otherwise("FAIL"),
+    }).drop("matched_only_a_cents", "matched_only_b_cents")
 
 
 def fuzzy_report(fuzzy: DataFrame, rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import duplicates, evidence, ledger, matching, words
+from ..operators import assessments, duplicates, evidence, ledger, matching, reports, words
 from ..operators.working import Roles, working_frame
 from ..runtime import cut
 
@@ -182,6 +182,9 @@ def reconcile_frames(
     }
     if clearances is not None:
         tables["clearances"] = clearances
+    scoped = [frame for frame in (history_a, history_b) if frame is not None]
+    if scoped:
+        tables["history"] = matching.union_all([x.select("side", "row_id", "cents", "norm_po", "norm_inv") for x in scoped])
     screening = {"A": decisions_a, "B": decisions_b, **{f"history {k}": v for k, v in history_decisions.items()}}
     return Reconciliation(a, b, matched, screening, book, tables)
 
@@ -233,3 +236,84 @@ def sectioned_rows(run: Reconciliation) -> DataFrame:
     if "clearances" in t:
         parts.append(alone_b(t["clearances"].filter("scope = 'A history' AND side = 'B'"), "01 Matched - Historical Clearance", "Prior period"))
     return matching.union_all(parts)
+
+
+def metric_facts(run: Reconciliation, checks: DataFrame | None = None, subtotals: int = 0) -> DataFrame:
+    """The facts `reports.run_metrics` sums: every row of the run under the populations it belongs to, every group once.
+
+    Cents come with the rows, from one join of all stacked populations with both ledgers. `checks` are finished controls,
+    `subtotals` the rows that source clean-up left out.
+    """
+    t, both = run.tables, run.a.select("side", "row_id", "cents").unionByName(run.b.select("side", "row_id", "cents"))
+
+    def members(population, rows: DataFrame, side: str | None = None, row: str = "row_id") -> DataFrame:
+        name = population if not isinstance(population, str) else F.lit(population)
+        return rows.select(name.alias("population"), F.col("side") if side is None else F.lit(side).alias("side"), F.col(row).alias("row_id"))
+
+    book = run.ledger
+    populations = [
+        members(F.col("outcome"), book, "A"), members(F.concat(F.lit("disposition "), F.col("disposition")), book, "A"),
+        members("matched", _side(run.matching.bridge, "B")), members("duplicate", _side(t["excess"], "B")), members("duplicate_hold", t["held_b"]),
+        members("variance", t["variances"], "B", "b_id"), members("fuzzy", _side(t["fuzzy"], "B")), members("unmatched", t["open_b"]),
+        members("suspect", t["suspects"]),
+    ]
+    if "clearances" in t:
+        populations.append(members("cleared", t["clearances"].filter("scope = 'A history' AND side = 'B'")))
+    one = F.lit(1).cast("bigint").alias("n")
+    none = F.lit(None).cast("bigint").alias("cents")
+
+    def facts(population: str, rows: DataFrame, side: str | None = None, n=one, cents=none) -> DataFrame:
+        return rows.select(F.lit(population).alias("population"), F.col("side") if side is None else F.lit(side).alias("side"), n.alias("n"), cents.cast("bigint").alias("cents"))
+
+    parts = [
+        matching.union_all(populations).join(both, ["side", "row_id"]).select("population", "side", one, "cents"),
+        facts("source", both, cents=F.col("cents")),
+        facts("variance difference", t["variances"], "A", cents=F.col("difference")),
+        facts("po reuse", t["po_reuse"], "A", F.col("a_rows"), F.col("difference")),
+        facts("fuzzy group", t["fuzzy"].select("match_key").distinct(), "A"),
+    ]
+    for side in "AB":
+        decided = run.screening[side]
+        parts.append(facts("duplicate group", decided.select("side", "group_id").distinct()))
+        parts.append(facts("copy set", decided.filter("payload_confirmed").select("side", "copy_set_id").distinct()))
+        if f"history {side}" in run.screening:
+            decided = run.screening[f"history {side}"]
+            excluded = decided.filter(F.col("disposition").isin(duplicates.EXCESS, duplicates.OVERLAP))
+            parts.append(facts("history suspect", duplicates.suspected(decided)))
+            parts.append(facts("history excluded", excluded.select("side", "row_id").distinct()))
+            parts.append(facts("history", _side(t["history"], side)))
+    if "clearances" in t:
+        used = t["clearances"].filter(F.col("scope") == F.concat("side", F.lit(" history")))
+        parts.append(facts("history used", used))
+        parts.append(facts("clearance", t["clearances"].select("scope", "match_key").distinct(), "A"))
+    if checks is not None:
+        parts.append(facts("failed control", checks.filter("status <> 'PASS'"), "A"))
+    if subtotals:
+        parts.append(facts("subtotal", run.a.sparkSession.range(1), "A", F.lit(subtotals).cast("bigint")))
+    return matching.union_all(parts)
+
+
+def match_assessments(run: Reconciliation) -> DataFrame:
+    """One assessment for every match, clearance, open A row and row held for reference evidence, variance or ambiguity."""
+    t, both = run.tables, run.a.unionByName(run.b)
+    a_open = run.a.join(run.ledger.filter("outcome = 'unmatched'").select("row_id"), "row_id", "left_semi")
+    parts = [
+        assessments.match_facts(run.matching.bridge, both), assessments.open_facts(a_open, t["candidates"]), assessments.hold_facts(run.a, t["holds"]),
+        assessments.variance_facts(run.a, t["variances"]), assessments.ambiguous_facts(run.a, t["ambiguous"]),
+    ]
+    if "clearances" in t:
+        columns = ["side", "row_id", "cents", "norm_po", "norm_inv"]
+        for side, other in (("B", "A"), ("A", "B")):
+            scope = f"{side} history"
+            rows = _side(both, other).select(*columns).unionByName(_side(t["history"], side).select(*columns))
+            parts.append(assessments.match_facts(t["clearances"].filter(F.col("scope") == scope).drop("scope"), rows, "clearance"))
+    return assessments.assess(matching.union_all(parts))
+
+
+def explained_rows(run: Reconciliation) -> DataFrame:
+    """`sectioned_rows` with the cause, confidence and treatment of every row."""
+    still = run.a.join(run.ledger.filter("outcome = 'unmatched'").select("row_id"), "row_id", "left_semi")
+    groups = reports.repeated_invoice_cause(still, run.b).select("key_inv")
+    repeated = still.filter("key_inv <> ''").join(groups, "key_inv", "left_semi").select("row_id")
+    basis = run.screening["A"].unionByName(run.screening["B"]).select("side", "row_id", "basis")
+    return assessments.exception_causes(sectioned_rows(run), basis, run.tables["candidates"], repeated)

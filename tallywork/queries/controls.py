@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import controls as c, reports as r
-from ..plans.reconciliation import sectioned_rows
+from ..plans.reconciliation import explained_rows, match_assessments, metric_facts, sectioned_rows
 from . import query
 from .evidence import run
 
@@ -24,9 +24,9 @@ def identities(t):
 
 @query("run_metrics")
 def metrics(t):
+    """Every measure of a full reconciliation, with its controls."""
     done = run(t)
-    both = done.a.select("side", "row_id", "cents").unionByName(done.b.select("side", "row_id", "cents"))
-    return r.run_metrics(done.ledger, both, done.matching.bridge, done.tables["holds"])
+    return r.run_metrics(metric_facts(done, c.balance_controls(done)))
 
 
 @query("outcome_sections")
@@ -107,3 +107,51 @@ def stacked(t):
 def paired_sections(t):
     """The paired-rows table of a full reconciliation: every row of both ledgers once."""
     return sectioned_rows(run(t))
+
+
+@query("run_assessments")
+def assessed_run(t):
+    """The assessment of every match and every open or held row of a full reconciliation."""
+    return match_assessments(run(t))
+
+
+@query("explained_rows")
+def explained(t):
+    """The paired rows of a full reconciliation with the cause of every exception."""
+    return explained_rows(run(t))
+
+
+# Orders as facts: each status an outcome, lines as the other ledger, so that each population and side occurs.
+_FACTS = """SELECT 'source' AS population, 'A' AS side, CAST(1 AS BIGINT) AS n, CASE WHEN o_orderkey % 43 = 0 THEN NULL ELSE CAST(ROUND(o_totalprice * 100) AS BIGINT) END AS cents FROM orders
+UNION ALL SELECT 'source', 'B', CAST(1 AS BIGINT), CAST(ROUND(l_extendedprice * 100) AS BIGINT) FROM lineitem
+UNION ALL SELECT CASE o_orderkey % 7 WHEN 0 THEN 'matched' WHEN 1 THEN 'cleared' WHEN 2 THEN 'unmatched' WHEN 3 THEN 'duplicate' WHEN 4 THEN 'variance' WHEN 5 THEN 'ambiguous' ELSE 'reference_hold' END, 'A', CAST(1 AS BIGINT), CAST(ROUND(o_totalprice * 100) AS BIGINT) FROM orders
+UNION ALL SELECT CASE l_partkey % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'duplicate_hold' ELSE 'unmatched' END, 'B', CAST(1 AS BIGINT), 0 - CAST(ROUND(l_extendedprice * 100) AS BIGINT) FROM lineitem
+UNION ALL SELECT CASE o_orderstatus WHEN 'O' THEN 'disposition TRUE_UNMATCHED' WHEN 'F' THEN 'disposition REVIEW_HOLD' ELSE 'disposition MATCHED' END, 'A', CAST(1 AS BIGINT), CAST(ROUND(o_totalprice * 100) AS BIGINT) FROM orders
+UNION ALL SELECT 'po reuse', 'A', count(*), CAST(sum(CAST(ROUND(o_totalprice * 100) AS BIGINT)) AS BIGINT) FROM orders GROUP BY o_custkey
+UNION ALL SELECT 'history', 'B', CAST(1 AS BIGINT), CAST(NULL AS BIGINT) FROM customer UNION ALL SELECT 'history used', 'B', CAST(1 AS BIGINT), CAST(NULL AS BIGINT) FROM customer WHERE c_custkey % 3 = 0"""
+
+
+def _sql_metrics() -> str:
+    """The measures as plain filtered sums, one by one."""
+    def where(population, side):
+        names = (population,) if isinstance(population, str) else population
+        return f"population IN ({', '.join(repr(x) for x in names)})" + (f" AND side = '{side}'" if side else "")
+
+    what_sql = {"n": "sum(n)", "cents": "sum(cents)", "gross": "sum(abs(cents))", "facts": "count(*)", "unreadable": "sum(CASE WHEN cents IS NULL THEN n END)"}
+    sums = ", ".join(f"CAST(coalesce({what_sql[what]} FILTER (WHERE {where(p, s)}), 0) AS BIGINT) AS {name}" for name, p, s, what in r.MEASURES)
+    blocked = [f"CASE WHEN {m} > 0 THEN '{reason}' END" for m, reason in r.BLOCKERS] + [f"CASE WHEN {' + '.join(r.EXCLUSIONS)} > 0 THEN '{r.GRAIN_BLOCKER}' END"]
+    return f"""WITH f AS ({_FACTS}), m AS (SELECT {sums} FROM f), b AS (SELECT *, concat_ws('; ', {', '.join(blocked)}) AS why FROM m)
+    SELECT * EXCLUDE (why, matched_only_a_cents, matched_only_b_cents), a_total - b_total AS source_difference, matched_only_a_cents - matched_only_b_cents AS matched_difference,
+    history_a_rows - history_a_used AS history_a_ignored, history_b_rows - history_b_used AS history_b_ignored, disposition_true_unmatched_cents AS proposed_entry_cents,
+    round(matched_a_rows / a_rows, 9) AS a_match_rate, round(matched_a_gross / a_gross, 9) AS a_match_rate_by_gross, round(matched_b_rows / b_rows, 9) AS b_match_rate,
+    CASE WHEN why = '' THEN 'None' ELSE why END AS posting_blockers, CASE WHEN why = '' THEN 'READY TO POST' ELSE 'REVIEW REQUIRED' END AS posting_status,
+    CASE WHEN why = '' THEN 'AUTHORIZED BY AUTOMATED CONTROLS' ELSE 'DO NOT POST' END AS posting_authorization, CASE WHEN failed_controls = 0 THEN 'PASS' ELSE 'FAIL' END AS control_status FROM b"""
+
+
+@query("run_metrics_of_orders", _sql_metrics())
+def metrics_of_orders(t):
+    """The measures over orders and lines as two ledgers."""
+    for name in ("orders", "lineitem", "customer"):
+        getattr(t, name).createOrReplaceTempView(name)
+    rates = ("a_match_rate", "a_match_rate_by_gross", "b_match_rate")
+    return r.run_metrics(t.spark.sql(_FACTS)).withColumns({x: F.round(x, 9) for x in rates})

@@ -214,3 +214,55 @@ def problems(t):
 )
 def bridge(t):
     return r.adjustment_bridge(*_decisions(t))
+
+
+def _sql_assessments() -> str:
+    """Pairs of the one-to-one tiers, variances among what is left, then ambiguity, then open rows: each with its criteria as plain CASEs."""
+    from ..operators import assessments as s
+    from .evidence import _variance_sql
+
+    texts = {rule[0]: (rule[5], rule[6].replace("'", "''")) for rule in s.RULES}
+
+    def case(column: str, place: int) -> str:
+        return "CASE rule " + " ".join(f"WHEN '{name}' THEN '{v[place]}'" for name, v in texts.items()) + f" END AS {column}"
+
+    confidence = "CASE method " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in s.METHOD_CONFIDENCE.items()) + " ELSE 'Review' END"
+    variances = _variance_sql().replace("FROM both_sides", "FROM still")
+    agree = "CASE WHEN {0} THEN 'Agree' ELSE 'Not used / differs' END"
+    searched = "CASE WHEN coalesce({0}, '') = '' THEN 'Missing' ELSE 'Candidate search performed' END"
+    po, inv = "a.norm_po <> '' AND a.norm_po = b.norm_po", "a.norm_inv <> '' AND a.norm_inv = b.norm_inv"
+    return f"""WITH {SQL_FLAGS}, {sql_tiers()},
+    still AS MATERIALIZED (SELECT w.* FROM flagged w WHERE NOT EXISTS (SELECT 1 FROM t_pairs p WHERE (w.side = 'A' AND p.a_id = w.row_id) OR (w.side = 'B' AND p.b_id = w.row_id))),
+    {variances}, vary AS MATERIALIZED (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3),
+    la AS MATERIALIZED (SELECT * FROM still WHERE side = 'A' AND row_id NOT IN (SELECT a_id FROM vary)), lb AS MATERIALIZED (SELECT * FROM still WHERE side = 'B' AND row_id NOT IN (SELECT b_id FROM vary)),
+    links AS (SELECT la.row_id, lb.row_id AS b_id FROM la JOIN lb ON la.key_po = lb.key_po AND la.key_po <> '' UNION SELECT la.row_id, lb.row_id FROM la JOIN lb ON la.key_inv = lb.key_inv AND la.key_inv <> ''),
+    amb AS MATERIALIZED (SELECT row_id, count(*) AS n FROM links GROUP BY 1 HAVING count(*) >= 2),
+    x AS (
+      SELECT 'match' AS kind, p.a_id AS subject, method, {confidence} AS confidence, 1 AS a_rows, 1 AS b_rows, [p.a_id] AS a_ids, [p.b_id] AS b_ids, a.cents AS a_cents, b.cents AS b_cents, a.cents - b.cents AS difference,
+        {agree.format(po)} AS po_criterion, {agree.format(inv)} AS invoice_criterion, CASE WHEN {po} AND {inv} THEN 'M1' WHEN {po} THEN 'M2' WHEN {inv} THEN 'M3' ELSE 'M4' END AS rule
+      FROM t_pairs p JOIN flagged a ON a.side = 'A' AND a.row_id = p.a_id JOIN flagged b ON b.side = 'B' AND b.row_id = p.b_id
+      UNION ALL SELECT 'variance', a_id, evidence, 'Review', 1, 1, [a_id], [b_id], a_cents, b_cents, a_cents - b_cents, {agree.format("evidence <> 'INVOICE_ONLY'")}, {agree.format("evidence <> 'PO_ONLY'")},
+        CASE evidence WHEN 'PO_AND_INVOICE' THEN 'V1' WHEN 'INVOICE_ONLY' THEN 'V2' ELSE 'V3' END FROM vary
+      UNION ALL SELECT 'ambiguous', row_id, 'Multiple candidates', 'Review', 1, n, [row_id], [], cents, NULL, NULL, {agree.format("norm_po <> ''")}, {agree.format("norm_inv <> ''")}, 'A1' FROM la JOIN amb USING (row_id)
+      UNION ALL SELECT 'open', row_id, 'NO_EVIDENCE', 'Review', 1, 0, [row_id], [], cents, NULL, NULL, {searched.format('norm_po')}, {searched.format('norm_inv')},
+        CASE WHEN cents IS NULL THEN 'U1' WHEN norm_po = '' AND norm_inv = '' THEN 'U2' ELSE 'U3' END FROM la ANTI JOIN amb USING (row_id))
+    SELECT *, false AS grouped, CASE kind WHEN 'match' THEN 'Matched' WHEN 'variance' THEN '{s.DECISIONS["variance"]}' WHEN 'ambiguous' THEN '{s.DECISIONS["ambiguous"]}' ELSE 'Unresolved' END AS decision,
+    {case('amount_criterion', 0)}, {case('explanation', 1)} FROM x"""
+
+
+@query("match_assessments", _sql_assessments())
+def assessed(t):
+    """Assessments over the one-to-one tiers: pairs, then variances, ambiguity and open rows among what they leave."""
+    from ..operators import assessments as s, evidence as ev
+
+    both = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
+    bridge, _, still = m.match_one_to_one(both)
+    a, b = still.filter("side = 'A'"), still.filter("side = 'B'")
+    varied = cut(ev.amount_variances(a, b), "variances")
+    a = cut(a.join(varied.select(F.col("a_id").alias("row_id")), "row_id", "left_anti"), "left-a")
+    b = b.join(varied.select(F.col("b_id").alias("row_id")), "row_id", "left_anti")
+    several = cut(ev.ambiguous_candidates(a, b), "ambiguous")
+    open_a = a.join(several.select("row_id"), "row_id", "left_anti")
+    return s.assess(m.union_all([
+        s.match_facts(bridge, both), s.variance_facts(both.filter("side = 'A'"), varied), s.ambiguous_facts(a, several), s.open_facts(open_a),
+    ]))

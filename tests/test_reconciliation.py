@@ -148,3 +148,89 @@ def test_signed_difference_counts_repeats(spark):
     got = {r["row_id"]: r["difference"] for r in controls.signed_difference(left, right, ["row_id"]).collect()}
     assert got == {1: 1, 2: -1, 3: -1, 4: 1}
     assert sorted(r["row_id"] for r in controls.same_ids(left, right).collect()) == [1, 2, 3, 4]
+
+
+def test_every_subject_has_one_assessment(run):
+    from tallywork.plans.reconciliation import match_assessments
+
+    got = {}
+    for r in match_assessments(run).collect():
+        assert (r["kind"], r["subject"]) not in got
+        got[r["kind"], r["subject"]] = r
+    assert {k: r["rule"] for k, r in got.items()} == {
+        ("match", 1): "M1", ("match", 2): "M1", ("match", 3): "M2", ("match", 7): "M1", ("match", 14): "M4", ("clearance", 17): "C1",
+        ("open", 6): "U3", ("hold", 5): "H2", ("hold", 9): "H2", ("hold", 11): "H2", ("hold", 12): "H2", ("hold", 15): "H2",
+        ("hold", 16): "H2", ("variance", 4): "V1", ("ambiguous", 18): "A1",
+    }
+    three = got["match", 3]
+    assert (three["b_rows"], three["b_ids"], three["b_cents"], three["grouped"], three["difference"]) == (2, [3, 4], 3000, True, 0)
+    assert (got["clearance", 17]["po_criterion"], got["clearance", 17]["b_cents"]) == ("Applied under controlled historical pass", 1700)
+    assert (got["open", 6]["po_criterion"], got["open", 6]["amount_criterion"]) == ("Candidate search performed", "Valid")
+    assert (got["variance", 4]["difference"], got["variance", 4]["amount_criterion"]) == (-100, "Differs - review required")
+
+
+def test_every_rule_is_hit_and_the_first_one_wins(spark):
+    from tallywork.operators import assessments as s
+
+    grid = s.rule_grid(spark).collect()
+    assert len(grid) == len(s.KINDS) * 36 and {r["rule"] for r in grid} == {rule[0] for rule in s.RULES}
+    for r in grid:  # plain reading of the table from the bottom up, so that what stands above overwrites
+        states, winner = (r["po_state"], r["inv_state"], r["amount_state"]), None
+        for rule in reversed(s.RULES):
+            if rule[1] == r["kind"] and all(w in (None, h) for w, h in zip(rule[2:5], states)):
+                winner = rule[0]
+        assert r["rule"] == winner
+    odd = spark.createDataFrame([("other", "same", "same", "equal")], "kind string, po_state string, inv_state string, amount_state string")
+    assert s.assess(odd).first()["rule"] is None
+
+
+def test_every_exception_has_its_cause(run):
+    from tallywork.operators import assessments as s, duplicates, evidence
+    from tallywork.plans.reconciliation import explained_rows
+
+    rows_ = explained_rows(run).collect()
+    a = {r["a_id"]: (r["exception_cause"], r["cause_confidence"]) for r in rows_ if r["a_id"] is not None}
+    assert a[1] == (s.NOT_AN_EXCEPTION, "") and a[17][0] == s.NOT_AN_EXCEPTION and a[8][1] == "High"
+    assert a[15] == a[16] == (s.PO_REUSE, "Review") and a[6] == (evidence.NO_EVIDENCE, "Review")
+    assert a[10] == (s.DUPLICATE_CAUSES[duplicates.BASIS_STRICT], "Hold") and a[12][0] == evidence.INVALID
+    assert len(rows_) == len({(r["a_id"], r["b_id"]) for r in rows_}) and all(r["exception_cause"] and r["treatment"] for r in rows_)
+
+
+def test_metrics_count_every_population_of_the_run(run):
+    from tallywork.operators import reports
+    from tallywork.plans.reconciliation import metric_facts
+
+    facts = metric_facts(run, controls.balance_controls(run), subtotals=3)
+    got = reports.run_metrics(facts).first().asDict()
+    book = [r.asDict() for r in run.ledger.collect()]
+    cents = lambda keep: sum(r["cents"] or 0 for r in book if keep(r))
+    assert got["a_rows"] == len(A) and got["b_rows"] == len(B) and got["a_total"] == cents(lambda r: True)
+    for outcome in ("unmatched", "duplicate", "duplicate_hold", "variance", "fuzzy", "ambiguous", "reference_hold", "cleared"):
+        of = [r for r in book if r["outcome"] == outcome]
+        assert (got[f"{outcome}_a_rows"], got[f"{outcome}_a_cents"]) == (len(of), sum(r["cents"] or 0 for r in of)), outcome
+    for d in ("MATCHED", "EXACT_A_DUPLICATE_EXCLUDED", "REVIEW_HOLD", "TRUE_UNMATCHED"):
+        assert got[f"disposition_{d.lower()}_rows"] == sum(r["disposition"] == d for r in book)
+    assert got["proposed_entry_cents"] == cents(lambda r: r["disposition"] == "TRUE_UNMATCHED")
+    assert (got["a_invalid_amounts"], got["history_b_rows"], got["history_b_used"], got["history_b_ignored"], got["clearances"]) == (1, 1, 1, 0, 1)
+    assert (got["po_reuse_groups"], got["po_reuse_rows"], got["po_reuse_net"]) == (1, 2, -900)
+    assert (got["variance_net"], got["variance_gross"], got["fuzzy_groups"], got["subtotal_rows_excluded"]) == (-100, 100, 1, 3)
+    assert (got["a_duplicate_groups"], got["a_copy_sets"], got["b_duplicate_groups"]) == (2, 1, 0)
+    assert got["matched_difference"] == 0 and got["a_match_rate"] == (got["matched_a_rows"] / len(A)) and got["control_status"] == "PASS"
+    b_named = sum(got[f"{x}_b_rows"] for x in ("cleared", "unmatched", "duplicate", "duplicate_hold", "variance", "fuzzy")) + got["matched_b_rows"]
+    assert b_named == len(B)
+    why = got["posting_blockers"].split("; ")
+    assert got["posting_status"] == "REVIEW REQUIRED" and reports.GRAIN_BLOCKER in why and "invalid amounts of A" in why and "invalid amounts of B" not in why
+    assert reports.GRAIN_BLOCKER not in reports.run_metrics(facts, grain_validated=True).first()["posting_blockers"]
+
+
+def test_metrics_of_nothing_are_zero_and_open_the_gate(spark):
+    from tallywork.operators import reports
+
+    none = spark.createDataFrame([], "population string, side string, n bigint, cents bigint")
+    got = reports.run_metrics(none).first().asDict()
+    assert got["posting_status"] == "READY TO POST" and got["a_match_rate"] is None and got["a_rows"] == 0
+    for measure, reason in reports.BLOCKERS:  # each blocker alone closes the gate
+        spec = next(m for m in reports.MEASURES if m[0] == measure)
+        population = spec[1] if isinstance(spec[1], str) else spec[1][0]
+        one = spark.createDataFrame([(population, spec[2] or "A", 1, None)], none.schema)
+        assert reason in reports.run_metrics(one).first()["posting_blockers"].split("; "), measure
