@@ -167,7 +167,67 @@ def balance_controls(run) -> DataFrame:
         tie("Proposed entry = unmatched rows", _sum(book.filter("in_proposed_entry")), _sum(a.join(
             book.filter("outcome <> 'unmatched'").select("row_id"), "row_id", "left_anti"))),
     ]
-    return stack(lines)
+    return stack(lines).unionByName(amount_controls(run))
+
+
+def figure(check: str, role: str, rows: DataFrame, value) -> DataFrame:
+    """Rows as addends of one side ('expected' or 'actual') of a check."""
+    return rows.select(F.lit(check).alias("check"), F.lit(role).alias("role"), F.coalesce(value, F.lit(0)).cast("bigint").alias("v"))
+
+
+def tied_figures(figures: list[DataFrame]) -> DataFrame:
+    """All checks of stacked figures from one aggregate: (check, expected, actual, difference, status). A check is named by an addend of
+    zero on each side, so that one without rows is a line as well."""
+    rows = stack(figures)
+    sums = rows.groupBy("check").agg(*[F.coalesce(F.sum(F.when(F.col("role") == r, F.col("v"))), F.lit(0)).alias(r) for r in ("expected", "actual")])
+    return sums.select("check", "expected", "actual", (F.col("expected") - F.col("actual")).alias("difference"), F.when(F.col("expected") == F.col("actual"), "PASS").otherwise("FAIL").alias("status"))
+
+
+def amount_controls(run) -> DataFrame:
+    """Rows and signed cents of every population of both ledgers against a figure from elsewhere.
+
+    A: each report against the ledger's rows of that outcome. B: its populations against the source, and what no
+    population but the open one claims against the open rows. History: what cleared against what was cleared.
+    """
+    t, book, none = run.tables, run.ledger, F.lit(0)
+    a, b = (x.select("side", "row_id", "cents") for x in (run.a, run.b))
+    cents, one = F.col("cents"), F.lit(1)
+
+    def of(rows: DataFrame, source: DataFrame, row: str = "row_id") -> DataFrame:
+        return rows.select(F.col(row).alias("row_id")).join(source, "row_id")
+
+    claimed = [
+        run.matching.bridge.filter("side = 'B'").select("row_id"), t["excess"].filter("side = 'B'").select("row_id"), t["held_b"].select("row_id"),
+        t["variances"].select(F.col("b_id").alias("row_id")), t["fuzzy"].filter("side = 'B'").select("row_id"),
+    ]
+    if "clearances" in t:
+        claimed.append(t["clearances"].filter("scope = 'A history' AND side = 'B'").select("row_id"))
+    taken = stack(claimed)
+    every = of(taken.unionByName(t["open_b"].select("row_id")), b)
+    left = b.join(taken, "row_id", "left_anti")
+    pairs = [
+        ("B row completeness", b, one, every, one), ("B amount roll-forward", b, cents, every, cents),
+        ("B rows that nothing claimed are reported apart", left, cents, of(t["open_b"], b), cents),
+        ("Every A row has a known disposition", a, one, book.filter("disposition IN ('MATCHED', 'EXACT_A_DUPLICATE_EXCLUDED', 'REVIEW_HOLD', 'TRUE_UNMATCHED')"), one),
+        ("Held copies of A are kept out of the entry", of(t["suspects"].filter("side = 'A' AND outcome LIKE 'Held%'"), a), cents, book.filter("outcome = 'duplicate_hold' AND NOT in_proposed_entry"), cents),
+        ("Amount variances are kept out of the entry", t["variances"], F.col("a_cents"), book.filter("outcome = 'variance' AND NOT in_proposed_entry"), cents),
+        ("Ambiguous candidates are kept out of the entry", t["ambiguous"], cents, book.filter("outcome = 'ambiguous' AND NOT in_proposed_entry"), cents),
+        ("Fuzzy holds are kept out of the entry", of(t["fuzzy"].filter("side = 'A'"), a), cents, book.filter("outcome = 'fuzzy' AND NOT in_proposed_entry"), cents),
+        ("Reference holds are kept out of the entry", t["holds"], cents, book.filter("outcome = 'reference_hold' AND NOT in_proposed_entry"), cents),
+    ]
+    if "clearances" in t:
+        name, amounts = "Historical clearance amount difference", []
+        for scope, source in (("A history", "B"), ("B history", "A")):
+            rows = t["clearances"].filter(F.col("scope") == scope)
+            live, old = rows.filter(F.col("side") == source), rows.filter(F.col("side") != source)
+            amounts.append((name, of(live, a if source == "A" else b), cents, of(old, t["history"].filter(F.col("side") != source)), cents))
+        pairs += amounts
+    figures = []
+    names = a.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(p[0] for p in pairs)], "check string")
+    figures.append(names.select("check", F.lit("expected").alias("role"), none.cast("bigint").alias("v")))
+    for check, expected, value, actual, other in pairs:
+        figures += [figure(check, "expected", expected, value), figure(check, "actual", actual, other)]
+    return tied_figures(figures)
 
 
 def stop_on_failure(checks: DataFrame) -> None:

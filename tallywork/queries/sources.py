@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import controls, specrecon
 from ..runtime import beside, cut, scratch_path
 from ..functions.text import csv_safe, formula_safe
-from ..sources import delimited as d, grid as g, messages as ms, profile as p, sinks as s
+from ..sources import checks, delimited as d, grid as g, messages as ms, profile as p, sinks as s
 from . import query
-from .ledgers import A_SQL, ROLES, raw_ledgers
+from .ledgers import A_SQL, B_SQL, ROLES, raw_ledgers
 
 _REPORT = """SELECT o_orderkey AS pos, o_custkey % 5 AS f, CASE WHEN o_orderkey % 10 = 0 THEN '' WHEN o_orderkey % 10 = 1 THEN ' Name' WHEN o_orderkey % 10 = 2 THEN 'Monday, January 5, 2026 10:30 AM GMT-06:00' WHEN o_orderkey % 10 = 3 THEN 'Total for x'
   ELSE 'row' END AS c1, CASE WHEN o_orderkey % 10 IN (0, 2) THEN '' WHEN o_orderkey % 10 = 1 THEN 'amount ' ELSE o_orderpriority END AS c2, CASE WHEN o_orderkey % 10 IN (0, 2) OR o_orderkey % 77 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN 'Po#' ELSE 'x' END AS c3 FROM orders"""
@@ -263,3 +263,73 @@ def versions(t):
     store = cut(specrecon.archive(store, first.filter("k % 5 = 0")), "store")
     again = first.filter("k % 2 = 0").withColumn("spec", F.when(F.col("k") % 3 == 0, F.concat("spec", F.lit(" again"))).otherwise(F.col("spec")))
     return specrecon.current(specrecon.save_all(store, again))
+
+
+_SHOWN = "CAST(coalesce(to_json(list_transform(list(x.item ORDER BY x.spot, x.item)[1:10], lambda y: CAST(y AS VARCHAR))), '[]') AS VARCHAR)"
+_FILE = """SELECT 'S' || l_suppkey AS vendor, CAST(l_shipdate AS STRING) AS invoice_date, CAST(l_orderkey AS STRING) AS transaction_no, l_returnflag AS description, CAST(l_partkey AS STRING) AS account,
+  '' AS centre, CASE WHEN l_partkey % 19 = 0 THEN 'see note' WHEN l_partkey % 23 = 0 THEN ' ' ELSE CAST(l_extendedprice AS STRING) END AS amount, '' AS tax, '' AS reference, CAST(l_linenumber AS STRING) AS cost_code, '1' AS period,
+  l_orderkey * 8 + l_linenumber AS source_pos FROM lineitem"""
+
+
+def _as_text(lines):
+    return lines.withColumn("examples", F.to_json("examples"))
+
+
+@query(
+    "cleanup_input_checks",
+    f"""WITH src AS (SELECT *, source_pos AS spot, CAST(source_pos AS VARCHAR) AS item FROM ({_FILE})),
+    r AS (SELECT 'Blank amounts' AS "check", spot, item FROM src WHERE trim(amount) = '' UNION ALL SELECT 'Amounts that are no number', spot, item FROM src WHERE amount = 'see note'),
+    n AS (SELECT unnest(['Blank amounts', 'Amounts that are no number']) AS "check")
+    SELECT 'Source Transactions' AS dataset, n."check", CASE WHEN count(x.spot) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(x.spot) AS n_rows, CASE WHEN count(x.spot) = 0 THEN '[]' ELSE {_SHOWN} END AS examples FROM n LEFT JOIN r x USING ("check") GROUP BY 2
+    UNION ALL SELECT d, 'Rows', 'PASS', 0, '[]' FROM (SELECT unnest(['Source Transactions', 'Vendor Mapping', 'Trial Balance']) AS d)
+    UNION ALL SELECT * FROM (VALUES ('Source Transactions', 'Columns', 'PASS', 11, '[]'), ('Source Transactions', 'Blank headers', 'PASS', 0, '[]'), ('Source Transactions', 'Repeated headers', 'PASS', 0, '[]'),
+      ('Source Transactions', 'Columns in their place', 'WARNING', 1, '["Cost Center: read from column 6, looks like column 10"]'),
+      ('Vendor Mapping', 'Columns', 'FAIL', 4, '["at least 5 are required"]'), ('Vendor Mapping', 'Blank headers', 'PASS', 0, '[]'), ('Vendor Mapping', 'Repeated headers', 'PASS', 0, '[]'), ('Vendor Mapping', 'Columns in their place', 'PASS', 0, '[]'),
+      ('Trial Balance', 'Columns', 'PASS', 3, '[]'), ('Trial Balance', 'Blank headers', 'PASS', 0, '[]'), ('Trial Balance', 'Repeated headers', 'PASS', 0, '[]'), ('Trial Balance', 'Columns in their place', 'PASS', 0, '[]'))""",
+)
+def cleanup_inputs(t):
+    """Order lines as a transaction file with unreadable and blank amounts and a column that seems misplaced."""
+    t.lineitem.createOrReplaceTempView("lineitem")
+    mapping = t.supplier.select(F.col("s_name").alias("name"), "s_suppkey", "s_nationkey", F.lit("T").alias("taxability"))
+    accounts = t.part.select("p_partkey", "p_name", "p_size")
+    return _as_text(checks.cleanup_checks(t.spark.sql(_FILE), mapping, accounts))
+
+
+_GRID = """SELECT CASE WHEN l_partkey % 29 = 0 THEN l_partkey + 1 ELSE l_partkey END AS product, CASE WHEN l_partkey % 13 = 0 THEN 'n/a' ELSE CAST(sum(CASE WHEN month(l_shipdate) = 5 THEN l_quantity END) AS STRING) END AS `05`,
+  CAST(sum(CASE WHEN month(l_shipdate) = 6 THEN l_quantity ELSE 0 END) - CASE WHEN l_partkey % 11 = 0 THEN 1000 ELSE 0 END AS STRING) AS `06` FROM lineitem WHERE l_partkey % 31 <> 0 GROUP BY l_partkey"""
+
+
+@query(
+    "grid_input_checks",
+    f"""WITH g AS ({_GRID.replace('`', '"')}), r AS (
+      SELECT 'Repeated products' AS "check", product AS spot FROM g GROUP BY product HAVING count(*) > 1 UNION ALL SELECT 'Missing products', p_partkey FROM part WHERE p_partkey NOT IN (SELECT product FROM g)
+      UNION ALL SELECT 'Quantities of period 05 that are blank or no number', product FROM g WHERE TRY_CAST("05" AS DOUBLE) IS NULL UNION ALL SELECT 'Quantities of period 05 below zero', product FROM g WHERE TRY_CAST("05" AS DOUBLE) < 0
+      UNION ALL SELECT 'Quantities of period 06 that are blank or no number', product FROM g WHERE TRY_CAST("06" AS DOUBLE) IS NULL UNION ALL SELECT 'Quantities of period 06 below zero', product FROM g WHERE TRY_CAST("06" AS DOUBLE) < 0),
+    q AS (SELECT "check", spot, CAST(spot AS VARCHAR) AS item FROM r),
+    n AS (SELECT unnest(['Repeated products', 'Missing products', 'Quantities of period 05 that are blank or no number', 'Quantities of period 05 below zero', 'Quantities of period 06 that are blank or no number', 'Quantities of period 06 below zero']) AS "check")
+    SELECT 'Master Grid' AS dataset, n."check", CASE WHEN count(x.spot) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(x.spot) AS n_rows, CASE WHEN count(x.spot) = 0 THEN '[]' ELSE {_SHOWN} END AS examples FROM n LEFT JOIN q x USING ("check") GROUP BY 2
+    UNION ALL SELECT 'Master Grid', 'Column of period 05', 'PASS', 0, '[]' UNION ALL SELECT 'Master Grid', 'Column of period 06', 'PASS', 0, '[]'""",
+)
+def grid_inputs(t):
+    """Shipped quantities as a master grid with repeated, missing, unreadable and negative products."""
+    t.lineitem.createOrReplaceTempView("lineitem")
+    return _as_text(checks.grid_checks(t.spark.sql(_GRID), t.part.select(F.col("p_partkey").alias("product")), "product", 6))
+
+
+@query(
+    "arrival_checks",
+    f"""WITH x AS (SELECT CASE WHEN source_pos % 97 = 0 THEN NULL WHEN source_pos % 89 = 0 THEN 'blank' ELSE 'data' END AS k, txn_date <> '1998-01-01' AND source_pos % 5 <> 0 AS u, amount_text AS t,
+      CASE WHEN starts_with(amount_text, '(') THEN -1 ELSE 1 END * CAST(ROUND(TRY_CAST(regexp_replace(amount_text, '[$, ()]', '', 'g') AS DECIMAL(28,6)), 2) * 100 AS BIGINT) AS c FROM ({B_SQL})),
+    s AS (SELECT count(*) FILTER (WHERE k IS NULL) AS lost, count(*) FILTER (WHERE k = 'data' AND u) AS taken, coalesce(sum(c) FILTER (WHERE k = 'data' AND u), 0) AS tc, count(*) FILTER (WHERE k = 'blank') AS rem,
+      count(*) FILTER (WHERE k = 'data' AND NOT u) AS lft, coalesce(sum(c) FILTER (WHERE k = 'data' AND NOT u), 0) AS lc, count(*) FILTER (WHERE k = 'data' AND u AND trim(t) = '') AS b, count(*) FILTER (WHERE k = 'data' AND u AND trim(t) <> '' AND c IS NULL) AS un,
+      count(*) FILTER (WHERE k = 'data' AND u AND c = 0) AS z, count(*) FILTER (WHERE k = 'data' AND u AND c < 0) AS cr, coalesce(sum(c) FILTER (WHERE k = 'data' AND u AND c < 0), 0) AS cc FROM x)
+    SELECT 'Ledger B' AS dataset, 'Rows that are not accounted for' AS "check", CASE WHEN lost > 0 THEN 'FAIL' ELSE 'PASS' END AS status, lost AS n_rows, CAST(0 AS BIGINT) AS cents FROM s
+    UNION ALL SELECT 'Ledger B', 'Rows used', CASE WHEN taken = 0 THEN 'FAIL' ELSE 'PASS' END, taken, CAST(tc AS BIGINT) FROM s UNION ALL SELECT 'Ledger B', 'Rows removed by clean-up', 'PASS', rem, 0 FROM s
+    UNION ALL SELECT 'Ledger B', 'Amount in rows left out', CASE WHEN lc <> 0 THEN 'WARNING' ELSE 'PASS' END, lft, CAST(lc AS BIGINT) FROM s UNION ALL SELECT 'Ledger B', 'Blank amounts', CASE WHEN b > 0 THEN 'WARNING' ELSE 'PASS' END, b, 0 FROM s
+    UNION ALL SELECT 'Ledger B', 'Unreadable amounts', CASE WHEN un > 0 THEN 'WARNING' ELSE 'PASS' END, un, 0 FROM s UNION ALL SELECT 'Ledger B', 'Zero amounts', 'PASS', z, 0 FROM s
+    UNION ALL SELECT 'Ledger B', 'Credits and negative amounts', 'PASS', cr, CAST(cc AS BIGINT) FROM s""",
+)
+def arrival(t):
+    """The second ledger with rows that lost their class and rows that are left out."""
+    rows = raw_ledgers(t)[1].withColumn("row_class", F.when(F.col("source_pos") % 97 == 0, None).when(F.col("source_pos") % 89 == 0, "blank").otherwise("data"))
+    return checks.arrival_checks("Ledger B", rows, (F.col("txn_date") != "1998-01-01") & (F.col("source_pos") % 5 != 0), "amount_text")

@@ -234,3 +234,25 @@ def test_metrics_of_nothing_are_zero_and_open_the_gate(spark):
         population = spec[1] if isinstance(spec[1], str) else spec[1][0]
         one = spark.createDataFrame([(population, spec[2] or "A", 1, None)], none.schema)
         assert reason in reports.run_metrics(one).first()["posting_blockers"].split("; "), measure
+
+
+def test_amount_controls_each_fail_for_their_own_damage(run):
+    from dataclasses import replace
+
+    lines = {r["check"]: r for r in controls.amount_controls(run).collect()}
+    assert len(lines) == 10 and {r["status"] for r in lines.values()} == {"PASS"}
+    assert lines["B row completeness"]["expected"] == len(B) and lines["Historical clearance amount difference"]["expected"] == 1700
+
+    def failing(**tables):
+        return {r["check"] for r in controls.amount_controls(replace(run, tables=run.tables | tables)).filter("status = 'FAIL'").collect()}
+
+    t = run.tables
+    assert "Amount variances are kept out of the entry" in failing(variances=t["variances"].withColumn("a_cents", F.col("a_cents") + 1))
+    assert "Ambiguous candidates are kept out of the entry" in failing(ambiguous=t["ambiguous"].limit(0))
+    assert "Reference holds are kept out of the entry" in failing(holds=t["holds"].filter("row_id <> 5"))
+    assert failing(fuzzy=t["fuzzy"].limit(0)) >= {"Fuzzy holds are kept out of the entry", "B row completeness", "B rows that nothing claimed are reported apart"}
+    assert failing(open_b=t["open_b"].limit(0)) >= {"B row completeness", "B amount roll-forward", "B rows that nothing claimed are reported apart"}
+    assert failing(suspects=t["suspects"].limit(0)) == {"Held copies of A are kept out of the entry"}
+    assert failing(history=t["history"].withColumn("cents", F.col("cents") - 1)) == {"Historical clearance amount difference"}
+    odd = run.ledger.withColumn("disposition", F.when(F.col("row_id") == 1, "LOST").otherwise(F.col("disposition")))
+    assert {r["check"] for r in controls.amount_controls(replace(run, ledger=odd)).filter("status = 'FAIL'").collect()} == {"Every A row has a known disposition"}

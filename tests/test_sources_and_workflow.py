@@ -202,3 +202,76 @@ def test_archived_templates_are_hidden_until_saved_again(spark):
     assert rows_of(store) == [("b", 2, "2")] and store.filter("template_id = 'a'").count() == 2
     store = sr.save_all(store, specs([("a", "1")]))
     assert rows_of(store) == [("a", 3, "1"), ("b", 2, "2")]
+
+
+def _lines(df):
+    return {(r["dataset"], r["check"]): (r["status"], r["n_rows"], r["examples"]) for r in df.collect()}
+
+
+def test_headers_are_judged_by_place_and_name():
+    from tallywork.sources import checks as k
+
+    good = ["Vendor", "Date", "Transaction ID", "d", "Account", "Cost Center", "Amount", "t", "r", "Code", "p"]
+    assert {x[2] for x in k.header_lines("S", good, 11, True, k.SOURCE_HINTS)} == {"PASS"}
+    swapped = [*good[:5], "Amount", "Cost Center", *good[7:]]
+    moved = {x[1]: x for x in k.header_lines("S", swapped, 11, True, k.SOURCE_HINTS)}["Columns in their place"]
+    assert moved[2] == "WARNING" and moved[4] == ["Cost Center: read from column 6, looks like column 7", "Amount: read from column 7, looks like column 6"]
+    unknown = ["x"] * 11  # a file with other headers is never flagged for its places
+    got = {x[1]: x[2:] for x in k.header_lines("S", unknown, 11, True, k.SOURCE_HINTS)}
+    assert got["Columns in their place"][0] == "PASS" and got["Repeated headers"] == ("FAIL", 1, ["x"])
+    got = {x[1]: x[2:] for x in k.header_lines("S", ["a", " ", "Unnamed: 2"], 5)}
+    assert got["Blank headers"] == ("FAIL", 2, ["2", "3"]) and got["Columns"] == ("FAIL", 3, ["at least 5 are required"])
+
+
+def test_cleanup_inputs_name_every_fault(spark):
+    from tallywork.sources import checks as k
+
+    names = [f"c{n}" for n in range(1, 12)]
+    cell = ["1", "abc", " ", None, "1e3", "-5"] + ["?"] * 20
+    rows = spark.createDataFrame([(*["x"] * 6, v, *["x"] * 4, n) for n, v in enumerate(cell)], ", ".join(f"{c} string" for c in names) + ", source_pos bigint")
+    empty = spark.createDataFrame([], "name string, b string, c string, taxab string, groups string")
+    accounts = spark.createDataFrame([("a", "b")], "a string, b string")
+    got = _lines(k.cleanup_checks(rows, empty, accounts))
+    assert got["Source Transactions", "Blank amounts"] == ("FAIL", 2, ["2", "3"])
+    assert got["Source Transactions", "Amounts that are no number"] == ("FAIL", 21, ["1", *[str(n) for n in range(6, 15)]])
+    assert got["Vendor Mapping", "Rows"] == ("FAIL", 1, ["the table is blank"]) and got["Trial Balance", "Columns"][0] == "FAIL"
+    assert got["Source Transactions", "Rows"] == ("PASS", 0, [])
+    nothing = _lines(k.cleanup_checks(rows.limit(0).drop("c11"), empty, accounts))
+    assert nothing["Source Transactions", "Rows"][0] == "FAIL" and nothing["Source Transactions", "Columns"][0] == "FAIL"
+
+
+def test_listing_and_grid_inputs(spark):
+    from tallywork.sources import checks as k
+
+    some, none = spark.createDataFrame([("1", "a")], "id string, name string"), spark.createDataFrame([], "id string, name string")
+    got = _lines(k.listing_checks(some, none, {"id": "id", "name": "id", "tax": "t", "group": "t"}, {"id": "id", "name": "name"}))
+    assert {key: v[0] for key, v in got.items()} == {
+        ("Previous Vendor Listing", "Columns of id and name differ"): "FAIL", ("Previous Vendor Listing", "Columns of tax and group differ"): "FAIL",
+        ("Updated Vendor Listing", "Columns of id and name differ"): "PASS", ("Previous Vendor Listing", "Rows"): "PASS", ("Updated Vendor Listing", "Rows"): "FAIL",
+    }
+    table = spark.createDataFrame([("1", "2", "0"), ("1", "", "-0.00001"), ("2", "x", "-3"), (None, "NaN", "1"), ("z", "1", "Infinity")], "alias string, `13` string, `01` string")
+    products = spark.createDataFrame([("1",), ("3",), ("3",)], "alias string")
+    got = _lines(k.grid_checks(table, products, "alias", 1))
+    assert got["Master Grid", "Repeated products"] == ("FAIL", 1, ["1"]) and got["Master Grid", "Missing products"] == ("FAIL", 1, ["3"])
+    assert got["Master Grid", "Quantities of period 13 that are blank or no number"][:2] == ("FAIL", 3)
+    assert got["Master Grid", "Quantities of period 01 below zero"] == ("FAIL", 1, ["2"])
+    assert got["Master Grid", "Quantities of period 01 that are blank or no number"][1] == 1
+    got = _lines(k.grid_checks(table, products, "alias", 5))
+    assert got["Master Grid", "Column of period 05"][0] == got["Master Grid", "Column of period 04"][0] == "FAIL"
+    assert _lines(k.grid_checks(table, products, "nowhere", 5)) == {("Master Grid", "Product column"): ("FAIL", 1, ["nowhere"])}
+
+
+def test_rows_and_amounts_that_went_astray(spark):
+    from tallywork.sources import checks as k
+
+    rows = spark.createDataFrame(
+        [("data", True, "10.00"), ("data", True, " "), ("data", True, "x"), ("data", True, "(2.50)"), ("data", True, "0"), ("data", False, "7.00"), ("data", None, "1"), ("blank", True, ""), (None, True, "3")],
+        "row_class string, used boolean, amount string",
+    )
+    got = {r["check"]: (r["status"], r["n_rows"], r["cents"]) for r in k.arrival_checks("A", rows, F.col("used"), "amount").collect()}
+    assert got == {
+        "Rows that are not accounted for": ("FAIL", 1, 0), "Rows used": ("PASS", 5, 750), "Rows removed by clean-up": ("PASS", 1, 0), "Amount in rows left out": ("WARNING", 2, 800),
+        "Blank amounts": ("WARNING", 1, 0), "Unreadable amounts": ("WARNING", 1, 0), "Zero amounts": ("PASS", 1, 0), "Credits and negative amounts": ("PASS", 1, -250),
+    }
+    empty = {r["check"]: r["status"] for r in k.arrival_checks("A", rows.limit(0), F.col("used"), "amount").collect()}
+    assert empty["Rows used"] == "FAIL" and empty["Rows that are not accounted for"] == "PASS"
