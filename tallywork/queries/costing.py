@@ -365,10 +365,11 @@ def unit_costs(t):
 
 @query("fifo_check_rows")
 def check_rows(t):
-    """Portfolio checks; the receipt log is the later half of the lines, all of it in the period."""
+    """Portfolio checks of a costing against the whole receipt log, recognized as it would be: late, rejected, presumed and pending rows included."""
+    from .receipts import _recognized
+
     results, _ = _batch(t)
-    log = _receipts(t).filter("delivered >= DATE '1997-01-01'").withColumn("outcome", F.lit("in period"))
-    return insights.check_rows(fifo.summary_status(results), log)
+    return insights.check_rows(fifo.summary_status(results), _recognized(t)[0])
 
 
 @query("fifo_product_exceptions")

