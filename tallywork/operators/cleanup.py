@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import beside
+from ..runtime import beside, join_filled
 from ..functions.identifiers import gl_account, name_key, vendor_key
 from ..functions.text import is_blank, nonblank, strip
 
@@ -57,13 +57,13 @@ def mark_removals(source: DataFrame, excluded: DataFrame) -> DataFrame:
             "vendor_key": vendor_key("vendor"), "txn_key": vendor_key("transaction_id"),
             "letter": F.upper(F.substring(strip(F.coalesce("code", F.lit(""))), 1, 1)).rlike("[A-Z]"),
         }
-    ).join(excluded.select(F.col("key").alias("vendor_key"), F.lit(True).alias("excluded")), "vendor_key", "left")
-    keyed = keyed.withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+    )
+    keyed = join_filled(keyed, excluded.select(F.col("key").alias("vendor_key"), F.lit(True).alias("excluded")), ["vendor_key"], "source_pos").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
     # Rows without an id, or not eligible, take no part in the duplicate test.
     firsts = keyed.filter("NOT letter AND NOT excluded AND txn_key <> ''").groupBy("txn_key").agg(
         F.min("source_pos").alias("first_pos"), F.count("*").alias("n")
     ).filter("n > 1").drop("n")
-    joined = keyed.join(firsts, "txn_key", "left")
+    joined = join_filled(keyed, firsts, ["txn_key"], "source_pos")
     duplicate = ~F.col("letter") & ~F.col("excluded") & (F.col("source_pos") > F.col("first_pos"))
     reason = (
         F.when(F.col("letter"), "letter").when(F.col("excluded"), "excluded").when(duplicate, "duplicate").otherwise("keep")
@@ -90,7 +90,7 @@ def enrich(marked: DataFrame, mapping: DataFrame, accounts: DataFrame, side: str
     ).withColumn("gl_key", vendor_key("gl_account"))
     vendors = vendors.select(F.col("key").alias("vendor_key"), "taxability", "grouping", F.lit(True).alias("vendor_matched"))
     names = names.select(F.col("key").alias("gl_key"), "account_name", F.lit(True).alias("gl_matched"))
-    out = kept.join(vendors, "vendor_key", "left").join(names, "gl_key", "left")
+    out = join_filled(join_filled(kept, vendors, ["vendor_key"], "source_pos"), names, ["gl_key"], "source_pos")
     no = F.lit(False)
     return out.fillna("", ["taxability", "grouping", "account_name"]).withColumns(
         {

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import first_per_group
+from ..runtime import first_per_group, join_filled
 from .matching import filled, unique_pairs
 
 # Evidence findings, hold codes and classes.
@@ -82,10 +82,8 @@ def candidate_counts(a_rows: DataFrame, b_rows: DataFrame, open_b: DataFrame) ->
             F.max(F.when(is_open, F.col("cents"))).alias(f"{tag}_cents"),
         )
 
-    out = (
-        a_rows.join(by("key_po"), "key_po", "left").join(by("key_inv"), "key_inv", "left")
-        .join(by("key_po", "key_inv").drop("both_id", "both_cents"), ["key_po", "key_inv"], "left")
-    )
+    out = join_filled(join_filled(a_rows, by("key_po"), ["key_po"], "row_id"), by("key_inv"), ["key_inv"], "row_id")
+    out = join_filled(out, by("key_po", "key_inv").drop("both_id", "both_cents"), ["key_po", "key_inv"], "row_id")
     zero = F.lit(0)
 
     def union(kind: str) -> Column:
@@ -119,7 +117,7 @@ def weak_links(a_rows: DataFrame, b_rows: DataFrame, open_b: DataFrame) -> DataF
         is_weak = (F.col(norm) != "") & (F.col(key) == "")
         counts = weak_b.groupBy(norm).agg(F.count("*").alias("_n"))
         exact = weak_b.filter("open AND cents IS NOT NULL").groupBy(norm, "cents").agg(F.count("*").alias("_e"))
-        out = out.join(counts, norm, "left").join(exact, [norm, "cents"], "left").withColumns(
+        out = join_filled(join_filled(out, counts, [norm], "row_id"), exact, [norm, "cents"], "row_id").withColumns(
             {
                 f"weak_{kind}": F.when(is_weak, F.coalesce("_n", F.lit(0))).otherwise(0),
                 f"weak_exact_{kind}": F.when(is_weak, F.coalesce("_e", F.lit(0))).otherwise(0),
@@ -255,7 +253,7 @@ def historical_hits(a_rows: DataFrame, withheld: DataFrame) -> DataFrame:
 
 def reference_holds(candidates: DataFrame, reuse: DataFrame, hits: DataFrame | None) -> DataFrame:
     """Hold code per candidate-table row, by ordered tests; rows without any support get none and are left out."""
-    rows = candidates.join(reuse.select("key_po", F.lit(True).alias("reused")), "key_po", "left")
+    rows = join_filled(candidates, reuse.select("key_po", F.lit(True).alias("reused")), ["key_po"], "row_id")
     if hits is not None:
         rows = rows.join(hits, "row_id", "left")
     else:
@@ -376,7 +374,7 @@ def already_matched(candidates: DataFrame, b_rows: DataFrame, bridge: DataFrame,
 
     po = per("key_po").select("key_po", F.col("n").alias("po_n"), F.col("refs").alias("po_refs"))
     inv = per("key_inv").select("key_inv", F.col("n").alias("inv_n"), F.col("refs").alias("inv_refs"))
-    out = rows.join(po, "key_po", "left").join(inv, "key_inv", "left")
+    out = join_filled(join_filled(rows, po, ["key_po"], "row_id"), inv, ["key_inv"], "row_id")
     by_po = F.col("po_n").isNotNull()
     refs_, n = F.when(by_po, F.col("po_refs")).otherwise(F.col("inv_refs")), F.when(by_po, F.col("po_n")).otherwise(F.col("inv_n"))
     more = F.when(n > named, F.concat(F.lit(" and "), (n - named).cast("string"), F.lit(" more"))).otherwise("")

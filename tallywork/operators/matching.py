@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import cut, spread
+from ..runtime import cut, join_filled, spread
 
 # Bounds of the grouped search.
 MAX_POOL = 20
@@ -87,7 +87,7 @@ def with_link_flags(both: DataFrame) -> DataFrame:
             both.filter(F.col(key) != "").groupBy(key).agg(counted("A").alias("n_a"), counted("B").alias("n_b"))
             .filter("n_a > 0 AND n_b > 0").select(key, F.lit(True).alias(f"{kind}_shared"))
         )
-        out = out.join(shared, key, "left").withColumn(f"{kind}_shared", F.coalesce(f"{kind}_shared", F.lit(False)))
+        out = join_filled(out, shared, [key], "row_id").withColumn(f"{kind}_shared", F.coalesce(f"{kind}_shared", F.lit(False)))
     return out
 
 

@@ -138,6 +138,20 @@ def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
+def join_filled(df: DataFrame, other: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
+    """Left join on text keys of which a blank (empty or null) is none: such rows find nothing, and are spread by `spread_by` (a column
+    with many values) in place of their first key, so that a blank in a third of all rows never lands in one task.
+
+    `other` must hold no blank first key. Rows keep all their columns; keys that are not text may follow the first.
+    """
+    first, rest = keys[0], keys[1:]
+    blank = F.coalesce(F.col(first), F.lit("")) == ""
+    # No key begins with NUL, so the stand-ins of blank keys meet nothing.
+    lead = F.when(blank, F.concat(F.lit("\x00"), F.coalesce(F.col(spread_by).cast("string"), F.lit("")))).otherwise(F.col(first))
+    known = other.filter(F.coalesce(F.col(first), F.lit("")) != "").withColumnRenamed(first, "_lead")
+    return df.withColumn("_lead", lead).join(known, ["_lead", *rest], "left").drop("_lead")
+
+
 def with_block(df: DataFrame, position: str) -> DataFrame:
     """Adds `_block`, a stretch of at most BLOCK_ROWS positions, unless the frame has it already."""
     if "_block" in df.columns:

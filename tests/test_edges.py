@@ -166,3 +166,25 @@ def test_days_of_many_years_look_up_their_period(spark):
     for k, d in days:
         place = (d - date(d.year, 1, 1)).days // 28 if d else None
         assert got[k] == ((d.year, place + 1) if d and d.year in years and place < 13 else (None, None))
+
+
+def test_blank_keys_meet_nothing_and_are_spread(spark):
+    from tallywork.runtime import join_filled
+
+    rows = spark.createDataFrame([(n, k, n) for n, k in enumerate(["a", "", None, "b", "", "a"])], "row_id int, key string, cents int")
+    other = spark.createDataFrame([("a", 0, "x"), ("", 1, "y"), (None, 2, "z"), ("b", 9, "w")], "key string, cents int, found string")
+    got = {r["row_id"]: (r["key"], r["found"]) for r in join_filled(rows, other.drop("cents"), ["key"], "row_id").collect()}
+    assert got == {0: ("a", "x"), 1: ("", None), 2: (None, None), 3: ("b", "w"), 4: ("", None), 5: ("a", "x")}
+    got = {r["row_id"]: r["found"] for r in join_filled(rows, other, ["key", "cents"], "row_id").collect()}
+    assert got == {0: "x", 1: None, 2: None, 3: None, 4: None, 5: None}
+    many = spark.range(20_000).select(F.col("id").alias("row_id"), F.lit("").alias("key"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sizes = [len(x) for x in join_filled(many, other.drop("cents"), ["key"], "row_id").rdd.glom().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 3_500
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
