@@ -10,7 +10,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -36,8 +36,7 @@ _IN_HEAD = frozenset(("base", "basefont", "bgsound", "head", "html", "link", "me
 _WHOLE = frozenset(("noframes", "noscript", "script", "style", "template", "title"))  # of those in a head, with an end of their own
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-z!?][^<>]*>", re.I)
-_SPACE = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r"\s*\n\s*")
+_PLAIN_PATH = re.compile(r"/(?:[A-Za-z0-9_-]+/)*[A-Za-z0-9_-]*")  # nothing in it to resolve
 _TITLE = re.compile(r"<title\b[^<>]*>([^<]*)</title", re.I)
 _LINK = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CHARSET = re.compile(r"charset=\"?([\w-]+)", re.I)
@@ -143,7 +142,8 @@ def _seen(page: str) -> str:
 def plain_text(page: str) -> str:
     """What a reader sees: no scripts, styles, head or comments; a line for each block."""
     text = _TAG.sub("", _BREAK.sub("\n", _seen(page)))
-    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(text))).strip()
+    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def _response(page_id: int | None, url: str | None, page: bytes | None, date: str) -> bytes:
@@ -156,7 +156,18 @@ def _response(page_id: int | None, url: str | None, page: bytes | None, date: st
     ], block)
 
 
-def _link(base: str, target: str) -> str:
+def _site(base: str) -> str | None:
+    """Scheme and host of a web address, which a plain absolute path is joined to."""
+    try:
+        own = urlsplit(base)
+    except ValueError:
+        return None
+    return f"{own.scheme}://{own.netloc}" if own.scheme in ("http", "https") and own.netloc else None
+
+
+def _link(base: str, site: str | None, target: str) -> str:
+    if site is not None and _PLAIN_PATH.fullmatch(target):
+        return site + target
     try:
         return urljoin(base, html.unescape(target))
     except ValueError:
@@ -182,6 +193,8 @@ def derive(data: bytes) -> list[dict]:
     except LookupError:
         page = body.decode("utf-8", "replace")
     text = plain_text(page)
+    shown, site = text.encode(), _site(target or "")
+    shown_digest = digest(shown)
     title = _TITLE.search(page)
     ids = {kind: record_id(kind.encode(), source.encode(), own.encode()) for kind in ("metadata", "conversion")}
     about = {
@@ -190,24 +203,25 @@ def derive(data: bytes) -> list[dict]:
         "payload": {"digest": own, "length": len(body)},
         "html": {
             "title": html.unescape(title[1]).strip() if title else None,
-            "links": [_link(target or "", a or b or c) for a, b, c in _LINK.findall(page)],
+            "links": [_link(target or "", site, a or b or c) for a, b, c in _LINK.findall(page)],
         },
-        "conversion": {"record_id": ids["conversion"], "digest": digest(text.encode()), "length": len(text.encode())},
+        "conversion": {"record_id": ids["conversion"], "digest": shown_digest, "length": len(shown)},
     }
     out = []
     for kind, other, mime, content in (
         ("metadata", "conversion", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True)),
         ("conversion", "metadata", "text/plain; charset=utf-8", text),
     ):
-        block = content.encode()
+        block = shown if content is text else content.encode()
+        own_digest = shown_digest if content is text else digest(block)
         out.append({
             "warc_type": kind, "record_id": ids[kind], "refers_to": source, "concurrent_to": ids[other], "target_uri": target,
             "warc_date": date, "source_headers": list(dict(headers).items()),
-            "source_header_list": [{"name": name, "value": value} for name, value in headers], "source_payload_digest": own, "block_digest": digest(block),
+            "source_header_list": [{"name": name, "value": value} for name, value in headers], "source_payload_digest": own, "block_digest": own_digest,
             "block": content, "record": record([
                 ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", source), ("WARC-Concurrent-To", ids[other]),
                 ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", target), ("WARC-Date", date),
-                ("WARC-Block-Digest", digest(block)), ("Content-Type", mime),
+                ("WARC-Block-Digest", own_digest), ("Content-Type", mime),
             ], block), "damage": None,
         })
     return out
