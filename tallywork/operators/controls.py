@@ -128,12 +128,115 @@ def identity_controls(run) -> DataFrame:
     )
 
 
-def _sum(df: DataFrame, condition: Column | None = None) -> DataFrame:
-    return (df if condition is None else df.filter(condition)).agg(F.sum("cents").alias("v"))
+# What a row adds to the figures of its id: source rows and cents, ledger rows (all, not unmatched, held), matches, other populations.
+_COUNTS = ("n", "cents", "booked", "settled", "held", "matched", "taken", "open", "fuzzy", "copies", "reported")
+
+
+def _per_id(run) -> DataFrame:
+    """One row for each (side, row_id): how often every place of a run holds it, from one aggregate over all places stacked."""
+    t, book = run.tables, run.ledger
+
+    def adds(rows: DataFrame, side: str | None = None, row: str = "row_id", match: Column | None = None, **values) -> DataFrame:
+        given = {name: F.lit(v) if isinstance(v, int) else v for name, v in values.items()}
+        return rows.select(
+            F.col("side") if side is None else F.lit(side).alias("side"), F.col(row).alias("row_id"),
+            *[F.coalesce(given.get(name, F.lit(0)), F.lit(0)).cast("bigint").alias(name) for name in _COUNTS],
+            (F.lit(None) if match is None else match).cast("bigint").alias("match_key"),
+        )
+
+    def on(name: str, side: str) -> DataFrame:
+        return t[name].filter(F.col("side") == side)
+
+    parts = [
+        adds(run.a, "A", n=1, cents=F.col("cents")), adds(run.b, "B", n=1, cents=F.col("cents")),
+        adds(book, "A", booked=1, settled=(F.col("outcome") != "unmatched").cast("int"), held=(F.col("disposition") == "REVIEW_HOLD").cast("int")),
+        adds(run.matching.bridge, match=F.col("match_key"), matched=1, taken=1),
+        adds(on("excess", "B"), taken=1), adds(t["held_b"], "B", taken=1), adds(t["variances"], "B", "b_id", taken=1), adds(t["open_b"], "B", open=1),
+        adds(on("fuzzy", "B"), taken=1), adds(on("fuzzy", "A"), fuzzy=1, reported=1), adds(t["variances"], "A", "a_id", reported=1),
+        adds(t["ambiguous"], "A", reported=1), adds(t["holds"], "A", reported=1), adds(on("suspects", "A").filter("outcome LIKE 'Held%'"), copies=1, reported=1),
+    ]
+    if "clearances" in t:
+        parts.append(adds(t["clearances"].filter("scope = 'A history' AND side = 'B'"), taken=1))
+    return stack(parts).groupBy("side", "row_id").agg(
+        *[F.sum(name).alias(name) for name in _COUNTS], (F.min("match_key") < F.max("match_key")).alias("twice")
+    )
 
 
-def _count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("v"))
+def _unequal(places: Column) -> Column:
+    """Source rows of an id that are not in exactly one place, or an id that only the places have, several times. A null id finds nothing."""
+    alone = F.when(places > 1, 1).otherwise(0)
+    return F.when(F.col("row_id").isNull(), F.col("n") + alone).when(F.col("n") > 0, F.when(places != 1, F.col("n")).otherwise(0)).otherwise(alone)
+
+
+def _control_figures(run) -> DataFrame:
+    """One row with the figures of `_ROW_CHECKS` and `_AMOUNT_CHECKS`. What a join of a population with its source would sum is the product of
+    their counts for each id."""
+    t, real = run.tables, F.col("row_id").isNotNull()
+    a, b, n, cents = F.col("side") == "A", F.col("side") == "B", F.col("n"), F.col("cents")
+    everywhere = F.col("taken") + F.col("open")
+
+    def total(name: str, value: Column, *where: Column) -> Column:
+        for condition in where:
+            value = F.when(condition, value)
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(name)
+
+    rows = _per_id(run).agg(
+        total("a_rows", n, a), total("a_cents", cents, a), total("b_rows", n, b), total("b_cents", cents, b),
+        total("a_unequal", _unequal(F.col("booked")), a), total("b_unequal", _unequal(everywhere), b),
+        total("a_matched_cents", F.col("matched") * cents, a, real), total("b_matched_cents", F.col("matched") * cents, b, real),
+        total("consumed_twice", F.lit(1), F.col("twice")), total("held_unequal", F.abs(F.col("held") - F.col("reported")), a),
+        total("unsettled_cents", cents, a, ~real | (F.col("settled") == 0)), total("a_bridge_rows", F.col("matched"), a),
+        total("b_found_rows", everywhere * n, b, real), total("b_found_cents", everywhere * cents, b, real),
+        total("b_unclaimed_cents", cents, b, ~real | (F.col("taken") == 0)), total("b_open_cents", F.col("open") * cents, b, real),
+        total("copies_cents", F.col("copies") * cents, a, real), total("fuzzy_cents", F.col("fuzzy") * cents, a, real),
+    )
+    outside = ~F.col("in_proposed_entry")
+    book = run.ledger.agg(
+        F.count("*").alias("book_rows"), total("book_cents", cents), total("book_matched", F.lit(1), F.col("outcome") == "matched"),
+        total("book_duplicate", cents, F.col("outcome") == "duplicate"), total("book_entry", cents, F.col("in_proposed_entry")),
+        total("book_known", F.lit(1), F.col("disposition").isin("MATCHED", "EXACT_A_DUPLICATE_EXCLUDED", "REVIEW_HOLD", "TRUE_UNMATCHED")),
+        *[total(f"book_{x}", cents, F.col("outcome") == x, outside) for x in ("duplicate_hold", "variance", "ambiguous", "fuzzy", "reference_hold")],
+    )
+    for other in (
+        book, illegal_matches(run.matching.bridge, run.a.select("side", "row_id", "cents").unionByName(run.b.select("side", "row_id", "cents"))).agg(F.count("*").alias("illegal")),
+        t["excess"].agg(total("excess_cents", cents, a)), t["variances"].agg(total("variance_cents", F.col("a_cents"))),
+        t["ambiguous"].agg(total("ambiguous_cents", cents)), t["holds"].agg(total("holds_cents", cents)),
+    ):
+        rows = rows.transform(beside, other)
+    return rows
+
+
+# Fixed values: (check, expected figure, actual figure); a check without an expected figure must find nothing.
+_ROW_CHECKS = (
+    ("A row completeness", "a_rows", "book_rows"), ("A amount roll-forward", "a_cents", "book_cents"),
+    ("Every A row has exactly one final disposition", None, "a_unequal"), ("Every B row is in exactly one population", None, "b_unequal"),
+    ("Matched totals agree", "a_matched_cents", "b_matched_cents"), ("Every match ties to the cent and has a legal shape", None, "illegal"),
+    ("No record is consumed twice", None, "consumed_twice"), ("Held rows are the rows of the hold reports", None, "held_unequal"),
+    ("Matched rows of the ledger are the rows of the bridge", "book_matched", "a_bridge_rows"), ("Excess copies are excluded", "excess_cents", "book_duplicate"),
+    ("Proposed entry = unmatched rows", "book_entry", "unsettled_cents"),
+)
+_AMOUNT_CHECKS = (
+    ("B row completeness", "b_rows", "b_found_rows"), ("B amount roll-forward", "b_cents", "b_found_cents"),
+    ("B rows that nothing claimed are reported apart", "b_unclaimed_cents", "b_open_cents"), ("Every A row has a known disposition", "a_rows", "book_known"),
+    ("Held copies of A are kept out of the entry", "copies_cents", "book_duplicate_hold"), ("Amount variances are kept out of the entry", "variance_cents", "book_variance"),
+    ("Ambiguous candidates are kept out of the entry", "ambiguous_cents", "book_ambiguous"), ("Fuzzy holds are kept out of the entry", "fuzzy_cents", "book_fuzzy"),
+    ("Reference holds are kept out of the entry", "holds_cents", "book_reference_hold"),
+)
+
+
+def _spelled(figures: DataFrame, checks: tuple) -> DataFrame:
+    """(check, expected, actual, difference, status) of a row of figures. Checks that must find nothing show what they found as the difference."""
+    lines = F.array(*[
+        F.struct(
+            F.lit(check).alias("check"), (F.lit(0) if expected is None else F.col(expected)).cast("bigint").alias("expected"), F.col(actual).cast("bigint").alias("actual"),
+            F.lit(-1 if expected is None else 1).alias("sign"),
+        )
+        for check, expected, actual in checks
+    ])
+    return figures.select(F.inline(lines)).select(
+        "check", "expected", "actual", (F.col("sign") * (F.col("expected") - F.col("actual"))).alias("difference"),
+        F.when(F.col("expected") == F.col("actual"), "PASS").otherwise("FAIL").alias("status"),
+    )
 
 
 def balance_controls(run) -> DataFrame:
@@ -141,33 +244,7 @@ def balance_controls(run) -> DataFrame:
 
     Figures are taken from different places (source frames, bridge, outcome tables, ledger), so a broken outcome fails.
     """
-    book, bridge, both = run.ledger, run.matching.bridge, run.a.select("side", "row_id", "cents").unionByName(run.b.select("side", "row_id", "cents"))
-    a, b = both.filter("side = 'A'"), both.filter("side = 'B'")
-    t = run.tables
-    matched = bridge.join(both, ["side", "row_id"])
-    held = book.filter("disposition = 'REVIEW_HOLD'")
-    fuzzy_b = t["fuzzy"].filter("side = 'B'").select("row_id")
-    taken_b = [bridge.filter("side = 'B'").select("row_id"), t["excess"].filter("side = 'B'").select("row_id"), t["held_b"].select("row_id"),
-               t["variances"].select(F.col("b_id").alias("row_id")), fuzzy_b, t["open_b"].select("row_id")]
-    if "clearances" in t:
-        taken_b.append(t["clearances"].filter("scope = 'A history' AND side = 'B'").select("row_id"))
-    populations_b = stack(taken_b)
-    reported = [t["variances"].select(F.col("a_id").alias("row_id")), t["ambiguous"].select("row_id"), t["holds"].select("row_id"),
-                t["fuzzy"].filter("side = 'A'").select("row_id"), t["suspects"].filter("side = 'A' AND outcome LIKE 'Held%'").select("row_id")]
-    lines = [
-        tie("A row completeness", _count(a), _count(book)), tie("A amount roll-forward", _sum(a), _sum(book)),
-        verdict("Every A row has exactly one final disposition", multiple_populations(book, a)),
-        verdict("Every B row is in exactly one population", multiple_populations(populations_b, b)),
-        tie("Matched totals agree", _sum(matched.filter("side = 'A'")), _sum(matched.filter("side = 'B'"))),
-        verdict("Every match ties to the cent and has a legal shape", illegal_matches(bridge, both)),
-        verdict("No record is consumed twice", consumed_twice(bridge)),
-        verdict("Held rows are the rows of the hold reports", same_ids(held, stack(reported))),
-        tie("Matched rows of the ledger are the rows of the bridge", _count(book.filter("outcome = 'matched'")), _count(bridge.filter("side = 'A'"))),
-        tie("Excess copies are excluded", _sum(t["excess"].filter("side = 'A'")), _sum(book.filter("outcome = 'duplicate'"))),
-        tie("Proposed entry = unmatched rows", _sum(book.filter("in_proposed_entry")), _sum(a.join(
-            book.filter("outcome <> 'unmatched'").select("row_id"), "row_id", "left_anti"))),
-    ]
-    return stack(lines).unionByName(amount_controls(run))
+    return _with_clearances(_spelled(_control_figures(run), _ROW_CHECKS + _AMOUNT_CHECKS), run)
 
 
 def figure(check: str, role: str, rows: DataFrame, value) -> DataFrame:
@@ -189,45 +266,25 @@ def amount_controls(run) -> DataFrame:
     A: each report against the ledger's rows of that outcome. B: its populations against the source, and what no
     population but the open one claims against the open rows. History: what cleared against what was cleared.
     """
-    t, book, none = run.tables, run.ledger, F.lit(0)
-    a, b = (x.select("side", "row_id", "cents") for x in (run.a, run.b))
-    cents, one = F.col("cents"), F.lit(1)
+    return _with_clearances(_spelled(_control_figures(run), _AMOUNT_CHECKS), run)
 
-    def of(rows: DataFrame, source: DataFrame, row: str = "row_id") -> DataFrame:
-        return rows.select(F.col(row).alias("row_id")).join(source, "row_id")
 
-    claimed = [
-        run.matching.bridge.filter("side = 'B'").select("row_id"), t["excess"].filter("side = 'B'").select("row_id"), t["held_b"].select("row_id"),
-        t["variances"].select(F.col("b_id").alias("row_id")), t["fuzzy"].filter("side = 'B'").select("row_id"),
-    ]
-    if "clearances" in t:
-        claimed.append(t["clearances"].filter("scope = 'A history' AND side = 'B'").select("row_id"))
-    taken = stack(claimed)
-    every = of(taken.unionByName(t["open_b"].select("row_id")), b)
-    left = b.join(taken, "row_id", "left_anti")
-    pairs = [
-        ("B row completeness", b, one, every, one), ("B amount roll-forward", b, cents, every, cents),
-        ("B rows that nothing claimed are reported apart", left, cents, of(t["open_b"], b), cents),
-        ("Every A row has a known disposition", a, one, book.filter("disposition IN ('MATCHED', 'EXACT_A_DUPLICATE_EXCLUDED', 'REVIEW_HOLD', 'TRUE_UNMATCHED')"), one),
-        ("Held copies of A are kept out of the entry", of(t["suspects"].filter("side = 'A' AND outcome LIKE 'Held%'"), a), cents, book.filter("outcome = 'duplicate_hold' AND NOT in_proposed_entry"), cents),
-        ("Amount variances are kept out of the entry", t["variances"], F.col("a_cents"), book.filter("outcome = 'variance' AND NOT in_proposed_entry"), cents),
-        ("Ambiguous candidates are kept out of the entry", t["ambiguous"], cents, book.filter("outcome = 'ambiguous' AND NOT in_proposed_entry"), cents),
-        ("Fuzzy holds are kept out of the entry", of(t["fuzzy"].filter("side = 'A'"), a), cents, book.filter("outcome = 'fuzzy' AND NOT in_proposed_entry"), cents),
-        ("Reference holds are kept out of the entry", t["holds"], cents, book.filter("outcome = 'reference_hold' AND NOT in_proposed_entry"), cents),
-    ]
-    if "clearances" in t:
-        name, amounts = "Historical clearance amount difference", []
-        for scope, source in (("A history", "B"), ("B history", "A")):
-            rows = t["clearances"].filter(F.col("scope") == scope)
-            live, old = rows.filter(F.col("side") == source), rows.filter(F.col("side") != source)
-            amounts.append((name, of(live, a if source == "A" else b), cents, of(old, t["history"].filter(F.col("side") != source)), cents))
-        pairs += amounts
-    figures = []
-    names = a.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(p[0] for p in pairs)], "check string")
-    figures.append(names.select("check", F.lit("expected").alias("role"), none.cast("bigint").alias("v")))
-    for check, expected, value, actual, other in pairs:
-        figures += [figure(check, "expected", expected, value), figure(check, "actual", actual, other)]
-    return tied_figures(figures)
+def _with_clearances(lines: DataFrame, run) -> DataFrame:
+    """The line of historical clearances, where there are any."""
+    t, cents = run.tables, F.col("cents")
+    if "clearances" not in t:
+        return lines
+
+    def of(rows: DataFrame, source: DataFrame) -> DataFrame:
+        return rows.select("row_id").join(source.select("row_id", "cents"), "row_id")
+
+    name = "Historical clearance amount difference"
+    figures = [lines.sparkSession.createDataFrame([(name, "expected", 0)], "check string, role string, v bigint")]
+    for scope, source, ledger in (("A history", "B", run.b), ("B history", "A", run.a)):
+        rows = t["clearances"].filter(F.col("scope") == scope)
+        live, old = rows.filter(F.col("side") == source), rows.filter(F.col("side") != source)
+        figures += [figure(name, "expected", of(live, ledger), cents), figure(name, "actual", of(old, t["history"].filter(F.col("side") != source)), cents)]
+    return lines.unionByName(tied_figures(figures))
 
 
 def stop_on_failure(checks: DataFrame) -> None:
