@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import layer_date
-from ..runtime import cut, previous_values, running_before
+from ..runtime import cut, hot_places, over_group, previous_values, running_before
 
 # Tolerances of the engine.
 QTY_TOLERANCE = 0.0001
@@ -46,28 +46,29 @@ def receipt_errors(receipts: DataFrame) -> DataFrame:
     )
 
 
-def receipt_runs(receipts: DataFrame) -> DataFrame:
+def receipt_runs(receipts: DataFrame, hot: list[int] | None = None) -> DataFrame:
     """Number the receipt runs of each product: consecutive receipts of exactly one unit cost, unit and basis.
 
-    Order is delivery date, then source position. An intervening receipt of another cost breaks the run.
+    Order is delivery date, then source position. An intervening receipt of another cost breaks the run. `hot`: the hot places of the
+    products, if known (`runtime.hot_places`).
     """
-    for name in ("uom", "cost_basis", "transaction_type"):
-        if name not in receipts.columns:
-            receipts = receipts.withColumn(name, F.lit(""))
-    priced = receipts.withColumn("unit_cost", F.col("total") / F.col("qty"))
-    linked = previous_values(priced, ["product"], "delivered", "source_pos", SAME_RUN)
-    same = F.col("previous").isNotNull()
-    for name in SAME_RUN:
+    # What is the same on every row, or follows from other columns, is added behind the shuffle.
+    given = [name for name in SAME_RUN if name != "unit_cost" and name in receipts.columns]
+    hot = hot_places([receipts], ["product"]) if hot is None else hot
+    linked = previous_values(receipts, ["product"], "delivered", "source_pos", ["total", "qty", *given], hot)
+    same = F.col("previous").isNotNull() & (F.col("previous.total") / F.col("previous.qty") == F.col("total") / F.col("qty"))
+    for name in given:
         same = same & (F.col(f"previous.{name}") == F.col(name))
     starts = linked.withColumn("starts", F.coalesce((~same).cast("bigint"), F.lit(1)))
-    return running_before(starts, ["product"], "delivered", "source_pos", {"earlier_runs": F.col("starts")}).withColumn(
-        "run", F.col("earlier_runs") + F.col("starts")
+    return running_before(starts, ["product"], "delivered", "source_pos", {"earlier_runs": F.col("starts")}, hot=hot).withColumns(
+        {name: F.lit("") for name in SAME_RUN if name != "unit_cost" and name not in given}
+        | {"unit_cost": F.col("total") / F.col("qty"), "run": F.col("earlier_runs") + F.col("starts")}
     ).drop("previous", "starts", "earlier_runs", "_block")
 
 
-def consolidate_receipts(receipts: DataFrame, source_period: str) -> DataFrame:
+def consolidate_receipts(receipts: DataFrame, source_period: str, hot: list[int] | None = None) -> DataFrame:
     """One layer per run. The receipts behind a layer stay in the run table (`receipt_runs`): lineage is a join."""
-    return receipt_runs(receipts).groupBy("product", "run").agg(
+    return receipt_runs(receipts, hot).groupBy("product", "run").agg(
         F.sum("qty").alias("qty"), F.sum("total").alias("total_value"), F.min("delivered").alias("start_day"),
         F.max("delivered").alias("end_day"), F.count("*").alias("receipt_count"),
     ).select(
@@ -89,11 +90,17 @@ def stack_layers(opening: DataFrame, received: DataFrame) -> DataFrame:
     return carried.unionByName(received, allowMissingColumns=True)
 
 
+def _backwards(newest: str) -> Column:
+    """A dated layer older than one before it. Somewhere in a product there is one if and only if some layer is older than the
+    one just before it; undated layers are passed over."""
+    return F.col("start_day") < F.col(newest)
+
+
 def chronology_breaks(layers: DataFrame) -> DataFrame:
     """Products whose dated layers are not in non-decreasing order; undated layers are passed over."""
     dated = layers.filter("start_day IS NOT NULL")
-    linked = previous_values(dated, ["product"], "kind", "seq", ["start_day"])
-    return linked.filter(F.col("start_day") < F.col("previous.start_day")).select("product").distinct()
+    linked = running_before(dated, ["product"], "kind", "seq", {}, {"newest": F.col("start_day")})
+    return linked.filter(_backwards("newest")).select("product").distinct()
 
 
 def consume(layers: DataFrame, usage: DataFrame) -> DataFrame:
@@ -101,11 +108,20 @@ def consume(layers: DataFrame, usage: DataFrame) -> DataFrame:
 
     A negative usage (a count above stock) takes nothing. Value is split in proportion; the last part takes the rest.
     """
-    qty, value = F.col("qty"), F.col("total_value")
-    running = running_before(layers, ["product"], "kind", "seq", {"qty_before": qty}).drop("_block")
+    running = running_before(layers, ["product"], "kind", "seq", {"qty_before": F.col("qty")}).drop("_block")
     joined = running.join(usage.select("product", "usage_qty"), "product")
+    return split_layers(joined.withColumn("consumed", _given_up())).drop("qty_before")
+
+
+def _given_up() -> Column:
+    """What a layer gives up: the part of the usage left after the layers before it."""
     wanted = F.greatest(F.coalesce("usage_qty", F.lit(0.0)), F.lit(0.0))
-    taken = joined.withColumn("consumed", F.greatest(F.lit(0.0), F.least(qty, wanted - F.col("qty_before"))))
+    return F.greatest(F.lit(0.0), F.least(F.col("qty"), wanted - F.col("qty_before")))
+
+
+def split_layers(taken: DataFrame) -> DataFrame:
+    """Quantity and value of layers split into the consumed and the remaining part, with unit cost and status."""
+    qty, value = F.col("qty"), F.col("total_value")
     taken = taken.withColumn("remaining", qty - F.col("consumed"))
     consumed_value = (
         F.when(F.col("consumed") <= QTY_TOLERANCE, F.lit(0.0))
@@ -121,13 +137,13 @@ def consume(layers: DataFrame, usage: DataFrame) -> DataFrame:
                 F.when(F.col("remaining") <= QTY_TOLERANCE, "Fully Depleted").otherwise("Partially Depleted"),
             ),
         }
-    ).drop("qty_before")
+    )
 
 
-def on_hand(consumed: DataFrame) -> DataFrame:
+def on_hand(consumed: DataFrame, hot: list[int] | None = None) -> DataFrame:
     """What is left, as the layers the next period starts from (sequence closed up in FIFO order)."""
     left = consumed.filter(F.col("remaining") > QTY_TOLERANCE)
-    placed = running_before(left, ["product"], "kind", "seq", {"earlier": F.lit(1)}).drop("_block")
+    placed = running_before(left, ["product"], "kind", "seq", {"earlier": F.lit(1)}, hot=hot).drop("_block")
     return placed.select(
         "product", (F.col("earlier") + 1).cast("bigint").alias("seq"), "layer_id", "date_text", "start_day",
         F.col("remaining").alias("qty"), F.col("remaining_value").alias("total_value"),
@@ -185,11 +201,12 @@ def stage_batch(products: DataFrame, grid: DataFrame, receipts: DataFrame, openi
     one = grid.groupBy("product").agg(
         F.count("*").alias("grid_rows"), F.max("expected_qty").alias("expected_qty"), F.max("ending_qty").alias("count_qty")
     )
+    hot = hot_places([receipts, opening], ["product"])
     opening = canonical_layers(opening)
     held = opening.groupBy("product").agg(
         F.sum("qty").alias("held_qty"), F.sum("total_value").alias("held_val"), F.max("layer_error").alias("layer_error")
     )
-    received = receipts.groupBy("product").agg(F.sum("qty").alias("received_qty"))
+    received = receipts.groupBy("product").agg(F.sum("qty").alias("received_qty"), F.sum("total").alias("received_val"))
     base = (
         products.join(one, "product", "left").join(held, "product", "left").join(received, "product", "left")
         .join(receipt_errors(receipts), "product", "left")
@@ -198,13 +215,7 @@ def stage_batch(products: DataFrame, grid: DataFrame, receipts: DataFrame, openi
     # No layers on file but a beginning quantity expected: it is carried at no cost, and the unpriced-layer checks name it.
     invented = F.col("held_qty").isNull() | ((F.col("held_qty") == 0) & (F.coalesce("expected_qty", F.lit(0.0)) > 0))
     base = base.withColumn("expected_qty", F.coalesce("expected_qty", "held_qty"))
-    carry = base.filter(invented).select(
-        "product", F.lit(1).cast("bigint").alias("seq"), F.lit("Prior Period Carryover").alias("date_text"),
-        F.lit(None).cast("date").alias("start_day"), F.col("expected_qty").alias("qty"), F.lit(0.0).alias("total_value"),
-        F.lit(0.0).alias("unit_cost"),
-    )
-    base = base.withColumn("beg_held", F.when(invented, F.col("expected_qty")).otherwise(F.col("held_qty")))
-    opening = opening.drop("layer_error").unionByName(carry, allowMissingColumns=True)
+    base = base.withColumns({"invented": invented, "beg_held": F.when(invented, F.col("expected_qty")).otherwise(F.col("held_qty"))})
     base = base.withColumns(
         {
             "carried_forward": F.col("count_qty").isNull(),
@@ -212,37 +223,57 @@ def stage_batch(products: DataFrame, grid: DataFrame, receipts: DataFrame, openi
             "beg_variance_qty": F.col("beg_held") - F.col("expected_qty"),
         }
     )
-    sound_receipts = receipts.join(receipt_errors(receipts).select("product"), "product", "left_anti")
-    layers = cut(stack_layers(opening, consolidate_receipts(sound_receipts, source_period)), "layers")
     error = (
         F.when(F.col("grid_rows") > 1, "Product alias appears more than once in the Master Grid.")
         .when(F.col("grid_rows").isNull(), "Product alias was not found in the Master Grid.")
         .when(F.col("layer_error").isNotNull(), F.col("layer_error"))
         .when(F.col("ending_qty") < -QTY_TOLERANCE, "Ending inventory quantity cannot be negative.")
         .when(F.col("receipt_error").isNotNull(), F.col("receipt_error"))
-        .when(F.col("unordered"), "FIFO layers are not in non-decreasing chronological order.")
     )
-    unordered = chronology_breaks(layers).withColumn("unordered", F.lit(True))
-    base = cut(base.join(unordered, "product", "left").withColumn("processing_error", error), "batch")
-    failed = F.col("processing_error").isNotNull()
+    base = cut(base.withColumn("input_error", error), "batch", compression="zstd")
+    carry = base.filter("invented").select(
+        "product", F.lit(1).cast("bigint").alias("seq"), F.lit("Prior Period Carryover").alias("date_text"),
+        F.lit(None).cast("date").alias("start_day"), F.col("expected_qty").alias("qty"), F.lit(0.0).alias("total_value"),
+    )
+    # One shuffle of the layers by product serves their sums, their order and the usage they meet; names and costs, which follow from
+    # other columns, are added to what was written.
+    carried = opening.drop("layer_error", "unit_cost").unionByName(carry, allowMissingColumns=True)
+    sound_receipts = receipts.join(receipt_errors(receipts).select("product"), "product", "left_anti")
+    fresh = consolidate_receipts(sound_receipts, source_period, hot).drop("date_text", "layer_id", "source_period")
+    layers = running_before(
+        stack_layers(carried, fresh), ["product"], "kind", "seq", {"qty_before": F.col("qty")}, {"newest": F.col("start_day")}, hot
+    ).withColumn("unordered", F.coalesce(_backwards("newest"), F.lit(False))).drop("_block", "newest")
+    layers = over_group(layers, ["product"], {"unordered": F.max("unordered")}, hot)
+    facts = base.select(
+        "product", F.col("input_error").isNotNull().alias("failed"),
+        (F.col("beg_held") + F.col("received_qty") - F.col("ending_qty")).alias("usage_qty"),
+    )
+    failed = F.col("failed") | F.col("unordered")
+    stocked = layers.join(facts, "product").withColumns({"failed": failed, "usage_qty": F.when(failed, F.lit(0.0)).otherwise(F.col("usage_qty"))})
+    stocked = cut(stocked.withColumn("consumed", _given_up()).drop("qty_before"), "consumed", compression="zstd")
     # A failed product keeps its opening layers as they are: nothing received, nothing used.
-    kept = layers.join(base.filter(failed).select("product"), "product", "left_semi").filter("kind = 0")
-    good = layers.join(base.filter(~failed).select("product"), "product", "left_semi")
-    stocked = good.unionByName(kept)
-    usage = base.select(
-        "product",
-        F.when(failed, F.lit(0.0)).otherwise(F.col("beg_held") + F.col("received_qty") - F.col("ending_qty")).alias("usage_qty"),
+    mine = F.col("kind") == 1
+    period = F.col("source_period") if "source_period" in stocked.columns else F.lit(None).cast("string")
+    used = split_layers(stocked.filter(~F.col("failed") | ~mine).drop("failed", "unordered")).withColumns(
+        {
+            "date_text": F.when(mine, F.col("start_day").cast("string")).otherwise(F.col("date_text")),
+            "layer_id": F.when(mine, F.format_string(f"{source_period}-%03d", "seq")).otherwise(F.col("layer_id")),
+            "source_period": F.when(mine, F.lit(source_period)).otherwise(period),
+        }
+    )
+    unordered = stocked.filter("unordered").select("product").distinct().withColumn("unordered", F.lit(True))
+    base = base.join(unordered, "product", "left").withColumn(
+        "processing_error", F.coalesce("input_error", F.when(F.col("unordered"), "FIFO layers are not in non-decreasing chronological order."))
     )
-    used = cut(consume(stocked, usage), "consumed")
+    failed = F.col("processing_error").isNotNull()
     figures = roll_forward(used, base.select("product", "ending_qty"))
     # What the controls compare with: sums taken from the receipts and from the layers on hand themselves.
-    raw = sound_receipts.groupBy("product").agg(F.sum("qty").alias("raw_qty"), F.sum("total").alias("raw_val"))
-    raw = raw.join(base.filter(failed).select("product"), "product", "left_anti")
-    open_layers = on_hand(used).groupBy("product").agg(F.sum("total_value").alias("layer_val"))
+    raw = {"raw_qty": F.when(~failed, F.col("received_qty")), "raw_val": F.when(~failed, F.col("received_val"))}
+    open_layers = on_hand(used, hot).groupBy("product").agg(F.sum("total_value").alias("layer_val"))
     results = base.select(
         "product", "name", "processing_error", "carried_forward", "beg_variance_qty", F.col("grid_rows"),
-        F.coalesce("unordered", F.lit(False)).alias("unordered"),
-    ).join(figures, "product").join(raw, "product", "left").join(open_layers, "product", "left").fillna(
+        F.coalesce("unordered", F.lit(False)).alias("unordered"), *[v.alias(n) for n, v in raw.items()],
+    ).join(figures, "product").join(open_layers, "product", "left").fillna(
         0.0, ["raw_qty", "raw_val", "layer_val"]
     ).withColumns(
         {

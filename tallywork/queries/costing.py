@@ -56,7 +56,7 @@ def _batch(t):
         "product", (F.col("earlier") + 1).cast("bigint").alias("seq"), F.col("start_day").cast("string").alias("date_text"),
         "start_day", "qty", "total_value", (F.col("total_value") / F.col("qty")).alias("unit_cost"),
     )
-    opening = cut(opening, "opening")
+    opening = cut(opening, "opening", compression="zstd")
     fresh = receipts.filter("delivered >= DATE '1997-01-01'")
     products = t.part.select(F.col("p_partkey").alias("product"), F.col("p_name").alias("name"))
     stock = opening.select("product", "qty").unionByName(fresh.select("product", "qty")).groupBy("product").agg(F.sum("qty").alias("held"))
