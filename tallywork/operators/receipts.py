@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as Over, functions as F
 
 from ..functions.dates import label_year, period_number
 from ..functions.text import is_blank
-from ..runtime import BLOCK_ROWS, cut, inside_spans, running_before
+from ..runtime import BLOCK_ROWS, cut, hot_places, in_places, inside_spans, running_before
 from .fifo import QTY_TOLERANCE, VALUE_TOLERANCE
 from .materials import name_key
 
@@ -39,10 +39,53 @@ def receipt_key(alias="alias", day="delivered", qty="qty", total="total", po="po
 
 
 def mark_registered(log: DataFrame, register: DataFrame) -> DataFrame:
-    """Adds `processed`: each registered occurrence of a key cancels one log row, in log order."""
-    known = register.select(receipt_key().alias("receipt_key")).groupBy("receipt_key").agg(F.count("*").alias("registered"))
-    keyed = log.withColumn("receipt_key", receipt_key())
-    hits = keyed.filter("alias IS NOT NULL AND delivered IS NOT NULL AND qty IS NOT NULL AND total IS NOT NULL").join(known, "receipt_key")
+    """Adds `receipt_key` and `processed`: each registered occurrence of a key cancels one log row, in log order.
+
+    Log and register meet in one shuffle by material and day, which equal keys share; the log keeps all its columns there, so nothing is
+    joined back. Rows without a full key are never registered and are not moved. `source_row` names a row: a row that comes
+    several times is registered as a whole.
+    """
+    group, fields = ["alias", "delivered"], ["alias", "delivered", "qty", "total", "source_row"]
+    full = F.lit(True)
+    for name in fields:
+        full = full & F.col(name).isNotNull()
+    log = log.drop("receipt_key")
+    whole = log.filter(full)
+    # The register's keys are taken from its own types, its material and day then take those of the log.
+    known = register.filter("alias IS NOT NULL AND delivered IS NOT NULL").select(
+        receipt_key().alias("receipt_key"), *[F.col(n).try_cast(log.schema[n].dataType).alias(n) for n in group]
+    )
+    hot = hot_places([whole, known], group)
+    marked = _mark_by_window(whole.filter(~in_places(group, hot)), known.filter(~in_places(group, hot))) if hot else _mark_by_window(whole, known)
+    if hot:
+        marked = marked.unionByName(_mark_by_join(whole.filter(in_places(group, hot)), known.filter(in_places(group, hot)).select("receipt_key")))
+    rest = log.filter(~full).withColumns({"receipt_key": receipt_key(), "processed": F.lit(False)})
+    return marked.unionByName(rest)
+
+
+def _mark_by_window(log: DataFrame, known: DataFrame) -> DataFrame:
+    """Windows over one key: its register rows come first, so they are counted when the first log row comes."""
+    met = log.withColumn("_logged", F.lit(1)).unionByName(known.withColumn("_logged", F.lit(0)), allowMissingColumns=True)
+    # The key of a log row is made behind the shuffle, from what travels anyway.
+    met = met.repartition("alias", "delivered").withColumn("receipt_key", F.coalesce("receipt_key", receipt_key()))
+    order = Over.partitionBy("alias", "delivered", "receipt_key").orderBy("_logged", "source_row")
+    so_far = order.rowsBetween(Over.unboundedPreceding, Over.currentRow)
+    placed = met.withColumns({
+        "_registered": F.sum(F.lit(1) - F.col("_logged")).over(so_far), "_rank": F.rank().over(order),
+        "_copies": F.count(F.lit(1)).over(order.rangeBetween(Over.currentRow, Over.currentRow)),
+    }).filter("_logged = 1")
+    # `_rank` counts the register rows too. Copies of a row share their registered occurrences, each with each.
+    cancelled = F.least("_copies", 2 * F.col("_registered") + 1 - F.col("_rank"))
+    out = placed.withColumn("_cancelled", F.greatest(cancelled, F.lit(0)).cast("int"))
+    times = F.when(F.col("_cancelled") > 1, F.array_repeat(F.lit(0), F.col("_cancelled"))).otherwise(F.array(F.lit(0)))
+    return out.withColumn("processed", F.col("_cancelled") > 0).select(*log.columns, "receipt_key", "processed", F.explode(times).alias("_time")).drop("_time")
+
+
+def _mark_by_join(log: DataFrame, register: DataFrame) -> DataFrame:
+    """The same for keys of any size: counts are joined, log rows are placed in blocks."""
+    known = register.groupBy("receipt_key").agg(F.count("*").alias("registered"))
+    keyed = cut(log.withColumn("receipt_key", receipt_key()), "keyed", compression="zstd")
+    hits = keyed.join(known, "receipt_key")
     placed = running_before(
         hits.withColumn("_chunk", F.floor(F.col("source_row") / BLOCK_ROWS)), ["receipt_key"], "_chunk", "source_row", {"earlier": F.lit(1)}
     )
@@ -120,16 +163,25 @@ def opening_evidence(crossing: DataFrame, layers: DataFrame, lineage: DataFrame)
     return out.select("source_row", F.when(F.col("proven"), "included").when(F.col("undated") | F.col("covered"), "unclear").otherwise("not_included").alias("evidence"))
 
 
+def _asked() -> Column:
+    """Rows whose outcome rests on the opening layers."""
+    p = F.col("placement")
+    return F.coalesce((rejection_reason() == "") & ((p == "crossing") | ((p == "late") & F.col("conflict"))), F.lit(False))
+
+
 def recognize(log: DataFrame, register: DataFrame, w: Window, layers: DataFrame, lineage: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """Final `outcome` per log row: recognized (in period or late), rejected, review, in opening, or why it waits.
 
     `decisions`: receipt_key, decision ('include' or 'opening'), each taken once by a person.
     """
-    # Read twice below, and its conditions are long: written once, so that no filter carries them along.
-    placed = cut(classify(log, register, w).withColumn("reason", rejection_reason()), "placed")
-    asked = placed.filter("reason = '' AND (placement = 'crossing' OR (placement = 'late' AND conflict))")
-    evidence = opening_evidence(asked, layers, lineage)
-    out = placed.join(evidence, "source_row", "left")
+    # Read twice below, and its conditions are long: written once, so that no filter carries them along. The key is made again from the row.
+    placed = classify(log, register, w).withColumns({"reason": rejection_reason(), "asked": _asked()}).drop("receipt_key")
+    placed = cut(placed, "placed", compression="zstd").withColumn("receipt_key", receipt_key())
+    # Only rows that are asked about have evidence; the others are not moved again.
+    asked = placed.filter("asked").drop("asked")
+    out = placed.filter("NOT asked").drop("asked").withColumn("evidence", F.lit(None).cast("string")).unionByName(
+        asked.join(opening_evidence(asked, layers, lineage), "source_row", "left")
+    )
     if decisions is not None:
         out = out.join(decisions.select("receipt_key", "decision"), "receipt_key", "left")
     else:

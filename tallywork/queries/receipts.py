@@ -55,7 +55,8 @@ def _recognized(t):
         F.concat(F.lit("po"), F.col("l_suppkey").cast("string")).alias("po"), F.lit("").alias("invoice"),
     )
     layers = t.lineitem.filter("l_partkey % 2 = 0").groupBy(F.col("l_partkey").alias("alias")).agg(F.min(day).alias("start_day"), F.min(day).alias("end_day"))
-    return cut(r.recognize(log, register, _W, layers, lineage), "recognized"), layers
+    layers = cut(layers, "spans", compression="zstd")
+    return r.recognize(log, register, _W, layers, lineage), layers
 
 
 @query(
