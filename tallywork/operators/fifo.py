@@ -96,32 +96,37 @@ def _backwards(newest: str) -> Column:
     return F.col("start_day") < F.col(newest)
 
 
+def placed_layers(layers: DataFrame, hot: list[int] | None = None) -> DataFrame:
+    """Adds `qty_before`, the quantity of the product's layers before, and `unordered`, whether its dated layers go back in
+    time: one shuffle by product for both. Layers without a product or a sequence are left out."""
+    running = running_before(layers, ["product"], "kind", "seq", {"qty_before": F.col("qty")}, {"newest": F.col("start_day")}, hot)
+    back = running.withColumn("unordered", F.coalesce(_backwards("newest"), F.lit(False))).drop("_block", "newest")
+    return over_group(back, ["product"], {"unordered": F.max("unordered")}, hot)
+
+
 def chronology_breaks(layers: DataFrame) -> DataFrame:
-    """Products whose dated layers are not in non-decreasing order; undated layers are passed over."""
+    """Products whose dated layers are not in non-decreasing order; undated layers are passed over. What `placed_layers`
+    found is taken as it is."""
+    if "unordered" in layers.columns:
+        return layers.filter("unordered").select("product").distinct()
     dated = layers.filter("start_day IS NOT NULL")
     linked = running_before(dated, ["product"], "kind", "seq", {}, {"newest": F.col("start_day")})
     return linked.filter(_backwards("newest")).select("product").distinct()
 
 
-def consume(layers: DataFrame, usage: DataFrame) -> DataFrame:
+def consume(layers: DataFrame, usage: DataFrame | None = None) -> DataFrame:
     """Take `usage_qty` of each product from its layers, oldest first; adds consumed and remaining parts.
 
-    A negative usage (a count above stock) takes nothing. Value is split in proportion; the last part takes the rest.
+    A negative usage (a count above stock) takes nothing. Value is split in proportion; the last part takes the rest. Layers that
+    bring `qty_before` (`placed_layers`) and, without `usage`, their product's `usage_qty` are not moved again.
     """
-    running = running_before(layers, ["product"], "kind", "seq", {"qty_before": F.col("qty")}).drop("_block")
-    joined = running.join(usage.select("product", "usage_qty"), "product")
-    return split_layers(joined.withColumn("consumed", _given_up())).drop("qty_before")
-
-
-def _given_up() -> Column:
-    """What a layer gives up: the part of the usage left after the layers before it."""
-    wanted = F.greatest(F.coalesce("usage_qty", F.lit(0.0)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.col("qty"), wanted - F.col("qty_before")))
-
-
-def split_layers(taken: DataFrame) -> DataFrame:
-    """Quantity and value of layers split into the consumed and the remaining part, with unit cost and status."""
     qty, value = F.col("qty"), F.col("total_value")
+    if "qty_before" not in layers.columns:
+        layers = running_before(layers, ["product"], "kind", "seq", {"qty_before": qty}).drop("_block")
+    if usage is not None:
+        layers = layers.join(usage.select("product", "usage_qty"), "product")
+    wanted = F.greatest(F.coalesce("usage_qty", F.lit(0.0)), F.lit(0.0))
+    taken = layers.withColumn("consumed", F.greatest(F.lit(0.0), F.least(qty, wanted - F.col("qty_before"))))
     taken = taken.withColumn("remaining", qty - F.col("consumed"))
     consumed_value = (
         F.when(F.col("consumed") <= QTY_TOLERANCE, F.lit(0.0))
@@ -137,7 +142,7 @@ def split_layers(taken: DataFrame) -> DataFrame:
                 F.when(F.col("remaining") <= QTY_TOLERANCE, "Fully Depleted").otherwise("Partially Depleted"),
             ),
         }
-    )
+    ).drop("qty_before")
 
 
 def on_hand(consumed: DataFrame, hot: list[int] | None = None) -> DataFrame:
@@ -240,28 +245,25 @@ def stage_batch(products: DataFrame, grid: DataFrame, receipts: DataFrame, openi
     carried = opening.drop("layer_error", "unit_cost").unionByName(carry, allowMissingColumns=True)
     sound_receipts = receipts.join(receipt_errors(receipts).select("product"), "product", "left_anti")
     fresh = consolidate_receipts(sound_receipts, source_period, hot).drop("date_text", "layer_id", "source_period")
-    layers = running_before(
-        stack_layers(carried, fresh), ["product"], "kind", "seq", {"qty_before": F.col("qty")}, {"newest": F.col("start_day")}, hot
-    ).withColumn("unordered", F.coalesce(_backwards("newest"), F.lit(False))).drop("_block", "newest")
-    layers = over_group(layers, ["product"], {"unordered": F.max("unordered")}, hot)
+    layers = placed_layers(stack_layers(carried, fresh), hot)
     facts = base.select(
         "product", F.col("input_error").isNotNull().alias("failed"),
         (F.col("beg_held") + F.col("received_qty") - F.col("ending_qty")).alias("usage_qty"),
     )
     failed = F.col("failed") | F.col("unordered")
     stocked = layers.join(facts, "product").withColumns({"failed": failed, "usage_qty": F.when(failed, F.lit(0.0)).otherwise(F.col("usage_qty"))})
-    stocked = cut(stocked.withColumn("consumed", _given_up()).drop("qty_before"), "consumed", compression="zstd")
+    stocked = cut(stocked, "consumed", compression="zstd")
     # A failed product keeps its opening layers as they are: nothing received, nothing used.
     mine = F.col("kind") == 1
     period = F.col("source_period") if "source_period" in stocked.columns else F.lit(None).cast("string")
-    used = split_layers(stocked.filter(~F.col("failed") | ~mine).drop("failed", "unordered")).withColumns(
+    used = consume(stocked.filter(~F.col("failed") | ~mine).drop("failed", "unordered")).withColumns(
         {
             "date_text": F.when(mine, F.col("start_day").cast("string")).otherwise(F.col("date_text")),
             "layer_id": F.when(mine, F.format_string(f"{source_period}-%03d", "seq")).otherwise(F.col("layer_id")),
             "source_period": F.when(mine, F.lit(source_period)).otherwise(period),
         }
     )
-    unordered = stocked.filter("unordered").select("product").distinct().withColumn("unordered", F.lit(True))
+    unordered = chronology_breaks(stocked).withColumn("unordered", F.lit(True))
     base = base.join(unordered, "product", "left").withColumn(
         "processing_error", F.coalesce("input_error", F.when(F.col("unordered"), "FIFO layers are not in non-decreasing chronological order."))
     )
